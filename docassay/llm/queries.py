@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, log_templates, order_minhash, quality_fm, winnowing
+from . import bpe, chat_tree, gif, log_templates, order_minhash, pii, quality_fm, secrets, unit_dedup, winnowing
 from .common import read
 
 
@@ -39,10 +39,63 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_templates.drop_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def digests(found: DataFrame, kinds: list[str]) -> DataFrame:
+    """Counts of base spans by kind, the digest of those spans, and all spans, from `spans`."""
+    said = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, kinds), F.sha2(F.array_join(F.transform(base, said), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", said), ",").alias("spans"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(pii.find(docs, pii.train(docs)).drop("text"), ["email", "ip", "card", "phone"])
+
+
+def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = gif.decode(gif.encode(docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))).drop("text"))
+    total = F.aggregate(F.transform("frames", lambda f: f["histogram"]), F.array_repeat(F.lit(0).cast("long"), 65), lambda a, h: F.zip_with(a, h, lambda x, y: x + y))
+    return stored.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.size("frames").cast("string"), F.lit(";"), F.array_join(total.cast("array<string>"), ",")).alias("feature"),
+    )
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    stream, members = chat_tree.format_chats(rows.unionByName(more))
+    return chat_tree.read_back(stream, members)
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(secrets.find(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), ["assign", "access", "hex"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_pii": op2_pii,
         "op3_quality": op3_quality,
+        "op4_unit_dedup": op4_unit_dedup,
+        "op5_gif": op5_gif,
+        "op6_chat": op6_chat,
+        "op7_secrets": op7_secrets,
         "op8_near_dedup": op8_near_dedup,
         "op9_decontamination": op9_decontamination,
         "op10_line_dedup": op10_line_dedup,

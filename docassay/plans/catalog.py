@@ -1,15 +1,263 @@
-"""The registered queries, and the same in SQL where SQL can express them."""
+"""The registered queries over whole tables, and the same in SQL where SQL can express them.
+
+`documents` gives pairs: the text is what was expected, and what a tool made of it is the text itself, in lower
+case, without stops and commas, its first half, or nothing, in turn by doc_id. Lines are list items.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scores, text
+from ..operators import boxes, lists, summary
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    way = F.col("doc_id") % 5
+    half = F.substring(t, F.lit(1), (F.char_length(t) / 2).cast("int"))
+    actual = F.when(way == 0, t).when(way == 1, F.lower(t)).when(way == 2, F.translate(t, ".,", "")).when(way == 3, half).otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("field_name"), "source", t.alias("expected"), actual.alias("actual"))
+
+
+PAIRS = """pairs AS (SELECT doc_id, lang AS field_name, source, text AS expected, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN lower(text)
+ WHEN 2 THEN translate(text, '.,', '') WHEN 3 THEN substr(text, 1, CAST(floor(length(text) / 2) AS BIGINT)) ELSE '' END AS actual FROM documents)"""
+#: The ignored characters in SQL: code points, to have no quotes in the string.
+SOFT = "translate({}, " + " || ".join(f"chr({ord(c)})" for c in text.IGNORED) + ", '')"
+COUNTS = """CAST(expected <> '' AND actual <> '' AND score >= {0} AS BIGINT) AS tp, CAST(actual <> '' AND NOT (expected <> '' AND actual <> '' AND score >= {0}) AS BIGINT) AS fp,
+ CAST(expected <> '' AND actual = '' AS BIGINT) AS fn, CAST(expected = '' AND actual = '' AS BIGINT) AS tn"""
+EXACT = "CAST(expected = actual AS DOUBLE)"
+SOFTLY = f"CAST({SOFT.format('expected')} = {SOFT.format('actual')} AS DOUBLE)"
+METRICS = """coalesce((tp + tn) / nullif(tp + fp + tn + fn, 0), 0.0) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision,
+ CASE WHEN tp + fn > 0 THEN coalesce(tp / nullif(tp + fn + fp, 0), 0.0) ELSE 0.0 END AS recall"""
+
+
+def ascii_only(c: Column) -> Column:
+    """Other characters as question marks: DuckDB's edit distance counts bytes."""
+    return F.regexp_replace(c, r"[^\x00-\x7F]", "?")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).select("doc_id", "field_name", F.split("expected", "\n").alias("e"), F.when(F.col("actual") == "", F.array().cast("array<string>")).otherwise(F.split("actual", "\n")).alias("a"))
+
+
+LINES = PAIRS + """, lists AS (SELECT doc_id, field_name, string_split(expected, chr(10)) AS e, CASE WHEN actual = '' THEN [] ELSE string_split(actual, chr(10)) END AS a FROM pairs)"""
+
+
+def score_string_exact(spark, sf_dir):
+    return summary.scored(pairs(spark, sf_dir), "exact", scores.exact(F.col("expected"), F.col("actual"))).select("doc_id", "score", "tp", "fp", "fn", "tn")
+
+
+def score_string_soft(spark, sf_dir):
+    return summary.scored(pairs(spark, sf_dir), "soft", scores.soft(F.col("expected"), F.col("actual"))).select("doc_id", "score", "tp", "fp", "fn", "tn")
+
+
+def zipped_lines(spark, sf_dir):
+    each = lines(spark, sf_dir).select("doc_id", "field_name", F.posexplode(F.arrays_zip("e", "a")).alias("at", "p"))
+    side = lambda c: F.coalesce(F.col(f"p.{c}"), F.lit(""))
+    return each.select("doc_id", "field_name", F.col("at").cast("long").alias("at"), side("e").alias("expected"), side("a").alias("actual"))
+
+
+def score_line_levenshtein(spark, sf_dir):
+    e, a = ascii_only(F.col("expected")), ascii_only(F.col("actual"))
+    made = summary.scored(zipped_lines(spark, sf_dir), "levenshtein", scores.levenshtein(e, a))
+    return made.groupBy("doc_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")), F.round(F.avg("score"), 6).alias("score"))
+
+
+ZIPPED = LINES + """, zipped AS (SELECT doc_id, field_name, i - 1 AS at, coalesce(e[i], '') AS expected, coalesce(a[i], '') AS actual
+ FROM (SELECT *, unnest(range(1, greatest(len(e), len(a)) + 1)) AS i FROM lists))"""
+ASCII = "regexp_replace({}, '[^\\x00-\\x7F]', '?', 'g')"
+LEVENSHTEIN = f"CASE WHEN greatest(length(expected), length(actual)) = 0 THEN 1.0 ELSE 1 - levenshtein({ASCII.format('expected')}, {ASCII.format('actual')}) / greatest(length(expected), length(actual)) END"
+
+
+def score_ratcliff(spark, sf_dir):
+    made = zipped_lines(spark, sf_dir).withColumn("ratio", lists.ratcliff_obershelp("expected", "actual"))
+    return summary.scored(made, "ratcliff_obershelp", F.col("ratio")).groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")), F.avg("score").alias("score"))
+
+
+def normalize_text(spark, sf_dir):
+    return pairs(spark, sf_dir).select("doc_id", F.md5(text.normalize(F.col("expected"), lower=False)).alias("normalized"))
+
+
+def strip_punctuation(spark, sf_dir):
+    return pairs(spark, sf_dir).select("doc_id", F.md5(text.strip_punctuation(F.col("expected"))).alias("stripped"))
+
+
+def person_name_normalize(spark, sf_dir):
+    name = F.concat(F.substring("c_mktsegment", 1, 1), F.lit(". "), F.substring("c_name", 1, 1), F.lit(". "), F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.person_name(name).alias("name"))
+
+
+def doi_from_url(spark, sf_dir):
+    url = F.concat(F.lit("https://doi.org/10."), F.col("page_id").cast("string"), F.lit("/"), F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", text.doi_from_url(url).alias("doi"))
+
+
+def expand_last_page(spark, sf_dir):
+    first, last = F.col("o_orderkey").cast("string"), (F.col("o_custkey") % 100).cast("string")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.last_page(first, last).alias("last_page"))
+
+
+def both_methods(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    e, a = F.col("expected"), F.col("actual")
+    return summary.scored(p, "exact", scores.exact(e, a)).unionByName(summary.scored(p, "soft", scores.soft(e, a)))
+
+
+BOTH = PAIRS + f""", scored AS (SELECT doc_id, field_name, source, 'exact' AS scoring_method, score, {COUNTS.format(1)} FROM (SELECT *, {EXACT} AS score FROM pairs)
+ UNION ALL SELECT doc_id, field_name, source, 'soft', score, {COUNTS.format(1)} FROM (SELECT *, {SOFTLY} AS score FROM pairs)),
+summed AS (SELECT scoring_method, field_name, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM scored GROUP BY ALL),
+fields AS (SELECT *, CAST(sum(tp + fn + 2 * fp) OVER (PARTITION BY scoring_method) - tp - fp - fn AS BIGINT) AS tn FROM summed),
+measured AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM (SELECT *, {METRICS} FROM fields)),
+micro AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM (SELECT *, {METRICS} FROM (SELECT scoring_method, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn FROM fields GROUP BY ALL)))"""
+
+
+def confusion_counts(spark, sf_dir):
+    return both_methods(spark, sf_dir).groupBy("scoring_method", "field_name", "source").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")))
+
+
+def tn_group_total(spark, sf_dir):
+    return summary.by_field(both_methods(spark, sf_dir)).select("scoring_method", "field_name", "tp", "fp", "fn", "tn")
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 9) for n in names})
+
+
+def summary_metrics(spark, sf_dir):
+    return rounded(summary.summary(both_methods(spark, sf_dir)), *summary.METRICS).select("scoring_method", "stats_name", "field_name", "tp", "fp", "fn", "tn", *summary.METRICS)
+
+
+def score_list_exact(spark, sf_dir):
+    return lines(spark, sf_dir).select("doc_id", lists.list_score(F.col("e"), F.col("a")).alias("score"))
+
+
+def score_partial_list_exact(spark, sf_dir):
+    return rounded(lines(spark, sf_dir).select("doc_id", lists.partial_list_counts(F.col("e"), F.col("a")).alias("s")).select("doc_id", "s.*"), "score")
+
+
+def items(spark, sf_dir, once: bool):
+    pick = F.array_distinct if once else lambda c: c
+    rows = lines(spark, sf_dir)
+    each = rows.select(F.col("doc_id").alias("key"), F.lit("expected").alias("side"), F.explode(pick(F.col("e"))).alias("item"))
+    return each.unionByName(rows.select(F.col("doc_id").alias("key"), F.lit("actual").alias("side"), F.explode(pick(F.col("a"))).alias("item"))).where("item <> ''")
+
+
+def score_partial_ulist_exact(spark, sf_dir):
+    return rounded(lists.unordered_counts(items(spark, sf_dir, False)).withColumnRenamed("key", "doc_id"), "score")
+
+
+def score_partial_set_exact(spark, sf_dir):
+    return rounded(lists.unordered_counts(items(spark, sf_dir, True)).withColumnRenamed("key", "doc_id"), "score")
+
+
+def unordered_sql(distinct: str) -> str:
+    return f"""WITH {LINES}, items AS (SELECT {distinct} doc_id, 'expected' AS side, item FROM (SELECT doc_id, unnest(e) AS item FROM lists) UNION ALL SELECT {distinct} doc_id, 'actual', item FROM (SELECT doc_id, unnest(a) AS item FROM lists)),
+each AS (SELECT doc_id, item, count(*) FILTER (side = 'expected') AS e, count(*) FILTER (side = 'actual') AS a FROM items WHERE item <> '' GROUP BY ALL),
+sums AS (SELECT doc_id, sum(least(e, a)) AS tp, sum(e) AS e, sum(a) AS a FROM each GROUP BY ALL)
+SELECT doc_id, CAST(tp AS BIGINT) AS tp, CAST(a - tp AS BIGINT) AS fp, CAST(greatest(e - a, 0) AS BIGINT) AS fn, round(tp / greatest(e, a), 9) AS score FROM sums"""
+
+
+def length_bound(spark, sf_dir):
+    return rounded(pairs(spark, sf_dir).select("doc_id", scores.length_bound(F.col("expected"), F.col("actual")).alias("bound")), "bound")
+
+
+def char_count_bound(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    side = lambda c: p.select("doc_id", F.lit(c).alias("side"), F.explode(F.split(c, "")).alias("c")).where("c <> ''")
+    each = side("expected").unionByName(side("actual")).groupBy("doc_id", "c").agg(F.count_if(F.col("side") == "expected").alias("e"), F.count_if(F.col("side") == "actual").alias("a"))
+    return rounded(each.groupBy("doc_id").agg((F.sum(F.least("e", "a")) / F.greatest(F.sum("e"), F.sum("a"))).alias("bound")), "bound")
+
+
+def order_tables(spark, sf_dir):
+    cell = F.concat_ws("|", F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"), "l_returnflag")
+    other = F.when(F.col("l_linenumber") % 3 == 0, F.lower(cell)).otherwise(cell)
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", cell.alias("e"), other.alias("a")))).alias("rows"))
+    return rows.select("l_orderkey", F.transform("rows", lambda r: r["e"]).alias("e"), F.transform("rows", lambda r: r["a"]).alias("a"))
+
+
+def score_table_exact(spark, sf_dir):
+    return order_tables(spark, sf_dir).select("l_orderkey", lists.list_score(F.col("e"), F.col("a")).alias("score"))
+
+
+def bbox_area_score(spark, sf_dir):
+    """A box of each order line, and one beside it that was found: shared area over the larger one's."""
+    n = lambda c: F.col(c).cast("int").cast("string")
+    left = F.concat_ws(",", n("l_linenumber"), n("l_quantity"), n("l_partkey"), F.lit("40"), F.lit("20"))
+    right = F.concat_ws(",", n("l_linenumber"), F.lit("25"), n("l_partkey"), F.lit("50"), F.lit("10"))
+    b = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", boxes.parse(left).alias("e"), boxes.parse(right).alias("a"))
+    return rounded(b.select("l_orderkey", "l_linenumber", "l_partkey", (boxes.shared(F.col("e"), F.col("a")) / F.greatest(boxes.area(F.col("e")), boxes.area(F.col("a")))).alias("score")), "score")
+
+
+def tool_pivot(spark, sf_dir):
+    """F1 of each method by field, tools beside each other."""
+    return rounded(summary.with_metrics(summary.by_field(both_methods(spark, sf_dir))).groupBy("field_name").pivot("scoring_method", ["exact", "soft"]).agg(F.first("f1")), "exact", "soft")
+
+
+def tool_outcome_buckets(spark, sf_dir):
+    p = both_methods(spark, sf_dir).groupBy("doc_id", "field_name").pivot("scoring_method", ["exact", "soft"]).agg(F.first("tp"))
+    return p.groupBy("field_name").agg(F.count_if(F.expr("exact = 1 AND soft = 0")).alias("only_exact"), F.count_if(F.expr("exact = 0 AND soft = 1")).alias("only_soft"), F.count_if(F.expr("exact = 0 AND soft = 0")).alias("neither"))
+
+
+def dedupe_first_wins(spark, sf_dir):
+    least = table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    return least.select("doc_id", "n")
+
+
+def adjacent_label_concat(spark, sf_dir):
+    """Runs of turns with one role are one turn."""
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    new = (F.lag("role").over(by).isNull() | (F.lag("role").over(by) != F.col("role"))).cast("long")
+    run = table(spark, sf_dir, "conversations").withColumn("new", new).withColumn("run", F.sum("new").over(by))
+    joined = run.groupBy("conv_id", "run", "role").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return joined.select("conv_id", "run", "role", F.md5(F.array_join(F.transform("t", lambda x: x["text"]), " ")).alias("joined"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    made = (
+        score_string_exact, score_string_soft, score_line_levenshtein, score_ratcliff, normalize_text, strip_punctuation, person_name_normalize, doi_from_url,
+        expand_last_page, confusion_counts, tn_group_total, summary_metrics, score_list_exact, score_partial_list_exact, score_partial_ulist_exact,
+        score_partial_set_exact, length_bound, char_count_bound, score_table_exact, bbox_area_score, tool_pivot, tool_outcome_buckets, dedupe_first_wins, adjacent_label_concat,
+    )
+    return {q.__name__: q for q in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "score_string_exact": f"WITH {PAIRS} SELECT doc_id, score, {COUNTS.format(1)} FROM (SELECT *, {EXACT} AS score FROM pairs)",
+        "score_string_soft": f"WITH {PAIRS} SELECT doc_id, score, {COUNTS.format(1)} FROM (SELECT *, {SOFTLY} AS score FROM pairs)",
+        "score_line_levenshtein": f"WITH {ZIPPED}, s AS (SELECT doc_id, score, {COUNTS.format(0.8)} FROM (SELECT *, {LEVENSHTEIN} AS score FROM zipped)) SELECT doc_id, count(*) AS n, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn, round(avg(score), 6) AS score FROM s GROUP BY doc_id",
+        "normalize_text": "SELECT doc_id, md5(regexp_replace(text, '\\s+', ' ', 'g')) AS normalized FROM documents",
+        "strip_punctuation": f"SELECT doc_id, md5({SOFT.format('text')}) AS stripped FROM documents",
+        "person_name_normalize": "SELECT c_custkey, c_mktsegment[1] || substr(c_name, 1, 1) || ' ' || c_name AS name FROM customer",
+        "doi_from_url": "SELECT page_id, '10.' || page_id || '/' || url AS doi FROM pages",
+        "expand_last_page": "SELECT o_orderkey, CASE WHEN length(f) > length(l) THEN substr(f, 1, length(f) - length(l)) || l ELSE l END AS last_page FROM (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS f, CAST(o_custkey % 100 AS VARCHAR) AS l FROM orders)",
+        "confusion_counts": f"WITH {BOTH} SELECT scoring_method, field_name, source, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn FROM scored GROUP BY ALL",
+        "tn_group_total": f"WITH {BOTH} SELECT * FROM fields",
+        "summary_metrics": f"""WITH {BOTH}, rows AS (SELECT scoring_method, 'by-field' AS stats_name, field_name, tp, fp, fn, tn, accuracy, precision, recall, f1 FROM measured
+ UNION ALL SELECT scoring_method, 'micro', NULL, tp, fp, fn, tn, accuracy, precision, recall, f1 FROM micro
+ UNION ALL SELECT scoring_method, 'macro', NULL, NULL, NULL, NULL, NULL, avg(accuracy), avg(precision), avg(recall), avg(f1) FROM measured GROUP BY scoring_method)
+ SELECT scoring_method, stats_name, field_name, tp, fp, fn, tn, round(accuracy, 9) AS accuracy, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM rows""",
+        "score_list_exact": f"WITH {LINES} SELECT doc_id, CAST(e = a AS DOUBLE) AS score FROM lists",
+        "score_partial_list_exact": f"WITH {ZIPPED}, s AS (SELECT doc_id, score, {COUNTS.format(1)} FROM (SELECT *, {EXACT} AS score FROM zipped)) SELECT doc_id, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn, round(avg(score), 9) AS score FROM s GROUP BY doc_id",
+        "score_partial_ulist_exact": unordered_sql(""),
+        "score_partial_set_exact": unordered_sql("DISTINCT"),
+        "length_bound": f"WITH {PAIRS} SELECT doc_id, CASE WHEN greatest(length(expected), length(actual)) = 0 THEN 1.0 ELSE round(least(length(expected), length(actual)) / greatest(length(expected), length(actual)), 9) END AS bound FROM pairs",
+        "char_count_bound": f"""WITH {PAIRS}, c AS (SELECT doc_id, 'e' AS side, unnest(regexp_extract_all(expected, '(?s).')) AS c FROM pairs UNION ALL SELECT doc_id, 'a', unnest(regexp_extract_all(actual, '(?s).')) FROM pairs),
+ n AS (SELECT doc_id, c, count(*) FILTER (side = 'e') AS e, count(*) FILTER (side = 'a') AS a FROM c GROUP BY ALL) SELECT doc_id, round(sum(least(e, a)) / greatest(sum(e), sum(a)), 9) AS bound FROM n GROUP BY doc_id""",
+        "score_table_exact": """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey || '|' || CAST(l_quantity AS INT) || '|' || l_returnflag AS e FROM lineitem)
+ SELECT l_orderkey, CAST(count(*) FILTER (l_linenumber % 3 = 0 AND e <> lower(e)) = 0 AS DOUBLE) AS score FROM r GROUP BY l_orderkey""",
+        "bbox_area_score": """SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN w > 0 THEN w * 10 ELSE 0 END / 800, 9) AS score FROM (SELECT *, least(CAST(l_quantity AS INT) + 40, 75.0) - greatest(CAST(l_quantity AS INT), 25.0) AS w FROM lineitem)""",
+        "tool_pivot": f"WITH {BOTH} SELECT field_name, round(max(f1) FILTER (scoring_method = 'exact'), 9) AS exact, round(max(f1) FILTER (scoring_method = 'soft'), 9) AS soft FROM measured GROUP BY field_name",
+        "tool_outcome_buckets": f"WITH {BOTH}, p AS (SELECT doc_id, field_name, max(tp) FILTER (scoring_method = 'exact') AS e, max(tp) FILTER (scoring_method = 'soft') AS s FROM scored GROUP BY ALL) SELECT field_name, count(*) FILTER (e = 1 AND s = 0) AS only_exact, count(*) FILTER (e = 0 AND s = 1) AS only_soft, count(*) FILTER (e = 0 AND s = 0) AS neither FROM p GROUP BY field_name",
+        "dedupe_first_wins": "SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text",
+        "adjacent_label_concat": """WITH a AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM role THEN 1 ELSE 0 END AS new FROM conversations),
+ r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS run FROM a) SELECT conv_id, run, role, md5(string_agg(text, ' ' ORDER BY turn)) AS joined FROM r GROUP BY conv_id, run, role""",
+    }

@@ -26,7 +26,8 @@ FIELD = "<*>"
 
 def masked(line: Column) -> Column:
     """The line's tokens, those with a digit as <*>, with single spaces between."""
-    line = F.trim(F.regexp_replace(line, r"\s+", " "))
+    odd = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\f") | line.contains("\v")
+    line = F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line))
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*", FIELD)).otherwise(line)
 
 
@@ -34,19 +35,25 @@ def digest(x: Column) -> Column:
     return F.unhex(F.md5(x))
 
 
+def n_tokens(line: Column) -> Column:
+    return F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
 def leaf(line: Column) -> Column:
     """The path in the tree: number of tokens and leading tokens."""
-    tokens = F.split(line, " ")
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEAD))
+    return F.xxhash64(n_tokens(line), F.substring_index(line, " ", LEAD))
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, at, line, before, after): lines that aren't blank, masked; and those beside them."""
-    of = F.transform(F.split("text", "\n"), masked)
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), of.alias("ls"))
-    rows = rows.select("doc_id", "key", "ls", F.posexplode("ls").alias("at", "line"))
-    near = lambda i: F.coalesce(F.get("ls", i), F.lit(""))
-    return rows.where(F.col("line") != "").select("doc_id", "key", "at", "line", near(F.col("at") - 1).alias("before"), near(F.col("at") + 1).alias("after"))
+    """(doc_id, key, at, line, context): lines that aren't blank, masked; and a hash of those beside them."""
+
+    def beside(ls: Column, i: Column) -> Column:
+        near = [F.coalesce(F.get(ls, i + d), F.lit("")) for d in (-1, 1)]
+        return F.xxhash64(*near).alias("context")
+
+    every = let(F.split("text", "\n"), lambda ls: F.transform(ls, lambda x, i: F.struct(x.alias("line"), beside(ls, i))))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.posexplode(every).alias("at", "l"))
+    return rows.select("doc_id", "key", "at", masked(F.col("l.line")).alias("line"), "l.context").where(F.col("line") != "")
 
 
 def merged_leaves(docs: DataFrame, hashed: DataFrame) -> DataFrame:
@@ -62,7 +69,7 @@ def repeats(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     """(doc_id, key, dropped): the places of lines to drop, from 0, in order."""
     docs = docs.select("doc_id", "text")
     line = F.col("line")
-    hashed = stored(lines(docs).select("doc_id", "key", "at", digest(line).alias("template"), leaf(line).alias("leaf"), F.size(F.split(line, " ")).alias("tokens"), F.xxhash64("before", "after").alias("context")))
+    hashed = stored(lines(docs).select("doc_id", "key", "at", digest(line).alias("template"), leaf(line).alias("leaf"), n_tokens(line).alias("tokens"), "context"))
     merged = small(stored(merged_leaves(docs, hashed).select("leaf", F.unhex(F.md5(F.concat(F.lit("leaf "), F.col("leaf").cast("string")))).alias("whole"))))
     rows = hashed.join(merged, "leaf", "left").select("doc_id", "key", "at", F.coalesce("whole", "template").alias("template"), "context")
     place = F.struct("doc_id", "key", "at")

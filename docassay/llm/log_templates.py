@@ -51,9 +51,9 @@ def lines(docs: DataFrame) -> DataFrame:
         near = [F.coalesce(F.get(ls, i + d), F.lit("")) for d in (-1, 1)]
         return F.xxhash64(*near).alias("context")
 
-    every = let(F.split("text", "\n"), lambda ls: F.transform(ls, lambda x, i: F.struct(x.alias("line"), beside(ls, i))))
+    every = let(F.split("text", "\n"), lambda ls: F.transform(ls, lambda x, i: F.struct(masked(x).alias("line"), beside(ls, i))))
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.posexplode(every).alias("at", "l"))
-    return rows.select("doc_id", "key", "at", masked(F.col("l.line")).alias("line"), "l.context").where(F.col("line") != "")
+    return rows.select("doc_id", "key", "at", "l.line", "l.context").where(F.col("line") != "")
 
 
 def merged_leaves(docs: DataFrame, hashed: DataFrame) -> DataFrame:

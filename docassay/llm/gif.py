@@ -31,30 +31,29 @@ CODE_BITS = np.minimum(12, np.maximum(9, np.array([int(258 + max(0, i - 1)).bit_
 
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits for 8-bit samples; the table is cleared when it is full."""
-    segments, codes, table, new = [], [], {}, 258
+    segments, codes, table, new = [], [], {}, 258  # codes and table hold codes shifted by a byte
     rest = iter(data)
-    current = next(rest)
-    get = table.get
+    current = next(rest) << 8
+    get, emit = table.get, codes.append
     for b in rest:
-        key = current << 8 | b
-        code = get(key)
+        code = get(current | b)
         if code is None:
-            codes.append(current)
+            emit(current)
             if new < FULL - 1:
-                table[key] = new
+                table[current | b] = new << 8
                 new += 1
             else:
                 segments.append(codes)
                 codes, table, new = [], {}, 258
-                get = table.get
-            current = b
+                get, emit = table.get, codes.append
+            current = b << 8
         else:
             current = code
     codes.append(current)
     segments.append(codes)
     values, widths = [np.array([CLEAR])], [np.array([9])]
     for i, s in enumerate(segments):
-        values.append(np.array([*s, END if i == len(segments) - 1 else CLEAR]))
+        values += (np.array(s) >> 8, np.array([END if i == len(segments) - 1 else CLEAR]))
         widths.append(CODE_BITS[: len(s) + 1])
     value, width = np.concatenate(values).astype(np.uint16), np.concatenate(widths)
     place = np.arange(12)
@@ -94,7 +93,7 @@ def lzw_decode(data: bytes, size: int) -> bytes:
     out: list[bytes] = []
     for codes in lzw_codes(data, size):
         table, before = list(start), b""
-        known = len(table)
+        known, learn, emit = len(table), table.append, out.append
         for c in codes.tolist():
             if c < known:
                 s = table[c]
@@ -103,9 +102,9 @@ def lzw_decode(data: bytes, size: int) -> bytes:
             else:
                 raise ValueError("code out of order")
             if before and known < FULL:
-                table.append(before + s[:1])
+                learn(before + s[:1])
                 known += 1
-            out.append(s)
+            emit(s)
             before = s
     return b"".join(out)
 
@@ -191,8 +190,12 @@ def canvases(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarra
         h, w = f.samples.shape
         area = (slice(f.top, f.top + h), slice(f.left, f.left + w))
         before = canvas.copy() if f.disposal == 3 else None
-        seen = f.samples != f.transparent
-        canvas[area][seen] = np.concatenate([f.palette, np.full((256, 1), 255, np.uint8)], axis=1)[f.samples[seen]]
+        colours = np.concatenate([f.palette, np.full((256, 1), 255, np.uint8)], axis=1)
+        if f.transparent < 0:
+            canvas[area] = colours[f.samples]
+        else:
+            seen = f.samples != f.transparent
+            canvas[area][seen] = colours[f.samples[seen]]
         yield canvas
         if f.disposal == 2:
             canvas[area] = 0
@@ -204,8 +207,8 @@ def histogram(canvas: np.ndarray) -> list[int]:
     """Pixels by the two high bits of red, green and blue; 64 bins, then transparent ones."""
     flat = canvas.reshape(-1, 4)
     lit = flat[:, 3] > 0
-    bins = (flat[:, 0] >> 6) * 16 + (flat[:, 1] >> 6) * 4 + (flat[:, 2] >> 6)
-    return [*np.bincount(bins[lit], minlength=64).tolist(), int((~lit).sum())]
+    bins = (flat[:, 0] >> 6 << 4) | (flat[:, 1] >> 6 << 2) | (flat[:, 2] >> 6)
+    return np.bincount(np.where(lit, bins, 64), minlength=65).tolist()
 
 
 def padded(payload: bytes) -> bytes:

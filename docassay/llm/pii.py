@@ -6,7 +6,7 @@ stay. For the others boosted trees over format and context, never over the rule'
 which candidates the rules confirm; as the rules confirm only a part of what is real, the estimate is divided, by
 kind, by its mean over confirmed candidates held out from training, and a candidate whose calibrated probability
 reaches THRESHOLD is redacted too. Of overlapping additions the likelier stays, and none overlaps a base span.
-The trees learn from the candidates of the SAMPLE documents of least hash.
+The trees learn from the candidates of the SAMPLE different texts of least hash.
 
 Edge cases: a null text is an empty one, without spans; every pattern runs in linear time, however long a text;
 repeated rows give repeated results; an empty table gives an empty one, and no candidates give no additions.
@@ -164,7 +164,9 @@ class Trees:
 
 def train(docs: DataFrame) -> Trees:
     """Trees that tell confirmed candidates, from a bounded sample of documents."""
-    some = docs.select("text").where("text is not null").orderBy(F.xxhash64("text", F.lit("pii")), "text").limit(SAMPLE)
+    hashed = docs.select("text", F.xxhash64("text", F.lit("pii")).alias("h")).where("text is not null")
+    least = hashed.select("h").distinct().orderBy("h").limit(SAMPLE)
+    some = hashed.join(F.broadcast(least), "h").groupBy("h").agg(F.min("text").alias("text")).select("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y = [], []

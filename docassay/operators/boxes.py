@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import scores
+
+#: Fixed value: parts of a unit to which coordinates are rounded before areas are counted.
+RESOLUTION = 1000.0
+
 
 def parse(text: Column) -> Column:
     """Boxes of a text, as arrays of five numbers."""
@@ -25,3 +30,27 @@ def overlap(a: Column, b: Column) -> Column:
 def shared(left: Column, right: Column) -> Column:
     """Summed overlap of all boxes of both sides."""
     return F.aggregate(left, F.lit(0.0), lambda s, a: s + F.aggregate(right, F.lit(0.0), lambda t, b: t + overlap(a, b)))
+
+
+def scaled(boxes: Column, by: float = RESOLUTION) -> Column:
+    """Coordinates times `by`, rounded half to even; the page stays."""
+    return F.transform(boxes, lambda b: F.transform(b, lambda x, i: F.when(i == 0, x).otherwise(F.bround(x * by, 0))))
+
+
+def similarity(left: Column, right: Column) -> Column:
+    """Shared area over the larger area, 0 without area."""
+    return F.coalesce(F.try_divide(shared(left, right), F.greatest(area(left), area(right))), F.lit(0.0))
+
+
+def area_counts(expected: Column, actual: Column, by: float = RESOLUTION) -> Column:
+    """tp (shared area), fp and fn (what is left of either side) of all boxes of both sides, and their F1."""
+    e, a = scaled(expected, by), scaled(actual, by)
+    both = shared(e, a)
+    whole = F.transform(F.array(F.struct(both.alias("tp"), (area(a) - both).alias("fp"), (area(e) - both).alias("fn"))), lambda s: F.struct(*(F.bround(s[c], 0).cast("long").alias(c) for c in ("tp", "fp", "fn"))))
+    return F.get(F.transform(whole, lambda s: F.struct(s["tp"].alias("tp"), s["fp"].alias("fp"), s["fn"].alias("fn"), scores.metrics(s["tp"], s["fp"], s["fn"], F.lit(0))["f1"].alias("score"))), F.lit(0))
+
+
+def formatted(boxes: Column) -> Column:
+    """The text page,x,y,w,h;... of boxes, without empty ones."""
+    some = F.filter(boxes, lambda b: (b[3] > 0) & (b[4] > 0))
+    return F.array_join(F.transform(some, lambda b: F.array_join(F.transform(b, lambda x, i: F.when(i == 0, x.cast("long").cast("string")).otherwise(x.cast("string"))), ",")), ";")

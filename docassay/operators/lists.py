@@ -45,6 +45,13 @@ def unordered_counts(items: DataFrame) -> DataFrame:
     return sums.select("key", "tp", (F.col("a") - F.col("tp")).alias("fp"), F.greatest(F.col("e") - F.col("a"), F.lit(0).cast("long")).alias("fn"), (F.col("tp") / F.greatest("e", "a")).alias("score"))
 
 
+def unordered_whole(items: DataFrame) -> DataFrame:
+    """(key, score) from (key, side, item): share of matches of equal items if both sides have as many, else 0."""
+    each = items.groupBy("key", "item").agg(F.count_if(F.col("side") == "expected").alias("e"), F.count_if(F.col("side") == "actual").alias("a"))
+    sums = each.groupBy("key").agg(F.sum(F.least("e", "a")).alias("tp"), F.sum("e").alias("e"), F.sum("a").alias("a"))
+    return sums.select("key", F.when(F.col("e") != F.col("a"), 0.0).otherwise(F.col("tp") / F.col("e")).alias("score"))
+
+
 @F.pandas_udf(DoubleType())
 def ratcliff_obershelp(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Matched parts of both strings over their length, in Arrow batches."""

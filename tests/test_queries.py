@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docassay.functions import scores, text
 from docassay.operators import boxes, lists, summary
-from docassay.plans import catalog
+from docassay.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,9 +28,9 @@ def tidy(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns), ignore_index=True)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_against_sql(spark, duck, name):
-    got, want = tidy(catalog.queries()[name](spark, SF).toPandas()), tidy(duck.sql(catalog.oracle_sql()[name]).df())
+    got, want = tidy(registry.queries()[name](spark, SF).toPandas()), tidy(duck.sql(registry.oracle_sql()[name]).df())
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 

@@ -36,7 +36,7 @@ def test_fields_of_xml(spark):
     assert row.title == ["On things"] and row.names == ["AB Smith", "Jo Doe"] and row.given == ["AB", ""]
     assert row.affs == ["Some place", "Uni, Town"] and row.dois == ["10.1/x", "10.2/y"] and row["last"] == ["127", "5"]
     assert row.n_affs == 1 and row.rows == [[["h"], ["1", "2"]]] and row.ids == ["a1", "a1"]
-    assert row.joined == ["A. B. Smith"] and row["items"] == ["Smith", "Jo Doe"] and row.bare == "1"
+    assert row.joined == ["A. B. Smith"] and row["items"] == [["Smith", "Jo Doe"]] and row.bare == "1"
     assert X.with_fields(made, {"t": "//article-title", "t.ignore": "//i"}, ["t"]).first().t == ["On things"]
 
 

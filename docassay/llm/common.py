@@ -13,6 +13,8 @@ from pyspark.sql.types import StructField, StructType
 
 #: Rows up to which a side may be broadcast; callers count the side first.
 BROADCAST_ROWS = 200_000
+#: A key is hot if more than one in HOT of all rows have it; so there are fewer than HOT such keys, however many rows.
+HOT = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,3 +78,15 @@ def mapped(df: DataFrame, schema: StructType | str, fn: Callable[[pa.RecordBatch
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value worked out once a row, also where use() has it in a lambda."""
     return F.transform(F.array(value), use)[0]
+
+
+def by_heat(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with facts (key, n, ...), one row a key, n being how many of the `total` rows have it; without n.
+
+    The rows of hot keys stay where they are, as the fewer than HOT facts about them are broadcast; only the others
+    are shuffled, so no task gets more than one in HOT of all rows for one key. facts is read twice: have it stored.
+    """
+    is_hot = F.col(n) * HOT > total
+    hot = F.broadcast(facts.where(is_hot).drop(n))
+    rest = rows.join(F.broadcast(facts.where(is_hot).select(key)), key, "leftanti").join(facts.where(~is_hot).drop(n), key)
+    return rows.join(hot, key).unionByName(rest)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField
 
-from .common import append, stored, text_key, without
+from .common import append, by_heat, stored, text_key, without
 
 #: Words of a run of repeated units from which it is removed.
 RUN = 20
@@ -57,8 +57,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     hashed = append(docs.select("doc_id", text_key(F.col("text")).alias("key"), "text"), [StructField("digests", ArrayType(BinaryType()))], lambda b: [pa.array([[u[2] for u in units(t.as_py() or "")] for t in b.column("text")], pa.list_(pa.binary()))])
     rows = stored(hashed.select("doc_id", "key", F.posexplode("digests").alias("at", "digest")))
     place = F.struct("doc_id", "key", "at")
-    several = rows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("digest", "first")
-    return rows.join(several, "digest").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "key", "at")
+    several = rows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first != last").select("digest", "first", "n")
+    return by_heat(rows, stored(several), "digest", "n", rows.count()).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "key", "at")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from docassay.llm import bpe, chat_tree, gif, log_templates, order_minhash, pii, quality_fm, secrets, unit_dedup, winnowing
+from docassay.llm import bpe, chat_tree, common, gif, log_templates, order_minhash, pii, quality_fm, secrets, unit_dedup, winnowing
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LONG = "word " * 20000
@@ -225,3 +225,11 @@ def test_log_template_leaf_merges(spark):
     rows = [(i, f"{n} {n} start\nThis page was last changed by {n} on Monday morning\n{n} ends") for i, n in enumerate(names)]
     got = {r.doc_id: r.dropped for r in log_templates.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0] == "" and all(got[i] == "1" for i in range(1, 10))
+
+
+def test_join_by_heat(spark):
+    rows = spark.range(5000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("k"), "id")
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("k % 2 = 0")
+    got = common.by_heat(rows, facts, "k", "n", 5000)
+    want = rows.join(facts.drop("n"), "k")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 1600

@@ -35,14 +35,20 @@ def _state(rest: Column, without: Column, pairs: Column) -> Column:
 def _best(value: Column, rest: Column, measure: Measure, threshold: float, bounded: bool) -> Column:
     """The best of rest for value as struct(score, bounds, -i, v); null if none reaches the threshold."""
 
-    def bounds(x: Column) -> tuple[Column, Column]:
-        return (scores.char_count_bound(value, x), scores.length_bound(value, x)) if bounded else (F.lit(1.0), F.lit(1.0))
-
-    if bounded and threshold > 0:
-        rest = F.filter(rest, lambda x: scores.length_bound(value, x["v"]) >= threshold)
-        rest = F.filter(rest, lambda x: bounds(x["v"])[0] >= threshold)
-    made = F.transform(rest, lambda x: F.struct(measure(value, x["v"]).alias("score"), bounds(x["v"])[0].alias("c"), bounds(x["v"])[1].alias("l"), (-x["i"]).alias("n"), x["v"].alias("v")))
-    return F.array_max(F.filter(made, lambda x: x["score"] >= threshold))
+    def row(x: Column, score: Column, c: Column, n: Column) -> Column:
+        return F.struct(score.cast("double").alias("score"), c.cast("double").alias("c"), n.cast("double").alias("l"), (-x["i"]).alias("n"), x["v"].alias("v"))
+
+    one = F.lit(1.0)
+    if not bounded:
+        return F.array_max(F.filter(F.transform(rest, lambda x: row(x, measure(value, x["v"]), one, one)), lambda x: x["score"] >= threshold))
+    near = F.filter(rest, lambda x: scores.length_bound(value, x["v"]) >= threshold)
+    near = F.transform(near, lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v"), scores.char_count_bound(value, x["v"]).alias("c")))
+    near = F.filter(near, lambda x: x["c"] >= threshold)
+    made = F.transform(near, lambda x: row(x, measure(value, x["v"]), x["c"], scores.length_bound(value, x["v"])))
+    best = F.array_max(F.filter(made, lambda x: x["score"] >= threshold))
+    # Nothing is better than the first equal value, so the others needn't be measured.
+    same = F.array_position(F.transform(rest, lambda x: x["v"]), value)
+    return F.when(same > 0, _let(F.get(rest, same.cast("int") - 1), lambda x: row(x, one, one, one))).otherwise(best)
 
 
 def _pass(values: Column, state: Column, measure: Measure, threshold: float, bounded: bool) -> Column:

@@ -7,7 +7,10 @@ whose lengths alone rule a similarity of 0.8 out are left. Each pair is verified
 similarity is m / (a + b - m), and the band is as wide as a similarity of 0.8 allows. In a second
 pass each bucket whose texts have several leaders (the least text that they are linked to, or themselves) puts up
 one text for each, and those of like length that stand close by are tried: a text that is like some of a group but
-not like its leader is found this way. Linked texts form classes.
+not like its leader is found this way. Then the buckets that still hold several classes are finished: all their pairs
+of texts of different classes are verified or ruled out, in small buckets one by one, in large ones between blocks
+of texts, where counts of grams by 256 remainders bound what two texts can share. So of the texts that share a
+bucket each two that are similar are in one class. Linked texts form classes.
 
 Edge cases: a null text is an empty one; texts of fewer than five words are one gram; texts without words form one
 class; rows that repeat doc_id share its class; null ids are ids; an empty table gives an empty one. Only id and
@@ -26,13 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, stored
+from .common import mapped, small, stored, text_key
 
 #: Words of a gram, least similarity; sketches of a text, minima retained in each.
 GRAM, SIMILAR = 5, 0.8
 SKETCHES, RETAINED = 20, 3
 #: Neighbours with which a class is tried again in each bucket that it shares with other classes.
 NEIGHBOURS = 4
+#: Texts of a bucket up to which pairs are made one by one; texts, and grams, of a block in larger ones.
+PAIRED, BLOCK, BLOCK_GRAMS = 64, 512, 1 << 20
+BINS = 256
 WORD = re.compile(r"\w+")
 _MIX = np.random.default_rng(7).integers(1, 2**63, (SKETCHES, 2), dtype=np.uint64) | np.uint64(1)
 
@@ -134,15 +140,13 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def _texts(batch: pa.RecordBatch, known: dict[str, int]) -> pa.RecordBatch:
     packed = [word_hashes(x.as_py() or "", known) for x in batch.column("text")]
     keys = [hashlib.md5(w.tobytes()).digest() for w in packed]
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array([w.tobytes() for w in packed], pa.binary())], names=["doc_id", "key", "words"])
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array([w.tobytes() for w in packed], pa.binary())], names=["doc_id", "text_key", "key", "words"])
 
 
 def _sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
     packed = [np.frombuffer(w.as_py(), "<u4") for w in batch.column("words")]
-    each = np.repeat(np.arange(batch.num_rows), SKETCHES)
-    buckets = np.concatenate([sketches(w) for w in packed]) if packed else np.empty(0, np.int64)
-    grams = np.array([max(1, len(w) - GRAM + 1) for w in packed], np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(grams[each]), batch.column("key").take(pa.array(each))], names=["bucket", "grams", "key"])
+    grams = [max(1, len(w) - GRAM + 1) for w in packed]
+    return pa.RecordBatch.from_arrays([pa.array([sketches(w) for w in packed], pa.list_(pa.int64())), pa.array(grams, pa.int64()), batch.column("key")], names=["buckets", "grams", "key"])
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -170,10 +174,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def between(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of texts with different leaders (key, root) that share a bucket."""
+    """(a, b), a < b: pairs of texts with different leaders (key, root) that share a bucket of rows, all shared."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    several = rows.groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y").select("bucket")
-    root = rows.join(several, "bucket", "leftsemi").join(roots, "key", "left").select("bucket", F.coalesce("root", "key").alias("root"), "key", "grams")
+    root = rows.join(roots, "key", "left").select("bucket", F.coalesce("root", "key").alias("root"), "key", "grams")
     one = root.groupBy("bucket", "root").agg(F.min_by(F.struct("key", "grams"), F.xxhash64("key", "bucket")).alias("one"))
     dealt = one.select("bucket", "one.grams", "one.key").repartitionByRange(n, "bucket", "grams", "key").sortWithinPartitions("bucket", "grams", "key")
     return dealt.mapInArrow(_neighbours, "a binary, b binary").where("a < b").distinct()
@@ -181,7 +184,10 @@ def between(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts (key, words) are similar, with `similarity`."""
-    side = lambda x: texts.select(F.col("key").alias(x), F.col("words").alias(f"words_{x}"))
+
+    def side(x: str) -> DataFrame:
+        some = texts.join(small(stored(pairs.select(F.col(x).alias("key")).distinct())), "key", "leftsemi")
+        return some.select(F.col("key").alias(x), F.col("words").alias(f"words_{x}"))
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         known: dict[bytes, np.ndarray] = {}
@@ -200,6 +206,77 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return mapped(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "words_a", "words_b"), "a binary, b binary, similarity double", check)
 
 
+def _across(table: pa.Table) -> pa.Table:
+    """Links (a, b, similarity) between the texts of two blocks of a bucket, or within one, that join different roots.
+
+    A pair that shares an earlier bucket too is left to that one.
+    """
+    packed = [gram_hashes(np.frombuffer(w.as_py(), "<u4")) for w in table.column("words")]
+    size = np.array([len(g) for g in packed])
+    bins = np.array([np.bincount((g % np.uint64(BINS)).astype(np.int64), minlength=BINS) for g in packed], np.int32)
+    buckets = np.array(table.column("buckets").to_pylist(), np.int64)
+    nth = int(np.flatnonzero(buckets[0] == table.column("bucket")[0].as_py())[0])
+    keys, side = table.column("key").to_pylist(), table.column("side").to_numpy()
+    names: dict[bytes, int] = {}
+    root = np.array([names.setdefault(r, len(names)) for r in table.column("root").to_pylist()])
+    within = table.column("i")[0].as_py() == table.column("j")[0].as_py() and not table.column("big")[0].as_py()
+    left, right = np.flatnonzero(side == 0), np.arange(len(size)) if within else np.flatnonzero(side == 1)
+    may = []
+    for i in left:
+        at = right[right > i] if within else right
+        total = size[i] + size[at]
+        widest = (total * (1 - 2 * SIMILAR / (1 + SIMILAR)) + 1e-9).astype(np.int64)
+        at, total, widest = (x[(root[at] != root[i]) & (np.abs(size[at] - size[i]) <= widest)] for x in (at, total, widest))
+        if not len(at):
+            continue
+        new = ~(buckets[at, :nth] == buckets[i, :nth]).any(axis=1)
+        at, total, widest = at[new], total[new], widest[new]
+        apart = total - 2 * np.minimum(bins[at], bins[i]).sum(axis=1)
+        may += [(apart[k] / total[k], int(i), int(at[k])) for k in np.flatnonzero(apart <= widest)]
+    leader = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while leader[x] != x:
+            leader[x] = x = leader[leader[x]]
+        return x
+
+    links = []
+    for _, i, j in sorted(may):
+        x, y = find(root[i]), find(root[j])
+        if x != y and (score := similarity(packed[i], packed[j])) >= SIMILAR:
+            leader[y] = x
+            links.append((*sorted((keys[i], keys[j])), score))
+    return pa.table([pa.array([k[c] for k in links], t) for c, t in enumerate((pa.binary(), pa.binary(), pa.float64()))], names=["a", "b", "similarity"])
+
+
+def finished(rows: DataFrame, texts: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
+    """Links (a, b, similarity) between classes (key, root) that share buckets: no two similar texts of a bucket stay apart."""
+    named = stored(rows.join(small(roots), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    by_root = named.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("grams").alias("g"))
+    facts = by_root.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("g").alias("g"), F.max(F.struct("n", "g", "root")).alias("most")).where("k > 1")
+    facts = stored(facts.drop("k"))
+    few = stored(named.join(facts.where(F.col("n") <= PAIRED).select("bucket"), "bucket", "leftsemi").drop("buckets"))
+    others = few.withColumnsRenamed({"key": "b", "root": "other", "grams": "m"})
+    near = F.least("m", "grams") >= SIMILAR * F.greatest("m", "grams")
+    pairs = few.join(others, "bucket").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("other")) & near).select(F.col("key").alias("a"), "b").distinct()
+    links = verified(stored(pairs.join(tried, ["a", "b"], "leftanti")), texts)
+
+    # Larger buckets: the texts of the most common root form blocks, which meet the blocks of the others, and those each other.
+    blocks = lambda n, g: F.ceil(F.greatest(n / BLOCK, g / BLOCK_GRAMS)).cast("int")
+    large = facts.where(F.col("n") > PAIRED).select("bucket", F.col("most.root").alias("top"), blocks(F.col("most.n"), F.col("most.g")).alias("n_big"), blocks(F.col("n") - F.col("most.n"), F.col("g") - F.col("most.g")).alias("n_rest"))
+    held = named.join(small(stored(large)), "bucket").withColumn("big", F.col("root") == F.col("top"))
+    held = stored(held.withColumn("at", F.pmod(F.xxhash64("key"), F.when(F.col("big"), F.col("n_big")).otherwise(F.col("n_rest"))).cast("int")))
+    to = lambda big, i, j, side: F.struct(F.lit(big).alias("big"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    at = F.col("at")
+    from_big = F.transform(upto("n_rest"), lambda i: to(True, i, at, F.lit(1)))
+    from_rest = F.concat(F.transform(upto("n_rest"), lambda j: to(False, F.least(at, j), F.greatest(at, j), at > j)), F.transform(upto("n_big"), lambda j: to(True, at, j, F.lit(0))))
+    words = texts.join(small(stored(held.select("key").distinct())), "key", "leftsemi")
+    dealt = held.join(words, "key").select("bucket", "key", "root", "words", "buckets", F.explode(F.when(F.col("big"), from_big).otherwise(from_rest)).alias("to"))
+    met = dealt.select("bucket", "to.*", "key", "root", "words", "buckets").groupBy("bucket", "big", "i", "j").applyInArrow(_across, "a binary, b binary, similarity double")
+    return links.unionByName(met.join(tried, ["a", "b"], "leftanti"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, root): for each key in links (a, b), the least key that it is connected to, by large and small stars."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -220,24 +297,37 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id of its class), n_links of its text, and class_size."""
+def members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each document (doc_id, text_key, key of its words); of each key (key, first, n, root, n_links)."""
     known: dict[str, int] = {}
-    all_ = stored(mapped(docs.select("doc_id", "text"), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, words binary", lambda b: _texts(b, known)))
+    read = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    all_ = stored(mapped(read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, key binary, words binary", lambda b: _texts(b, known)))
     texts = stored(all_.groupBy("key").agg(F.first("words").alias("words")))
-    rows = stored(mapped(texts, "bucket long, grams long, key binary", _sketched))
+    sketched = stored(mapped(texts, "buckets array<long>, grams long, key binary", _sketched))
+    rows = sketched.select(F.explode("buckets").alias("bucket"), "grams", "key")
+    several = rows.groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y").select("bucket")
+    shared = stored(sketched.select(F.explode("buckets").alias("bucket"), "grams", "key", "buckets").join(several, "bucket", "leftsemi"))
+    rows = shared.drop("buckets")
     tried = stored(candidates(rows))
     links = stored(verified(tried, texts))
     leaders = links.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("root"))
-    links = stored(links.unionByName(verified(stored(between(rows, leaders).join(tried, ["a", "b"], "leftanti")), texts)))
+    second = stored(between(rows, leaders).join(tried, ["a", "b"], "leftanti"))
+    links = stored(links.unionByName(verified(second, texts)))
+    more = finished(shared, texts, components(links), stored(tried.unionByName(second)))
+    links = stored(links.unionByName(more.dropDuplicates(["a", "b"])))
     roots = components(links)
     degree = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
     copies = all_.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     member = copies.join(roots, "key", "left").join(degree, "key", "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    member = stored(member)
+    return all_.select("doc_id", "text_key", "key"), stored(member)
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, class_id (the least doc_id of its class), n_links of its text, and class_size."""
+    all_, member = members(docs)
     whole = member.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
     named = member.join(whole, "root").select("key", "class_id", "class_size", "n_links")
-    return all_.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", "class_size", "n_links")
+    return all_.join(named, "key").select("doc_id", "class_id", "class_size", "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

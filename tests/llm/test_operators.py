@@ -197,6 +197,26 @@ def test_near_duplicates_against_brute_force(spark):
                 assert got[i] == got[j]
 
 
+def test_near_duplicates_of_large_groups_against_brute_force(spark):
+    own = random.Random(11)
+    base = [f"g{k}" for k in range(400)]
+    texts = []
+    for _ in range(600):  # few are like the least text of a bucket
+        w = list(base)
+        for at in own.sample(range(400), own.randrange(5, 8)):
+            w[at] = f"z{own.randrange(10**6)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(df).collect()}
+    packed = [order_minhash.word_hashes(t, {}) for t in texts]
+    grams, buckets = [order_minhash.gram_hashes(p) for p in packed], np.array([order_minhash.sketches(p) for p in packed])
+    sets = [set(g.tolist()) for g in grams]
+    for i in range(len(texts)):
+        for j in np.flatnonzero((buckets[:i] == buckets[i]).any(axis=1)):
+            if got[i] != got[j] and len(sets[i] & sets[j]) >= 352:  # fewer of 396 can't be 0.8
+                assert order_minhash.similarity(grams[i], grams[j]) < 0.8
+
+
 def test_winnowing(spark, docs, none):
     bench = spark.createDataFrame([(7, BENCH), (8, "no id"), (9, None), (10, "")], "item_id long, text string")
     rows = winnowing.decontaminate(docs, bench).collect()

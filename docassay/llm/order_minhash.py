@@ -102,6 +102,16 @@ def sketches(words: np.ndarray) -> np.ndarray:
     return buckets.view(np.int64)
 
 
+def binned(h: np.ndarray) -> np.ndarray:
+    """Counts of grams by remainder; the sum of the lesser counts of two texts bounds the grams that they share."""
+    return np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.int32)
+
+
+def unaligned(total):
+    """Grams of two texts with `total` ones that can stay unaligned at SIMILAR, at most."""
+    return np.floor(total * (1 - 2 * SIMILAR / (1 + SIMILAR)) + 1e-9)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Of two gram sequences, m / (a + b - m) with m grams aligned in order; 0 if that is below SIMILAR.
 
@@ -190,16 +200,21 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return some.select(F.col("key").alias(x), F.col("words").alias(f"words_{x}"))
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
-        def grams(w: bytes) -> np.ndarray:
+        def grams(w: bytes) -> tuple[np.ndarray, np.ndarray]:
             if w not in known:
                 if len(known) > 500:
                     known.clear()
-                known[w] = gram_hashes(np.frombuffer(w, "<u4"))
+                g = gram_hashes(np.frombuffer(w, "<u4"))
+                known[w] = g, binned(g)
             return known[w]
 
-        score = [similarity(grams(x.as_py()), grams(y.as_py())) for x, y in zip(batch.column("words_a"), batch.column("words_b"), strict=True)]
+        def score_of(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+            total = len(a) + len(b)
+            return similarity(a, b) if total - 2 * int(np.minimum(x, y).sum()) <= unaligned(total) else 0.0
+
+        score = [score_of(*grams(x.as_py()), *grams(y.as_py())) for x, y in zip(batch.column("words_a"), batch.column("words_b"), strict=True)]
         out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(score, pa.float64())], names=["a", "b", "similarity"])
         return out.filter(pc.greater_equal(out.column("similarity"), SIMILAR))
 
@@ -213,7 +228,7 @@ def _across(table: pa.Table) -> pa.Table:
     """
     packed = [gram_hashes(np.frombuffer(w.as_py(), "<u4")) for w in table.column("words")]
     size = np.array([len(g) for g in packed])
-    bins = np.array([np.bincount((g % np.uint64(BINS)).astype(np.int64), minlength=BINS) for g in packed], np.int32)
+    bins = np.array([binned(g) for g in packed])
     buckets = np.array(table.column("buckets").to_pylist(), np.int64)
     nth = int(np.flatnonzero(buckets[0] == table.column("bucket")[0].as_py())[0])
     keys, side = table.column("key").to_pylist(), table.column("side").to_numpy()
@@ -225,7 +240,7 @@ def _across(table: pa.Table) -> pa.Table:
     for i in left:
         at = right[right > i] if within else right
         total = size[i] + size[at]
-        widest = (total * (1 - 2 * SIMILAR / (1 + SIMILAR)) + 1e-9).astype(np.int64)
+        widest = unaligned(total)
         at, total, widest = (x[(root[at] != root[i]) & (np.abs(size[at] - size[i]) <= widest)] for x in (at, total, widest))
         if not len(at):
             continue

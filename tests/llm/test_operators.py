@@ -201,7 +201,7 @@ def test_near_duplicates_of_large_groups_against_brute_force(spark):
     own = random.Random(11)
     base = [f"g{k}" for k in range(400)]
     texts = []
-    for _ in range(600):  # few are like the least text of a bucket
+    for _ in range(300):  # few are like the least text of a bucket
         w = list(base)
         for at in own.sample(range(400), own.randrange(5, 8)):
             w[at] = f"z{own.randrange(10**6)}"

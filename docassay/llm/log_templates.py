@@ -3,8 +3,8 @@
 Tokens with a digit are variable fields and count as <*>. The tree has a fixed depth: a line goes to a leaf by its
 number of tokens, then by its first LEAD tokens. A leaf becomes one template, with <*> where its lines differ, if
 they agree in most of the places behind the leading ones; else each masked line of the leaf is a template. A
-template recurs if it stands between at least `contexts` different pairs of neighbouring lines: so the lines of a
-document that was merely copied don't recur. Of a recurring template the earliest line stays (least doc_id, then
+template recurs if it stands in at least `contexts` documents, whole copies of one text being one document: so the
+lines of a document that was merely copied don't recur. Of a recurring template the earliest line stays (least doc_id, then
 place); the others are dropped.
 
 Edge cases: a null text stays null and has no lines; blank lines are no templates and stay; rows that repeat
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import let, small, stored, text_key, without
 
-#: Leading tokens on the way to a leaf; agreement that makes a leaf one template; contexts that make it recur.
+#: Leading tokens on the way to a leaf; agreement that makes a leaf one template; different texts that make it recur.
 LEAD, AGREE, CONTEXTS = 3, 0.6, 8
 FIELD = "<*>"
 
@@ -45,15 +45,10 @@ def leaf(line: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, at, line, context): lines that aren't blank, masked; and a hash of those beside them."""
-
-    def beside(ls: Column, i: Column) -> Column:
-        near = [F.coalesce(F.get(ls, i + d), F.lit("")) for d in (-1, 1)]
-        return F.xxhash64(*near).alias("context")
-
-    every = let(F.split("text", "\n"), lambda ls: F.transform(ls, lambda x, i: F.struct(masked(x).alias("line"), beside(ls, i))))
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.posexplode(every).alias("at", "l"))
-    return rows.select("doc_id", "key", "at", "l.line", "l.context").where(F.col("line") != "")
+    """(doc_id, key, at, line): lines that aren't blank, masked."""
+    every = let(F.split("text", "\n"), lambda ls: F.transform(ls, masked))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.posexplode(every).alias("at", "line"))
+    return rows.where(F.col("line") != "")
 
 
 def merged_leaves(docs: DataFrame, hashed: DataFrame) -> DataFrame:
@@ -69,11 +64,11 @@ def repeats(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     """(doc_id, key, dropped): the places of lines to drop, from 0, in order."""
     docs = docs.select("doc_id", "text")
     line = F.col("line")
-    hashed = stored(lines(docs).select("doc_id", "key", "at", digest(line).alias("template"), leaf(line).alias("leaf"), n_tokens(line).alias("tokens"), "context"))
+    hashed = stored(lines(docs).select("doc_id", "key", "at", digest(line).alias("template"), leaf(line).alias("leaf"), n_tokens(line).alias("tokens")))
     merged = small(stored(merged_leaves(docs, hashed).select("leaf", F.unhex(F.md5(F.concat(F.lit("leaf "), F.col("leaf").cast("string")))).alias("whole"))))
-    rows = hashed.join(merged, "leaf", "left").select("doc_id", "key", "at", F.coalesce("whole", "template").alias("template"), "context")
+    rows = hashed.join(merged, "leaf", "left").select("doc_id", "key", "at", F.coalesce("whole", "template").alias("template"))
     place = F.struct("doc_id", "key", "at")
-    once = rows.groupBy("template", "context").agg(F.min(place).alias("first"))
+    once = rows.groupBy("template", "key").agg(F.min(place).alias("first"))
     often = once.groupBy("template").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= contexts).select("template", "first")
     gone = rows.join(small(stored(often)), "template").where(~place.eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("at")).alias("dropped"))

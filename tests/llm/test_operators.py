@@ -247,6 +247,14 @@ def test_log_template_leaf_merges(spark):
     assert got[0] == "" and all(got[i] == "1" for i in range(1, 10))
 
 
+def test_log_templates_count_documents(spark):
+    rows = [(i, f"Body {'abcdefghijkl'[i]} here\nfooter begins\nfooter goes on\nfooter ends") for i in range(12)]
+    rows += [(50, "\n".join(f"verse {'abcdefghijkl'[i]}\nthe refrain comes" for i in range(12)))]
+    got = {r.doc_id: r.dropped for r in log_templates.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == "" and all(got[i] == "1,2,3" for i in range(1, 12))
+    assert got[50] == ""  # nothing of it recurs across documents
+
+
 def test_join_by_heat(spark):
     rows = spark.range(5000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("k"), "id")
     facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("k % 2 = 0")

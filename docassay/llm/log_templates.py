@@ -1,8 +1,9 @@
 """Line dedup by a log-template tree, with DataFrame functions only.
 
 Tokens with a digit are variable fields and count as <*>. The tree has a fixed depth: a line goes to a leaf by its
-number of tokens, then by its first LEAD tokens. A leaf becomes one template, with <*> where its lines differ, if
-they agree in most of the places behind the leading ones; else each masked line of the leaf is a template. A
+number of tokens, then by its first LEAD tokens. A leaf holds several templates: behind the leading ones, most of a
+line's tokens are at least as frequent, at their place among the leaf's different lines, as some number m, and those
+of half of m or less are fields too. So lines of a template agree in most places, and others don't undo them. A
 template recurs if it stands in at least `contexts` documents, whole copies of one text being one document: so the
 lines of a document that was merely copied don't recur. Of a recurring template the earliest line stays (least doc_id, then
 place); the others are dropped.
@@ -17,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, small, stored, text_key, without
+from .common import by_heat, let, small, stored, text_key, without
 
-#: Leading tokens on the way to a leaf; agreement that makes a leaf one template; different texts that make it recur.
+#: Leading tokens on the way to a leaf; share of a line's tokens behind those that says how frequent its template is; different texts that make it recur.
 LEAD, AGREE, CONTEXTS = 3, 0.6, 8
 FIELD = "<*>"
 
@@ -51,13 +52,20 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line") != "")
 
 
-def merged_leaves(docs: DataFrame, hashed: DataFrame) -> DataFrame:
-    """(leaf): leaves whose lines agree in most places behind the leading ones."""
+def generalised(docs: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(template, whole): the digests of lines that have rare tokens at their places, and of them with these masked."""
     mixed = hashed.where(F.col("tokens") > LEAD).groupBy("leaf").agg(F.min("template").alias("a"), F.max("template").alias("b")).where("a != b").select("leaf")
     texts = lines(docs).select(leaf(F.col("line")).alias("leaf"), "line").join(small(stored(mixed)), "leaf", "leftsemi").distinct()
-    places = texts.select("leaf", F.posexplode(F.split("line", " ")).alias("at", "token")).where(F.col("at") >= LEAD)
-    same = places.groupBy("leaf", "at").agg((F.min("token") == F.max("token")).alias("same"))
-    return same.groupBy("leaf").agg(F.avg(F.col("same").cast("int")).alias("agree")).where(F.col("agree") >= AGREE).select("leaf")
+    split = texts.select("leaf", digest(F.col("line")).alias("template"), F.substring_index("line", " ", LEAD).alias("lead"), F.posexplode(F.split("line", " ")).alias("at", "token")).where(F.col("at") >= LEAD)
+    places = stored(split.withColumn("place", F.xxhash64("leaf", "at", "token")))
+    facts = stored(places.groupBy("place").agg(F.count("*").alias("c")).withColumn("n", F.col("c")))
+    counted = by_heat(places, facts, "place", "n", places.count())
+    each = counted.groupBy("template").agg(F.first("lead").alias("lead"), F.array_sort(F.collect_list(F.struct("at", "token", "c"))).alias("ts"))
+    ranked = F.sort_array(F.transform("ts", lambda t: t["c"]), asc=False)
+    each = each.withColumn("m", F.get(ranked, F.ceil(F.size("ts") * AGREE).cast("int") - 1))
+    some = each.where(F.exists("ts", lambda t: t["c"] * 2 <= F.col("m")))
+    said = F.transform("ts", lambda t: F.when(t["c"] * 2 <= F.col("m"), FIELD).otherwise(t["token"]))
+    return some.select("template", digest(F.concat_ws(" ", "lead", F.array_join(said, " "))).alias("whole"))
 
 
 def repeats(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
@@ -65,8 +73,7 @@ def repeats(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     docs = docs.select("doc_id", "text")
     line = F.col("line")
     hashed = stored(lines(docs).select("doc_id", "key", "at", digest(line).alias("template"), leaf(line).alias("leaf"), n_tokens(line).alias("tokens")))
-    merged = small(stored(merged_leaves(docs, hashed).select("leaf", F.unhex(F.md5(F.concat(F.lit("leaf "), F.col("leaf").cast("string")))).alias("whole"))))
-    rows = hashed.join(merged, "leaf", "left").select("doc_id", "key", "at", F.coalesce("whole", "template").alias("template"))
+    rows = hashed.join(small(stored(generalised(docs, hashed))), "template", "left").select("doc_id", "key", "at", F.coalesce("whole", "template").alias("template"))
     place = F.struct("doc_id", "key", "at")
     once = rows.groupBy("template", "key").agg(F.min(place).alias("first"))
     often = once.groupBy("template").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= contexts).select("template", "first")

@@ -255,6 +255,14 @@ def test_log_templates_count_documents(spark):
     assert got[50] == ""  # nothing of it recurs across documents
 
 
+def test_log_templates_of_a_mixed_leaf(spark):
+    names = ["ann", "bob", "cid", "dee", "eve", "fay", "gus", "hal", "ida", "jon"]
+    rows = [(i, f"{n} {n} start\nThis page was last changed by {n} on Monday morning\n{n} ends") for i, n in enumerate(names)]
+    rows += [(50, "This page was once quite empty until somebody wrote here"), (51, "This page was never read from top to bottom yet")]
+    got = {r.doc_id: r.dropped for r in log_templates.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == got[50] == got[51] == "" and all(got[i] == "1" for i in range(1, 10))
+
+
 def test_join_by_heat(spark):
     rows = spark.range(5000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("k"), "id")
     facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("k % 2 = 0")

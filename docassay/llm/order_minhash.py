@@ -13,7 +13,7 @@ of texts, where counts of grams by 256 remainders bound what two texts can share
 bucket each two that are similar are in one class. Linked texts form classes.
 
 Edge cases: a null text is an empty one; texts of fewer than five words are one gram; texts without words form one
-class; rows that repeat doc_id share its class; null ids are ids; an empty table gives an empty one. Only id and
+class; rows that repeat only doc_id are told apart by text; null ids are ids, one_of_each takes them last; an empty table gives an empty one. Only id and
 text are read, so other columns can't clash.
 """
 
@@ -346,7 +346,10 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its class, once if they repeat; all their columns."""
-    stay = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__d")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__d")), "leftsemi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each class, all its columns: that of the least doc_id (null last), of several under it, of the least text key."""
+    all_, member = members(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    stay = all_.join(member.select("key", "root"), "key").groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias("__d"), F.col("p.text_key").alias("__k"))
+    own = docs.withColumn("__t", text_key(docs["text"]))
+    kept = own.join(stay, own["doc_id"].eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__k")), "leftsemi")
+    return kept.dropDuplicates(["doc_id", "__t"]).drop("__t")

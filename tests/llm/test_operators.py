@@ -162,6 +162,13 @@ def test_near_duplicates(docs, none):
     assert len(kept) == len(set(kept)) and {4, 7, 1} <= set(kept) and not {2, 5, 6} & set(kept)
 
 
+def test_one_of_each_tells_texts_under_an_id_apart(spark):
+    one, other, third = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(None, one), (None, other), (None, one), (1, third), (1, "quite another text under this id, like no one else"), (2, f"{third} end")]
+    kept = [tuple(r) for r in order_minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 4 and set(kept) == {rows[0], rows[1], rows[3], rows[4]}
+
+
 def test_alignment_is_lcs():
     def lcs(a, b):
         t = np.zeros((len(a) + 1, len(b) + 1), int)

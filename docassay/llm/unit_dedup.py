@@ -3,7 +3,8 @@
 A line is cut into units at the ends of its sentences, so a passage is found wherever it stands in a line; a line
 or paragraph that repeats is a run of units that repeat. Units are normalised (lower case, single spaces) and
 their digests grouped over all documents; the occurrence of least rank (doc_id, then place) is kept. Runs of
-later occurrences with RUN or more words are removed; shorter ones are common phrases and stay. What is removed is
+later occurrences with RUN or more words, or RUN_CHARS or more characters, are removed, and whole lines of repeated
+units at any length; other short runs, inside lines, are common phrases and stay. What is removed is
 told by its offsets in the original text.
 
 Edge cases: a null text stays null and has no units; repeats within a text are removed like those across texts;
@@ -23,8 +24,8 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, Struc
 
 from .common import append, by_heat, stored, text_key, without
 
-#: Words of a run of repeated units from which it is removed.
-RUN = 20
+#: Words, and characters, of a run of repeated units from which it is removed wherever it stands.
+RUN, RUN_CHARS = 20, 120
 UNIT = re.compile(r"[^\s](?:[^\n.!?]|[.!?]+(?=[^\s.!?]))*[.!?]*")
 
 
@@ -38,17 +39,28 @@ def units(text: str) -> list[tuple[int, int, bytes, int]]:
 
 
 def removed(text: str, repeats: set[int]) -> list[tuple[int, int]]:
-    """Offsets of runs of repeated units with RUN or more words."""
-    found, run, words = [], [], 0
+    """Offsets of runs of repeated units with RUN or more words or RUN_CHARS characters, and of whole repeated lines."""
     every = units(text) if repeats else []
-    for i, (a, b, _, n) in enumerate([*every, (0, 0, b"", 0)]):
-        if i in repeats:
-            run.append((a, b))
-            words += n
-        else:
-            if words >= RUN:
-                found.append((run[0][0], run[-1][1]))
-            run, words = [], 0
+    line, last, lines = 0, 0, []
+    for a, *_ in every:
+        line += text.count("\n", last, a)
+        last = a
+        lines.append(line)
+    mixed = {n for i, n in enumerate(lines) if i not in repeats}  # lines with a unit that stays
+    found, run, words = [], [], 0
+    for i in range(len(every) + 1):
+        if i in repeats and i < len(every):
+            run.append(i)
+            words += every[i][3]
+            continue
+        long = run and (words >= RUN or sum(every[k][1] - every[k][0] for k in run) >= RUN_CHARS)
+        gone = run if long else [k for k in run if lines[k] not in mixed]
+        for n, k in enumerate(gone):
+            if n and gone[n - 1] == k - 1:
+                found[-1] = (found[-1][0], every[k][1])
+            else:
+                found.append(every[k][:2])
+        run, words = [], 0
     return found
 
 

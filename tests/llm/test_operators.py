@@ -103,6 +103,15 @@ def test_unit_dedup(docs, none):
     assert unit_dedup.dedup(none).count() == 0
 
 
+def test_unit_dedup_of_short_lines_and_unspaced_scripts(spark):
+    signs = "".join(chr(0x4E00 + i) for i in range(130))
+    rows = [(1, f"First own text.\nShare this page\nMore. Share it. Own end {signs}."), (2, f"Other own text.\nShare this page\nSome. Share it. Other end.\nX {signs}.")]
+    rows += [(3, f"Begin: own three. {signs}! Next"), (4, f"Begin: own four. {signs}! After")]
+    got = {r.doc_id: r.text for r in unit_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and got[3] == rows[2][1] and got[4] == "Begin: own four.  After"
+    assert got[2] == rows[1][1].replace("Share this page", "")  # the phrase inside a line stays
+
+
 def test_gif(spark, docs, none):
     texts = docs.withColumn("media", F.lit("old"))
     for r in gif.decode(gif.encode(texts)).collect():

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-#: Rows up to which a side may be broadcast; callers count the side first.
-BROADCAST_ROWS = 200_000
-#: A key is hot if more than one in HOT of all rows have it; so there are fewer than HOT such keys, however many rows.
-HOT = 1000
+#: Rows, and bytes as JSON, up to which a side may be broadcast; both are measured first.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: A key is hot beyond one in HOT of all rows, or beyond HOT_ROWS; never more than HOT_KEYS keys are.
+HOT, HOT_ROWS, HOT_KEYS = 1000, 1_000_000, 100_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set, as in tests."""
+    """The shared folder that the cluster names; where none is set, a temporary one in local mode only, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -35,12 +37,30 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._stored_at = path
+    return made
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it was counted to be small; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored() tables that no later step reads; other tables are left alone."""
+    for t in tables:
+        path = t.__dict__.pop("_stored_at", None)
+        if path:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows and bytes of df, which are measured, are few enough for a broadcast."""
+    said = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).limit(rows + 1)
+    got = said.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).first()
+    return got["rows"] <= rows and got["bytes"] <= size
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it is small; else as it is, for a shuffled join. It is read twice: have it stored."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -49,6 +69,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores appended until no column of df has it, whatever its case."""
+    taken, made = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        made.append(n)
+    return made
+
+
 def text_key(text: Column) -> Column:
     """Tells texts under one doc_id apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")), F.lit("a"))
@@ -80,13 +111,17 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def by_heat(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """rows joined with facts (key, n, ...), one row a key, n being how many of the `total` rows have it; without n.
+def by_heat(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with facts (key, n, ...), one row a key, n being how many of the `total` rows have it; without n.
 
-    The rows of hot keys stay where they are, as the fewer than HOT facts about them are broadcast; only the others
-    are shuffled, so no task gets more than one in HOT of all rows for one key. facts is read twice: have it stored.
+    Few facts are broadcast whole. Else the rows of hot keys stay where they are, as the at most HOT_KEYS facts about them are broadcast; only the others
+    are shuffled, so no task gets more than HOT_ROWS rows, or one in HOT_KEYS of all, for one key. facts is read
+    twice: have it stored.
     """
-    is_hot = F.col(n) * HOT > total
-    hot = F.broadcast(facts.where(is_hot).drop(n))
-    rest = rows.join(F.broadcast(facts.where(is_hot).select(key)), key, "leftanti").join(facts.where(~is_hot).drop(n), key)
-    return rows.join(hot, key).unionByName(rest)
+    if is_small(facts):
+        return rows.join(F.broadcast(facts.drop(n)), key, how)
+    at_most = max(total / HOT_KEYS, min(total / HOT, HOT_ROWS))
+    is_hot = F.col(n) > at_most
+    hot = facts.where(is_hot).drop(n)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "leftanti").join(facts.where(~is_hot).drop(n), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

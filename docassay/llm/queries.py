@@ -56,7 +56,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return unit_dedup.dedup(docs, "line", passages=unit_dedup.PASSAGES)
 
 
 def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,4 +104,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": winnowing.OP9_SQL}
+    return {"op9_decontamination": winnowing.OP9_SQL, "op10_line_dedup": log_templates.OP10_SQL}

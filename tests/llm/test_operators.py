@@ -95,23 +95,59 @@ rng_np = np.random.default_rng(1)
 
 
 def test_unit_dedup(docs, none):
-    rows = {(r.doc_id, r.lang): r for r in unit_dedup.dedup(docs.withColumn("removed", F.lit(1))).collect()}
+    rows = {(r.doc_id, r.lang): r for r in unit_dedup.dedup(docs.withColumn("removed", F.lit(1)).withColumn("gone_from", F.lit(1)), passages=unit_dedup.PASSAGES).collect()}
     text = next(t for i, t, _ in ROWS if i == 9)
     a, b = map(int, rows[9, "z"].removed.split(":"))
     assert text[a:b] == PASSAGE and rows[9, "z"].text == text[:a] + text[b:]
     assert rows[8, "z"].n_removed == 0 and rows[1, "x"].text is None and rows[5, "x"].text == ""
     assert unit_dedup.dedup(none).count() == 0
+    with pytest.raises(ValueError):
+        unit_dedup.dedup(none, "page")
 
 
 def test_unit_dedup_of_short_lines_and_unspaced_scripts(spark):
     signs = "".join(chr(0x4E00 + i) for i in range(130))
     rows = [(1, f"First own text.\nShare this page\nMore. Share it. Own end {signs}."), (2, f"Other own text.\nShare this page\nSome. Share it. Other end.\nX {signs}.")]
     rows += [(3, f"Begin: own three. {signs}! Next"), (4, f"Begin: own four. {signs}! After")]
-    got = {r.doc_id: r.text for r in unit_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in unit_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), passages=unit_dedup.PASSAGES).collect()}
     assert got[1] == rows[0][1] and got[3] == rows[2][1] and got[4] == "Begin: own four.  After"
     assert got[2] == rows[1][1].replace("Share this page", "")  # the phrase inside a line stays
 
 
+@pytest.mark.parametrize("unit", ["line", "paragraph"])
+def test_unit_dedup_against_brute_force(spark, unit):
+    own = random.Random(3)
+    said = ["a b", "A  b", "c.", "", "  ", "long line of words", "é ü", "d\te"]
+    rows = [(own.choice([None, *range(30)]), "\n".join(own.choice(said) for _ in range(own.randrange(9)))) for _ in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.key): r for r in unit_dedup.dedup(df.withColumn("key", F.col("text")), unit).collect()}
+
+    def split(text):
+        if unit == "line":
+            return [x for x in text.split("\n") if x.strip()]
+        blocks, block = [], []
+        for line in [*text.split("\n"), ""]:
+            if line.strip():
+                block.append(line)
+            elif block:
+                blocks.append("\n".join(block))
+                block = []
+        return blocks
+
+    key = lambda x: " ".join(x.lower().split())
+    hashes = {r.text: r.k for r in df.select("text", common.text_key(F.col("text")).alias("k")).distinct().collect()}
+    seen = set()
+    for i, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]])):  # null ids come first
+        left = []
+        for u in split(text):
+            if key(u) not in seen:
+                left.append(key(u))
+            seen.add(key(u))
+        assert [key(u) for u in split(got[i, text].text)] == left
+        spans = [tuple(map(int, s.split(":"))) for s in got[i, text].removed.split(",") if s]
+        assert "".join(text[b:a] for (_, b), (a, _) in zip([(0, 0), *spans], [*spans, (len(text), 0)])) == got[i, text].text
+
+
 def test_gif(spark, docs, none):
     texts = docs.withColumn("media", F.lit("old"))
     for r in gif.decode(gif.encode(texts)).collect():

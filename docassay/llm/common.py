@@ -53,9 +53,7 @@ def discard(*tables: DataFrame) -> None:
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether the rows and bytes of df, which are measured, are few enough for a broadcast."""
-    said = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).limit(rows + 1)
-    got = said.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).first()
-    return got["rows"] <= rows and got["bytes"] <= size
+    return df.count() <= rows and (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= size
 
 
 def small(df: DataFrame) -> DataFrame:

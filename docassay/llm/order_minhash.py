@@ -1,26 +1,27 @@
 """Near-duplicate classes by Order MinHash.
 
 Texts with the same words are one text. Of each text, SKETCHES times, the RETAINED least hashes of its word
-5-grams, labelled with their occurrence, are taken and kept in text order; their hash is a bucket. The least text
-of a bucket is paired with each other one, so pairs grow with the rows, not with the square of a bucket; pairs
-whose lengths alone rule a similarity of 0.8 out are left. Each pair is verified by banded alignment of the two 5-gram sequences: with m of a and b aligned, the
-similarity is m / (a + b - m), and the band is as wide as a similarity of 0.8 allows. In a second
-pass each bucket whose texts have several leaders (the least text that they are linked to, or themselves) puts up
-one text for each, and those of like length that stand close by are tried: a text that is like some of a group but
-not like its leader is found this way. Then the buckets that still hold several classes are finished: all their pairs
-of texts of different classes are verified or ruled out, in small buckets one by one, in large ones between blocks
-of texts, where counts of grams by 256 remainders bound what two texts can share. So of the texts that share a
-bucket each two that are similar are in one class. Linked texts form classes.
+5-grams, labelled with their occurrence, are taken and kept in text order; their hash is a bucket. Texts of a bucket
+are verified by banded alignment of their 5-gram sequences: with m of a and b aligned in order, the similarity is
+m / (a + b - m), and the band is as wide as a similarity of 0.8 allows; pairs whose lengths, or counts of grams by
+256 remainders, rule that out are left.
+
+First the least text of a bucket is tried with each other one, then one text of each class with its neighbours by
+length: these two passes link most of what is similar at a cost that grows with the rows. Whatever still stands apart
+in a bucket is finished exactly: all its pairs of texts of different classes are verified or ruled out, in small
+buckets one by one, in large ones between blocks of texts. So each two similar texts that share a bucket are in one
+class, however large the bucket. Linked texts form classes.
 
 Edge cases: a null text is an empty one; texts of fewer than five words are one gram; texts without words form one
-class; rows that repeat only doc_id are told apart by text; null ids are ids, one_of_each takes them last; an empty table gives an empty one. Only id and
-text are read, so other columns can't clash.
+class; rows that repeat only doc_id are told apart by text; null ids are ids, one_of_each takes them last; an empty
+table gives an empty one. Only id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, small, stored, text_key
+from .common import by_heat, discard, mapped, small, stored, text_key, unused
 
 #: Words of a gram, least similarity; sketches of a text, minima retained in each.
 GRAM, SIMILAR = 5, 0.8
 SKETCHES, RETAINED = 20, 3
-#: Neighbours with which a class is tried again in each bucket that it shares with other classes.
+#: Neighbours by length with which one text of a class is tried in the second pass; the third pass tries all others.
 NEIGHBOURS = 4
 #: Texts of a bucket up to which pairs are made one by one; texts, and grams, of a block in larger ones.
 PAIRED, BLOCK, BLOCK_GRAMS = 64, 512, 1 << 20
@@ -43,9 +44,8 @@ WORD = re.compile(r"\w+")
 _MIX = np.random.default_rng(7).integers(1, 2**63, (SKETCHES, 2), dtype=np.uint64) | np.uint64(1)
 
 
-def word_hashes(text: str, known: dict[str, int]) -> np.ndarray:
-    """32-bit hashes of the lower-case words."""
-    found = WORD.findall(text.lower())
+def word_hashes(found: list[str], known: dict[str, int]) -> np.ndarray:
+    """32-bit hashes of words; only runs of five are ever compared."""
     try:
         return np.array([known[w] for w in found], "<u4")
     except KeyError:
@@ -112,14 +112,60 @@ def unaligned(total):
     return np.floor(total * (1 - 2 * SIMILAR / (1 + SIMILAR)) + 1e-9)
 
 
+def aligned(a: np.ndarray, b: np.ndarray, widest: int) -> int:
+    """Grams of both sequences that can be aligned in order, if at most `widest` stay unaligned; else some lesser number.
+
+    Places of equal grams, within the band, are the points of which a longest rising chain is taken: most grams occur
+    once, so points are few. Texts that repeat their grams are aligned along furthest-reaching diagonals instead.
+    """
+    order = np.argsort(b, kind="stable")
+    low, high = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
+    count = high - low
+    points = int(count.sum())
+    if points > 4 * (len(a) + len(b)):
+        return _by_diagonals(a, b, widest)
+    i = np.repeat(np.arange(len(a)), count)
+    back = np.arange(points) - np.repeat(np.cumsum(count) - count, count)
+    j = order[np.repeat(high, count) - 1 - back]  # of one place in a, those in b backwards, so that one is taken
+    chain: list[int] = []
+    for at in j[np.abs(i - j) <= widest].tolist():
+        k = bisect_left(chain, at)
+        if k == len(chain):
+            chain.append(at)
+        else:
+            chain[k] = at
+    return len(chain)
+
+
+def _by_diagonals(a: np.ndarray, b: np.ndarray, widest: int) -> int:
+    n, m = len(a), len(b)
+    reach = np.full(2 * widest + 3, -1)
+    mid = widest + 1
+    reach[mid + 1] = 0
+    for d in range(min(widest, n + m) + 1):
+        k = np.arange(-d, d + 1, 2)
+        down, right = reach[mid + k + 1], reach[mid + k - 1] + 1
+        x = np.where((k == -d) | ((k != d) & (right <= down)), down, right)
+        y = x - k
+        live = np.flatnonzero((x < n) & (y < m) & (y >= 0))
+        while len(live):
+            live = live[a[x[live]] == b[y[live]]]
+            x[live] += 1
+            y[live] += 1
+            live = live[(x[live] < n) & (y[live] < m)]
+        reach[mid + k] = x
+        if ((x >= n) & (y >= m)).any():
+            return (n + m - d) // 2
+    return 0
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Of two gram sequences, m / (a + b - m) with m grams aligned in order; 0 if that is below SIMILAR.
 
-    The alignment follows the furthest-reaching diagonals; at SIMILAR, at most (a + b) / 9 grams stay unaligned,
-    which bounds the band.
+    At SIMILAR, at most (a + b) / 9 grams stay unaligned, which bounds the band.
     """
     total = len(a) + len(b)
-    widest = int(total * (1 - 2 * SIMILAR / (1 + SIMILAR)) + 1e-9)
+    widest = int(unaligned(total))
     both = np.intersect1d(*(labelled(x) for x in (a, b)), assume_unique=True).size
     if total - 2 * both > widest:
         return 0.0
@@ -130,27 +176,18 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     same = min(len(a), len(b))
     differ = np.flatnonzero(a[len(a) - same :][::-1] != b[len(b) - same :][::-1])
     tail = int(differ[0]) if len(differ) else same
-    x_, y_ = a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist()
-    n, m = len(x_), len(y_)
-    reach = {1: 0}
-    for d in range(min(widest, n + m) + 1):
-        for k in range(-d, d + 1, 2):
-            x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
-            y = x - k
-            while x < n and y < m and x_[x] == y_[y]:
-                x += 1
-                y += 1
-            reach[k] = x
-            if x >= n and y >= m:
-                aligned = (total - d) // 2
-                return aligned / (total - aligned)
-    return 0.0
+    m = head + tail + aligned(a[: len(a) - tail], b[: len(b) - tail], widest)
+    return m / (total - m) if total - 2 * m <= widest else 0.0
 
 
 def _texts(batch: pa.RecordBatch, known: dict[str, int]) -> pa.RecordBatch:
-    packed = [word_hashes(x.as_py() or "", known) for x in batch.column("text")]
-    keys = [hashlib.md5(w.tobytes()).digest() for w in packed]
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array([w.tobytes() for w in packed], pa.binary())], names=["doc_id", "text_key", "key", "words"])
+    """Of each text its words' hashes, and the digest of the words themselves, by which copies are known."""
+    packed, keys = [], []
+    for t in batch.column("text"):
+        found = WORD.findall((t.as_py() or "").lower())
+        keys.append(hashlib.md5("\0".join(found).encode("utf-8", "surrogatepass")).digest())
+        packed.append(word_hashes(found, known).tobytes())
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "text_key", "key", "words"])
 
 
 def _sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -159,10 +196,11 @@ def _sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([sketches(w) for w in packed], pa.list_(pa.int64())), pa.array(grams, pa.int64()), batch.column("key")], names=["buckets", "grams", "key"])
 
 
-def candidates(rows: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame, total: int) -> DataFrame:
     """(a, b), a < b: pairs of the least text of each bucket of rows (bucket, grams, key) with its others."""
-    least = rows.groupBy("bucket").agg(F.min(F.struct("key", "grams")).alias("least"), F.max("key").alias("last")).where("least.key < last")
-    pairs = rows.join(least.select("bucket", F.col("least.key").alias("a"), F.col("least.grams").alias("n")), "bucket").where("a < key")
+    least = rows.groupBy("bucket").agg(F.min(F.struct("key", "grams")).alias("least"), F.max("key").alias("last"), F.count("*").alias("c")).where("least.key < last")
+    least = stored(least.select("bucket", F.col("least.key").alias("a"), F.col("least.grams").alias("n"), "c"))
+    pairs = by_heat(rows, least, "bucket", "c", total).where("a < key")
     near = F.least("n", "grams") >= SIMILAR * F.greatest("n", "grams")
     return pairs.where(near).select("a", F.col("key").alias("b")).distinct()
 
@@ -279,7 +317,8 @@ def finished(rows: DataFrame, texts: DataFrame, roots: DataFrame, tried: DataFra
     # Larger buckets: the texts of the most common root form blocks, which meet the blocks of the others, and those each other.
     blocks = lambda n, g: F.ceil(F.greatest(n / BLOCK, g / BLOCK_GRAMS)).cast("int")
     large = facts.where(F.col("n") > PAIRED).select("bucket", F.col("most.root").alias("top"), blocks(F.col("most.n"), F.col("most.g")).alias("n_big"), blocks(F.col("n") - F.col("most.n"), F.col("g") - F.col("most.g")).alias("n_rest"))
-    held = named.join(small(stored(large)), "bucket").withColumn("big", F.col("root") == F.col("top"))
+    sized = facts.where(F.col("n") > PAIRED).select("bucket", F.col("n").alias("rows"))
+    held = by_heat(named, stored(large.join(sized, "bucket")), "bucket", "rows", named.count()).withColumn("big", F.col("root") == F.col("top"))
     held = stored(held.withColumn("at", F.pmod(F.xxhash64("key"), F.when(F.col("big"), F.col("n_big")).otherwise(F.col("n_rest"))).cast("int")))
     to = lambda big, i, j, side: F.struct(F.lit(big).alias("big"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
@@ -292,19 +331,26 @@ def finished(rows: DataFrame, texts: DataFrame, roots: DataFrame, tried: DataFra
     return links.unionByName(met.join(tried, ["a", "b"], "leftanti"))
 
 
+def _with_least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v, m): pairs (u, v), stored, with the least of u and all its v, and that table; a hub's pairs don't meet in one task."""
+    facts = stored(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
+    return by_heat(pairs, facts, "u", "n", pairs.count()), facts
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, root): for each key in links (a, b), the least key that it is connected to, by large and small stars."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        both = stored(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        joined, least = _with_least(both)
+        large = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.where("u <> v").distinct())
+        discard(both, least, edges)
+        joined, least = _with_least(large)
         small_ = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         edges = stored(small_.where("u <> v").distinct())
+        discard(large, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -316,40 +362,46 @@ def members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of each document (doc_id, text_key, key of its words); of each key (key, first, n, root, n_links)."""
     known: dict[str, int] = {}
     read = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
-    all_ = stored(mapped(read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, key binary, words binary", lambda b: _texts(b, known)))
-    texts = stored(all_.groupBy("key").agg(F.first("words").alias("words")))
+    worded = stored(mapped(read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, key binary, words binary", lambda b: _texts(b, known)))
+    texts = stored(worded.groupBy("key").agg(F.first("words").alias("words")))
+    all_ = stored(worded.drop("words"))
+    discard(worded)
     sketched = stored(mapped(texts, "buckets array<long>, grams long, key binary", _sketched))
     rows = sketched.select(F.explode("buckets").alias("bucket"), "grams", "key")
     several = rows.groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y").select("bucket")
     shared = stored(sketched.select(F.explode("buckets").alias("bucket"), "grams", "key", "buckets").join(several, "bucket", "leftsemi"))
+    discard(sketched)
     rows = shared.drop("buckets")
-    tried = stored(candidates(rows))
+    tried = stored(candidates(rows, rows.count()))
     links = stored(verified(tried, texts))
     leaders = links.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("root"))
     second = stored(between(rows, leaders).join(tried, ["a", "b"], "leftanti"))
     links = stored(links.unionByName(verified(second, texts)))
-    more = finished(shared, texts, components(links), stored(tried.unionByName(second)))
+    more = finished(shared, texts, stored(components(links)), stored(tried.unionByName(second)))
     links = stored(links.unionByName(more.dropDuplicates(["a", "b"])))
+    discard(texts, shared, tried, second)
     roots = components(links)
     degree = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
     copies = all_.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     member = copies.join(roots, "key", "left").join(degree, "key", "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return all_.select("doc_id", "text_key", "key"), stored(member)
+    return all_, stored(member)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), n_links of its text, and class_size."""
     all_, member = members(docs)
-    whole = member.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
-    named = member.join(whole, "root").select("key", "class_id", "class_size", "n_links")
-    return all_.join(named, "key").select("doc_id", "class_id", "class_size", "n_links")
+    whole = stored(member.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("texts")))
+    named = stored(by_heat(member, whole, "root", "texts", member.count()).select("key", "n", "class_id", "class_size", "n_links"))
+    return by_heat(all_, named, "key", "n", all_.count()).select("doc_id", "class_id", "class_size", "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each class, all its columns: that of the least doc_id (null last), of several under it, of the least text key."""
     all_, member = members(docs)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    stay = all_.join(member.select("key", "root"), "key").groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias("__d"), F.col("p.text_key").alias("__k"))
-    own = docs.withColumn("__t", text_key(docs["text"]))
-    kept = own.join(stay, own["doc_id"].eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__k")), "leftsemi")
-    return kept.dropDuplicates(["doc_id", "__t"]).drop("__t")
+    first = all_.groupBy("key").agg(F.min(place).alias("p"))  # copies meet before the classes do
+    d, k, t = unused(docs, "kept_id", "kept_key", "own_key")
+    stay = first.join(member.select("key", "root"), "key").groupBy("root").agg(F.min("p").alias("p")).select(F.col("p.doc_id").alias(d), F.col("p.text_key").alias(k))
+    own = docs.withColumn(t, text_key(docs["text"]))
+    kept = own.join(stay, own["doc_id"].eqNullSafe(F.col(d)) & (F.col(t) == F.col(k)), "leftsemi")
+    return kept.dropDuplicates(["doc_id", t]).drop(t)

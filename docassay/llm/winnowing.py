@@ -1,9 +1,9 @@
 """Benchmark decontamination by winnowing, with DataFrame functions only.
 
 A fingerprint is the least hash of K consecutive word K-grams, K + K - 1 = 13 words: two texts that share 13
-consecutive words share a fingerprint. Fingerprints of documents and items are joined; the documents that meet
-one are then extended: each of their 13-word windows is looked up among the items' windows and compared word by
-word. An item of fewer words is one window of its own length.
+consecutive words share a fingerprint. Fingerprints of documents and items are joined; the hits are then extended:
+each 13-word window of the document around a hit is looked up among the items' windows and compared word by word. An
+item of fewer words is one window of its own length; all these lengths are looked up in one pass over the documents.
 
 Edge cases: a null or empty text has no words, so it is never hit and an item without words never occurs; rows
 that repeat doc_id and text are one document in the joins and each get its result; rows that repeat only doc_id
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, small, stored, text_key
+from .common import let, small, stored, text_key, unused
 
 #: Words of a window, and of the K-grams that are hashed.
 WINDOW, K = 13, 7
@@ -47,17 +47,28 @@ def fingerprints(hashes: Column) -> Column:
     return let(hashes, lambda h: F.array_distinct(F.when(F.size(h) >= n, least(h)).otherwise(F.array().cast("array<bigint>"))))
 
 
-def windows(items: DataFrame, n: int) -> DataFrame:
-    """(h, item_id, win): windows of n words of items that have `words`."""
-    at = items.select("item_id", "words", F.explode(F.sequence(F.lit(1), F.size("words") - (n - 1))).alias("i"))
-    return at.select("item_id", F.slice("words", F.col("i"), n).alias("win")).withColumn("h", F.xxhash64("win")).distinct()
+def windows(items: DataFrame) -> DataFrame:
+    """(n, h, item_id, win): different windows of items that have `words`, of n words."""
+    n = F.least(F.size("words"), F.lit(WINDOW))
+    at = items.select("item_id", "words", n.alias("n"), F.explode(F.sequence(F.lit(1), F.size("words") - n + 1)).alias("i"))
+    return at.select("n", "item_id", F.slice("words", F.col("i"), F.col("n")).alias("win")).withColumn("h", F.xxhash64("win")).distinct()
 
 
-def occurrences(docs: DataFrame, of: DataFrame, n: int) -> DataFrame:
-    """(doc_id, key, at, n, item_id): where windows of n words occur in documents that have `words`."""
-    at = docs.select("doc_id", "key", "words", F.posexplode(grams(F.col("words"), n)).alias("at", "h"))
-    same = at.join(small(of), "h").where(F.slice("words", F.col("at") + 1, n) == F.col("win"))
-    return same.select("doc_id", "key", "at", F.lit(n).alias("n"), "item_id")
+def around(words: Column, met: Column) -> Column:
+    """Starts, from 0, of the windows that hold a gram with one of the hashes met."""
+    last = F.size(words) - WINDOW
+
+    def starts(hashes: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.array_contains(met, F.get(hashes, i)))
+        return F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(i - (WINDOW - K), F.lit(0)), F.least(i, last)))))
+
+    return let(grams(words, K), starts)
+
+
+def occurrences(at: DataFrame, of: DataFrame) -> DataFrame:
+    """(doc_id, key, at, n, item_id): where windows occur, from (doc_id, key, words, at, n, h)."""
+    same = at.join(small(stored(of)), ["n", "h"]).where(F.slice("words", F.col("at") + 1, F.col("n")) == F.col("win"))
+    return same.select("doc_id", "key", "at", "n", "item_id")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -65,17 +76,20 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
     items = stored(benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0))
     worded = docs.select("doc_id", "key", words(F.col("text")).alias("words"))
+    long = F.size("words") >= WINDOW
 
-    marks = items.where(F.size("words") >= WINDOW).select(F.explode(fingerprints(grams(F.col("words"), K))).alias("h")).distinct()
+    marks = stored(items.where(long).select(F.explode(fingerprints(grams(F.col("words"), K))).alias("h")).distinct())
     met = worded.select("doc_id", "key", F.explode(fingerprints(grams(F.col("words"), K))).alias("h")).join(small(marks), "h")
-    met = stored(met.select("doc_id", "key").distinct())
-    some = docs.join(small(met).withColumnsRenamed({"doc_id": "d", "key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "leftsemi")
-    some = some.dropDuplicates(["doc_id", "key"]).select("doc_id", "key", words(F.col("text")).alias("words"))
-    found = occurrences(some, windows(items.where(F.size("words") >= WINDOW), WINDOW), WINDOW)
+    met = stored(met.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("h").alias("met")))
+    some = docs.join(small(met), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+    some = some.dropDuplicates(["doc_id", "key"]).select("doc_id", "key", words(F.col("text")).alias("words"), "met")
+    at = some.select("doc_id", "key", "words", F.explode(around(F.col("words"), F.col("met"))).alias("at"), F.lit(WINDOW).alias("n"))
+    found = occurrences(at.withColumn("h", F.xxhash64(F.slice("words", F.col("at") + 1, WINDOW))), windows(items.where(long)))
 
-    short = items.where(F.size("words") < WINDOW)
-    for (n,) in short.select(F.size("words")).distinct().collect():  # lengths below 13: twelve at most
-        found = found.unionByName(occurrences(worded, windows(short.where(F.size("words") == n), n), n))
+    lengths = [n for (n,) in items.where(~long).select(F.size("words")).distinct().collect()]  # below 13: twelve at most
+    if lengths:
+        each = F.flatten(F.array(*(F.transform(grams(F.col("words"), n), lambda h, i, n=n: F.struct(F.lit(n).alias("n"), i.alias("at"), h.alias("h"))) for n in sorted(lengths))))
+        found = found.unionByName(occurrences(worded.select("doc_id", "key", "words", F.explode(each).alias("g")).select("doc_id", "key", "words", "g.*"), windows(items.where(~long))))
 
     # at most one row per document, place and length, then their union
     spans = found.select("doc_id", "key", F.struct("at", (F.col("at") + F.col("n")).alias("end")).alias("span"), "item_id")
@@ -95,9 +109,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
-    found = hits(docs, benchmark).withColumnsRenamed({"doc_id": "__d", "key": "__k"})
-    joined = docs.join(found.select("__d", "__k", F.col("n_hit").alias("__n")), docs["doc_id"].eqNullSafe(F.col("__d")) & (text_key(docs["text"]) == F.col("__k")), "left")
-    bad = F.coalesce((F.col("__n") > 0) & (20 * F.col("__n") >= F.size(words(docs["text"]))), F.lit(False))
+    d, k, n = unused(docs, "hit_id", "hit_key", "hit_words")
+    found = hits(docs, benchmark).select(F.col("doc_id").alias(d), F.col("key").alias(k), F.col("n_hit").alias(n))
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col(d)) & (text_key(docs["text"]) == F.col(k)), "left")
+    bad = F.coalesce((F.col(n) > 0) & (20 * F.col(n) >= F.size(words(docs["text"]))), F.lit(False))
     return joined.where(~bad).select([docs[f"`{c}`"] for c in docs.columns])
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -229,10 +230,25 @@ def test_alignment_is_lcs():
         want = m / (len(a) + len(b) - m)
         got = order_minhash.similarity(np.array(a, np.uint64), np.array(b, np.uint64))
         assert got == (pytest.approx(want) if want >= 0.8 else 0)
+        few = [x % 3 for x in a], [x % 3 for x in b]  # many points: along diagonals
+        m = lcs(*few)
+        want = m / (len(a) + len(b) - m)
+        got = order_minhash.similarity(*(np.array(x, np.uint64) for x in few))
+        assert got == (pytest.approx(want) if want >= 0.8 else 0)
+
+
+def test_alignment_of_long_texts_is_fast():
+    for words in (10**9, 4):
+        a = np.array([rng.randrange(words) for _ in range(60_000)], np.uint64)
+        b = a.copy()
+        b[rng_np.integers(0, len(b), 2500)] += np.uint64(words)
+        began = time.time()
+        assert order_minhash.similarity(a, np.delete(b, rng_np.integers(0, len(b), 500))) > 0.8
+        assert time.time() - began < 20
 
 
 def test_near_duplicates_against_brute_force(spark):
-    texts, parent = [], []
+    texts = []
     for k in range(12):
         base = [f"t{rng.randrange(900)}" for _ in range(rng.randrange(40, 200))]
         for _ in range(6):
@@ -242,7 +258,7 @@ def test_near_duplicates_against_brute_force(spark):
             texts.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in order_minhash.classes(df).collect()}
-    grams = [order_minhash.gram_hashes(order_minhash.word_hashes(t, {})) for t in texts]
+    grams = [order_minhash.gram_hashes(order_minhash.word_hashes(order_minhash.WORD.findall(t.lower()), {})) for t in texts]
     for i in range(len(texts)):
         for j in range(i):
             if order_minhash.similarity(grams[i], grams[j]) >= 0.8:
@@ -260,7 +276,7 @@ def test_near_duplicates_of_large_groups_against_brute_force(spark):
         texts.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
     got = {r.doc_id: r.class_id for r in order_minhash.classes(df).collect()}
-    packed = [order_minhash.word_hashes(t, {}) for t in texts]
+    packed = [order_minhash.word_hashes(order_minhash.WORD.findall(t.lower()), {}) for t in texts]
     grams, buckets = [order_minhash.gram_hashes(p) for p in packed], np.array([order_minhash.sketches(p) for p in packed])
     sets = [set(g.tolist()) for g in grams]
     for i in range(len(texts)):

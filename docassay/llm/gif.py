@@ -5,8 +5,9 @@ frame is bounded and longer payloads get more frames. Reading decodes each frame
 draws it on the canvas as disposal and transparency ask.
 
 Edge cases: a null text is an empty one; an empty payload is padded like any other, so there is always a frame;
-equal payloads give equal files; files that aren't GIF, or end early, raise ValueError; an empty table gives an
-empty one. Columns of the names that are added are replaced, all others pass.
+equal payloads give equal files; a null file gives nulls, and so does one that isn't a GIF or ends early, with the
+reason in `error`; the canvas is as large as the frames, not as the header says, and what lies beyond counts as
+transparent; an empty table gives an empty one. Columns of the names that are added are replaced, all others pass.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BinaryType, StructField, _parse_datatype_string
+from pyspark.sql.types import BinaryType, StringType, StructField, _parse_datatype_string
 
 from .common import append
 
@@ -87,8 +88,8 @@ def lzw_codes(data: bytes, size: int) -> Iterator[np.ndarray]:
             done, bit = done + len(codes), int(at[-1] + widths[-1])
 
 
-def lzw_decode(data: bytes, size: int) -> bytes:
-    """The samples for which a code stream stands."""
+def lzw_decode(data: bytes, size: int, most: int | None = None) -> bytes:
+    """The samples for which a code stream stands; ValueError beyond `most`."""
     start = [bytes([i]) for i in range(1 << size)] + [b"", b""]
     out: list[bytes] = []
     for codes in lzw_codes(data, size):
@@ -106,6 +107,9 @@ def lzw_decode(data: bytes, size: int) -> bytes:
                 known += 1
             emit(s)
             before = s
+        if most is not None and sum(map(len, out)) > most:
+            raise ValueError("more samples than the frame holds")
+        out = [b"".join(out)]
     return b"".join(out)
 
 
@@ -170,7 +174,9 @@ def read(data: bytes) -> tuple[int, int, list[Frame]]:
             left, top, w, h, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
             own, at = palette(data, at + 10, flags)
             codes, after = blocks(data, at + 1)
-            samples = np.frombuffer(lzw_decode(codes, data[at]), np.uint8)[: w * h].reshape(h, w)
+            if not 1 <= data[at] <= 8:
+                raise ValueError("samples of a size that GIF doesn't have")
+            samples = np.frombuffer(lzw_decode(codes, data[at], w * h), np.uint8).reshape(h, w)
             if flags & 0x40:
                 order = np.concatenate([np.arange(a, h, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
                 straight = np.empty_like(samples)
@@ -183,8 +189,14 @@ def read(data: bytes) -> tuple[int, int, list[Frame]]:
     return width, height, frames
 
 
-def canvases(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray]:
-    """What is seen at each frame, as rows of RGBA."""
+def extent(frames: list[Frame]) -> tuple[int, int]:
+    """Width and height that the frames reach."""
+    return max((f.left + f.samples.shape[1] for f in frames), default=0), max((f.top + f.samples.shape[0] for f in frames), default=0)
+
+
+def canvases(frames: list[Frame]) -> Iterator[np.ndarray]:
+    """What is seen at each frame within extent(), as rows of RGBA."""
+    width, height = extent(frames)
     canvas = np.zeros((height, width, 4), np.uint8)
     for f in frames:
         h, w = f.samples.shape
@@ -203,12 +215,14 @@ def canvases(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarra
             canvas = before
 
 
-def histogram(canvas: np.ndarray) -> list[int]:
-    """Pixels by the two high bits of red, green and blue; 64 bins, then transparent ones."""
+def histogram(canvas: np.ndarray, beyond: int = 0) -> list[int]:
+    """Pixels by the two high bits of red, green and blue; 64 bins, then transparent ones and those beyond the canvas."""
     flat = canvas.reshape(-1, 4)
     lit = flat[:, 3] > 0
     bins = (flat[:, 0] >> 6 << 4) | (flat[:, 1] >> 6 << 2) | (flat[:, 2] >> 6)
-    return np.bincount(np.where(lit, bins, 64), minlength=65).tolist()
+    counts = np.bincount(np.where(lit, bins, 64), minlength=65).tolist()
+    counts[64] += beyond
+    return counts
 
 
 def padded(payload: bytes) -> bytes:
@@ -227,19 +241,33 @@ def encode(docs: DataFrame, text: str = "text") -> DataFrame:
     return append(docs, [StructField("media", BinaryType())], lambda b: [pa.array([store(padded((t.as_py() or "").encode())) for t in b.column(text)], pa.binary())])
 
 
+def opened(media: bytes) -> tuple[bytes, list[dict]]:
+    """The red samples of all frames as stored, and the frames' times, places and histograms."""
+    width, height, frames = read(media)
+    payload = b"".join(f.palette[:, 0][f.samples].tobytes() for f in frames)
+    w, h = extent(frames)
+    beyond = max(width * height - w * h, 0)
+    return payload, [
+        {"number": i, "left": f.left, "top": f.top, "width": f.samples.shape[1], "height": f.samples.shape[0], "delay_cs": f.delay, "disposal": f.disposal, "transparent": f.transparent, "histogram": histogram(c, beyond)}
+        for i, (f, c) in enumerate(zip(frames, canvases(frames), strict=True))
+    ]
+
+
 def decode(docs: DataFrame, media: str = "media") -> DataFrame:
-    """Adds `payload`, the red samples of all frames as they were stored, and `frames` with times and histograms."""
+    """Adds `payload`, `frames` with times and histograms, and `error`."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        payloads, tables = [], []
+        payloads, tables, errors = [], [], []
         for m in batch.column(media):
-            width, height, frames = read(m.as_py())
-            payloads.append(b"".join(f.palette[:, 0][f.samples].tobytes() for f in frames))
-            tables.append([
-                {"number": i, "left": f.left, "top": f.top, "width": f.samples.shape[1], "height": f.samples.shape[0], "delay_cs": f.delay, "disposal": f.disposal, "transparent": f.transparent, "histogram": histogram(c)}
-                for i, (f, c) in enumerate(zip(frames, canvases(width, height, frames), strict=True))
-            ])
+            payload = frames = error = None
+            try:
+                payload, frames = opened(m.as_py()) if m.is_valid else (None, None)
+            except ValueError as e:
+                error = str(e)
+            payloads.append(payload)
+            tables.append(frames)
+            errors.append(error)
         ints = [(n, pa.int32()) for n in ("number", "left", "top", "width", "height", "delay_cs", "disposal", "transparent")]
-        return [pa.array(payloads, pa.binary()), pa.array(tables, pa.list_(pa.struct([*ints, ("histogram", pa.list_(pa.int64()))])))]
+        return [pa.array(payloads, pa.binary()), pa.array(tables, pa.list_(pa.struct([*ints, ("histogram", pa.list_(pa.int64()))]))), pa.array(errors, pa.string())]
 
-    return append(docs, [StructField("payload", BinaryType()), StructField("frames", _parse_datatype_string(FRAMES))], run)
+    return append(docs, [StructField("payload", BinaryType()), StructField("frames", _parse_datatype_string(FRAMES)), StructField("error", StringType())], run)

@@ -52,7 +52,7 @@ def statistics(text: str, words: list[str], counts: Counter) -> list[float]:
 
 
 def features(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and values of the features of a text."""
+    """Numbers, each once, and values of the features of a text; words of one number count together."""
     words = text.split()
     counts = Counter(words)
     try:
@@ -62,12 +62,17 @@ def features(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
             known.clear()
         ids = [known.setdefault(w, zlib.crc32(w.lower().encode()) % WORDS) for w in counts]
     stats = [WORDS + k * BINS + min(BINS - 1, int(v * BINS)) for k, v in enumerate(statistics(text, words, counts))]
-    values = np.empty(len(ids) + len(stats))
-    if ids:
-        values[: len(ids)] = np.log1p(np.fromiter(counts.values(), float, len(ids)))
-        values[: len(ids)] /= np.linalg.norm(values[: len(ids)])
-    values[len(ids) :] = 0.5
-    return np.array(ids + stats, np.int32), values
+    times = np.fromiter(counts.values(), float, len(ids))
+    once, place = np.unique(np.array(ids, np.int32), return_inverse=True)
+    if len(once) < len(ids):
+        times = np.bincount(place, times)
+    else:
+        once = np.array(ids, np.int32)
+    values = np.full(len(once) + len(stats), 0.5)
+    if len(once):
+        values[: len(once)] = np.log1p(times)
+        values[: len(once)] /= np.linalg.norm(values[: len(once)])
+    return np.concatenate([once, np.array(stats, np.int32)]), values
 
 
 @dataclass

@@ -92,6 +92,14 @@ def test_factorisation_is_sum_over_pairs():
     assert m.logit(ids, x) == pytest.approx(0.3 + float(x @ m.w[ids]) + pairs)
 
 
+def test_quality_counts_words_of_one_number_together():
+    ids, x = quality_fm.features("The the THE end", {})
+    assert len(set(ids.tolist())) == len(ids) and sorted(x[:2] / x[:2].min()) == pytest.approx([1, 2])
+    rows = [(np.array(i), v, y) for y in (0, 1) for i, v in [quality_fm.features("The the word" if y else "the The other", {})]]
+    m = quality_fm.fit(rows * 50)
+    assert m.logit(*rows[0][:2]) < 0 < m.logit(*rows[1][:2])
+
+
 rng_np = np.random.default_rng(1)
 
 
@@ -166,12 +174,28 @@ def test_gif_disposal_and_transparency():
     palette[1], palette[2] = (255, 0, 0), (0, 255, 0)
     red, green = np.full((2, 2), 1, np.uint8), np.array([[0, 2], [0, 2]], np.uint8)
     frames = [gif.Frame(0, 0, red, palette, 5, 1, -1), gif.Frame(0, 0, green, palette, 5, 3, 0), gif.Frame(0, 0, green, palette, 5, 2, 0), gif.Frame(0, 0, green, palette, 5, 0, 0)]
-    w, h, back = gif.read(gif.write(frames))
-    seen = [c[0].tolist() for c in gif.canvases(w, h, back)]
+    _, _, back = gif.read(gif.write(frames))
+    seen = [c[0].tolist() for c in gif.canvases(back)]
     r, g, clear = [255, 0, 0, 255], [0, 255, 0, 255], [0, 0, 0, 0]
     assert seen == [[r, r], [r, g], [r, g], [clear, g]]
 
 
+#: A file of ten by ten pixels in three colours that was made elsewhere, and its rows.
+SAMPLE = bytes.fromhex("47494638396 10a000a0091 0000ffffffff00000000ff000000 21f90400000000 00 2c000000000a000a0000 02 16 8c2d99872a1cdc33a00275ec95faa8de608c04914c01 00 3b".replace(" ", ""))
+PICTURE = ["1111122222"] * 3 + ["1110000222"] * 2 + ["2220000111"] * 2 + ["2222211111"] * 3
+
+
+def test_gif_of_others_broken_and_null(spark):
+    width, height, (frame,) = gif.read(SAMPLE)
+    assert (width, height) == (10, 10) and ["".join(map(str, r)) for r in frame.samples.tolist()] == PICTURE
+    assert frame.palette[:3].tolist() == [[255, 255, 255], [255, 0, 0], [0, 0, 255]]
+    huge = SAMPLE[:6] + b"\xff\xff\xff\xff" + SAMPLE[10:]  # the header claims 65,535 squared
+    df = spark.createDataFrame([(1, None), (2, b"no picture"), (3, SAMPLE[:-9]), (4, bytearray(SAMPLE)), (5, bytearray(huge)), (6, b"")], "i int, media binary").withColumn("error", F.lit(1))
+    got = {r.i: r for r in gif.decode(df).collect()}
+    assert got[1].payload is None and got[1].error is None and all(got[i].payload is None and got[i].error for i in (2, 3, 6))
+    assert len(got[4].payload) == 100 and got[4].error is None and sum(got[5].frames[0].histogram) == 65535**2
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi [x] </s>"), (1, 1, "assistant", "yes \\l <s>"), (2, 0, "user", "hi [x] </s>"), (2, 1, "assistant", "no"), (3, 0, None, None), (3, 1, "assistant", ""), (3, 1, "assistant", ""), (4, 0, "user", "hi [x] </s>"), (4, 1, "assistant", "no")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("path", F.lit(0))

@@ -1,19 +1,25 @@
 """Secrets by assignment-aware lexing.
 
-Source and configuration syntax is read into name-literal pairs (name = "x", name: x, name := x, name => 'x'); a
-literal that is itself the name of an earlier pair stands for that pair's literal, so constants propagate to the
-names they reach. A pair's score is the weight of the most sensitive word among its names, times how random its
-literal looks; from THRESHOLD on its literal is a span of kind literal. Base spans always stay, and a literal within one is not
-added.
-
-Edge cases: a null text is an empty one, without spans; every pattern runs in linear time, however long a text;
-repeated rows give repeated results; an empty table gives an empty one. `spans` replaces a column of that name.
+A text is read, whatever language it is in, as a stream of tokens: strings (escaped, triple-quoted or in backticks),
+line and block comments, brackets, line ends, section heads, tags, and assignment operators (= := => : and their
+like). An operator pairs the name before it (dotted, quoted, or an index as in config["password"]) with the literal
+behind it: a string, or a bare value up to the end of the value. Names carry the names around them: keys of JSON and
+of indented YAML, tables in brackets, and elements and attributes of XML. A bare value that is itself a name stands
+for that name's literals, wherever in the text it is defined, so constants propagate to a fixed point. A literal's
+score is the weight of the most sensitive name that it reaches, times how random it looks; from THRESHOLD on it is a
+span of kind literal. Base spans always stay, and a literal within one is not added.
+
+Edge cases: a null text is an empty one, without spans; unclosed strings and comments end with their line, or with the
+text where they may span lines; every pattern and sweep takes time in proportion to the text (and sorting), however
+long it or its names are; repeated rows give repeated results; an empty table gives an empty one. `spans` replaces a
+column of that name.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -26,12 +32,29 @@ KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-PAIR = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]{0,63})["']?[ \t]*(?::=|=>|=|:)[ \t]*(?:"([^"\n]*)"|'([^'\n]*)'|([^\s"',;{}()\[\]]+))""")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Weights of words in names; least score that makes a literal a secret.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "secret": 1.0, "token": 1.0, "apikey": 1.0, "credential": 0.9, "private": 0.7, "auth": 0.7, "key": 0.6}
 THRESHOLD = 0.45
 
+#: The tokens, the first that fits. A quote behind a letter or digit is an apostrophe.
+TOKEN = re.compile(
+    r"""(?P<triple>(?:\"{3}|'{3}))
+    |(?<![\w])(?P<string>"(?:[^"\\\n]|\\[^\n])*+"|'(?:[^'\\\n]|\\[^\n])*+'|`(?:[^`\\\n]|\\[^\n])*+`)
+    |(?P<block>/\*|<!--)
+    |(?P<comment>(?<!\S)(?:\#|//|--[ ]))
+    |(?P<end>\n[ \t]*+)
+    |(?P<tag></?+[A-Za-z_][\w.:-]*+)
+    |(?P<op>:=|=>|\?=|\+=|(?<![=!<>])=(?!=)|:(?!:|//))
+    |(?P<open>[{(\[])
+    |(?P<close>[})\]])""",
+    re.X,
+)
+#: A type between a name and its value, a bare value, and the head of a section.
+TYPE = re.compile(r"[ \t]*+[\w.\[\]<>|]++[ \t]*+(?==[^=])")
+BARE = re.compile(r"[ \t]*+([^\s\"'`,;{}()\[\]<>]++)")
+SECTION = re.compile(r"\[[ \t]*+([^\[\]\n\"']++)\][ \t]*+(?=\n|\Z)")
+
 
 def weight(name: str) -> float:
     low = name.lower().replace("_", "").replace("-", "").replace(".", "")
@@ -48,19 +71,150 @@ def randomness(literal: str) -> float:
     return min(1.0, entropy / 3.5) * min(1.0, n / 12) * (1.0 if kinds > 1 else 0.6)
 
 
+class Lexer:
+    """Reads a text into pairs (name, weight of the names around it, literal's start and end, whether it is a bare value)."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.pairs: list[tuple[str, float, int, int, bool]] = []
+        self.string: tuple[int, int] | None = None  # the last string of this line, with its quotes
+        self.indexed = False  # the last string stood in square brackets
+        self.section = 0.0
+        self.outer: list[tuple[float, str]] = []  # weights and bracket of what is open
+        self.keys: list[tuple[int, float]] = []  # indents and weights of keys above, by indent
+        self.indent = 0
+        self.pending: tuple[int, float] | None = None  # a key without value yet: its indent and weight
+
+    def around(self) -> float:
+        return max(self.section, self.outer[-1][0] if self.outer else 0.0, self.keys[-1][1] if self.keys else 0.0)
+
+    def name_before(self, at: int) -> str:
+        text, s = self.text, self.string
+        if s:
+            gap = text[s[1] : at].strip(" \t")
+            if gap == "" or (gap == "]" and self.indexed):
+                return text[s[0] + 1 : s[1] - 1]
+        end = at
+        while end and text[end - 1] in " \t?!+":
+            end -= 1
+        start = end
+        while start and (text[start - 1].isalnum() or text[start - 1] in "_.$-"):
+            start -= 1
+        return text[start:end]
+
+    def paired(self, name: str, start: int, end: int, bare: bool) -> None:
+        if name and start < end:
+            self.pairs.append((name, self.around(), start, end, bare))
+
+    def read(self) -> Lexer:
+        text, n = self.text, len(self.text)
+        at, name, awaiting = 0, "", -1  # awaiting: where the value of `name` may begin
+        tag = ""
+        if head := SECTION.match(text):
+            self.section = weight(head.group(1))
+        while m := TOKEN.search(text, at):
+            kind, start, at = m.lastgroup, m.start(), m.end()
+            if awaiting >= 0 and text[awaiting:start].strip(" \t\r\\"):  # something stands before this token: a bare value
+                b = BARE.match(text, awaiting)
+                if b:
+                    self.paired(name, *b.span(1), True)
+                awaiting = -1
+                if b and b.end() > start:
+                    at = b.end()
+                    continue
+            if kind == "triple" or kind == "string":
+                if kind == "triple":
+                    close = text.find(m.group(), at)
+                    inner, at = (at, close if close >= 0 else n), (close + 3 if close >= 0 else n)
+                else:
+                    inner = (start + 1, at - 1)
+                if awaiting >= 0:
+                    self.paired(name, *inner, False)
+                    awaiting = -1
+                self.string = (inner[0] - 1, inner[1] + 1) if kind == "string" else None
+                self.indexed = text[max(start - 1, 0) : start] == "["
+            elif kind == "block":
+                awaiting = -1
+                close = text.find("*/" if m.group() == "/*" else "-->", at)
+                if close < 0:
+                    close = text.find("\n", at)
+            elif kind == "comment":
+                awaiting = -1
+            elif kind == "end":
+                if awaiting >= 0 and text[start - 1] == "\\":
+                    awaiting = at
+                    continue
+                awaiting, self.string = -1, None
+                if text[at : at + 1] not in ("", "\n", "#"):
+                    self.indent = at - start - 1
+                    if self.pending and self.indent > self.pending[0]:
+                        self.keys.append(self.pending)
+                    while self.keys and self.keys[-1][0] >= self.indent:
+                        self.keys.pop()
+                    self.pending = None
+                    if not self.outer and (head := SECTION.match(text, at)):
+                        self.section, at = weight(head.group(1)), head.end()
+            elif kind == "tag":
+                tag = m.group()[1:] if m.group()[1] != "/" else ""
+                close = text.find(">", at)
+                line = text.find("\n", at)
+                if tag and close == at:
+                    end = text.find("<", at)
+                    if end > close + 1 and not text[close + 1 : end].isspace():
+                        inner = text[close + 1 : end]
+                        self.paired(tag, close + 1 + len(inner) - len(inner.lstrip()), close + 1 + len(inner.rstrip()), False)
+                        at = end
+                elif line >= 0 and line < close:
+                    tag = ""
+            elif kind == "op":
+                name = self.name_before(start)
+                if m.group() == ":" and (t := TYPE.match(text, at)):
+                    if text[t.end() : t.end() + 1] == "=":  # a type before the value, as in name: str = "x"
+                        at = awaiting = t.end() + 1
+                        continue
+                awaiting = at if name else -1
+                self.pending = (self.indent, max(weight(name), self.around())) if m.group() == ":" and name else None
+            elif kind == "open":
+                held = weight(name) if awaiting >= 0 else 0.0
+                self.outer.append((max(held, self.outer[-1][0] if self.outer else 0.0) if m.group() == "{" else 0.0, m.group()))
+                awaiting = -1
+            elif kind == "close":
+                awaiting = -1
+                if self.outer:
+                    self.outer.pop()
+        if awaiting >= 0 and (b := BARE.match(text, awaiting)):
+            self.paired(name, *b.span(1), True)
+        return self
+
+
 def literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach sensitive names."""
-    place: dict[str, tuple[int, int]] = {}
+    pairs = Lexer(text).read().pairs
+    defined: dict[str, list[tuple[int, int]]] = {}
     best: dict[tuple[int, int], float] = {}
-    for m in PAIR.finditer(text):
-        name, kind = m.group(1), m.lastindex
-        span = m.span(kind)
-        literal = m.group(kind)
-        if kind == 4 and literal in place:
-            span = place[literal]  # a constant's name: its literal reaches this name too
-        place[name] = span
-        best[span] = max(best.get(span, 0.0), weight(name))
-    return [s for s, w in best.items() if w and w * randomness(text[s[0] : s[1]]) >= THRESHOLD]
+    for name, around, a, b, _ in pairs:
+        best[a, b] = max(best.get((a, b), 0.0), weight(name), around)
+        defined.setdefault(name, []).append((a, b))
+    # A value that is a defined name gets its pair's weight, heaviest first, and hands it to what it is defined as.
+    uses: dict[str, list[str]] = {}
+    todo: list[tuple[float, str]] = []
+    for name, _, a, b, bare in pairs:
+        value = text[a:b] if bare else ""
+        if value in defined and value != name:
+            uses.setdefault(name, []).append(value)
+            todo.append((best[a, b], value))
+    done: set[str] = set()
+    for heaviest, start in sorted(todo, reverse=True):
+        stack = [start]
+        while stack:
+            x = stack.pop()
+            if x not in done:
+                done.add(x)
+                stack += uses.get(x, [])
+                for s in defined[x]:
+                    best[s] = max(best[s], heaviest)
+    constants = {(a, b) for name, _, a, b, bare in pairs if bare and text[a:b] in defined}
+    return [s for s, w in best.items() if w and s not in constants and w * randomness(text[s[0] : s[1]]) >= THRESHOLD]
 
 
 def spans(text: str) -> list[tuple[int, int, int, bool]]:
@@ -72,13 +226,17 @@ def spans(text: str) -> list[tuple[int, int, int, bool]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), True) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end(), True) for m in HEX.finditer(text)]
-    if "=" in text or ":" in text:
-        covered = sorted((a, b) for a, _, b, _ in found)
-        ends = [b for _, b in covered]
-        for a, b in literals(text):
-            if not any(x <= a and b <= y for x, y in covered) or not ends:
-                found.append((a, 3, b, False))
-    return sorted(found)
+    starts, ends, furthest = [], [], -1
+    for a, _, b, _ in sorted(found):
+        furthest = max(furthest, b)
+        starts.append(a)
+        ends.append(furthest)
+    added = []
+    for a, b in literals(text):
+        k = bisect_right(starts, a)
+        if not k or ends[k - 1] < b:
+            added.append((a, 3, b, False))
+    return sorted(found + added)
 
 
 def find(docs: DataFrame) -> DataFrame:

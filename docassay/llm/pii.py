@@ -2,20 +2,23 @@
 
 Generators with high recall propose spans that may overlap: all that the base patterns match, valid or not, and
 looser forms (numbers without a plus, addresses spelt out). Base spans, those that pass the base rules, always
-stay. For the others boosted trees over format and context, never over the rule's own checksum or range, learn
-which candidates the rules confirm; as the rules confirm only a part of what is real, the estimate is divided, by
-kind, by its mean over confirmed candidates held out from training, and a candidate whose calibrated probability
-reaches THRESHOLD is redacted too. Of overlapping additions the likelier stays, and none overlaps a base span.
-The trees learn from the candidates of the SAMPLE different texts of least hash.
-
-Edge cases: a null text is an empty one, without spans; every pattern runs in linear time, however long a text;
-repeated rows give repeated results; an empty table gives an empty one, and no candidates give no additions.
-`spans` replaces a column of that name, all others pass.
+stay. For the others boosted trees over format and context learn which candidates the rules confirm. What only tells
+how a candidate was found is no feature: numbers are described without their plus, spelt addresses as the addresses
+that they spell, and the rule's own checksum and range aren't seen. As the rules confirm only a part of what is real,
+candidates without confirmation are unlabelled rather than wrong: the estimate is divided, by kind, by its mean over
+confirmed candidates held out from training, and a candidate whose calibrated probability reaches THRESHOLD is
+redacted too. Of overlapping additions the likelier stays, and none overlaps a base span. The trees learn from at most
+CANDIDATES candidates (of least hash of text and place) of the SAMPLE different texts of least hash.
+
+Edge cases: a null text is an empty one, without spans; every pattern and sweep runs in linear time (and sorting),
+however long a text or a name in it; repeated rows give repeated results; an empty table gives an empty one, and no
+candidates give no additions. `spans` replaces a column of that name, all others pass.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +29,16 @@ from pyspark.sql.types import StructField, _parse_datatype_string
 from .common import append, mapped
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents to learn from; trees, their depth and step; calibrated probability that redacts.
-SAMPLE, TREES, DEPTH, STEP, THRESHOLD = 8000, 40, 3, 0.3, 0.8
+#: Bounds of the sample: documents, and candidates in them. Then trees, their depth and step; calibrated probability that redacts.
+SAMPLE, CANDIDATES = 8000, 50_000
+TREES, DEPTH, STEP, THRESHOLD = 40, 3, 0.3, 0.8
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 NUMBER = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-LOOSE = re.compile(r"\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,5}){2,4}")
-SPELT = re.compile(r"[A-Za-z0-9._-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,64}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,64})+")
+LOOSE = re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,5}){2,4}(?![0-9])")
+SPELT = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)+")
 CONTEXT = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "credit", "pay"), "phone": ("phone", "call", "tel", "fax", "mobile")}
 
 Span = tuple[int, int, int, bool]  # start, kind, end, whether the base rule holds
@@ -87,16 +91,21 @@ def looser(text: str) -> list[Span]:
 
 
 def described(text: str, span: Span) -> list[float]:
-    """Format and context of a span."""
+    """Format and context of a span, as if it were written in the usual way."""
     start, kind, end, _ = span
     s = text[start:end]
     before, after = text[start - 1 : start], text[end : end + 1]
     near = text[max(0, start - 30) : start].lower()
+    if kind == 0:
+        s = re.sub(r" ?[\[(]at[\])] ?", "@", re.sub(r" ?[\[(]dot[\])] ?", ".", s))
+    elif kind == 3:
+        s = s.lstrip("+")
     groups = re.findall("[0-9]+", s)
+    digits = sum(map(len, groups))
     return [
-        kind, len(s), sum(map(len, groups)), len(groups), max(map(len, groups), default=0), s.count("."), s.count("-"), s.count(" "),
+        kind, 0 if kind == 3 else len(s), 0 if kind == 3 else digits, 0 if kind == 3 else len(groups), 0 if kind == 3 else max(map(len, groups), default=0), s.count(".") if kind != 3 else 0, s.count("-") if kind == 2 else 0, s.count(" ") if kind == 2 else 0,
         float(before.isalnum() or before in ("_", "-", ".", '"', "'") and before != ""), float(after.isalnum() or after in ("_", '"', "'") and after != ""),
-        float(any(w in near for w in CONTEXT[KINDS[kind]])), float("=" in near or ":" in near), float(s[:1] == "+"), float(s[:1] in "0(" and s != ""),
+        float(any(w in near for w in CONTEXT[KINDS[kind]])), float("=" in near or ":" in near), float("#" in near or "no." in near or "id" in near.split()), float(kind == 3 and 9 <= digits <= 15),
     ]
 
 
@@ -166,40 +175,71 @@ def train(docs: DataFrame) -> Trees:
     """Trees that tell confirmed candidates, from a bounded sample of documents."""
     hashed = docs.select("text", F.xxhash64("text", F.lit("pii")).alias("h")).where("text is not null")
     least = hashed.select("h").distinct().orderBy("h").limit(SAMPLE)
-    some = hashed.join(F.broadcast(least), "h").groupBy("h").agg(F.min("text").alias("text")).select("text")
+    some = hashed.join(F.broadcast(least), "h").groupBy("h").agg(F.min("text").alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = [], []
-        for t in batch.column("text"):
+        x, y, place, of = [], [], [], []
+        for h, t in zip(batch.column("h").to_pylist(), batch.column("text"), strict=True):
             text = t.as_py()
-            for span in (*proposals(text), *looser(text)):
+            every = [*proposals(text), *looser(text)]
+            sure = Taken([s for s in every if s[3]])
+            for i, span in enumerate(every):
+                if not span[3] and not sure.free(span):
+                    continue  # a part of what is confirmed says nothing
                 x.append(described(text, span))
                 y.append(int(span[3]))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
+                place.append(i)
+                of.append(h)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(place, pa.int64()), pa.array(of, pa.int64())], names=["x", "y", "place", "h"])
 
-    got = mapped(some, "x array<double>, y int", run)
-    rows = sorted((tuple(r.x), r.y) for r in got.orderBy(F.xxhash64("x")).limit(50_000).collect())
+    got = mapped(some, "x array<double>, y int, place long, h long", run)
+    rows = sorted((r.h, r.place, tuple(r.x), r.y) for r in got.orderBy(F.xxhash64("h", "place"), "x").limit(CANDIDATES).collect())
     if not rows:
         return Trees()
     order = np.random.default_rng(3).permutation(len(rows))
-    return Trees().fit(np.array([rows[i][0] for i in order]), np.array([rows[i][1] for i in order]))
+    return Trees().fit(np.array([rows[i][2] for i in order]), np.array([rows[i][3] for i in order]))
+
+
+class Taken:
+    """Places of a text that spans cover, as sorted intervals that don't meet."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, _, b, _ in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, span: Span) -> bool:
+        k = bisect_left(self.starts, span[2])  # intervals before k begin before the span ends
+        return not k or self.ends[k - 1] <= span[0]
+
+    def add(self, span: Span) -> None:
+        k = bisect_left(self.starts, span[2])
+        self.starts.insert(k, span[0])
+        self.ends.insert(k, span[2])
 
 
 def spans(text: str, trees: Trees) -> list[tuple[int, int, int, bool]]:
     """Base spans and additions, by start, then kind."""
-    if not any(c in text for c in "0123456789@"):
+    if not any(c in text for c in "0123456789@[("):  # no generator proposes anything without one of these
         return []
     base = proposals(text)
     kept = [s for s in base if s[3]]
     others = [s for s in (*base, *looser(text)) if not s[3] and s[2] - s[0] > 5]
     if others and trees.trees:
         p = trees.probability(np.array([described(text, s) for s in others]))
-        taken = sorted((s[0], s[2]) for s in kept)
+        taken = Taken(kept)
         for at in np.argsort(-p, kind="stable"):
             s = others[at]
-            if p[at] >= THRESHOLD and all(s[2] <= a or s[0] >= b for a, b in taken):
+            if p[at] < THRESHOLD:
+                break
+            if taken.free(s):
                 kept.append(s)
-                taken.append((s[0], s[2]))
+                taken.add(s)
     return sorted(kept)
 
 

@@ -62,6 +62,87 @@ def test_pii(spark, docs, none):
     assert pii.proposals("9" * 5000)[0][3] is False
 
 
+def planted_pii(n, seed):
+    """Texts with the spans that are personal in them, in base form or not, and numbers that aren't."""
+    own = random.Random(seed)
+    num = lambda k: "".join(own.choice("0123456789") for _ in range(k))
+    name = lambda: "".join(own.choice("abcdefgh") for _ in range(6))
+    made = []
+    for i in range(n):
+        phone, mail = f"{num(3)}-{num(3)}-{num(4)}", (name(), name())
+        kind = i % 8
+        if kind in (0, 1):
+            said, head = f"+{num(2)} {phone}", "Please phone "
+        elif kind == 2:
+            said, head = phone, "Please phone "
+        elif kind in (3, 4):
+            said, head = f"{mail[0]}@{mail[1]}.org", "Write an email to "
+        elif kind == 5:
+            said, head = f"{mail[0]} [at] {mail[1]} [dot] org", "Write an email to "
+        else:
+            said, head = f"{num(3)}-{num(3)}-{num(4)}", own.choice(["Part number ", "Order ", "Length in millimetres "])
+        made.append((f"{head}{said} today.", (len(head), len(head) + len(said)) if kind < 6 else None))
+    return made
+
+
+def test_pii_trees_add_spans(spark):
+    train = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(planted_pii(1600, 1))], "doc_id long, text string")
+    trees = pii.train(train)
+    hit = wrong = real = added = 0
+    for text, span in planted_pii(800, 2):
+        found = {(a, b) for a, _, b, _ in pii.spans(text, trees)}
+        added += sum(not s[3] for s in pii.spans(text, trees))
+        real += span is not None
+        hit += span in found
+        wrong += len(found - {span})
+    assert added >= 190 and hit / real > 0.95 and wrong / max(1, hit + wrong) < 0.05
+
+
+def test_pii_without_digits_and_with_long_names(spark):
+    trees = pii.train(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(planted_pii(1600, 1))], "doc_id long, text string"))
+    for name in ("jane.roe", "a" * 200):
+        text = f"Write an email to {name} [at] example [dot] com today"
+        assert [(text[a:b], k) for a, k, b, _ in pii.spans(text, trees)] == [(f"{name} [at] example [dot] com", 0)]
+
+
+def test_pii_takes_time_in_proportion(spark):
+    trees = pii.train(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(planted_pii(1600, 1))], "doc_id long, text string"))
+
+    def took(n):
+        text = " ".join(t for t, _ in planted_pii(n, 4))
+        began = time.process_time()
+        pii.spans(text, trees)
+        return time.process_time() - began
+
+    took(100)
+    assert took(16000) < 8 * took(4000) + 0.2
+    for t in ("a" * 300_000, "[at]" * 100_000, "1-" * 200_000, "a.b" * 100_000):
+        began = time.process_time()
+        pii.spans(t, trees)
+        assert time.process_time() - began < 8
+
+
+def test_pii_base_against_brute_force():
+    import re
+
+    own = random.Random(8)
+    rules = [
+        (0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        (1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        (2, r"[0-9]([\x20-]?[0-9])+", lambda s: 12 <= sum(map(str.isdigit, s)) <= 19 and luhn([int(c) for c in s if c.isdigit()])),
+        (3, r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= sum(map(str.isdigit, s)) <= 15),
+    ]
+
+    def luhn(digits):
+        return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+    parts = ["a", "b.c", "@", ".", "1", "25", "255.1", "4111 1111 1111 1111", "-", " ", "+", "(", ")", "é", "\n", "000", "10.0.0.1"]
+    for _ in range(3000):
+        t = "".join(own.choice(parts) for _ in range(own.randrange(25)))
+        want = sorted((m.start(), k, m.end()) for k, p, rule in rules for m in re.finditer(p, t) if rule(m.group()))
+        assert sorted(s[:3] for s in pii.proposals(t) if s[3]) == want
+
+
 def test_pii_email_like_regex():
     import re
 

@@ -4,10 +4,10 @@ Generators with high recall propose spans that may overlap: all that the base pa
 looser forms (numbers without a plus, addresses spelt out). Base spans, those that pass the base rules, always
 stay. For the others boosted trees over format and context learn which candidates the rules confirm. What only tells
 how a candidate was found is no feature: numbers are described without their plus, spelt addresses as the addresses
-that they spell, and the rule's own checksum and range aren't seen. As the rules confirm only a part of what is real,
-candidates without confirmation are unlabelled rather than wrong: the estimate is divided, by kind, by its mean over
-confirmed candidates held out from training, and a candidate whose calibrated probability reaches THRESHOLD is
-redacted too. Of overlapping additions the likelier stays, and none overlaps a base span. The trees learn from at most
+that they spell, and the rule's own checksum and range aren't seen. A card or IP that fails its rule is wrong; but
+phones and addresses in looser forms are unlabelled rather than wrong, as the rules confirm only a part of what is
+real: their estimate is divided, by kind, by its mean over confirmed candidates held out from training. A candidate
+whose calibrated probability reaches THRESHOLD is redacted too. Of overlapping additions the likelier stays, and none overlaps a base span. The trees learn from at most
 CANDIDATES candidates (of least hash of text and place) of the SAMPLE different texts of least hash.
 
 Edge cases: a null text is an empty one, without spans; every pattern and sweep runs in linear time (and sorting),
@@ -164,7 +164,7 @@ class Trees:
             leaf = STEP * np.bincount(at, g, 2**DEPTH) / (np.bincount(at, h, 2**DEPTH) + 1)
             self.trees.append((feature, cut, leaf))
             z += leaf[at]
-        for k in range(len(KINDS)):
+        for k in (0, 3):
             sure = held & (all_y == 1) & (all_x[:, 0] == k)
             if sure.sum() >= 5:
                 self.rate[k] = max(1e-3, float((1 / (1 + np.exp(-self.raw(all_x[sure])))).mean()))

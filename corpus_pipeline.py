@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docassay.llm import bpe, log_templates, order_minhash, quality_fm, winnowing
-from docassay.llm.common import read, scratch
+from docassay.llm.common import discard, read, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each through a Parquet table in the shared folder."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        made = stored(stage(spark, docs, sf_dir))
+        discard(docs)  # a stage's table that the next one has read
+        docs = made
     return docs

@@ -150,7 +150,7 @@ def tree(turns: DataFrame) -> DataFrame:
     heads = stored(under_fork.unionByName(once.where("depth = 1").select("parent", "id", "depth", "n_conversations")).select("id", "n_conversations").distinct())
     # The heads of chains along each conversation; a node takes those of one conversation through it.
     along = by_heat(turns.select("conv", "id", "depth"), heads, "id", "n_conversations", n_turns)
-    of = along.groupBy("conv").agg(F.array_sort(F.collect_set(F.struct("depth", "id"))).alias("heads"))
+    of = along.groupBy("conv").agg(F.sort_array(F.collect_set(F.struct("depth", "id"))).alias("heads"))
     of = stored(once.groupBy("conv").agg(F.count("*").alias("n")).join(of, "conv"))
     path = F.transform(F.filter("heads", lambda h: h["depth"] <= F.col("depth")), lambda h: h["id"])
     placed = by_heat(once, of, "conv", "n", n_nodes).withColumn("path", path).drop("conv", "heads").withColumn("chars", F.char_length("segment").cast("long"))
@@ -172,7 +172,7 @@ def with_ancestors(stream: DataFrame) -> DataFrame:
     chains = stored(stream.groupBy("path").agg(F.min("start").alias("from"), F.max("end").alias("to"), F.count("*").alias("n")))
     up = stored(chains.where(F.size("path") > 1).select(F.col("path").alias("chain"), F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", 1, n))).alias("path")))
     below = stored(up.groupBy("path").agg(F.count("*").alias("n_below")).join(chains.select("path", "from", "to"), "path"))
-    above = by_heat(up, below, "path", "n_below", up.count()).groupBy("chain").agg(F.array_sort(F.collect_list(F.struct(F.col("from").alias("start"), F.col("to").alias("end")))).alias("above"))
+    above = by_heat(up, below, "path", "n_below", up.count()).groupBy("chain").agg(F.sort_array(F.collect_list(F.struct(F.col("from").alias("start"), F.col("to").alias("end")))).alias("above"))
     facts = stored(chains.join(above.withColumnRenamed("chain", "path"), "path", "left").select("path", "from", "above", "n"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     own = F.when(F.col("start") > F.col("from"), F.array(F.struct(F.col("from").alias("start"), F.col("start").alias("end")))).otherwise(none)

@@ -60,12 +60,11 @@ def generalised(docs: DataFrame, different: DataFrame) -> DataFrame:
     places = stored(split.withColumn("place", F.xxhash64("leaf", "at", "token")))
     facts = stored(places.groupBy("place").agg(F.count("*").alias("c")).withColumn("n", F.col("c")))
     counted = by_heat(places, facts, "place", "n", places.count())
-    each = counted.groupBy("template").agg(F.first("lead").alias("lead"), F.array_sort(F.collect_list(F.struct("at", "token", "c"))).alias("ts"))
+    each = counted.groupBy("template").agg(F.first("lead").alias("lead"), F.sort_array(F.collect_list(F.struct("at", "token", "c"))).alias("ts"))
     ranked = F.sort_array(F.transform("ts", lambda t: t["c"]), asc=False)
-    each = each.withColumn("m", F.get(ranked, F.ceil(F.size("ts") * AGREE).cast("int") - 1))
-    some = each.where(F.exists("ts", lambda t: t["c"] * 2 <= F.col("m")))
-    said = F.transform("ts", lambda t: F.when(t["c"] * 2 <= F.col("m"), FIELD).otherwise(t["token"]))
-    made = stored(some.select("template", digest(F.concat_ws(" ", "lead", F.array_join(said, " "))).alias("whole")))
+    m = F.get(ranked, F.ceil(F.size("ts") * AGREE).cast("int") - 1)
+    said = let(m, lambda m: F.transform("ts", lambda t: F.when(t["c"] * 2 <= m, FIELD).otherwise(t["token"])))
+    made = stored(each.select("template", digest(F.concat_ws(" ", "lead", F.array_join(said, " "))).alias("whole"))).where("whole != template")
     discard(mixed, places, facts)
     return made
 
@@ -88,7 +87,7 @@ def repeats(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     facts = stored(by_heat(named, often, "whole", "lines", named.count()).select("template", "first", "n"))
     discard(different, whole, names, may, named, often)
     gone = by_heat(rows, facts, "template", "n", total).where(~place.eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("at")).alias("dropped"))
+    return gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
 
 
 def drop_repeats(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:

@@ -97,7 +97,7 @@ def dedup(docs: DataFrame, unit: str = "line", least_words: int = 0, passages: t
         raise ValueError(f"unit must be one of {sorted(UNITS)}")
     docs = without(docs, "removed", "n_removed")
     d, k, places = unused(docs, "gone_from", "gone_key", "gone_at")
-    gone = repeated(docs, unit, passages is not None).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("at")).alias(places)).withColumnsRenamed({"doc_id": d, "key": k})
+    gone = repeated(docs, unit, passages is not None).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("at")).alias(places)).withColumnsRenamed({"doc_id": d, "key": k})
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(d)) & (text_key(docs["text"]) == F.col(k)), "left").drop(d, k)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:

@@ -37,6 +37,11 @@ def grams(of: Column, n: int) -> Column:
     return F.when(F.size(of) >= n, F.transform(F.sequence(F.lit(1), F.size(of) - (n - 1)), lambda i: F.xxhash64(F.slice(of, i, n)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def placed(of: Column, n: int) -> Column:
+    """Those hashes as array<struct<n, at, h>>, with their places from 0."""
+    return F.transform(grams(of, n), lambda h, i: F.struct(F.lit(n).alias("n"), i.alias("at"), h.alias("h")))
+
+
 def fingerprints(hashes: Column) -> Column:
     """The least of each K consecutive hashes, once each."""
     n = WINDOW - K + 1
@@ -88,14 +93,14 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     lengths = [n for (n,) in items.where(~long).select(F.size("words")).distinct().collect()]  # below 13: twelve at most
     if lengths:
-        each = F.flatten(F.array(*(F.transform(grams(F.col("words"), n), lambda h, i, n=n: F.struct(F.lit(n).alias("n"), i.alias("at"), h.alias("h"))) for n in sorted(lengths))))
+        each = F.flatten(F.array(*(placed(F.col("words"), n) for n in sorted(lengths))))
         found = found.unionByName(occurrences(worded.select("doc_id", "key", "words", F.explode(each).alias("g")).select("doc_id", "key", "words", "g.*"), windows(items.where(~long))))
 
     # at most one row per document, place and length, then their union
     spans = found.select("doc_id", "key", F.struct("at", (F.col("at") + F.col("n")).alias("end")).alias("span"), "item_id")
-    grouped = spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    grouped = spans.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda s, x: F.struct((s["n"] + F.greatest(x["end"] - F.greatest(s["to"], x["at"]), F.lit(0))).alias("n"), F.greatest(s["to"], x["end"]).alias("to")), lambda s: s["n"])
-    return grouped.select("doc_id", "key", covered.cast("long").alias("n_hit"), F.array_sort("items").alias("items"))
+    return grouped.select("doc_id", "key", covered.cast("long").alias("n_hit"), F.sort_array("items").alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

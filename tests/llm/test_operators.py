@@ -488,6 +488,27 @@ def test_winnowing(spark, docs, none):
     assert winnowing.decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0 == winnowing.decontaminate(none, bench).count()
 
 
+def test_winnowing_against_brute_force(spark):
+    own = random.Random(6)
+    word = lambda: own.choice("abc")
+    items = [(i, " ".join(word() for _ in range(own.choice([0, 1, 3, 5, 12, 13, 14, 20])))) for i in range(12)]
+    rows = [(i, " ".join(word() for _ in range(own.randrange(60)))) for i in range(40)]
+    rows += [(100 + i, f"{rows[i][1]} {items[i % 12][1]}") for i in range(20)]
+    got = winnowing.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: r for r in got.collect()}
+    for i, t in rows:
+        w, hit, names = t.split(), set(), set()
+        for item, x in items:
+            v = x.split()
+            n = min(13, len(v))
+            for a in range(len(v) - n + 1) if v else ():
+                for b in range(len(w) - n + 1):
+                    if w[b : b + n] == v[a : a + n]:
+                        hit |= set(range(b, b + n))
+                        names.add(str(item))
+        assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == (len(w), len(hit), sorted(names))
+
+
 def test_log_templates(spark, none):
     rows = [(i, f"Intro {chr(97 + i)} of text.\nReleased under License version {i}.0\nOutro {chr(97 + i)} here.", "n") for i in range(12)]
     rows += [(100 + i, "Same first line of a copy.\nSame second line of a copy.", "n") for i in range(30)]

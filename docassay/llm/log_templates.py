@@ -52,10 +52,10 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line") != "")
 
 
-def generalised(docs: DataFrame, different: DataFrame) -> DataFrame:
-    """(template, whole): the digests of lines that have rare tokens at their places, and of them with these masked."""
+def generalised(rows: DataFrame, different: DataFrame) -> DataFrame:
+    """(template, whole): the digests of lines of rows (leaf, line) that have rare tokens at their places, and of them with these masked."""
     mixed = stored(different.where(F.col("tokens") > LEAD).groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf"))
-    texts = lines(docs).select(leaf(F.col("line")).alias("leaf"), "line").join(small(mixed), "leaf", "leftsemi").distinct()
+    texts = rows.where(F.col("tokens") > LEAD).select("leaf", "line").join(small(mixed), "leaf", "leftsemi").distinct()
     split = texts.select("leaf", digest(F.col("line")).alias("template"), F.substring_index("line", " ", LEAD).alias("lead"), F.posexplode(F.split("line", " ")).alias("at", "token")).where(F.col("at") >= LEAD)
     places = stored(split.withColumn("place", F.xxhash64("leaf", "at", "token")))
     facts = stored(places.groupBy("place").agg(F.count("*").alias("c")).withColumn("n", F.col("c")))
@@ -73,10 +73,10 @@ def repeats(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """(doc_id, key, dropped): the places of lines to drop, from 0, in order."""
     docs = docs.select("doc_id", "text")
     line, place = F.col("line"), F.struct("doc_id", "key", "at")
-    rows = stored(lines(docs).select("doc_id", "key", "at", digest(line).alias("template"), leaf(line).alias("leaf"), n_tokens(line).alias("tokens")))
+    rows = stored(lines(docs).select("doc_id", "key", "at", digest(line).alias("template"), leaf(line).alias("leaf"), n_tokens(line).alias("tokens"), "line"))
     total = rows.count()
     different = stored(rows.groupBy("template").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"), F.count("*").alias("n")))
-    whole = generalised(docs, different)
+    whole = generalised(rows, different)
     names = stored(different.join(whole, "template", "left").select("template", F.coalesce("whole", "template").alias("whole"), "n"))
     # Only templates of enough rows can stand in enough documents.
     may = stored(names.groupBy("whole").agg(F.count("*").alias("lines"), F.sum("n").alias("rows")).where(F.col("rows") >= documents).select("whole", "lines"))
@@ -86,7 +86,7 @@ def repeats(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     often = stored(often.join(may, "whole").select("whole", "first", "lines"))
     facts = stored(by_heat(named, often, "whole", "lines", named.count()).select("template", "first", "n"))
     discard(different, whole, names, may, named, often)
-    gone = by_heat(rows, facts, "template", "n", total).where(~place.eqNullSafe(F.col("first")))
+    gone = by_heat(rows.select("doc_id", "key", "at", "template"), facts, "template", "n", total).where(~place.eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
 
 

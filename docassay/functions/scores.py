@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .text import strip_punctuation
 
 #: Least score of a match, by method.
-THRESHOLDS = {"exact": 1.0, "soft": 1.0, "levenshtein": 0.8, "ratcliff_obershelp": 0.95}
+THRESHOLDS = {"exact": 1.0, "soft": 1.0, "levenshtein": 0.8}
 
 
 def exact(a: Column, b: Column) -> Column:
@@ -19,16 +19,31 @@ def soft(a: Column, b: Column) -> Column:
     return exact(strip_punctuation(a), strip_punctuation(b))
 
 
-#: Widths of the bands in which an edit distance is tried before all of it is worked out.
-BANDS = (16, 256, 4096)
+def shared_chars(a: Column, b: Column) -> Column:
+    """How many characters both have, each as often as the fewer times."""
+
+    def times(s: Column, c: Column) -> Column:
+        return F.char_length(s) - F.char_length(F.replace(s, c, F.lit("")))
+
+    return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(a, c), times(b, c))))
+
+
+#: Multiples of the least possible distance, and what is added, for the bands that are tried before the whole matrix.
+BANDS = ((1, 0), (2, 16), (8, 64))
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """The exact edit distance; its cost grows with the length times the distance, not with the square of the length."""
+    """The exact edit distance, in bands as wide as the differing characters ask for; the matrix of long texts as the last resort."""
+    longest = F.greatest(F.char_length(a), F.char_length(b))
     gap = F.abs(F.char_length(a) - F.char_length(b))
     inside = F.startswith(a, b) | F.startswith(b, a) | F.endswith(a, b) | F.endswith(b, a)
-    banded = [F.nullif(F.levenshtein(a, b, k), F.lit(-1)) for k in BANDS]
-    return F.when(inside, gap).otherwise(F.coalesce(*banded, F.levenshtein(a, b)))
+
+    def banded(low: Column) -> Column:
+        tried = [F.nullif(F.call_function("levenshtein", a, b, low * k + more), F.lit(-1)) for k, more in BANDS]
+        return F.coalesce(*tried, F.levenshtein(a, b))
+
+    low = F.get(F.transform(F.array(longest - shared_chars(a, b)), banded), F.lit(0))
+    return F.when(inside, gap).when(longest <= 64, F.levenshtein(a, b)).otherwise(low)
 
 
 def levenshtein(a: Column, b: Column) -> Column:
@@ -39,12 +54,7 @@ def levenshtein(a: Column, b: Column) -> Column:
 def char_count_bound(a: Column, b: Column) -> Column:
     """Characters that both have, each as often as the fewer times, over the longer length; no edit similarity is above it."""
     longest = F.greatest(F.char_length(a), F.char_length(b))
-
-    def times(s: Column, c: Column) -> Column:
-        return F.char_length(s) - F.char_length(F.replace(s, c, F.lit("")))
-
-    shared = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(a, c), times(b, c))))
-    return F.when(F.equal_null(a, b), 1.0).otherwise(shared / longest)
+    return F.when(F.equal_null(a, b), 1.0).otherwise(shared_chars(a, b) / longest)
 
 
 def length_bound(a: Column, b: Column) -> Column:
@@ -54,9 +64,9 @@ def length_bound(a: Column, b: Column) -> Column:
 
 
 def confusion(expected: Column, actual: Column, score: Column, threshold: float) -> dict[str, Column]:
-    """One of the four counts is 1: a mismatch is a false positive, only a missing value a false negative."""
-    some, got = expected != "", actual != ""
-    tp = some & got & (score >= threshold)
+    """One of the four counts is 1: a mismatch is a false positive, only a missing value a false negative; null is no value."""
+    some, got = F.coalesce(expected, F.lit("")) != "", F.coalesce(actual, F.lit("")) != ""
+    tp = some & got & F.coalesce(score >= threshold, F.lit(False))
     return {
         "tp": tp.cast("long"),
         "fp": (~tp & got).cast("long"),
@@ -69,6 +79,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def is_close(a: Column, b: Column, relative: float = 1e-5, absolute: float = 1e-8) -> Column:
+    """Whether a differs from b by a tolerance at most; two nulls don't."""
+    return F.coalesce(F.abs(a - b) <= absolute + relative * F.abs(b), a.isNull() & b.isNull())
+
+
 def metrics(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
     """Accuracy, precision, recall with mismatches in its denominator, and their harmonic mean; 0 where undefined."""
     precision = ratio(tp, tp + fp)

@@ -12,8 +12,13 @@ RESOLUTION = 1000.0
 
 
 def parse(text: Column) -> Column:
-    """Boxes of a text, as arrays of five numbers."""
-    return F.transform(F.split(text, ";"), lambda b: F.transform(F.split(b, ","), lambda x: x.cast("double")))
+    """Boxes of a text, as arrays of five numbers; none of an empty or null text. Boxes of other sizes end the job."""
+
+    def box(b: Column) -> Column:
+        parts = F.split(b, ",")
+        return F.when(F.size(parts) == 5, F.transform(parts, lambda x: F.trim(x).cast("double"))).otherwise(F.raise_error(F.concat(F.lit("a box has five numbers: "), b)))
+
+    return F.coalesce(F.transform(F.filter(F.split(text, ";"), lambda b: F.trim(b) != ""), box), F.array().cast("array<array<double>>"))
 
 
 def area(boxes: Column) -> Column:

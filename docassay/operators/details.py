@@ -50,3 +50,15 @@ def win_loss(compared: DataFrame, by: str) -> DataFrame:
         F.count_if((mine == 1) & (theirs == 0)).alias("worse"),
         F.count_if((nothing == 0) & (mine == 0) & (theirs == 0)).alias("both_wrong"),
     )
+
+
+def tool_pairs(details: DataFrame, keys: Sequence[str], tool: str = "tool") -> DataFrame:
+    """Each two tools' details side by side, the lesser name first; the second's other columns end in _other."""
+    own = [c for c in details.columns if c not in keys]
+    other = details.withColumnsRenamed({c: f"{c}_other" for c in own})
+    return details.join(other, list(keys)).where(F.col(tool) < F.col(f"{tool}_other"))
+
+
+def first_per_group(rows: DataFrame, by: str, value: str, order: str) -> DataFrame:
+    """(by, value): the value of each group's first row by `order`."""
+    return rows.groupBy(by).agg(F.min_by(value, order).alias(value))

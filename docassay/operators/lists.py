@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 def partial_list_counts(expected: Column, actual: Column) -> Column:
     """Items by place, the shorter list padded with empty ones: tp, fp, fn, tn summed over places, and the mean score."""
-    pairs = F.zip_with(expected, actual, lambda a, b: F.struct(F.coalesce(a, F.lit("")).alias("a"), F.coalesce(b, F.lit("")).alias("b")))
+    none = F.array().cast("array<string>")
+    pairs = F.zip_with(F.coalesce(expected, none), F.coalesce(actual, none), lambda a, b: F.struct(F.coalesce(a, F.lit("")).alias("a"), F.coalesce(b, F.lit("")).alias("b")))
 
     def count(test) -> Column:
         return F.size(F.filter(pairs, test)).cast("long")
@@ -30,30 +26,28 @@ def partial_list_counts(expected: Column, actual: Column) -> Column:
 
 
 def list_score(expected: Column, actual: Column) -> Column:
-    """1 if the lists have the same items in order, else 0."""
-    return (expected == actual).cast("double")
+    """1 if the lists have the same items in order, else 0; a null list is empty."""
+    none = F.array().cast("array<string>")
+    return (F.coalesce(expected, none) == F.coalesce(actual, none)).cast("double")
+
+
+def _sums(items: DataFrame) -> DataFrame:
+    """(key, tp, e, a): matches of equal items and how many items both sides have; rows without item only name a key."""
+    each = items.groupBy("key", "item").agg(F.count_if((F.col("side") == "expected") & F.col("item").isNotNull()).alias("e"), F.count_if((F.col("side") == "actual") & F.col("item").isNotNull()).alias("a"))
+    return each.groupBy("key").agg(F.sum(F.least("e", "a")).alias("tp"), F.sum("e").alias("e"), F.sum("a").alias("a"))
 
 
 def unordered_counts(items: DataFrame) -> DataFrame:
     """(key, tp, fp, fn, score) from (key, side, item): matches of equal items, each used once.
 
     The smaller of an item's numbers on both sides are matches; what is left of the actual items is false positive,
-    and expected items beyond the actual ones' number are missing.
+    and expected items beyond the actual ones' number are missing. Without items the score is 1: give such a key a row
+    whose item is null.
     """
-    each = items.groupBy("key", "item").agg(F.count_if(F.col("side") == "expected").alias("e"), F.count_if(F.col("side") == "actual").alias("a"))
-    sums = each.groupBy("key").agg(F.sum(F.least("e", "a")).alias("tp"), F.sum("e").alias("e"), F.sum("a").alias("a"))
-    return sums.select("key", "tp", (F.col("a") - F.col("tp")).alias("fp"), F.greatest(F.col("e") - F.col("a"), F.lit(0).cast("long")).alias("fn"), (F.col("tp") / F.greatest("e", "a")).alias("score"))
+    longer = F.greatest("e", "a")
+    return _sums(items).select("key", "tp", (F.col("a") - F.col("tp")).alias("fp"), F.greatest(F.col("e") - F.col("a"), F.lit(0).cast("long")).alias("fn"), F.when(longer == 0, 1.0).otherwise(F.col("tp") / F.nullif(longer, F.lit(0).cast("long"))).alias("score"))
 
 
 def unordered_whole(items: DataFrame) -> DataFrame:
-    """(key, score) from (key, side, item): share of matches of equal items if both sides have as many, else 0."""
-    each = items.groupBy("key", "item").agg(F.count_if(F.col("side") == "expected").alias("e"), F.count_if(F.col("side") == "actual").alias("a"))
-    sums = each.groupBy("key").agg(F.sum(F.least("e", "a")).alias("tp"), F.sum("e").alias("e"), F.sum("a").alias("a"))
-    return sums.select("key", F.when(F.col("e") != F.col("a"), 0.0).otherwise(F.col("tp") / F.col("e")).alias("score"))
-
-
-@F.pandas_udf(DoubleType())
-def ratcliff_obershelp(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Matched parts of both strings over their length, in Arrow batches."""
-    for a, b in batches:
-        yield pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+    """(key, score) from (key, side, item): share of matches of equal items if both sides have as many, else 0; 1 without items."""
+    return _sums(items).select("key", F.when(F.col("e") != F.col("a"), 0.0).when(F.col("e") == 0, 1.0).otherwise(F.col("tp") / F.nullif("e", F.lit(0).cast("long"))).alias("score"))

@@ -91,6 +91,31 @@ def greedy(expected: Column, actual: Column, measure: Measure, threshold: float,
     return _let(_let(first, second), alone)
 
 
+def greedy_equal(expected: Column, actual: Column, prepare: Callable[[Column], Column] = lambda x: x) -> Column:
+    """greedy() for measures that are 1 for values that are equal once prepared, else 0: a search for each value, no scores."""
+    kind = f"struct<rest:array<string>,own:array<string>,without:array<string>,pairs:array<{PAIR}>>"
+    texts, none = F.array().cast("array<string>"), F.array().cast(f"array<{PAIR}>")
+
+    def state(rest: Column, own: Column, without: Column, pairs: Column) -> Column:
+        return F.struct(rest.alias("rest"), own.alias("own"), without.alias("without"), pairs.alias("pairs")).cast(kind)
+
+    def less(xs: Column, at: Column) -> Column:
+        return F.concat(F.slice(xs, F.lit(1), at - 1), F.slice(xs, at + 1, F.size(xs)))
+
+    def step(s: Column, v: Column) -> Column:
+        def taken(at: Column) -> Column:
+            pair = F.struct(v.alias("e"), F.get(s["own"], at - 1).alias("a"), F.lit(1.0).alias("score"))
+            return F.when(at > 0, state(less(s["rest"], at), less(s["own"], at), s["without"], F.concat(s["pairs"], F.array(pair)))).otherwise(state(s["rest"], s["own"], F.concat(s["without"], F.array(v)), s["pairs"]))
+
+        return _let(F.array_position(s["rest"], prepare(v)).cast("int"), taken)
+
+    def over(s: Column) -> Column:  # what is left is paired in order, at 0; the longer side's rest stays alone
+        blank = lambda x: F.coalesce(x, F.lit(""))
+        return F.concat(s["pairs"], F.zip_with(s["without"], s["own"], lambda e, a: F.struct(blank(e).alias("e"), blank(a).alias("a"), F.lit(0.0).alias("score"))))
+
+    return _let(F.aggregate(expected, state(F.transform(actual, prepare), actual, texts, none), step), over)
+
+
 def partial_counts(pairs: Column, threshold: float) -> Column:
     """tp, fp, fn, tn summed over matched pairs, and the mean score; 1 without pairs."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,16 @@ def scored(pairs: DataFrame, method: str, score: Column, expected: str = "expect
     return made.withColumns(scores.confusion(F.col(expected), F.col(actual), F.col("score"), scores.THRESHOLDS[method]))
 
 
+def _keys(df: DataFrame) -> list[str]:
+    """What summaries are grouped by: the scoring type, where there is one, and the method."""
+    return [c for c in ("scoring_type", "scoring_method") if c in df.columns]
+
+
 def by_field(scored_pairs: DataFrame) -> DataFrame:
-    """Counts of each (scoring_method, field_name), true negatives from the group's total over all its fields."""
-    summed = scored_pairs.groupBy("scoring_method", "field_name").agg(*(F.sum(c).alias(c) for c in COUNTS))
-    total = F.sum(F.col("tp") + F.col("fn") + 2 * F.col("fp")).over(Window.partitionBy("scoring_method"))
+    """Counts of each (scoring_type, scoring_method, field_name), true negatives from the group's total over all its fields."""
+    keys = _keys(scored_pairs)
+    summed = scored_pairs.groupBy(*keys, "field_name").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    total = F.sum(F.col("tp") + F.col("fn") + 2 * F.col("fp")).over(Window.partitionBy(*keys))
     return summed.withColumn("tn", total - F.col("tp") - F.col("fp") - F.col("fn"))
 
 
@@ -28,9 +36,25 @@ def with_metrics(counts: DataFrame) -> DataFrame:
     return counts.withColumns(scores.metrics(*(F.col(c) for c in (*COUNTS, "tn"))))
 
 
-def summary(scored_pairs: DataFrame) -> DataFrame:
-    """Rows by field, and a micro (of summed counts) and a macro (mean of metrics) row of each method."""
-    fields = with_metrics(by_field(scored_pairs)).withColumn("stats_name", F.lit("by-field"))
-    micro = with_metrics(fields.groupBy("scoring_method").agg(*(F.sum(c).alias(c) for c in (*COUNTS, "tn")))).withColumns({"stats_name": F.lit("micro"), "field_name": F.lit(None).cast("string")})
-    macro = fields.groupBy("scoring_method").agg(*(F.avg(m).alias(m) for m in METRICS)).withColumns({"stats_name": F.lit("macro")})
+def summary(scored_pairs: DataFrame, field_names: Sequence[str] | None = None) -> DataFrame:
+    """Rows by field, and a micro (of summed counts) and a macro (mean of metrics) row of each scoring type and method.
+
+    Only the fields of field_names count; a group without any of them still has its micro and macro rows, of zeros.
+    """
+    keys = _keys(scored_pairs)
+    some = scored_pairs if field_names is None else scored_pairs.where(F.col("field_name").isin(*field_names))
+    fields = with_metrics(by_field(some)).withColumn("stats_name", F.lit("by-field"))
+    groups = scored_pairs.select(*keys).distinct()
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    summed = fields.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in (*COUNTS, "tn")))
+    micro = with_metrics(groups.join(summed, keys, "left").select(*keys, *map(zero, (*COUNTS, "tn")))).withColumns({"stats_name": F.lit("micro"), "field_name": F.lit(None).cast("string")})
+    mean = fields.groupBy(*keys).agg(*(F.avg(m).alias(m) for m in METRICS))
+    macro = groups.join(mean, keys, "left").select(*keys, *map(zero, METRICS)).withColumns({"stats_name": F.lit("macro")})
     return fields.unionByName(micro).unionByName(macro, allowMissingColumns=True)
+
+
+def in_order(summary_rows: DataFrame, field_names: Sequence[str]) -> DataFrame:
+    """The rows of a summary by group, in it by the order of field_names, then micro, then macro."""
+    place = F.array_position(F.array(*map(F.lit, field_names)), F.col("field_name"))
+    rank = F.when(F.col("stats_name") == "micro", 1).when(F.col("stats_name") == "macro", 2).otherwise(0)
+    return summary_rows.orderBy(*_keys(summary_rows), rank, place)

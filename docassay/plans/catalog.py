@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import boxes, lists, summary
+from ..operators import boxes, lists, scoring, summary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +39,6 @@ METRICS = """coalesce((tp + tn) / nullif(tp + fp + tn + fn, 0), 0.0) AS accuracy
  CASE WHEN tp + fn > 0 THEN coalesce(tp / nullif(tp + fn + fp, 0), 0.0) ELSE 0.0 END AS recall"""
 
 
-def ascii_only(c: Column) -> Column:
-    """Other characters as question marks: DuckDB's edit distance counts bytes."""
-    return F.regexp_replace(c, r"[^\x00-\x7F]", "?")
-
-
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("doc_id", "field_name", F.split("expected", "\n").alias("e"), F.when(F.col("actual") == "", F.array().cast("array<string>")).otherwise(F.split("actual", "\n")).alias("a"))
 
@@ -66,22 +61,12 @@ def zipped_lines(spark, sf_dir):
 
 
 def score_line_levenshtein(spark, sf_dir):
-    e, a = ascii_only(F.col("expected")), ascii_only(F.col("actual"))
-    made = summary.scored(zipped_lines(spark, sf_dir), "levenshtein", scores.levenshtein(e, a))
+    made = summary.scored(zipped_lines(spark, sf_dir), "levenshtein", scores.levenshtein(F.col("expected"), F.col("actual")))
     return made.groupBy("doc_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")), F.round(F.avg("score"), 6).alias("score"))
 
 
 ZIPPED = LINES + """, zipped AS (SELECT doc_id, field_name, i - 1 AS at, coalesce(e[i], '') AS expected, coalesce(a[i], '') AS actual
  FROM (SELECT *, unnest(range(1, greatest(len(e), len(a)) + 1)) AS i FROM lists))"""
-ASCII = "regexp_replace({}, '[^\\x00-\\x7F]', '?', 'g')"
-LEVENSHTEIN = f"CASE WHEN greatest(length(expected), length(actual)) = 0 THEN 1.0 ELSE 1 - levenshtein({ASCII.format('expected')}, {ASCII.format('actual')}) / greatest(length(expected), length(actual)) END"
-
-
-def score_ratcliff(spark, sf_dir):
-    made = zipped_lines(spark, sf_dir).withColumn("ratio", lists.ratcliff_obershelp("expected", "actual"))
-    return summary.scored(made, "ratcliff_obershelp", F.col("ratio")).groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")), F.avg("score").alias("score"))
-
-
 def normalize_text(spark, sf_dir):
     return pairs(spark, sf_dir).select("doc_id", F.md5(text.normalize(F.col("expected"), lower=False)).alias("normalized"))
 
@@ -91,7 +76,10 @@ def strip_punctuation(spark, sf_dir):
 
 
 def person_name_normalize(spark, sf_dir):
-    name = F.concat(F.substring("c_mktsegment", 1, 1), F.lit(". "), F.substring("c_name", 1, 1), F.lit(". "), F.col("c_name"))
+    """Names in several forms: initials with stops, with and without blanks, capitals before an initial, blanks around."""
+    c, s, i = F.col("c_name"), F.col("c_mktsegment"), lambda k: F.substring("c_mktsegment", k, 1)
+    forms = [F.concat(i(1), F.lit(". "), i(2), F.lit(". "), i(3), F.lit(". "), c), F.concat(i(1), F.lit("."), i(2), F.lit("."), c), F.concat(s, F.lit(" "), i(1)), F.concat(F.lit("  "), c, F.lit(" "), i(1), F.lit(". "), i(2), F.lit(". "), i(3), F.lit("."))]
+    name = F.array(*forms)[(F.col("c_custkey") % 4).cast("int")]
     return table(spark, sf_dir, "customer").select("c_custkey", text.person_name(name).alias("name"))
 
 
@@ -106,9 +94,15 @@ def expand_last_page(spark, sf_dir):
 
 
 def both_methods(spark, sf_dir):
-    p = pairs(spark, sf_dir)
+    """Both methods' scores and counts of each pair; the texts are read once and only numbers are made into rows."""
     e, a = F.col("expected"), F.col("actual")
-    return summary.scored(p, "exact", scores.exact(e, a)).unionByName(summary.scored(p, "soft", scores.soft(e, a)))
+
+    def one(method: str, score: Column) -> Column:
+        counts = lambda s: F.struct(F.lit(method).alias("scoring_method"), s.alias("score"), *(c.alias(k) for k, c in scores.confusion(e, a, s, scores.THRESHOLDS[method]).items()))
+        return F.get(F.transform(F.array(score), counts), F.lit(0))
+
+    each = F.explode(F.array(one("exact", scores.exact(e, a)), one("soft", scores.soft(e, a))))
+    return pairs(spark, sf_dir).select("doc_id", "field_name", "source", each.alias("s")).select("doc_id", "field_name", "source", "s.*")
 
 
 BOTH = PAIRS + f""", scored AS (SELECT doc_id, field_name, source, 'exact' AS scoring_method, score, {COUNTS.format(1)} FROM (SELECT *, {EXACT} AS score FROM pairs)
@@ -144,10 +138,13 @@ def score_partial_list_exact(spark, sf_dir):
 
 
 def items(spark, sf_dir, once: bool):
+    """(key, side, item) of the lines that aren't blank; a document without any has a row without item."""
     pick = F.array_distinct if once else lambda c: c
-    rows = lines(spark, sf_dir)
-    each = rows.select(F.col("doc_id").alias("key"), F.lit("expected").alias("side"), F.explode(pick(F.col("e"))).alias("item"))
-    return each.unionByName(rows.select(F.col("doc_id").alias("key"), F.lit("actual").alias("side"), F.explode(pick(F.col("a"))).alias("item"))).where("item <> ''")
+
+    def side(c: str, name: str) -> Column:
+        return F.transform(pick(F.filter(c, lambda x: x != "")), lambda x: F.struct(F.lit(name).alias("side"), x.alias("item")))
+
+    return lines(spark, sf_dir).select(F.col("doc_id").alias("key"), F.explode_outer(F.concat(side("e", "expected"), side("a", "actual"))).alias("i")).select("key", "i.*")
 
 
 def score_partial_ulist_exact(spark, sf_dir):
@@ -161,8 +158,8 @@ def score_partial_set_exact(spark, sf_dir):
 def unordered_sql(distinct: str) -> str:
     return f"""WITH {LINES}, items AS (SELECT {distinct} doc_id, 'expected' AS side, item FROM (SELECT doc_id, unnest(e) AS item FROM lists) UNION ALL SELECT {distinct} doc_id, 'actual', item FROM (SELECT doc_id, unnest(a) AS item FROM lists)),
 each AS (SELECT doc_id, item, count(*) FILTER (side = 'expected') AS e, count(*) FILTER (side = 'actual') AS a FROM items WHERE item <> '' GROUP BY ALL),
-sums AS (SELECT doc_id, sum(least(e, a)) AS tp, sum(e) AS e, sum(a) AS a FROM each GROUP BY ALL)
-SELECT doc_id, CAST(tp AS BIGINT) AS tp, CAST(a - tp AS BIGINT) AS fp, CAST(greatest(e - a, 0) AS BIGINT) AS fn, round(tp / greatest(e, a), 9) AS score FROM sums"""
+sums AS (SELECT doc_id, coalesce(tp, 0) AS tp, coalesce(e, 0) AS e, coalesce(a, 0) AS a FROM (SELECT doc_id FROM documents) LEFT JOIN (SELECT doc_id, sum(least(e, a)) AS tp, sum(e) AS e, sum(a) AS a FROM each GROUP BY ALL) USING (doc_id))
+SELECT doc_id, CAST(tp AS BIGINT) AS tp, CAST(a - tp AS BIGINT) AS fp, CAST(greatest(e - a, 0) AS BIGINT) AS fn, round(CASE WHEN greatest(e, a) = 0 THEN 1.0 ELSE tp / greatest(e, a) END, 9) AS score FROM sums"""
 
 
 def length_bound(spark, sf_dir):
@@ -170,21 +167,43 @@ def length_bound(spark, sf_dir):
 
 
 def char_count_bound(spark, sf_dir):
-    p = pairs(spark, sf_dir)
-    side = lambda c: p.select("doc_id", F.lit(c).alias("side"), F.explode(F.split(c, "")).alias("c")).where("c <> ''")
-    each = side("expected").unionByName(side("actual")).groupBy("doc_id", "c").agg(F.count_if(F.col("side") == "expected").alias("e"), F.count_if(F.col("side") == "actual").alias("a"))
-    return rounded(each.groupBy("doc_id").agg((F.sum(F.least("e", "a")) / F.greatest(F.sum("e"), F.sum("a"))).alias("bound")), "bound")
+    return rounded(pairs(spark, sf_dir).select("doc_id", scores.char_count_bound(F.col("expected"), F.col("actual")).alias("bound")), "bound")
 
 
 def order_tables(spark, sf_dir):
-    cell = F.concat_ws("|", F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"), "l_returnflag")
-    other = F.when(F.col("l_linenumber") % 3 == 0, F.lower(cell)).otherwise(cell)
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", cell.alias("e"), other.alias("a")))).alias("rows"))
-    return rows.select("l_orderkey", F.transform("rows", lambda r: r["e"]).alias("e"), F.transform("rows", lambda r: r["a"]).alias("a"))
+    """(l_orderkey, e, a): each order's lines as tables of three columns, one for each return flag, and as they were found.
+
+    Every third line has its flag in lower case there, every seventh order lacks its last table, every fifth a cell.
+    """
+    cells = F.array(F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.col("l_returnflag"))
+    found = F.when(F.col("l_linenumber") % 3 == 0, F.transform(cells, F.lower)).otherwise(cells)
+    found = F.when((F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") % 2 == 0), F.slice(found, 1, 2)).otherwise(found)
+    rows = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", c.alias("row")))), lambda r: r["row"])
+    made = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(rows(cells).alias("e"), rows(found).alias("a"))
+    none = F.array().cast("array<array<string>>")
+    of = lambda c: F.struct(F.slice(c, 1, 1).alias("head"), F.slice(c, F.lit(2), F.size(c)).alias("body"))
+    grouped = made.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_returnflag", F.coalesce("e", none).alias("e"), F.coalesce("a", none).alias("a")))).alias("t"))
+    less = F.when(F.col("l_orderkey") % 7 == 0, F.slice("t", F.lit(1), F.size("t") - 1)).otherwise(F.col("t"))
+    return grouped.select("l_orderkey", F.transform("t", lambda t: of(t["e"])).alias("e"), F.transform(less, lambda t: of(t["a"])).alias("a"))
+
+
+def table_scores(spark, sf_dir, kind: str):
+    made = order_tables(spark, sf_dir).select("l_orderkey", scoring.score(F.col("e"), F.col("a"), kind, "exact").alias("s"))
+    return rounded(made.select("l_orderkey", *(f"s.{c}" for c in ("tp", "fp", "fn", "tn", "score"))), "score")
 
 
 def score_table_exact(spark, sf_dir):
-    return order_tables(spark, sf_dir).select("l_orderkey", lists.list_score(F.col("e"), F.col("a")).alias("score"))
+    return table_scores(spark, sf_dir, "table")
+
+
+def score_partial_table_exact(spark, sf_dir):
+    return table_scores(spark, sf_dir, "partial_table")
+
+
+#: A table is whole if no line of it differs: no lower-case flag, no cell gone.
+TABLES = """WITH r AS (SELECT l_orderkey AS k, l_returnflag AS f, (l_linenumber % 3 = 0 AND l_returnflag <> lower(l_returnflag)) OR (l_orderkey % 5 = 0 AND l_linenumber % 2 = 0) AS bad FROM lineitem),
+ t AS (SELECT k, f, bool_or(bad) AS bad, row_number() OVER (PARTITION BY k ORDER BY f) AS i, count(*) OVER (PARTITION BY k) AS n FROM r GROUP BY k, f),
+ s AS (SELECT *, k % 7 = 0 AND i = n AS gone FROM t)"""
 
 
 def bbox_area_score(spark, sf_dir):
@@ -222,9 +241,9 @@ def adjacent_label_concat(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
-        score_string_exact, score_string_soft, score_line_levenshtein, score_ratcliff, normalize_text, strip_punctuation, person_name_normalize, doi_from_url,
+        score_string_exact, score_string_soft, score_line_levenshtein, normalize_text, strip_punctuation, person_name_normalize, doi_from_url,
         expand_last_page, confusion_counts, tn_group_total, summary_metrics, score_list_exact, score_partial_list_exact, score_partial_ulist_exact,
-        score_partial_set_exact, length_bound, char_count_bound, score_table_exact, bbox_area_score, tool_pivot, tool_outcome_buckets, dedupe_first_wins, adjacent_label_concat,
+        score_partial_set_exact, length_bound, char_count_bound, score_table_exact, score_partial_table_exact, bbox_area_score, tool_pivot, tool_outcome_buckets, dedupe_first_wins, adjacent_label_concat,
     )
     return {q.__name__: q for q in made}
 
@@ -233,10 +252,13 @@ def oracle_sql() -> dict[str, str]:
     return {
         "score_string_exact": f"WITH {PAIRS} SELECT doc_id, score, {COUNTS.format(1)} FROM (SELECT *, {EXACT} AS score FROM pairs)",
         "score_string_soft": f"WITH {PAIRS} SELECT doc_id, score, {COUNTS.format(1)} FROM (SELECT *, {SOFTLY} AS score FROM pairs)",
-        "score_line_levenshtein": f"WITH {ZIPPED}, s AS (SELECT doc_id, score, {COUNTS.format(0.8)} FROM (SELECT *, {LEVENSHTEIN} AS score FROM zipped)) SELECT doc_id, count(*) AS n, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn, round(avg(score), 6) AS score FROM s GROUP BY doc_id",
         "normalize_text": "SELECT doc_id, md5(regexp_replace(text, '\\s+', ' ', 'g')) AS normalized FROM documents",
         "strip_punctuation": f"SELECT doc_id, md5({SOFT.format('text')}) AS stripped FROM documents",
-        "person_name_normalize": "SELECT c_custkey, c_mktsegment[1] || substr(c_name, 1, 1) || ' ' || c_name AS name FROM customer",
+        # Letter by letter: a blank goes between a capital and a capital that ends a word.
+        "person_name_normalize": r"""WITH f AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment[1] || '. ' || c_mktsegment[2] || '. ' || c_mktsegment[3] || '. ' || c_name WHEN 1 THEN c_mktsegment[1] || '.' || c_mktsegment[2] || '.' || c_name
+ WHEN 2 THEN c_mktsegment || ' ' || c_mktsegment[1] ELSE '  ' || c_name || ' ' || c_mktsegment[1] || '. ' || c_mktsegment[2] || '. ' || c_mktsegment[3] || '.' END AS s FROM customer),
+ d AS (SELECT c_custkey, trim(regexp_replace(s, '([A-Z])\.\s?', '\1 ', 'g')) AS s FROM f)
+ SELECT c_custkey, array_to_string(list_transform(list_filter(range(1, length(s) + 1), lambda i: NOT (s[i] = ' ' AND i > 1 AND regexp_matches(s[i - 1], '[A-Z]') AND regexp_matches(s[i + 1], '[A-Z]') AND NOT regexp_matches(s[i + 2], '\w'))), lambda i: s[i]), '') AS name FROM d""",
         "doi_from_url": "SELECT page_id, '10.' || page_id || '/' || url AS doi FROM pages",
         "expand_last_page": "SELECT o_orderkey, CASE WHEN length(f) > length(l) THEN substr(f, 1, length(f) - length(l)) || l ELSE l END AS last_page FROM (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS f, CAST(o_custkey % 100 AS VARCHAR) AS l FROM orders)",
         "confusion_counts": f"WITH {BOTH} SELECT scoring_method, field_name, source, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn FROM scored GROUP BY ALL",
@@ -252,8 +274,10 @@ def oracle_sql() -> dict[str, str]:
         "length_bound": f"WITH {PAIRS} SELECT doc_id, CASE WHEN greatest(length(expected), length(actual)) = 0 THEN 1.0 ELSE round(least(length(expected), length(actual)) / greatest(length(expected), length(actual)), 9) END AS bound FROM pairs",
         "char_count_bound": f"""WITH {PAIRS}, c AS (SELECT doc_id, 'e' AS side, unnest(regexp_extract_all(expected, '(?s).')) AS c FROM pairs UNION ALL SELECT doc_id, 'a', unnest(regexp_extract_all(actual, '(?s).')) FROM pairs),
  n AS (SELECT doc_id, c, count(*) FILTER (side = 'e') AS e, count(*) FILTER (side = 'a') AS a FROM c GROUP BY ALL) SELECT doc_id, round(sum(least(e, a)) / greatest(sum(e), sum(a)), 9) AS bound FROM n GROUP BY doc_id""",
-        "score_table_exact": """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey || '|' || CAST(l_quantity AS INT) || '|' || l_returnflag AS e FROM lineitem)
- SELECT l_orderkey, CAST(count(*) FILTER (l_linenumber % 3 = 0 AND e <> lower(e)) = 0 AS DOUBLE) AS score FROM r GROUP BY l_orderkey""",
+        "score_table_exact": TABLES + """, o AS (SELECT k, bool_or(bad OR gone) AS bad, max(n) AS n FROM s GROUP BY k)
+ SELECT k AS l_orderkey, CAST(NOT bad AS BIGINT) AS tp, CAST(bad AND NOT (k % 7 = 0 AND n = 1) AS BIGINT) AS fp, CAST(k % 7 = 0 AND n = 1 AS BIGINT) AS fn, CAST(0 AS BIGINT) AS tn, CAST(NOT bad AS DOUBLE) AS score FROM o""",
+        "score_partial_table_exact": TABLES + """ SELECT k AS l_orderkey, CAST(count(*) FILTER (NOT bad AND NOT gone) AS BIGINT) AS tp, CAST(count(*) FILTER (bad AND NOT gone) AS BIGINT) AS fp, CAST(count(*) FILTER (gone) AS BIGINT) AS fn, CAST(0 AS BIGINT) AS tn,
+ round(count(*) FILTER (NOT bad AND NOT gone) / count(*), 9) AS score FROM s GROUP BY k""",
         "bbox_area_score": """SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN w > 0 THEN w * 10 ELSE 0 END / 800, 9) AS score FROM (SELECT *, least(CAST(l_quantity AS INT) + 40, 75.0) - greatest(CAST(l_quantity AS INT), 25.0) AS w FROM lineitem)""",
         "tool_pivot": f"WITH {BOTH} SELECT field_name, round(max(f1) FILTER (scoring_method = 'exact'), 9) AS exact, round(max(f1) FILTER (scoring_method = 'soft'), 9) AS soft FROM measured GROUP BY field_name",
         "tool_outcome_buckets": f"WITH {BOTH}, p AS (SELECT doc_id, field_name, max(tp) FILTER (scoring_method = 'exact') AS e, max(tp) FILTER (scoring_method = 'soft') AS s FROM scored GROUP BY ALL) SELECT field_name, count(*) FILTER (e = 1 AND s = 0) AS only_exact, count(*) FILTER (e = 0 AND s = 1) AS only_soft, count(*) FILTER (e = 0 AND s = 0) AS neither FROM p GROUP BY field_name",

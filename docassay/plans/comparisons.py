@@ -63,7 +63,7 @@ def line_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flatten_details(spark, sf_dir):
-    made = details.flatten_details(line_details(spark, sf_dir), ["en", "de", "fr"])
+    made = details.flatten_details(line_details(spark, sf_dir))
     return made.select("prediction_file", "target_file", "field_name", "evaluation_method", "scoring_type", "tp", "fp", "fn", "tn", F.md5("expected").alias("expected"), F.md5("actual").alias("actual"))
 
 
@@ -117,7 +117,9 @@ def distinct_names(spark, sf_dir):
 
 
 def first_title(spark, sf_dir):
-    return some_lines(spark, sf_dir).select("doc_id", F.md5(F.get("e", F.lit(0))).alias("title")).where("title IS NOT NULL")
+    """The first line of each source's first document."""
+    rows = C.table(spark, sf_dir, "documents").select("source", "doc_id", F.md5(F.substring_index("text", "\n", 1)).alias("title"))
+    return details.first_per_group(rows, "source", "title", "doc_id")
 
 
 def classifier_counts(spark, sf_dir):
@@ -193,7 +195,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "score_ulist_exact": whole(""),
         "score_set_exact": whole("DISTINCT"),
-        "flatten_details": f"WITH {C.ZIPPED}, s AS ({each}) SELECT CAST(doc_id AS VARCHAR) AS prediction_file, CAST(doc_id AS VARCHAR) AS target_file, field_name, 'exact' AS evaluation_method, 'partial_list' AS scoring_type, tp, fp, fn, tn, md5(expected) AS expected, md5(actual) AS actual FROM s WHERE field_name IN ('en', 'de', 'fr')",
+        "flatten_details": f"WITH {C.ZIPPED}, s AS ({each}) SELECT CAST(doc_id AS VARCHAR) AS prediction_file, CAST(doc_id AS VARCHAR) AS target_file, field_name, 'exact' AS evaluation_method, 'partial_list' AS scoring_type, tp, fp, fn, tn, md5(expected) AS expected, md5(actual) AS actual FROM s",
         "flatten_summary": f"""WITH {C.BOTH}, rows AS (SELECT scoring_method, 'by-field' AS stats_name, field_name, tp, fp, fn, tn, accuracy, precision, recall, f1 FROM measured
  UNION ALL SELECT scoring_method, 'micro', NULL, tp, fp, fn, tn, accuracy, precision, recall, f1 FROM micro
  UNION ALL SELECT scoring_method, 'macro', NULL, NULL, NULL, NULL, NULL, avg(accuracy), avg(precision), avg(recall), avg(f1) FROM measured GROUP BY scoring_method)
@@ -206,7 +208,7 @@ def oracle_sql() -> dict[str, str]:
         "mismatch_examples": f"""WITH {C.PAIRS}, w AS (SELECT doc_id, field_name, row_number() OVER (PARTITION BY field_name ORDER BY doc_id) AS rank, count(*) OVER (PARTITION BY field_name) AS n FROM pairs WHERE expected <> actual)
  SELECT field_name, rank, doc_id, greatest(n - 3, 0) AS more FROM w WHERE rank <= 3""",
         "distinct_names": "SELECT lang, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources FROM documents GROUP BY lang",
-        "first_title": f"WITH {C.LINES} SELECT doc_id, md5(list_filter(e, lambda x: x <> '')[1]) AS title FROM lists WHERE len(list_filter(e, lambda x: x <> '')) > 0",
+        "first_title": "SELECT source, md5(string_split(arg_min(text, doc_id), chr(10))[1]) AS title FROM documents GROUP BY source",
         "classifier_counts": f"""WITH m AS (SELECT source, quality = 1 AS y, n_chars >= 400 AS p FROM documents JOIN labels USING (doc_id)),
  c AS (SELECT source, count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (NOT y AND NOT p) AS tn FROM m GROUP BY source)
  SELECT source, tp, fp, fn, tn, {metrics} FROM ({measured.format(C.METRICS, 'c')})""",

@@ -43,10 +43,13 @@ def test_small_results(spark):
     assert one(spark, scores.levenshtein(lit("axb"), lit("ayb"))) == pytest.approx(2 / 3)
     assert one(spark, scores.soft(lit("a b"), lit("ab"))) == 1 and one(spark, scores.exact(lit("a b"), lit("ab"))) == 0
     assert one(spark, scores.length_bound(lit("abc"), lit("123456"))) == 0.5
-    names = {"A. M. X. Smith": "AMX Smith", "A.Smith": "A Smith", "A Middle Smith": "A Middle Smith"}
+    names = {"J. R. K. Holm": "JRK Holm", "J.Holm": "J Holm", "J Inner Holm": "J Inner Holm", "HOLM J": "HOLMJ", "J.\u00a0R. Holm": "JR Holm", " Å. Ö. X ": "ÅÖX", "": ""}
     assert {k: one(spark, text.person_name(lit(k))) for k in names} == names
     assert one(spark, text.last_page(lit("123"), lit("45"))) == "145"
     assert one(spark, text.doi_from_url(lit("http://dx.doi.org/10.1/x"))) == "10.1/x"
+    assert one(spark, text.doi_from_url(lit("http://x.org/10.1/x"))) is None
+    assert one(spark, text.normalize_list(F.array(F.array(lit("A \n b"))), lower=True, nested=True)) == [["a b"]]
+    assert [tuple(r) for r in one(spark, text.split_with_index(lit("\na\n\nbé\nc"), "\n"))] == [(1, "a"), (4, "bé"), (7, "c")]
     a, b = boxes.parse(lit("1,110,120,50,60")), boxes.parse(lit("1,120,110,100,100"))
     assert one(spark, boxes.shared(a, b)) == 40 * 60 - 0 and one(spark, boxes.area(a)) == 3000
     got = one(spark, lists.partial_list_counts(F.array(lit("a"), lit("b")), F.array(lit("a"))))

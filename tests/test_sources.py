@@ -8,36 +8,89 @@ from pyspark.sql import functions as F
 from docassay.operators import details, extraction as X, summary
 from docassay.sources import config, files
 
-ARTICLE = """<article xmlns="urn:x" xmlns:l="urn:l"><front><article-title>On <i>things</i></article-title><contrib><name><surname>Smith</surname>
-<given-names>A. B.</given-names></name></contrib><contrib><string-name>Jo Doe</string-name></contrib><aff id="a1"><label>1</label>Some place</aff>
-<aff id="a1"><institution>Uni</institution><city>Town</city></aff></front><back><ref><fpage>123</fpage><lpage>7</lpage><ext-link l:href="https://doi.org/10.1/x">x</ext-link></ref>
-<ref><pub-id pub-id-type="doi">10.2/y</pub-id><fpage>5</fpage></ref></back><table><thead><tr><th>h</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table></article>"""
+ARTICLE = """<article xmlns="urn:x" xmlns:l="urn:l"><front><article-title>On <i>things</i></article-title><article-meta>
+<contrib-group><contrib contrib-type="author"><name><surname>Reed</surname><given-names>A. B.</given-names></name><xref rid="n1"/></contrib>
+<contrib><string-name>Jo Doe</string-name><email>jo@x.org</email></contrib><contrib contrib-type="editor"><name><surname>No</surname></name></contrib><contrib><collab>All</collab></contrib></contrib-group>
+<author-notes><corresp id="n1"><email>reed@x.org</email></corresp></author-notes></article-meta><aff id="a1"><label>1</label>Some place , here</aff>
+<aff id="a1"><label>2</label><institution>Uni</institution><city>Town</city></aff><aff>Dept <institution>Uni</institution>, <city>Town</city></aff><aff><label>3</label><x>Only</x></aff></front>
+<back><ref><name><surname>In</surname></name><fpage>123</fpage><lpage>7</lpage><ext-link l:href="https://doi.org/10.3/no">x</ext-link><ext-link ext-link-type="uri" l:href="https://doi.org/10.1/x">x</ext-link></ref>
+<ref><string-name>Two</string-name><name><surname>One</surname></name><pub-id pub-id-type="doi">10.2/y</pub-id><fpage>5</fpage></ref><ref/></back>
+<table-wrap><label>T1</label><table><thead><tr><th>h</th></tr></thead><tbody><tr><th>no</th><td>1</td><td>2<table><tr><td>in</td></tr></table></td></tr></tbody></table></table-wrap></article>"""
 
 
 def test_fields_of_xml(spark):
-    docs = spark.createDataFrame([(1, ARTICLE), (2, "<a><b>"), (3, None)], "id int, xml string")
+    docs = spark.createDataFrame([(1, ARTICLE), (2, "no markup"), (3, None)], "id int, xml string")
     made = X.shred(docs, "xml", ["id"]).orderBy("id").cache()
     assert [r.error is not None for r in made.collect()] == [False, True, False]
     every = lambda path, f: F.transform(X.select(path), f)
+    authors = lambda f: X.without_nulls(F.transform(X.jats_authors(), f))
     row = made.select(
         X.texts("//article-title").alias("title"),
-        every("//contrib", X.full_name).alias("names"),
-        every("//contrib", X.given_name).alias("given"),
-        every("//aff", X.affiliation).alias("affs"),
-        every("//ref", X.reference_doi).alias("dois"),
-        every("//ref", lambda n: X.pages(n)[1]).alias("last"),
+        authors(X.jats_full_name).alias("names"),
+        authors(X.jats_given_name).alias("given"),
+        authors(X.jats_author_email).alias("mails"),
+        every("//ref", lambda n: F.transform(X.jats_ref_authors(n), X.raw)).alias("ref_authors"),
+        every("//aff", X.jats_affiliation).alias("affs"),
+        every("//ref", X.jats_ref_doi).alias("dois"),
+        every("//ref", lambda n: X.jats_ref_pages(n)[1]).alias("last"),
         F.size(X.first_by_attribute(X.select("//aff"), "id")).alias("n_affs"),
-        every("//table", X.table_rows).alias("rows"),
+        every("//table-wrap", X.table_wrap).alias("wraps"),
+        every("//table-wrap/table", X.table_rows).alias("rows"),
         X.attributes("/article/front/aff[@id='a1']", "id").alias("ids"),
-        every("//name", lambda n: X.joined(n, "given-names|surname", " ")).alias("joined"),
         every("//front", lambda n: X.items(n, "name|surname|contrib")).alias("items"),
-        X.strip_brackets(F.lit("[ 1 ]")).alias("bare"),
+        every("//name", lambda n: X.concat_children(n, "$given-names", "-", "$surname", "$none")).alias("concat"),
+        every("//ref[1]", lambda n: X.join_children(n, "lpage||.//fpage", "+")).alias("join"),
+        X.texts("//contrib[not(@contrib-type)]/string-name | //contrib[@contrib-type='editor' or @contrib-type='x'][name]/name").alias("tests"),
+        X.texts("//ext-link[not(contains(@ext-link-type,'ur'))]").alias("no_uri"),
+        F.array(*(X.strip_brackets(F.lit(x)) for x in ("[ 1 ]", "[a\nb]", "(x]", ""))).alias("bare"),
     ).first()
-    assert row.title == ["On things"] and row.names == ["AB Smith", "Jo Doe"] and row.given == ["AB", ""]
-    assert row.affs == ["Some place", "Uni, Town"] and row.dois == ["10.1/x", "10.2/y"] and row["last"] == ["127", "5"]
-    assert row.n_affs == 1 and row.rows == [[["h"], ["1", "2"]]] and row.ids == ["a1", "a1"]
-    assert row.joined == ["A. B. Smith"] and row["items"] == [["Smith", "Jo Doe"]] and row.bare == "1"
-    assert X.with_fields(made, {"t": "//article-title", "t.ignore": "//i"}, ["t"]).first().t == ["On things"]
+    assert row.title == ["On things"] and row.names == ["AB Reed", "Jo Doe"] and row.given == ["AB"] and row.mails == ["reed@x.org", "jo@x.org"]
+    assert row.ref_authors == [["In"], ["One", "Two"], []]
+    assert row.affs == ["1 Some place, here", "Uni, Town", "Dept Uni, Town", "Only"] and row.dois == ["10.1/x", "10.2/y", ""] and row["last"] == ["127", "5", ""]
+    assert row.n_affs == 3 and row.ids == ["a1", "a1"] and row["items"] == [["Reed", "Jo Doejo@x.org", "No", "All"]]
+    (wrap,) = row.wraps
+    assert (wrap.label, wrap.caption, wrap.table.head, wrap.table.body) == ("T1", "", [["h"]], [["1", "2in"]]) and row.rows == [[["h"], ["1", "2in"]]]
+    assert row.concat == ["A. B.-Reed", "-No", "-In", "-One"] and row.join == ["7+123"] and row.tests == ["Jo Doe", "No"] and row.no_uri == ["x"]
+    assert row.bare == ["1", "a\nb", "(x]", ""]
+    assert X.with_fields(made, {"t": "//article-title", "t.ignore": "//i"}, ["t"]).first().t == ["On"]
+    mapped = X.with_mapped_fields(made, {"article": {"t": "//article-title", "n": "//fpage"}, "tei": {"t": "//x"}}).first()
+    assert mapped.fields == {"t": ["On things"], "n": ["123", "5"]} and mapped.error is None
+    other = X.with_mapped_fields(made, {"tei": {"t": "//x"}})
+    assert other.first().error == "unrecognised tag: article"
+    assert made.select(X.fields_json(F.create_map(F.lit("a"), F.array(F.lit("é")))).alias("j")).first().j.split() == ["{", '"a"', ":", "[", '"é"', "]", "}"]
+
+
+TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><sourceDesc><biblStruct><analytic>
+<author><persName><forename>A.</forename><forename>B.</forename><surname>Reed</surname></persName><affiliation key="a10"><note type="raw_affiliation"><label>2</label> Two</note><orgName>x</orgName></affiliation></author>
+<author><persName><surname>Doe</surname></persName><affiliation key="a2"><note type="raw_affiliation"><label>1</label> One</note></affiliation><affiliation key="a2"><orgName>y</orgName></affiliation></author>
+<author><affiliation key="a3"><note type="raw_affiliation"><label>1</label> more</note></affiliation><affiliation key=""><orgName>Org</orgName><address><country>C</country><addrLine>L</addrLine></address></affiliation>
+<affiliation key=""><note type="raw_affiliation">Bare</note></affiliation></author></analytic></biblStruct></sourceDesc></fileDesc></teiHeader>
+<abstract><div><head>Abstract</head><p>One <i>two</i></p></div></abstract><abstract>plain</abstract>
+<bibl><title level="j">J</title><biblScope unit="page" from="10" to="12"/></bibl><bibl><title level="m">M</title><biblScope unit="page">33</biblScope></bibl><bibl><biblScope unit="page">7</biblScope></bibl></TEI>"""
+
+
+def test_fields_of_tei(spark):
+    made = X.shred(spark.createDataFrame([(1, TEI)], "id int, xml string"), "xml", ["id"])
+    every = lambda path, f: F.transform(X.select(path), f)
+    authors = lambda f: X.without_nulls(F.transform(X.tei_authors(), f))
+    affs = X.tei_author_affiliations()
+    row = made.select(
+        authors(X.tei_given_name).alias("given"), authors(X.tei_full_name).alias("names"), X.tei_affiliations(affs).alias("affs"), X.tei_affiliation_texts(affs).alias("texts"),
+        X.tei_affiliations_by_label(affs).alias("labels"), every("//abstract", X.tei_abstract).alias("abstracts"), every("//bibl", lambda n: X.tei_ref_pages(n)[0]).alias("first"),
+        every("//bibl", lambda n: X.tei_ref_pages(n)[1]).alias("last"), every("//bibl", X.tei_ref_publication_type).alias("kinds"),
+    ).first()
+    assert row.given == ["AB", ""] and row.names == ["AB Reed", "Doe"]
+    assert row.affs == ["Org, L, C", "Bare", "1 One", "1 more", "2 Two"] and row.texts == ["", "Bare", "1 One", "1 more", "2 Two"]
+    assert row.labels == ["Bare", "1 One more", "2 Two"] and row.abstracts == ["One two two", "plain"]
+    assert row.first == ["10", "33", "7"] and row["last"] == ["12", "33", "7"] and row.kinds == ["journal", "book", "7"]
+
+
+def test_recovered_xml(spark):
+    broken = ["<a><b>x&nbsp;y</b><C k='1' k='2'>z", "<a><p>one</q><br/>two &amp; <![CDATA[<3>]]></a> tail", "<a:r xmlns:a='u'><a:Title>t</a:Title><i>u</a:r>"]
+    made = X.shred(spark.createDataFrame(list(enumerate(broken)), "id int, xml string"), "xml", ["id"]).orderBy("id")
+    rows = made.select("content", F.transform("nodes", lambda n: n["path"]).alias("paths"), X.attributes("//C", "k").alias("k"), "error").collect()
+    assert [r.content for r in rows] == ["x\u00a0yz", "onetwo & <3>", "tu"] and rows[0].k == ["1"] and not any(r.error for r in rows)
+    assert [r.paths for r in rows] == [["/a", "/a/b", "/a/C"], ["/a", "/a/p", "/a/p/br"], ["/r", "/r/Title", "/r/i"]]
 
 
 def test_fields_of_html(spark):

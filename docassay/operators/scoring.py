@@ -176,6 +176,18 @@ def score(expected: Column, actual: Column, scoring_type: str, method: str, lowe
     return _let(F.struct(prepared(expected, lower).alias("e"), prepared(actual, lower).alias("a")), lambda v: of(v["e"], v["a"], m))
 
 
+def join_sides(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, field_name, expected, actual, error) of two tables (keys, field_name, values); a prediction without the field is an error.
+
+    Both are shuffled by key and field, unless they already are partitioned so.
+    """
+    on = [*keys, "field_name"]
+    got = actual.select(*on, F.col("values").alias("actual"), F.lit(True).alias("found"))
+    joined = expected.withColumnRenamed("values", "expected").join(got, on, "left")
+    lacks = F.when(F.col("found").isNull(), F.concat(F.lit("field missing in prediction: "), F.col("field_name")))
+    return joined.select(*on, "expected", "actual", lacks.alias("error"))
+
+
 def by_field(pairs: DataFrame, keys: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
     """(keys, field_name, expected, actual): a row for each field of the maps `expected` and `actual`.
 

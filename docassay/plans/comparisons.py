@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import boxes, details, extraction, lists, matching, summary
+from ..operators import boxes, details, extraction, lists, matching, scoring, summary
 from ..sources import files
 from . import catalog as C
 
@@ -27,6 +27,70 @@ def score_set_exact(spark, sf_dir):
     return C.rounded(lists.unordered_whole(C.items(spark, sf_dir, True)).withColumnRenamed("key", "doc_id"), "score")
 
 
+TYPES = ("string", "list", "partial_list", "ulist", "partial_ulist", "set", "partial_set")
+
+
+def field_scores(spark: SparkSession, sf_dir: str, types: dict, methods: tuple[str, ...]) -> DataFrame:
+    """The fan-out: each document's lines are the values of one field, named by its language."""
+    as_map = lambda c: F.create_map("field_name", c).alias("expected" if c == "e" else "actual")
+    pairs = some_lines(spark, sf_dir).select("doc_id", as_map("e"), as_map("a"))
+    return scoring.score_documents(pairs, ["doc_id"], None, types, methods)
+
+
+def score_types_exact(spark, sf_dir):
+    made = field_scores(spark, sf_dir, {"default": TYPES}, ("exact",))
+    return C.rounded(made.select("doc_id", "field_name", "scoring_type", "tp", "fp", "fn", "tn", "score"), "score")
+
+
+def summary_by_type(spark, sf_dir):
+    """Types that differ by field, both equality methods, and a summary of two of the fields only."""
+    made = field_scores(spark, sf_dir, {"default": ["partial_list"], "en": ["string", "partial_list"], "fr": ["list"]}, ("exact", "soft"))
+    return C.rounded(summary.summary(made, ["en", "de"]).select("scoring_type", "scoring_method", "stats_name", "field_name", "tp", "fp", "fn", "tn", *summary.METRICS), *summary.METRICS)
+
+
+def score_joined_sides(spark, sf_dir):
+    """Expected and predicted texts as two tables, of which the second lacks a part, joined by document and field."""
+    p = C.pairs(spark, sf_dir)
+    side = lambda c: p.select("doc_id", "field_name", F.array(c).alias("values"))
+    joined = scoring.join_sides(side("expected"), side("actual").where("doc_id % 11 <> 0"), ["doc_id"])
+    return scoring.score_fields(joined, {"default": ["string"]}, ("soft",)).select("doc_id", "field_name", "tp", "fp", "fn", "tn", "score")
+
+
+def tool_pairs(spark, sf_dir):
+    """How often each two of three tools agree on a document: one exact, one soft, one that asks for equal lengths."""
+    p = C.pairs(spark, sf_dir)
+    e, a = F.col("expected"), F.col("actual")
+    hits = {"exact": scores.exact(e, a), "soft": scores.soft(e, a), "length": scores.exact(F.char_length(e), F.char_length(a))}
+    each = p.select("doc_id", F.explode(F.create_map(*(c for k, v in hits.items() for c in (F.lit(k), v.cast("int"))))).alias("tool", "tp"))
+    both = details.tool_pairs(each, ["doc_id"])
+    return both.groupBy("tool", "tool_other").agg(F.count("*").alias("n"), F.count_if(F.col("tp") == F.col("tp_other")).alias("agreed"))
+
+
+def natural_order(spark, sf_dir):
+    """Customers' places by segment and number, numbers in texts taken as numbers."""
+    key = extraction.natural(F.concat(F.substring("c_mktsegment", 1, 1), F.lit("-"), F.col("c_custkey").cast("string"), F.lit("x")))
+    rows = C.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", key.alias("key"))
+    return rows.select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("key", "c_custkey")).cast("long").alias("place"))
+
+
+def page_fields_json(spark, sf_dir):
+    """The fields of each page as JSON."""
+    nodes = extraction.shred(C.table(spark, sf_dir, "pages"), "html", ["page_id"], html=True)
+    made = extraction.with_mapped_fields(nodes, {"html": {"title": "/html/head/title", "headings": "//h1|//h2|//h3", "links": "//a[@href]"}})
+    return made.select("page_id", F.md5(extraction.fields_json(F.col("fields"))).alias("fields"), "error")
+
+
+def score_custom_boxes(spark, sf_dir):
+    """Two box fields of each order scored together, by shared area and by matching."""
+    b = line_boxes(spark, sf_dir).withColumn("half", F.when(F.col("l_linenumber") % 2 == 0, "even").otherwise("odd"))
+    of = lambda c, half: F.transform(F.sort_array(F.collect_list(F.when(F.col("half") == half, F.struct("l_linenumber", "l_partkey", c)))), lambda x: x[c])
+    as_map = lambda c: F.create_map(F.lit("odd"), of(c, "odd"), F.lit("even"), of(c, "even"))
+    pairs = b.groupBy("l_orderkey").agg(as_map("e").alias("expected"), as_map("a").alias("actual"))
+    names = {"field_names": ["odd", "even"]}
+    custom = [{"name": f"all_{kind}", "type": kind, "expected": names, "actual": names} for kind in ("bounding_box_intersection", "bounding_box_intersection_area")]
+    return C.rounded(scoring.score_custom(pairs, ["l_orderkey"], custom).select("l_orderkey", "field_name", "scoring_type", "tp", "fp", "fn", "tn", "score"), "score")
+
+
 def score_partial_ulist_levenshtein(spark, sf_dir):
     limit = scores.THRESHOLDS["levenshtein"]
     pairs = matching.greedy(F.col("e"), F.col("a"), scores.levenshtein, limit)
@@ -145,7 +209,7 @@ def line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, k = F.col("l_quantity").cast("int"), F.col("l_partkey") % 500
     left = F.concat_ws(",", F.lit("1"), thousandths(q), thousandths(k), F.lit("0.040"), F.lit("0.020"))
     right = F.concat_ws(",", F.lit("1"), thousandths(q + F.col("l_linenumber")), thousandths(k), F.lit("0.040"), F.lit("0.018"))
-    return C.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", left.alias("e"), right.alias("a"))
+    return C.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", left.alias("e"), right.alias("a"))
 
 
 def bbox_area_counts(spark, sf_dir):
@@ -175,7 +239,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         score_ulist_exact, score_set_exact, score_partial_ulist_levenshtein, score_string_levenshtein, score_items_exact, flatten_details, flatten_summary,
         report_text, tool_full_outer_compare, tool_win_loss, tool_mean_row, mismatch_examples, distinct_names, first_title, classifier_counts, limit_pairs,
-        positional_zip, bbox_area_counts, bbox_partial_ulist, extract_fields_html,
+        positional_zip, bbox_area_counts, bbox_partial_ulist, extract_fields_html, score_types_exact, summary_by_type, score_joined_sides, tool_pairs,
+        natural_order, page_fields_json, score_custom_boxes,
     )
     return {q.__name__: q for q in made}
 
@@ -189,10 +254,46 @@ def oracle_sql() -> dict[str, str]:
     sides = f"""one AS (SELECT doc_id, field_name, {C.COUNTS.format(1)} FROM (SELECT *, {C.EXACT} AS score FROM pairs WHERE doc_id % 3 <> 0)),
  other AS (SELECT doc_id, field_name, {C.COUNTS.format(1)} FROM (SELECT *, {C.SOFTLY} AS score FROM pairs WHERE doc_id % 3 <> 1)),
  both_ AS (SELECT doc_id, field_name, one.tp, one.tn, other.tp AS tp_other, other.tn AS tn_other FROM one FULL JOIN other USING (doc_id, field_name))"""
+    equal = "list_reduce(list_concat([0], list_transform(range(1, greatest(len(e), len(a)) + 1), lambda i: CAST(coalesce(e[i], '') = coalesce(a[i], '') AS INT))), lambda x, y: x + y)"
+    # Values of each document (e, a), and counts of their values by side for the unordered types.
+    values = C.LINES + """, v AS (SELECT doc_id, field_name, list_transform(list_filter(e, lambda x: x <> ''), lambda x: regexp_replace(x, '\\s+', ' ', 'g')) AS e, list_transform(list_filter(a, lambda x: x <> ''), lambda x: regexp_replace(x, '\\s+', ' ', 'g')) AS a FROM lists),
+ w AS (SELECT doc_id, 'ulist' AS kind, e, a FROM v UNION ALL SELECT doc_id, 'set', list_distinct(e), list_distinct(a) FROM v),
+ i AS (SELECT doc_id, kind, x, sum(s) AS e, sum(1 - s) AS a FROM (SELECT doc_id, kind, 1 AS s, unnest(e) AS x FROM w UNION ALL SELECT doc_id, kind, 0, unnest(a) FROM w) GROUP BY ALL),
+ u AS (SELECT doc_id, kind, sum(least(e, a)) AS t, sum(e) AS e, sum(a) AS a FROM i GROUP BY ALL),
+ n AS (SELECT doc_id, field_name, k.kind, coalesce(t, 0) AS t, coalesce(u.e, 0) AS e, coalesce(u.a, 0) AS a FROM v CROSS JOIN (VALUES ('ulist'), ('set')) k(kind) LEFT JOIN u USING (doc_id, kind))"""
+    one = f"SELECT doc_id, field_name, scoring_type, score, {C.COUNTS.format(1)} FROM (SELECT doc_id, field_name, '{{}}' AS scoring_type, {{}} AS expected, {{}} AS actual, {{}} AS score FROM {{}})"
+    joined = "array_to_string({}, '{}')"
+    exact_types = [
+        one.format("string", joined.format("e", ""), joined.format("a", ""), "CAST(array_to_string(e, '') = array_to_string(a, '') AS DOUBLE)", "v"),
+        one.format("list", joined.format("e", ", "), joined.format("a", ", "), "CAST(e = a AS DOUBLE)", "v"),
+        f"SELECT doc_id, field_name, 'partial_list', CASE WHEN greatest(len(e), len(a)) = 0 THEN 1.0 ELSE eq / greatest(len(e), len(a)) END, eq, len(a) - eq, greatest(len(e) - len(a), 0), 0 FROM (SELECT *, {equal} AS eq FROM v)",
+        "SELECT doc_id, field_name, kind, score, CAST(e > 0 AND a > 0 AND score >= 1 AS BIGINT), CAST(a > 0 AND NOT (e > 0 AND score >= 1) AS BIGINT), CAST(e > 0 AND a = 0 AS BIGINT), CAST(e = 0 AND a = 0 AS BIGINT) FROM (SELECT *, CASE WHEN e <> a THEN 0.0 WHEN e = 0 THEN 1.0 ELSE t / e END AS score FROM n)",
+        "SELECT doc_id, field_name, 'partial_' || kind, CASE WHEN greatest(e, a) = 0 THEN 1.0 ELSE t / greatest(e, a) END, t, a - t, greatest(e - a, 0), 0 FROM n",
+    ]
+    soft = C.SOFT.format
+    by_type = f"""two AS (SELECT 'string' AS scoring_type, 'exact' AS scoring_method, field_name, {C.COUNTS.format(1)} FROM (SELECT field_name, {joined.format('e', '')} AS expected, {joined.format('a', '')} AS actual, CAST({joined.format('e', '')} = {joined.format('a', '')} AS DOUBLE) AS score FROM v WHERE field_name = 'en')
+ UNION ALL SELECT 'string', 'soft', field_name, {C.COUNTS.format(1)} FROM (SELECT field_name, expected, actual, CAST(expected = actual AS DOUBLE) AS score FROM (SELECT field_name, {soft(joined.format('e', ''))} AS expected, {soft(joined.format('a', ''))} AS actual FROM v WHERE field_name = 'en'))
+ UNION ALL SELECT 'partial_list', m, field_name, eq, len(a) - eq, greatest(len(e) - len(a), 0), 0 FROM (SELECT *, {equal} AS eq FROM v WHERE field_name <> 'fr') CROSS JOIN (VALUES ('exact'), ('soft')) x(m)),
+ g AS (SELECT * FROM (VALUES ('string', 'exact'), ('string', 'soft'), ('partial_list', 'exact'), ('partial_list', 'soft'), ('list', 'exact'), ('list', 'soft')) x(scoring_type, scoring_method)),
+ summed AS (SELECT scoring_type, scoring_method, field_name, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM two WHERE field_name IN ('en', 'de') GROUP BY ALL),
+ fields AS (SELECT *, CAST(sum(tp + fn + 2 * fp) OVER (PARTITION BY scoring_type, scoring_method) - tp - fp - fn AS BIGINT) AS tn FROM summed),
+ measured AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM (SELECT *, {C.METRICS} FROM fields)),
+ whole AS (SELECT scoring_type, scoring_method, CAST(coalesce(sum(tp), 0) AS BIGINT) AS tp, CAST(coalesce(sum(fp), 0) AS BIGINT) AS fp, CAST(coalesce(sum(fn), 0) AS BIGINT) AS fn, CAST(coalesce(sum(tn), 0) AS BIGINT) AS tn FROM g LEFT JOIN fields USING (scoring_type, scoring_method) GROUP BY ALL),
+ rows AS (SELECT scoring_type, scoring_method, 'by-field' AS stats_name, field_name, tp, fp, fn, tn, accuracy, precision, recall, f1 FROM measured
+ UNION ALL SELECT scoring_type, scoring_method, 'micro', NULL, tp, fp, fn, tn, accuracy, precision, recall, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) FROM (SELECT *, {C.METRICS} FROM whole)
+ UNION ALL SELECT scoring_type, scoring_method, 'macro', NULL, NULL, NULL, NULL, NULL, coalesce(avg(accuracy), 0), coalesce(avg(precision), 0), coalesce(avg(recall), 0), coalesce(avg(f1), 0) FROM g LEFT JOIN measured USING (scoring_type, scoring_method) GROUP BY ALL)"""
     metric = "round({0}, 9) AS {0}"
     metrics = ", ".join(metric.format(m) for m in summary.METRICS)
     measured = "SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM (SELECT *, {} FROM {})"
+    rounded_metrics = ", ".join(f"round({m}, 9) AS {m}" for m in summary.METRICS)
+    squeezed = lambda c: soft(f"regexp_replace({c}, '\\s+', ' ', 'g')")
     return {
+        "score_types_exact": f"WITH {values}, every AS ({' UNION ALL '.join(exact_types)}) SELECT doc_id, field_name, scoring_type, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round(score, 9) AS score FROM every",
+        "summary_by_type": f"WITH {values}, {by_type} SELECT scoring_type, scoring_method, stats_name, field_name, tp, fp, fn, tn, {rounded_metrics} FROM rows",
+        "score_joined_sides": f"WITH {C.PAIRS}, s AS (SELECT doc_id, field_name, {squeezed('expected')} AS expected, {squeezed('actual')} AS actual FROM pairs WHERE doc_id % 11 <> 0) SELECT doc_id, field_name, {C.COUNTS.format(1)}, score FROM (SELECT *, {C.EXACT} AS score FROM s)",
+        "tool_pairs": f"""WITH {C.PAIRS}, h AS (SELECT {C.EXACT} AS x, {C.SOFTLY} AS s, CAST(length(expected) = length(actual) AS DOUBLE) AS n FROM pairs)
+ SELECT 'exact' AS tool, 'soft' AS tool_other, count(*) AS n, count(*) FILTER (x = s) AS agreed FROM h UNION ALL SELECT 'exact', 'length', count(*), count(*) FILTER (x = n) FROM h UNION ALL SELECT 'length', 'soft', count(*), count(*) FILTER (n = s) FROM h""",
+        "natural_order": "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment[1], c_custkey) AS place FROM customer",
         "score_ulist_exact": whole(""),
         "score_set_exact": whole("DISTINCT"),
         "flatten_details": f"WITH {C.ZIPPED}, s AS ({each}) SELECT CAST(doc_id AS VARCHAR) AS prediction_file, CAST(doc_id AS VARCHAR) AS target_file, field_name, 'exact' AS evaluation_method, 'partial_list' AS scoring_type, tp, fp, fn, tn, md5(expected) AS expected, md5(actual) AS actual FROM s",

@@ -47,6 +47,13 @@ def edit_distance(a: Column, b: Column) -> Column:
 
 
 def levenshtein(a: Column, b: Column) -> Column:
+    """Edit similarity of values, such as names and lines."""
+    longest = F.greatest(F.char_length(a), F.char_length(b))
+    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+
+
+def levenshtein_of_texts(a: Column, b: Column) -> Column:
+    """The same of whole texts, by edit_distance()."""
     longest = F.greatest(F.char_length(a), F.char_length(b))
     return F.when(longest == 0, 1.0).otherwise(1 - edit_distance(a, b) / longest)
 

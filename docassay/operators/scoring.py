@@ -23,13 +23,14 @@ MATCH = ITEM[:-1] + f",sub_scores:array<{ITEM}>>"
 
 @dataclass(frozen=True)
 class Method:
-    """score is the measure of ordered values; both sides go through `prepare` where values are joined or matched out of order."""
+    """score is the measure of values, `whole` of joined texts; both go through `prepare` where values are joined or matched out of order."""
 
     name: str
     score: Measure
     threshold: float
     prepare: Callable[[Column], Column] = lambda x: x
     bounded: bool = False
+    whole: Measure | None = None
 
     def measure(self, a: Column, b: Column) -> Column:
         return self.score(self.prepare(a), self.prepare(b))
@@ -38,7 +39,7 @@ class Method:
 METHODS = {
     "exact": Method("exact", scores.exact, scores.THRESHOLDS["exact"]),
     "soft": Method("soft", scores.exact, scores.THRESHOLDS["soft"], text.strip_punctuation),
-    "levenshtein": Method("levenshtein", scores.levenshtein, scores.THRESHOLDS["levenshtein"], bounded=True),
+    "levenshtein": Method("levenshtein", scores.levenshtein, scores.THRESHOLDS["levenshtein"], bounded=True, whole=scores.levenshtein_of_texts),
 }
 
 
@@ -94,7 +95,7 @@ def _all_or_nothing(items: Column, same_size: Column, threshold: float) -> Colum
 
 def as_string(e: Column, a: Column, m: Method) -> Column:
     one = lambda xs: m.prepare(text.normalize_whitespace(F.array_join(xs, "")))
-    return _let(F.struct(one(e).alias("e"), one(a).alias("a")), lambda v: _whole(_item(v["e"], v["a"], m.score(v["e"], v["a"]), m.threshold)))
+    return _let(F.struct(one(e).alias("e"), one(a).alias("a")), lambda v: _whole(_item(v["e"], v["a"], (m.whole or m.score)(v["e"], v["a"]), m.threshold)))
 
 
 def as_list(e: Column, a: Column, m: Method, partial: bool = False) -> Column:
@@ -208,9 +209,8 @@ def score_fields(fields: DataFrame, types: Mapping[str, Sequence[str]], methods:
     if "error" in fields.columns:
         if counters is not None:
             fields = fields.observe(counters, F.count(F.lit(1)).alias("fields"), F.count("error").alias("errors"))
-        if not skip_errors:
-            fields = fields.withColumn("field_name", F.when(F.col("error").isNull(), F.col("field_name")).otherwise(F.raise_error(F.col("error"))))
-        fields = fields.where("error IS NULL").drop("error")
+        good = F.col("error").isNull()
+        fields = fields.where(good if skip_errors else F.when(good, True).otherwise(F.raise_error(F.col("error")))).drop("error")
     default = list(types.get("default", ["string"]))
     own = {f: list(t) for f, t in types.items() if f != "default"}
     every = list(dict.fromkeys([*default, *(t for ts in own.values() for t in ts)]))

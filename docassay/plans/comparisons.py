@@ -99,7 +99,7 @@ def score_partial_ulist_levenshtein(spark, sf_dir):
 
 def score_string_levenshtein(spark, sf_dir):
     p = C.pairs(spark, sf_dir)
-    made = summary.scored(p, "levenshtein", scores.levenshtein(F.col("expected"), F.col("actual")))
+    made = summary.scored(p, "levenshtein", scores.levenshtein_of_texts(F.col("expected"), F.col("actual")))
     return C.rounded(made.select("doc_id", "score", "tp", "fp", "fn", "tn"), "score")
 
 

@@ -225,7 +225,7 @@ def score_fields(fields: DataFrame, types: Mapping[str, Sequence[str]], methods:
     each = F.filter(F.array(*(one(t, m) for t in every for m in methods)), lambda x: x.isNotNull())
     keep = [c for c in fields.columns if c not in ("expected", "actual")]
     made = fields.withColumn("wanted", wanted).select(*keep, F.explode(each).alias("s")).select(*keep, "s.*")
-    return made.select(*keep, "scoring_type", "scoring_method", "match_score", F.col("match_score.sub_scores").alias("sub_scores"), *(F.col(f"match_score.{c}") for c in ("tp", "fp", "fn", "tn", "score")))
+    return made.select(*keep, "scoring_type", "scoring_method", F.col("match_score").dropFields("sub_scores").alias("match_score"), F.col("match_score.sub_scores").alias("sub_scores"), *(F.col(f"match_score.{c}") for c in ("tp", "fp", "fn", "tn", "score")))
 
 
 def joined_values(side: str, names: Sequence[str]) -> Column:
@@ -253,7 +253,7 @@ def score_custom(pairs: DataFrame, keys: Sequence[str], custom: Sequence[Mapping
         e, a = (joined_values(side, c[side]["field_names"]) for side in ("expected", "actual"))
         made.append(F.struct(F.lit(c["name"]).alias("field_name"), F.lit(kind).alias("scoring_type"), F.lit(kind).alias("scoring_method"), _boxes(e, a, kind, c.get("config") or {}).alias("match_score")))
     each = pairs.select(*keys, F.explode(F.array(*made)).alias("s")).select(*keys, "s.*")
-    return each.select(*keys, "field_name", "scoring_type", "scoring_method", "match_score", F.col("match_score.sub_scores").alias("sub_scores"), *(F.col(f"match_score.{c}") for c in ("tp", "fp", "fn", "tn", "score")))
+    return each.select(*keys, "field_name", "scoring_type", "scoring_method", F.col("match_score").dropFields("sub_scores").alias("match_score"), F.col("match_score.sub_scores").alias("sub_scores"), *(F.col(f"match_score.{c}") for c in ("tp", "fp", "fn", "tn", "score")))
 
 
 def score_documents(pairs: DataFrame, keys: Sequence[str], names: Sequence[str] | None, types: Mapping[str, Sequence[str]], methods: Sequence[str] = ("exact", "levenshtein"), lower: bool = False, custom: Sequence[Mapping] = (), skip_errors: bool = True, counters: Observation | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import configparser
+import json
 from collections.abc import Iterable, Mapping
 
 
@@ -59,3 +60,34 @@ def source_fields(fields: list[str] | None, custom: list[dict]) -> list[str] | N
         return fields
     more = [f for c in custom if c.get("name") in fields for side in ("expected", "actual") for f in (c.get(side) or {}).get("field_names", [])]
     return list(dict.fromkeys([*fields, *more]))
+
+
+def _names(pattern: str, parts: str) -> list[str]:
+    return [pattern.format(x) for x in parts.split()]
+
+
+#: The fields that are evaluated where none are named, in order; REFERENCE holds those that are given of
+#: the first reference and of all.
+REFERENCE = "text author_surnames author_given_names author_full_names title year source publication_type volume fpage lpage doi pmid pmcid"
+DEFAULT_FIELDS = (
+    _names("{}", "title abstract keywords")
+    + _names("{}", "first_author_surname corresp_author_surnames author_surnames first_author_given_name corresp_author_given_names author_given_names")
+    + _names("{}", "first_author_full_name corresp_author_full_names author_full_names corresp_author_emails author_emails")
+    + _names("affiliation_{}", "text strings label institution country")
+    + _names("body_section_{}", "labels titles label_titles")
+    + _names("{}", "first_body_section_paragraph body_reference_citation_text body_asset_citation_text")
+    + _names("{}", "tables table_strings table_labels table_captions table_label_captions figure_labels figure_captions figure_label_captions")
+    + _names("{}", "acknowledgement back_section_labels back_section_titles back_section_label_titles back_section_paragraphs first_back_section_paragraph")
+    + _names("first_reference_{}", REFERENCE)
+    + _names("reference_{}", REFERENCE)
+    + _names("{}", "all_section_labels all_section_titles all_section_label_titles first_all_section_paragraph")
+)
+
+
+def settings(text: str) -> dict:
+    """An evaluation's settings in JSON, or in YAML where its reader is installed."""
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(text)
+    return yaml.safe_load(text) or {}

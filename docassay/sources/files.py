@@ -6,17 +6,21 @@ import gzip
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.details import SUMMARY
+from .stored import stored
 
 
 def positions(df: DataFrame, name: str = "pos") -> DataFrame:
-    """Numbers rows from 0 in their order, without bringing them together: only the partitions' sizes are."""
-    ids = df.withColumn("__id", F.monotonically_increasing_id())
+    """Numbers rows from 0 in their order, without bringing them together: only the partitions' sizes are.
+
+    The partitions are stored first, so sizes and numbers come from one result.
+    """
+    ids = stored(df.withColumn("__id", F.monotonically_increasing_id()))
     part = F.shiftright("__id", 33)
-    sizes = ids.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    sizes = ids.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))  # a row for each partition
     before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
     numbered = ids.withColumn("__part", part).join(F.broadcast(before), "__part")
     return numbered.select(*df.columns, (F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1)).alias(name))
@@ -68,16 +72,15 @@ def local(path: Column) -> Column:
     return F.regexp_replace(path, r"^file:/*", "/")
 
 
-def with_content(pairs: DataFrame, files: DataFrame) -> DataFrame:
-    """File pairs with both contents; pairs with a file that is missing or can't be opened are left out."""
-    good = files.where(F.col("error").isNull())
-
-    def side(c: str) -> DataFrame:
-        return good.select(local(F.col("path")).alias(f"__{c}"), F.col("content").alias(f"{c}_content"))
-
+def with_content(pairs: DataFrame, files: DataFrame, counters: Observation | None = None) -> DataFrame:
+    """File pairs with both contents; pairs with a file that is missing or can't be opened are counted (file_pairs, read_error) and left out."""
     for c in ("target", "prediction"):
-        pairs = pairs.join(side(c), local(F.col(f"{c}_file")) == F.col(f"__{c}")).drop(f"__{c}")
-    return pairs
+        side = files.select(local(F.col("path")).alias(f"__{c}"), F.col("content").alias(f"{c}_content"), F.coalesce("error", F.lit("")).alias(f"__{c}_error"))
+        pairs = pairs.join(side, local(F.col(f"{c}_file")) == F.col(f"__{c}"), "left").drop(f"__{c}")
+    bad = F.concat(F.coalesce("__target_error", F.lit("missing")), F.coalesce("__prediction_error", F.lit("missing"))) != ""
+    if counters is not None:
+        pairs = pairs.observe(counters, F.count(F.lit(1)).alias("file_pairs"), F.count_if(bad).alias("read_error"))
+    return pairs.where(~bad).drop("__target_error", "__prediction_error")
 
 
 def results(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -105,23 +108,38 @@ HEADINGS = {
     "levenshtein": "==== Levenshtein Matching ===== (Minimum Levenshtein distance at 0.8)",
     "ratcliff_obershelp": "= Ratcliff/Obershelp Matching = (Minimum Ratcliff/Obershelp similarity at 0.95)",
 }
+RESULTS = "===== Field-level results ====="
 METRICS, WIDTHS = ("accuracy", "precision", "recall", "f1"), (20, 10, 10, 10, 10, 20)
 
 
-def report(summary: DataFrame) -> DataFrame:
-    """(scoring_method, report): each method's metrics as a block of text, made by Spark.
+def report(summary: DataFrame, field_names: Sequence[str] | None = None) -> DataFrame:
+    """(scoring_method, report): each method's metrics of joined strings as a block of text, made by Spark.
 
-    Rows are fields by name, the micro row, and the macro row, which has no label and so stands a column further left.
+    Rows are fields in the order of field_names, or by name, the micro row, and the macro row, which has no label and
+    so stands a column further left. Other scoring types are left out.
     """
 
     def row(*cells: Column) -> Column:
         return F.array_join(F.array(*(F.when(F.char_length(c) >= w, c).otherwise(F.lpad(c, w, " ")) for c, w in zip(cells, WIDTHS))), " ")
 
+    rows = summary.where("scoring_type = 'string'") if "scoring_type" in summary.columns else summary
+    place = F.lit(0) if field_names is None else F.array_position(F.array(*map(F.lit, field_names)), F.col("field_name"))
+    if field_names is not None:
+        rows = rows.where(F.col("field_name").isNull() | F.col("field_name").isin(*field_names))
     numbers = [F.format_string("%.2f", F.col(m) * 100) for m in METRICS]
     line = F.when(F.col("stats_name") == "micro", row(F.lit("all fields"), *numbers, F.lit("(micro average)"))).when(F.col("stats_name") == "macro", row(*numbers, F.lit("(macro average)"))).otherwise(row(F.col("field_name"), *numbers))
     rank = F.when(F.col("stats_name") == "micro", 1).when(F.col("stats_name") == "macro", 2).otherwise(0)
-    lines = summary.groupBy("scoring_method").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "field_name", line.alias("line")))).alias("rows"))
+    lines = rows.groupBy("scoring_method").agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), place.alias("place"), "field_name", line.alias("line")))).alias("rows"))
     part = lambda k: F.transform(F.filter("rows", lambda r: r["rank"] >= 1 if k else r["rank"] == 0), lambda r: r["line"])
     head = F.create_map(*(F.lit(x) for kv in HEADINGS.items() for x in kv))[F.col("scoring_method")]
     body = F.concat(F.array(row(*map(F.lit, ("label", *METRICS))), F.lit("")), part(0), F.array(F.lit("")), part(1))
-    return lines.where(F.col("scoring_method").isin(*HEADINGS)).select("scoring_method", F.concat_ws("\n\n", head, F.array_join(body, "\n")).alias("report"))
+    block = F.concat(F.lit("\n  "), head, F.lit(f"\n\n  {RESULTS}\n\n  "), F.array_join(body, "\n"))
+    return lines.where(F.col("scoring_method").isin(*HEADINGS)).select("scoring_method", block.alias("report"))
+
+
+def report_text(summary: DataFrame, field_names: Sequence[str] | None = None) -> str:
+    """The blocks of all methods in their order: four rows at most. ValueError if there are results, but of no known method."""
+    blocks = dict(tuple(r) for r in report(summary, field_names).collect())
+    if not blocks and not summary.isEmpty():
+        raise ValueError(f"no results of any of {list(HEADINGS)}")
+    return "\n\n".join(blocks[m] for m in HEADINGS if m in blocks)

@@ -136,9 +136,42 @@ def test_tables_and_report(spark, tmp_path):
     back = files.results(spark, {"one": f"{tmp_path}/s", "two": f"{tmp_path}/s"})
     assert back.count() == 8 and back.where("stats_name = 'micro' AND field_name IS NULL").count() == 2
     assert {r.key for r in back.select("key").collect()} >= {"title:string"}
-    text = files.report(summary.summary(scored)).first().report.split("\n")
-    assert text[2] == " ".join(x.rjust(w) for x, w in zip(["label", *files.METRICS], files.WIDTHS))
-    assert text[4].split()[0] == "abstract" and text[-2].split()[:2] == ["all", "fields"] and text[-1].endswith("(macro average)")
+    text = files.report_text(summary.summary(scored), ["title", "abstract"]).split("\n")
+    assert text[:5] == ["", f"  {files.HEADINGS['exact']}", "", "  ===== Field-level results =====", ""] and files.report_text(scored.limit(0).withColumn("stats_name", F.lit("")).withColumns({m: F.lit(0.0) for m in files.METRICS})) == ""
+    with pytest.raises(ValueError):
+        files.report_text(summary.summary(scored).withColumn("scoring_method", F.lit("vague")))
+    assert text[5] == "  " + " ".join(x.rjust(w) for x, w in zip(["label", *files.METRICS], files.WIDTHS))
+    assert [x.split()[0] for x in text[7:9]] == ["title", "abstract"] and text[-2].split()[:2] == ["all", "fields"] and text[-1].endswith("(macro average)")
+
+
+def test_details_written_and_read(spark, tmp_path):
+    rows = [("p", "t", "f", "exact", "list", 1, 0, 0, 0, 'say "x", y', "two\nlines", None, None), ("p", "t", "g", "exact", "list", 0, 0, 1, 0, "", "é", "a", "b")]
+    kinds = ", ".join(f"{c} {'long' if c in ('tp', 'fp', 'fn', 'tn') else 'string'}" for c in details.DETAILS)
+    files.write_details(spark.createDataFrame(rows, kinds), f"{tmp_path}/d")
+    back = {r.field_name: r for r in files.results(spark, {"one": f"{tmp_path}/d"}).collect()}
+    assert (back["f"].expected, back["f"].actual, back["f"].expected_context, back["f"].tp) == ('say "x", y', "two\nlines", None, "1")
+    assert (back["g"].expected or "", back["g"].actual, back["g"].key) == ("", "é", "g:list")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from docassay import __main__ as cli
+
+    for name, title, people in (("a", "One", "X|Y"), ("b", "Two", "Z"), ("pa", "one", "Y|X"), ("pb", "Two", "Z")):
+        (tmp_path / f"{name}.xml").write_text(f"<article><t>{title}</t>{''.join(f'<p>{x}</p>' for x in people.split('|'))}<bb>1,0,0,2,2</bb></article>")
+    (tmp_path / "t.lst").write_text("a.xml\nb.xml\nnone.xml\n")
+    (tmp_path / "p.lst").write_text("pa.xml\npb.xml\npb.xml\n")
+    (tmp_path / "m.conf").write_text("[article]\ntitle = //t\nauthor_surnames = //p\nbox = //bb\n")
+    (tmp_path / "e.conf").write_text("[scoring_types]\ndefault = string\nauthor_surnames = partial_set\n")
+    (tmp_path / "c.json").write_text('{"custom": {"fields": [{"name": "boxes", "type": "bounding_box_intersection_area", "expected": {"field_names": ["box"]}, "actual": {"field_names": ["box"]}}]}}')
+    options = f"--target-file-list {tmp_path}/t.lst --prediction-file-list {tmp_path}/p.lst --folder {tmp_path} --xml-mapping {tmp_path}/m.conf --evaluation-config {tmp_path}/e.conf --evaluation-yaml-config {tmp_path}/c.json --fields title,author_surnames --measures exact,soft --output-path {tmp_path}/out"
+    seen = cli.evaluate(spark, cli.arguments(["evaluate", *options.split()]))
+    assert seen == {"file_pairs": 3, "read_error": 1, "fields": 4, "errors": 0}
+    rows = files.results(spark, {"x": f"{tmp_path}/out/summary"}).collect()
+    got = {(r.key, r.evaluation_method): r.tp for r in rows if r.stats_name == "by-field"}
+    assert got["title:string", "exact"] == "1" and got["author_surnames:partial_set", "exact"] == "3" and {r.document_count for r in rows} == {"2"}
+    assert "all fields" in "".join(r.value for r in spark.read.text(f"{tmp_path}/out/report").collect())
+    cli.main(["extract", "--xml-file", f"{tmp_path}/a.xml", "--xml-mapping", f"{tmp_path}/m.conf", "--fields", "title"])
+    assert '"title"' in capsys.readouterr().out
 
 
 def test_details(spark):

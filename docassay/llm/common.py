@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..sources.stored import discard, scratch, stored  # noqa: F401
+
 #: Rows, and bytes as JSON, up to which a side may be broadcast; both are measured first.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: A key is hot beyond one in HOT of all rows, or beyond HOT_ROWS; never more than HOT_KEYS keys are.
@@ -21,36 +21,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; where none is set, a temporary one in local mode only, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes df as a Parquet table in the shared folder and reads it again."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    made = spark.read.schema(df.schema).parquet(path)
-    made._stored_at = path
-    return made
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes stored() tables that no later step reads; other tables are left alone."""
-    for t in tables:
-        path = t.__dict__.pop("_stored_at", None)
-        if path:
-            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether the rows and bytes of df, which are measured, are few enough for a broadcast."""
     return df.count() <= rows and (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= size

@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..operators import boxes, lists, scoring, summary
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..sources.tables import read as table
+from ..sources.tables import spread
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +22,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     way = F.col("doc_id") % 5
     half = F.substring(t, F.lit(1), (F.char_length(t) / 2).cast("int"))
     actual = F.when(way == 0, t).when(way == 1, F.lower(t)).when(way == 2, F.translate(t, ".,", "")).when(way == 3, half).otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("field_name"), "source", t.alias("expected"), actual.alias("actual"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return docs.select("doc_id", F.col("lang").alias("field_name"), "source", t.alias("expected"), actual.alias("actual"))
 
 
 PAIRS = """pairs AS (SELECT doc_id, lang AS field_name, source, text AS expected, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN lower(text)

@@ -9,34 +9,39 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat_tree, gif, log_templates, order_minhash, pii, quality_fm, secrets, unit_dedup, winnowing
+from ..sources.tables import spread
 from .common import read
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     tokens = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text"), path, public_tokenizers.PATTERN)
     return tokens.select("doc_id", (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     machine = quality_fm.train(docs, read(spark, sf_dir, "labels"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return quality_fm.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.classes(read(spark, sf_dir, "documents"))
+    return order_minhash.classes(documents(spark, sf_dir))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = winnowing.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = winnowing.decontaminate(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_templates.drop_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return log_templates.drop_repeats(documents(spark, sf_dir))
 
 
 def digests(found: DataFrame, kinds: list[str]) -> DataFrame:
@@ -51,17 +56,17 @@ def digests(found: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return digests(pii.find(docs, pii.train(docs)).drop("text"), ["email", "ip", "card", "phone"])
 
 
 def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return unit_dedup.dedup(docs, "line", passages=unit_dedup.PASSAGES)
 
 
 def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     stored = gif.decode(gif.encode(docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))).drop("text"))
     total = F.aggregate(F.transform("frames", lambda f: f["histogram"]), F.array_repeat(F.lit(0).cast("long"), 65), lambda a, h: F.zip_with(a, h, lambda x, y: x + y))
     return stored.select(
@@ -85,7 +90,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(secrets.find(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), ["assign", "access", "hex"])
+    return digests(secrets.find(documents(spark, sf_dir)).drop("text"), ["assign", "access", "hex"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

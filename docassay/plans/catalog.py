@@ -60,7 +60,7 @@ def zipped_lines(spark, sf_dir):
 
 
 def score_line_levenshtein(spark, sf_dir):
-    made = summary.scored(zipped_lines(spark, sf_dir), "levenshtein", scores.levenshtein(F.col("expected"), F.col("actual")))
+    made = summary.scored(zipped_lines(spark, sf_dir), "levenshtein", scores.levenshtein_of_texts(F.col("expected"), F.col("actual")))
     return made.groupBy("doc_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")), F.round(F.avg("score"), 6).alias("score"))
 
 

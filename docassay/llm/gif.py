@@ -91,26 +91,30 @@ def lzw_codes(data: bytes, size: int) -> Iterator[np.ndarray]:
 def lzw_decode(data: bytes, size: int, most: int | None = None) -> bytes:
     """The samples for which a code stream stands; ValueError beyond `most`."""
     start = [bytes([i]) for i in range(1 << size)] + [b"", b""]
-    out: list[bytes] = []
+    parts, total = [], 0
     for codes in lzw_codes(data, size):
-        table, before = list(start), b""
-        known, learn, emit = len(table), table.append, out.append
-        for c in codes.tolist():
-            if c < known:
+        table, (first, *rest) = list(start), codes.tolist() or [1 << size]
+        if first >= len(table):
+            raise ValueError("code out of order")
+        before = table[first]
+        out = [before]
+        learn, emit, room = table.append, out.append, FULL - len(table)
+        for c in rest[:room]:
+            try:
                 s = table[c]
-            elif c == known and before:
+            except IndexError:
+                if c != len(table):
+                    raise ValueError("code out of order") from None
                 s = before + before[:1]
-            else:
-                raise ValueError("code out of order")
-            if before and known < FULL:
-                learn(before + s[:1])
-                known += 1
+            learn(before + s[:1])
             emit(s)
             before = s
-        if most is not None and sum(map(len, out)) > most:
+        out += [table[c] for c in rest[room:]]  # the table is full
+        parts.append(b"".join(out))
+        total += len(parts[-1])
+        if most is not None and total > most:
             raise ValueError("more samples than the frame holds")
-        out = [b"".join(out)]
-    return b"".join(out)
+    return b"".join(parts)
 
 
 @dataclass

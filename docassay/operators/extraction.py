@@ -221,23 +221,26 @@ def _path(p: str, nodes: Column, base: Column | None = None) -> Callable[[Column
     """Test of nodes for a path; under base, or anywhere if it doesn't begin with /."""
     p = p.strip().removeprefix(".") if base is not None else p.strip()
     steps = [(sep or ("/" if base is not None else "//"), *_tests(step)) for sep, step in _STEP.findall(p)]
-    pattern = "^" + "".join({"//": "(?:/[^/]+)*/", "/": "/"}[sep] + ("[^/]+" if tag == "*" else re.escape(tag)) for sep, tag, _ in steps) + "$"
+    patterns = ["".join({"//": "(?:/[^/]+)*/", "/": "/"}[sep] + ("[^/]+" if tag == "*" else re.escape(tag)) for sep, tag, _ in steps[:k]) for k in range(len(steps) + 1)]
 
-    def test(n: Column) -> Column:
+    def reached(n: Column, k: int) -> Column:
+        """Whether the first k steps lead to n."""
         if base is None:
-            held = n["path"].rlike(pattern)
+            held = n["path"].rlike(f"^{patterns[k]}$")
         else:
-            held = (n["node"] > base["node"]) & (n["node"] <= base["last"]) & F.substr(n["path"], F.char_length(base["path"]) + 1).rlike(pattern)
+            held = (n["node"] > base["node"]) & (n["node"] <= base["last"]) & F.substr(n["path"], F.char_length(base["path"]) + 1).rlike(f"^{patterns[k]}$")
         at = n
-        for i, (sep, _, tests) in reversed(list(enumerate(steps))):
+        for i, (sep, _, tests) in reversed(list(enumerate(steps[:k]))):
             for t in tests:
                 held = held & t(at, nodes)
-            if sep == "//" and any(ts for _, _, ts in steps[:i]):
-                raise ValueError(f"predicates before // aren't supported: {p}")
+            if sep == "//":
+                if any(ts for _, _, ts in steps[:i]):
+                    held = held & F.exists(nodes, lambda a: (a["node"] < at["node"]) & (a["last"] >= at["last"]) & reached(a, i))  # noqa: B023
+                break
             at = F.get(nodes, at["parent"])
         return held
 
-    return test
+    return lambda n: reached(n, len(steps))
 
 
 def _any(path: str, nodes: Column, base: Column | None = None) -> Column:
@@ -253,7 +256,7 @@ def _any(path: str, nodes: Column, base: Column | None = None) -> Column:
 
 
 def select(path: str, nodes: Column | None = None) -> Column:
-    """Nodes of a path of steps with / and //, with predicates on the steps behind the last //; | joins paths, in document order."""
+    """Nodes of a path of steps with / and //, with predicates; | joins paths, in document order."""
     return _any(path, F.col("nodes") if nodes is None else nodes)
 
 
@@ -320,8 +323,7 @@ def joined(node: Column, tags: str, sep: str) -> Column:
 
 def items(node: Column, tags: str) -> Column:
     """Texts of the descendants with one of the tags that don't directly hold another of them."""
-    found = under(node, tags)
-    return F.transform(F.filter(found, lambda n: ~F.exists(found, lambda m: m["parent"] == n["node"])), value)
+    return _let(under(node, tags), lambda found: F.transform(F.filter(found, lambda n: ~F.exists(found, lambda m: m["parent"] == n["node"])), value))
 
 
 def strip_brackets(s: Column) -> Column:
@@ -603,7 +605,7 @@ def table_rows(node: Column) -> Column:
 def table_wrap(node: Column) -> Column:
     """struct<label, caption, table> of what surrounds a table; empty where it is missing."""
     part = lambda tag: F.coalesce(value(child(node, tag)), F.lit(""))
-    return F.struct(part("label").alias("label"), part("caption").alias("caption"), table(child(node, "table")).alias("table"))
+    return F.struct(part("label").alias("label"), part("caption").alias("caption"), _let(child(node, "table"), table).alias("table"))
 
 
 def field(mapping: dict[str, str], name: str) -> Column:

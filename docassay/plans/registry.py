@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, comparisons
+from . import articles, catalog, comparisons
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return catalog.queries() | comparisons.queries()
+    return catalog.queries() | comparisons.queries() | articles.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return catalog.oracle_sql() | comparisons.oracle_sql()
+    return catalog.oracle_sql() | comparisons.oracle_sql() | articles.oracle_sql()

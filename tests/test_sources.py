@@ -1,6 +1,7 @@
 """Extraction from XML and HTML, file lists, settings, tables and the report."""
 
 import gzip
+import xml.etree.ElementTree as ET
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,3 +181,16 @@ def test_details(spark):
     df = spark.createDataFrame(rows, f"prediction_file string, target_file string, field_name string, scoring_method string, scoring_type string, sub_scores array<{s}>, match_score {s}")
     got = details.flatten_details(df, ["f"]).collect()
     assert [(r.prediction_file, r.fp, r.expected_context) for r in got] == [("q", 1, None)]
+
+
+def test_paths_against_a_plain_parser(spark):
+    """Paths with predicates on any step find what the standard library's parser finds."""
+    source = """<r><a k="1"><b><c>1</c><a k="2"><c>2</c></a></b></a><a><b k="1"><c>3</c><d><c>4</c></d></b></a><b><a k="1"><d><c>5</c></d></a></b><c>6</c></r>"""
+    paths = ["//a[@k='1']//c", "//a[@k]//b//c", "//b[@k='1']/d//c", "//a[@k='2']/c", "//b[d]//c", "//a[@k='1']/b/a//c", "/r/a[2]//c", "//a[@k='1']//d/c", "//b//a[@k]//c"]
+    made = X.shred(spark.createDataFrame([(1, source)], "id int, xml string"), "xml", ["id"])
+    got = made.select(*(X.texts(p).alias(str(i)) for i, p in enumerate(paths))).first()
+    root = ET.fromstring(source)
+    for i, p in enumerate(paths):
+        assert sorted(got[i]) == sorted(e.text for e in root.findall("." + p.removeprefix("/r") if p.startswith("/r/") else "." + p)), p
+    below = made.select(F.transform(X.select("/r/a"), lambda n: F.transform(X.relative(n, "b[@k]//c"), X.value)).alias("x")).first().x
+    assert below == [[], ["3", "4"]]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_tree, gif, log_templates, order_minhash, pii, quality_fm, secrets, unit_dedup, winnowing
+from . import bpe, chat_tree, gif, language_id, log_templates, order_minhash, pii, quality_fm, secrets, source_audit, spelling, unit_dedup, winnowing
 from ..sources.tables import spread
 from .common import read
 
@@ -93,6 +93,20 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(secrets.find(documents(spark, sf_dir)).drop("text"), ["assign", "access", "hex"])
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(spread(read(spark, sf_dir, "documents").select("text", "lang", "source")))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    found = language_id.identify(docs.drop("lang"), language_id.train(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -105,8 +119,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": op8_near_dedup,
         "op9_decontamination": op9_decontamination,
         "op10_line_dedup": op10_line_dedup,
+        "op11_source_audit": op11_source_audit,
+        "op12_language_id": op12_language_id,
+        "op13_spelling": op13_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": winnowing.OP9_SQL, "op10_line_dedup": log_templates.OP10_SQL}
+    return {"op9_decontamination": winnowing.OP9_SQL, "op10_line_dedup": log_templates.OP10_SQL, "op11_source_audit": source_audit.OP11_SQL}

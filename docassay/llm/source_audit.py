@@ -45,17 +45,25 @@ def collapsed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def tokenized(texts: DataFrame) -> DataFrame:
-    """(lang, term, source, n) counts of terms, and under a null source the documents that have them."""
+    """(lang, term, entries: array of (source, n)) counts of terms, and under a null source the documents that have them; a row for each task that has a term."""
+    kind = "lang string, term string, entries array<struct<source:string,n:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str | None], Counter] = defaultdict(Counter)
         new = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), terms in seen.items():
-                m = len(terms)
-                columns = [pa.array([lang] * m, pa.string()), pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array([source] * m, pa.string()), pa.array(terms.values(), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "source", "n"])
+            for lang in {lang for lang, _ in seen}:
+                place: dict[bytes, int] = {}
+                own = [(source, terms) for (g, source), terms in seen.items() if g == lang]
+                at = np.concatenate([np.fromiter((place.setdefault(t, len(place)) for t in terms), np.int64, len(terms)) for _, terms in own])
+                order = np.argsort(at, kind="stable")
+                n = np.concatenate([np.fromiter(terms.values(), np.int64, len(terms)) for _, terms in own])[order]
+                source = np.repeat(np.arange(len(own)), [len(terms) for _, terms in own])[order]
+                names = pa.array([s for s, _ in own], pa.string()).take(pa.array(source))
+                bounds = np.append(0, np.cumsum(np.bincount(at, minlength=len(place)))).astype(np.int32)
+                entries = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([names, pa.array(n)], names=["source", "n"]))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(place), pa.string()), pa.array(list(place), pa.binary()).cast(pa.string()), entries], names=["lang", "term", "entries"])
 
         for b in batches:
             for lang, text, sources in zip(b.column("lang").to_pylist(), b.column("text"), b.column("sources").to_pylist(), strict=True):
@@ -77,7 +85,7 @@ def tokenized(texts: DataFrame) -> DataFrame:
                         seen.clear()
         yield from out()
 
-    return texts.mapInArrow(run, "lang string, term string, source string, n long").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, kind)
 
 
 def share(n: Column | int, whole: Column) -> Column:
@@ -142,7 +150,8 @@ def with_others(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def audit(docs: DataFrame) -> DataFrame:
     """(lang, source, part, item, value, rank) of docs (text, lang, source): pairs of sources, and each group's terms over its language's share."""
     texts, occurring = collapsed(docs)
-    counted = tokenized(texts)
+    # dealt out by term, once: a term has a row for each task at most; all that follows by term needs no other shuffle
+    counted = tokenized(texts).repartition("lang", "term").select("lang", "term", F.explode("entries").alias("e")).groupBy("lang", "term", "e.source").agg(F.sum("e.n").alias("n"))
     entry = F.when(F.col("source").isNotNull(), F.struct("source", "n"))
     terms = counted.groupBy("lang", "term").agg(F.max(F.when(F.col("source").isNull(), F.col("n"))).alias("documents"), F.collect_list(entry).alias("entries"))
     terms = stored(terms.where(F.col("documents") >= DOCUMENTS).select("lang", "term", F.aggregate("entries", F.lit(0).cast("long"), lambda s, e: s + e["n"]).alias("total"), "entries"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import html as html_text
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -20,8 +20,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import text as T
+from . import paths
+from .paths import Found, below, nonempty, pieces, raw, without_nulls
+from .paths import let as _let
 
-NODES = "array<struct<node:int,parent:int,last:int,tag:string,path:string,attrs:map<string,string>,start:int,lead:int,end:int>>"
+NODES = "array<struct<node:int,parent:int,last:int,tag:string,nth:int,path:string,attrs:map<string,string>,start:int,lead:int,end:int>>"
 #: Elements of HTML that have no end.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -36,6 +39,7 @@ class _Nodes(HTMLParser):
         self.nodes: list[dict] = []
         self.open: list[int] = []
         self.parts: list[str] = []
+        self.like: dict[tuple[int, str], int] = {}
         self.at = 0
 
     def handle_starttag(self, tag: str, attrs) -> None:
@@ -47,7 +51,8 @@ class _Nodes(HTMLParser):
         kept = {}
         for k, v in attrs:
             kept.setdefault(k, v or "")
-        self.nodes.append({"node": n, "parent": up["node"], "last": n, "tag": tag, "path": f"{up['path']}/{tag}", "attrs": list(kept.items()), "start": self.at, "lead": None, "end": self.at})
+        nth = self.like[up["node"], tag] = self.like.get((up["node"], tag), 0) + 1
+        self.nodes.append({"node": n, "parent": up["node"], "last": n, "tag": tag, "nth": nth, "path": f"{up['path']}/{tag}", "attrs": list(kept.items()), "start": self.at, "lead": None, "end": self.at})
         self.open.append(n)
         if tag in VOID and self.html:
             self.handle_endtag(tag)
@@ -160,11 +165,6 @@ def shred(docs: DataFrame, source: str, keys: list[str], html: bool = False) ->
     return kept.mapInArrow(run, out)
 
 
-def raw(node: Column) -> Column:
-    """A node's text."""
-    return F.substring(F.col("content"), node["start"] + 1, node["end"] - node["start"])
-
-
 def strip(s: Column) -> Column:
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
 
@@ -179,97 +179,37 @@ def lead(node: Column) -> Column:
     return F.nullif(F.substring(F.col("content"), node["start"] + 1, node["lead"] - node["start"]), F.lit(""))
 
 
-_STEP = re.compile(r"(//|/|^)((?:[^/\[]|\[[^\]]*\])+)")
-
-
-def _tests(step: str) -> tuple[str, list[Callable[[Column, Column], Column]]]:
-    """Tag and predicates of a step: [@a='v'], [@a], [n], [child], contains(@a,'v'), and not() and `and`/`or` of these."""
-    tag, *predicates = re.split(r"\[", step.replace("]", ""))
-
-    def one(p: str) -> Callable[[Column, Column], Column]:
-        p = p.strip()
-        for word in (" or ", " and "):
-            if word in p:
-                parts = [one(x) for x in p.split(word)]
-
-                def both(n: Column, nodes: Column) -> Column:
-                    made = parts[0](n, nodes)
-                    for x in parts[1:]:
-                        made = made | x(n, nodes) if word == " or " else made & x(n, nodes)
-                    return made
-
-                return both
-        if m := re.fullmatch(r"not\((.*)\)", p):
-            inner = one(m.group(1))
-            return lambda n, nodes: ~inner(n, nodes)
-        if m := re.fullmatch(r"contains\(@([\w:{}./-]+),\s*['\"]([^'\"]*)['\"]\)", p):
-            return lambda n, nodes: F.coalesce(F.contains(n["attrs"][m.group(1)], F.lit(m.group(2))), F.lit(False))
-        if m := re.fullmatch(r"@([\w:{}./-]+)\s*=\s*['\"]([^'\"]*)['\"]", p):
-            return lambda n, nodes: F.coalesce(n["attrs"][m.group(1)] == m.group(2), F.lit(False))
-        if m := re.fullmatch(r"@([\w:{}./-]+)", p):
-            return lambda n, nodes: n["attrs"][m.group(1)].isNotNull()
-        if p.isdigit():  # the nth of its name under its parent
-            return lambda n, nodes: F.size(F.filter(nodes, lambda m: (m["parent"] == n["parent"]) & (m["tag"] == n["tag"]) & (m["node"] < n["node"]))) == int(p) - 1
-        if re.fullmatch(r"[\w.-]+", p):
-            return lambda n, nodes: F.exists(nodes, lambda m: (m["parent"] == n["node"]) & (m["tag"] == p))
-        raise ValueError(f"predicate [{p}] isn't one of those that paths can have")
-
-    return tag.strip(), [one(p) for p in predicates]
-
-
-def _path(p: str, nodes: Column, base: Column | None = None) -> Callable[[Column], Column]:
-    """Test of nodes for a path; under base, or anywhere if it doesn't begin with /."""
-    p = p.strip().removeprefix(".") if base is not None else p.strip()
-    steps = [(sep or ("/" if base is not None else "//"), *_tests(step)) for sep, step in _STEP.findall(p)]
-    patterns = ["".join({"//": "(?:/[^/]+)*/", "/": "/"}[sep] + ("[^/]+" if tag == "*" else re.escape(tag)) for sep, tag, _ in steps[:k]) for k in range(len(steps) + 1)]
-
-    def reached(n: Column, k: int) -> Column:
-        """Whether the first k steps lead to n."""
-        if base is None:
-            held = n["path"].rlike(f"^{patterns[k]}$")
-        else:
-            held = (n["node"] > base["node"]) & (n["node"] <= base["last"]) & F.substr(n["path"], F.char_length(base["path"]) + 1).rlike(f"^{patterns[k]}$")
-        at = n
-        for i, (sep, _, tests) in reversed(list(enumerate(steps[:k]))):
-            for t in tests:
-                held = held & t(at, nodes)
-            if sep == "//":
-                if any(ts for _, _, ts in steps[:i]):
-                    held = held & F.exists(nodes, lambda a: (a["node"] < at["node"]) & (a["last"] >= at["last"]) & reached(a, i))  # noqa: B023
-                break
-            at = F.get(nodes, at["parent"])
-        return held
-
-    return lambda n: reached(n, len(steps))
-
-
-def _any(path: str, nodes: Column, base: Column | None = None) -> Column:
-    every = [_path(p, nodes, base) for p in re.split(r"\|(?![^\[]*\])", path)]
-
-    def test(n: Column) -> Column:
-        held = every[0](n)
-        for t in every[1:]:
-            held = held | t(n)
-        return held
-
-    return F.filter(nodes, test)
-
-
-def select(path: str, nodes: Column | None = None) -> Column:
+def _nodes(found: Found) -> Column:
+    if found.kind != "nodes":
+        raise ValueError("the path leads to texts, not to elements")
+    return found.column
+
+
+def _anywhere(tree):
+    """A path that doesn't begin with / leads to nodes wherever they are."""
+    if isinstance(tree, paths.Union):
+        return paths.Union(tuple(map(_anywhere, tree.parts)))
+    if isinstance(tree, paths.Path) and tree.base is None and not tree.absolute:
+        return paths.Path(None, True, (paths.Step("//", tree.steps[0].test, tree.steps[0].predicates), *tree.steps[1:]))
+    return tree
+
+
+def select(path: str) -> Column:
     """Nodes of a path of steps with / and //, with predicates; | joins paths, in document order."""
-    return _any(path, F.col("nodes") if nodes is None else nodes)
+    return _nodes(paths.Paths().find(_anywhere(paths.parse(path)), F.get("nodes", F.lit(0))))
 
 
-def relative(node: Column, path: str, nodes: Column | None = None) -> Column:
+def relative(node: Column, path: str) -> Column:
     """Nodes of a path below a node: a/b or .//a."""
-    return _any(path, F.col("nodes") if nodes is None else nodes, node)
+    return _nodes(paths.Paths().find(paths.parse(path), node))
 
 
-def under(node: Column, tags: str, direct: bool = False, nodes: Column | None = None) -> Column:
+def under(node: Column, tags: str, direct: bool = False) -> Column:
     """Descendants, or only children, of a node with one of the tags a|b; * for any."""
-    nodes = F.col("nodes") if nodes is None else nodes
-    inside = (lambda n: n["parent"] == node["node"]) if direct else (lambda n: (n["node"] > node["node"]) & (n["node"] <= node["last"]))
-    return F.filter(nodes, inside if tags == "*" else lambda n: inside(n) & n["tag"].isin(*tags.split("|")))
+    inside = below(node)
+    if direct:
+        inside = F.filter(inside, lambda n: n["parent"] == node["node"])
+    return inside if tags == "*" else F.filter(inside, lambda n: n["tag"].isin(*tags.split("|")))
 
 
 def child(node: Column, tag: str) -> Column:
@@ -295,23 +235,15 @@ def attributes(path: str, name: str) -> Column:
     return F.filter(F.transform(select(path), lambda n: n["attrs"][name]), lambda v: v.isNotNull())
 
 
-def without_nulls(xs: Column) -> Column:
-    return F.filter(xs, lambda x: x.isNotNull())
-
-
-def nonempty(xs: Column) -> Column:
-    return F.filter(xs, lambda x: x != "")
-
-
 def concat_children(node: Column, *expressions: str) -> Column:
     """The texts of first children ($name) and literals, one behind the other."""
     parts = [F.coalesce(raw(child(node, e[1:])), F.lit("")) if e.startswith("$") else F.lit(e) for e in expressions]
     return strip(F.concat(*parts))
 
 
-def join_children(node: Column, paths: str, sep: str) -> Column:
+def join_children(node: Column, expressions: str, sep: str) -> Column:
     """Texts of the nodes of relative paths; those of a path in document order, paths between || in the order given."""
-    parts = F.concat(*(F.transform(relative(node, p), raw) for p in paths.split("||")))
+    parts = F.concat(*(F.transform(relative(node, p), raw) for p in expressions.split("||")))
     return strip(F.array_join(parts, sep))
 
 
@@ -331,18 +263,6 @@ def strip_brackets(s: Column) -> Column:
     return F.when(s.rlike(r"(?s)^(?:\[.*\]|\(.*\)|\{.*\})$"), strip(F.substr(s, F.lit(2), F.char_length(s) - 2))).otherwise(s)
 
 
-def pieces(node: Column, every: bool = False) -> Column:
-    """Texts of a node between its children or, with every, between all starts and ends of its descendants."""
-    inside = under(node, "*", direct=not every)
-    if every:
-        marks = F.concat(F.transform(inside, lambda n: n["start"]), F.transform(inside, lambda n: n["end"]))
-        bounds = F.sort_array(F.array_distinct(F.concat(F.array(node["start"], node["end"]), marks)))
-        spans = F.zip_with(F.slice(bounds, F.lit(1), F.greatest(F.size(bounds) - 1, F.lit(0))), F.slice(bounds, F.lit(2), F.size(bounds)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    else:
-        spans = F.zip_with(F.concat(F.array(node["start"]), F.transform(inside, lambda n: n["end"])), F.concat(F.transform(inside, lambda n: n["start"]), F.array(node["end"])), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return nonempty(F.transform(spans, lambda s: F.substring(F.col("content"), s["a"] + 1, s["b"] - s["a"])))
-
-
 def normalized_text(node: Column) -> Column:
     """A node's text with a blank between words that only tags part, single spaces, and none before . , and :."""
     empty = F.struct(F.lit("").alias("text"), F.lit("").alias("last"))
@@ -390,11 +310,6 @@ def sorted_naturally(nodes: Column, name: str) -> Column:
     return F.transform(order, lambda o: F.get(nodes, o["i"]))
 
 
-def _let(x: Column, use: Callable[[Column], Column]) -> Column:
-    """use(x) with x worked out once."""
-    return F.get(F.transform(F.array(x), use), F.lit(0))
-
-
 def _person(parts: Column) -> Column:
     return T.person_name(F.array_join(nonempty(parts), " "))
 
@@ -618,20 +533,3 @@ def with_fields(shredded: DataFrame, mapping: dict[str, str], only: list[str] |
     """Adds an array of texts for each field of the mapping (field: path); keys that hold .ignore are no fields."""
     chosen = [f for f in mapping if ".ignore" not in f and (only is None or f in only)]
     return shredded.withColumns({f: field(mapping, f) for f in chosen})
-
-
-def with_mapped_fields(shredded: DataFrame, mappings: dict[str, dict[str, str]], only: list[str] | None = None) -> DataFrame:
-    """Adds `fields`, a map of the fields' texts by the mapping of the root's tag, and says in `error` if there is none."""
-    tag = F.get("nodes", F.lit(0))["tag"]
-    made = F.lit(None).cast("map<string,array<string>>")
-    for root, mapping in mappings.items():
-        chosen = [f for f in mapping if ".ignore" not in f and (only is None or f in only)]
-        if root != "namespaces" and chosen:
-            made = F.when(tag == root, F.create_map(*(c for f in chosen for c in (F.lit(f), field(mapping, f))))).otherwise(made)
-    unknown = F.when(F.size("nodes") > 0, F.concat(F.lit("unrecognised tag: "), tag))
-    return shredded.withColumn("fields", made).withColumn("error", F.coalesce("error", F.when(F.col("fields").isNull(), unknown)))
-
-
-def fields_json(fields: Column) -> Column:
-    """A map or struct of fields as JSON."""
-    return F.to_json(fields, {"pretty": "true"})

@@ -7,13 +7,10 @@ bad. Of equal scores the larger bounds win, then the earlier value. What stays o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions import scores
 
@@ -91,29 +88,43 @@ def greedy(expected: Column, actual: Column, measure: Measure, threshold: float,
     return _let(_let(first, second), alone)
 
 
-def greedy_equal(expected: Column, actual: Column, prepare: Callable[[Column], Column] = lambda x: x) -> Column:
-    """greedy() for measures that are 1 for values that are equal once prepared, else 0: a search for each value, no scores."""
-    kind = f"struct<rest:array<string>,own:array<string>,without:array<string>,pairs:array<{PAIR}>>"
-    texts, none = F.array().cast("array<string>"), F.array().cast(f"array<{PAIR}>")
+def _numbered(xs: Column, side: int, prepare: Callable[[Column], Column]) -> Column:
+    """Values (p, k, side, i) by prepared value p and place i; k numbers equal values."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda _, i: i), lambda i: (i == 0) | (F.get(s, i - 1)["p"] != F.get(s, i)["p"]))
+        sized = _let(starts, lambda b: F.zip_with(b, F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(F.size(s))), lambda x, y: F.sequence(F.lit(0), y - x - 1)))
+        k = F.when(F.size(s) > 0, F.flatten(sized)).otherwise(F.array().cast("array<int>"))
+        return F.zip_with(s, k, lambda x, n: F.struct(x["p"].alias("p"), n.alias("k"), F.lit(side).alias("side"), x["i"].alias("i")))
+
+    return _let(F.sort_array(F.transform(xs, lambda v, i: F.struct(prepare(v).alias("p"), i.alias("i")))), runs)
 
-    def state(rest: Column, own: Column, without: Column, pairs: Column) -> Column:
-        return F.struct(rest.alias("rest"), own.alias("own"), without.alias("without"), pairs.alias("pairs")).cast(kind)
 
-    def less(xs: Column, at: Column) -> Column:
-        return F.concat(F.slice(xs, F.lit(1), at - 1), F.slice(xs, at + 1, F.size(xs)))
+def greedy_equal(expected: Column, actual: Column, prepare: Callable[[Column], Column] = lambda x: x) -> Column:
+    """greedy() for measures that are 1 for values that are equal once prepared, else 0: the nth of equal values goes with the other side's nth.
+
+    Both sides are sorted together, so that such values are neighbours: time grows with the sort's.
+    """
 
-    def step(s: Column, v: Column) -> Column:
-        def taken(at: Column) -> Column:
-            pair = F.struct(v.alias("e"), F.get(s["own"], at - 1).alias("a"), F.lit(1.0).alias("score"))
-            return F.when(at > 0, state(less(s["rest"], at), less(s["own"], at), s["without"], F.concat(s["pairs"], F.array(pair)))).otherwise(state(s["rest"], s["own"], F.concat(s["without"], F.array(v)), s["pairs"]))
+    def matched(v: Column) -> Column:
+        def beside(both: Column) -> Column:
+            same = lambda x, j: F.coalesce((F.get(both, j)["p"] == x["p"]) & (F.get(both, j)["k"] == x["k"]), F.lit(False))
+            mark = F.transform(both, lambda x, j: F.struct(x["side"].alias("side"), x["i"].alias("i"), F.when(x["side"] == 0, F.when(same(x, j + 1), F.get(both, j + 1)["i"])).when((j > 0) & same(x, j - 1), F.lit(-1)).alias("of")))
+            return mark
 
-        return _let(F.array_position(s["rest"], prepare(v)).cast("int"), taken)
+        def listed(m: Column) -> Column:
+            blank = lambda xs, i: F.coalesce(F.get(xs, i), F.lit(""))
+            pairs = F.sort_array(F.transform(F.filter(m, lambda x: (x["side"] == 0) & x["of"].isNotNull()), lambda x: F.struct(x["i"].alias("i"), x["of"].alias("of"))))
+            left = [F.sort_array(F.transform(F.filter(m, lambda x: (x["side"] == side) & x["of"].isNull()), lambda x: x["i"])) for side in (0, 1)]  # noqa: B023
+            found = F.transform(pairs, lambda x: F.struct(F.get(v["e"], x["i"]).alias("e"), F.get(v["a"], x["of"]).alias("a"), F.lit(1.0).alias("score")))
+            # what is left is paired in order, at 0; the longer side's rest stays alone
+            rest = F.zip_with(left[0], left[1], lambda i, j: F.struct(blank(v["e"], i).alias("e"), blank(v["a"], j).alias("a"), F.lit(0.0).alias("score")))
+            return F.concat(found.cast(f"array<{PAIR}>"), rest.cast(f"array<{PAIR}>"))
 
-    def over(s: Column) -> Column:  # what is left is paired in order, at 0; the longer side's rest stays alone
-        blank = lambda x: F.coalesce(x, F.lit(""))
-        return F.concat(s["pairs"], F.zip_with(s["without"], s["own"], lambda e, a: F.struct(blank(e).alias("e"), blank(a).alias("a"), F.lit(0.0).alias("score"))))
+        both = F.sort_array(F.concat(_numbered(v["e"], 0, prepare), _numbered(v["a"], 1, prepare)))
+        return _let(_let(both, beside), listed)
 
-    return _let(F.aggregate(expected, state(F.transform(actual, prepare), actual, texts, none), step), over)
+    return _let(F.struct(expected.alias("e"), actual.alias("a")), matched)
 
 
 def partial_counts(pairs: Column, threshold: float) -> Column:
@@ -136,26 +147,34 @@ def as_set(xs: Column) -> Column:
     return F.array_sort(F.array_distinct(xs))
 
 
-def _share(haystack: list[str], needles: list[str]) -> float:
-    """Share of the characters of the items, joined with blanks, that the first occurrences of the needles cover.
+def items_covered(haystack: Column, needles: Column) -> Column:
+    """Share of the characters of the items of haystack, joined with blanks, that the first occurrences of the needles cover.
 
-    One place for each item but the last is not counted: that after its length, from the start of the text.
+    One place for each item but the last is not counted: that after its length, from the start of the text. Occurrences
+    are intervals, summed up in one sweep from left to right.
     """
-    haystack, needles = [x for x in haystack if x], [x for x in needles if x]
-    if not haystack or not needles:
-        return float(not haystack and not needles)
-    text = " ".join(haystack)
-    covered, counted = np.zeros(len(text), bool), np.ones(len(text), bool)
-    counted[[len(x) for x in haystack[:-1]]] = False
-    for x in needles:
-        at = text.find(x)
-        if at >= 0:
-            covered[at : at + len(x)] = True
-    return float((covered & counted).sum() / counted.sum())
-
-
-@F.pandas_udf(DoubleType())
-def items_exact(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    some = lambda xs: F.filter(xs, lambda x: x != "")
+
+    def of(v: Column) -> Column:
+        spans = F.transform(v["n"], lambda x: F.struct(F.position(x, v["text"]).alias("s"), (F.position(x, v["text"]) + F.char_length(x)).alias("e")))
+        skipped = F.array_distinct(F.transform(F.slice(v["h"], F.lit(1), F.greatest(F.size(v["h"]) - 1, F.lit(0))), lambda x: F.char_length(x) + 1))
+        start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
+
+        def swept(z: Column) -> Column:
+            step = lambda acc, x: F.struct(F.greatest(acc["end"], x["e"]).alias("end"), (acc["total"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], acc["end"]))).alias("total"))
+            covered = F.aggregate(z["spans"], start, step, lambda acc: acc["total"])
+            lost = F.size(F.filter(z["skipped"], lambda p: F.exists(z["spans"], lambda x: (x["s"] <= p) & (p < x["e"]))))
+            return (covered - lost) / (F.char_length(v["text"]) - F.size(z["skipped"]))
+
+        found = F.sort_array(F.filter(spans, lambda x: x["s"] > 0))
+        share = _let(F.struct(found.alias("spans"), skipped.alias("skipped")), swept)
+        none = (F.size(v["h"]) == 0) | (F.size(v["n"]) == 0)
+        return F.when(none, ((F.size(v["h"]) == 0) & (F.size(v["n"]) == 0)).cast("double")).otherwise(share)
+
+    return _let(_let(F.struct(some(haystack).alias("h"), some(needles).alias("n")), lambda v: F.struct(v["h"].alias("h"), v["n"].alias("n"), F.array_join(v["h"], " ").alias("text"))), of)
+
+
+def items_exact(expected: Column, actual: Column) -> Column:
     """Items of the side with fewer of them are searched for those of the other."""
-    for expected, actual in batches:
-        yield pd.Series([_share(a, e) if len(e) >= len(a) else _share(e, a) for e, a in zip(expected, actual, strict=True)], dtype="float64")
+    fewer = F.size(expected) >= F.size(actual)
+    return _let(F.struct(F.when(fewer, actual).otherwise(expected).alias("h"), F.when(fewer, expected).otherwise(actual).alias("n")), lambda v: items_covered(v["h"], v["n"]))

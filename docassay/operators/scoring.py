@@ -12,9 +12,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import scores, text
-from . import boxes, matching
+from . import boxes, mapping, matching
 
 Measure = Callable[[Column, Column], Column]
 ITEM = "struct<tp:bigint,fp:bigint,fn:bigint,tn:bigint,score:double,expected:string,actual:string>"
@@ -157,24 +158,75 @@ def values(xs: Column, lower: bool = False) -> Column:
 
 
 def table_rows(tables: Column, lower: bool = False) -> Column:
-    """Rows, head before body, of tables that are struct<head, body>, their cells normalised; a null list is empty."""
+    """Rows, head before body, of tables that are struct<head, body> (or typed values), their cells normalised; a null list is empty."""
     none = F.array().cast("array<array<string>>")
     rows = lambda t: F.concat(F.coalesce(t["head"], none), F.coalesce(t["body"], none))
     return F.coalesce(F.transform(tables, lambda t: F.transform(rows(t), lambda r: values(r, lower))), F.array().cast("array<array<array<string>>>"))
 
 
-def score(expected: Column, actual: Column, scoring_type: str, method: str, lower: bool = False) -> Column:
-    """struct<tp, fp, fn, tn, score, expected, actual, sub_scores> of two lists of texts, or of tables for the table types."""
+#: Between the items of a value, while lists of items are matched.
+MARK = "\x01"
+#: The methods that lists of items have.
+ITEMS = {"exact": Method("exact", lambda a, b: matching.items_exact(F.split(a, MARK), F.split(b, MARK)), scores.THRESHOLDS["exact"])}
+
+
+def _unmarked(match: Column) -> Column:
+    """A score whose values show items with commas between them."""
+    shown = lambda s: F.replace(s, F.lit(MARK), F.lit(", "))
+    names = [x.partition(":")[0] for x in ITEM[7:-1].split(",")]
+    one = lambda m: F.struct(*((shown(m[n]) if n in ("expected", "actual") else m[n]).alias(n) for n in names))
+    return F.struct(*(one(match)[n].alias(n) for n in names), F.transform(match["sub_scores"], one).alias("sub_scores")).cast(MATCH)
+
+
+def is_table_type(scoring_type: str) -> bool:
+    kind = "string" if scoring_type == "str" else scoring_type
+    if kind not in TYPES and kind not in TABLE_TYPES:
+        raise ValueError(f"scoring type must be one of {sorted([*TYPES, *TABLE_TYPES])}: {scoring_type}")
+    return kind in TABLE_TYPES
+
+
+def _table_of(x: Column) -> Column:
+    """The table that a text gives as JSON, or an empty one."""
+    return F.from_json(x, f"struct<{mapping.TABLE}>")
+
+
+def prepared(expected: Column, actual: Column, types: Sequence[str], typed: bool, lower: bool = False, json: bool = False) -> Column:
+    """What the scoring types need of both sides, normalised once: e and a, texts; te and ta, rows of tables; items, whether both are lists of items, then ie and ia.
+
+    `typed` values are those of mapping.VALUE, others are texts or, for table types alone, struct<head, body>; or, with
+    `json`, texts that can be tables as JSON.
+    """
+    tables = [is_table_type(t) for t in types]
+    made: dict[str, Column] = {}
+    if any(tables):
+        made |= {n: table_rows(F.transform(x, _table_of) if json else x, lower) for n, x in (("te", expected), ("ta", actual))}
+    if not all(tables):
+        made |= {n: values(mapping.texts(x) if typed else x, lower) for n, x in (("e", expected), ("a", actual))}
+    if typed and not all(tables):
+        first_is = lambda x: F.coalesce(F.get(x, F.lit(0))["kind"] == "items", F.lit(False))
+        items = lambda x: F.coalesce(F.transform(x, lambda v: F.array_join(values(F.when(v["kind"] == "items", v["items"]).otherwise(mapping.texts(F.array(v))), lower), MARK)), F.array().cast("array<string>"))
+        made |= {"items": first_is(expected) | first_is(actual), "ie": items(expected), "ia": items(actual)}
+    return F.struct(*(c.alias(n) for n, c in made.items()))
+
+
+def _score(v: Column, scoring_type: str, method: str, typed: bool) -> Column:
+    """The score of prepared values; null where items have no such method."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {sorted(METHODS)}: {method}")
-    m, kind = METHODS[method], "string" if scoring_type == "str" else scoring_type
-    if kind in TABLE_TYPES:
-        prepared, of = table_rows, TABLE_TYPES[kind]
-    elif kind in TYPES:
-        prepared, of = values, TYPES[kind]
-    else:
-        raise ValueError(f"scoring type must be one of {sorted([*TYPES, *TABLE_TYPES])}: {scoring_type}")
-    return _let(F.struct(prepared(expected, lower).alias("e"), prepared(actual, lower).alias("a")), lambda v: of(v["e"], v["a"], m))
+    m = METHODS[method]
+    if is_table_type(scoring_type):
+        return TABLE_TYPES[scoring_type](v["te"], v["ta"], m)
+    of = TYPES["string" if scoring_type == "str" else scoring_type]
+    said = of(v["e"], v["a"], m)
+    if not typed or of is as_string:
+        return said
+    by_items = _let(of(v["ie"], v["ia"], ITEMS[method]), _unmarked) if method in ITEMS else F.lit(None).cast(MATCH)
+    return F.when(v["items"], by_items).otherwise(said)
+
+
+def score(expected: Column, actual: Column, scoring_type: str, method: str, lower: bool = False, typed: bool = False) -> Column:
+    """struct<tp, fp, fn, tn, score, expected, actual, sub_scores> of two lists of texts, or of tables for the table types, or of `typed` values."""
+    return _let(prepared(expected, actual, [scoring_type], typed, lower), lambda v: _score(v, scoring_type, method, typed))
 
 
 def join_sides(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -203,7 +255,8 @@ def by_field(pairs: DataFrame, keys: Sequence[str], names: Sequence[str] | None
 def score_fields(fields: DataFrame, types: Mapping[str, Sequence[str]], methods: Sequence[str] = ("exact", "levenshtein"), lower: bool = False, skip_errors: bool = True, counters: Observation | None = None) -> DataFrame:
     """Adds scoring_type, scoring_method, match_score and sub_scores to fields: a row for each of a field's types and each method.
 
-    types maps fields, and `default`, to their scoring types; string where there is neither. Rows with an `error` are
+    types maps fields, and `default`, to their scoring types; string where there is neither. Values are texts, or typed
+    (mapping.VALUE): tables are then scored by the table types, lists of items by the share of them that is found. Rows with an `error` are
     left out, and counted by `counters` (fields, errors), or end the job if errors aren't to be skipped.
     """
     if "error" in fields.columns:
@@ -216,13 +269,15 @@ def score_fields(fields: DataFrame, types: Mapping[str, Sequence[str]], methods:
     every = list(dict.fromkeys([*default, *(t for ts in own.values() for t in ts)]))
     of = F.create_map(*(c for f, ts in own.items() for c in (F.lit(f), F.array(*map(F.lit, ts))))) if own else None
     wanted = F.array(*map(F.lit, default)) if of is None else F.coalesce(F.try_element_at(of, F.col("field_name")), F.array(*map(F.lit, default)))
-    e, a = F.col("expected"), F.col("actual")
+    kind = fields.schema["expected"].dataType
+    of_structs = isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType)
+    typed = of_structs and "kind" in kind.elementType.names
 
-    def one(t: str, m: str) -> Column:
-        made = F.struct(F.lit(t).alias("scoring_type"), F.lit(m).alias("scoring_method"), score(e, a, t, m, lower).alias("match_score"))
+    def one(v: Column, t: str, m: str) -> Column:
+        made = _let(_score(v, t, m, typed), lambda s: F.when(s.isNotNull(), F.struct(F.lit(t).alias("scoring_type"), F.lit(m).alias("scoring_method"), s.alias("match_score"))))
         return F.when(F.array_contains("wanted", t), made)
 
-    each = F.filter(F.array(*(one(t, m) for t in every for m in methods)), lambda x: x.isNotNull())
+    each = _let(prepared(F.col("expected"), F.col("actual"), every, typed, lower, not of_structs), lambda v: F.filter(F.array(*(one(v, t, m) for t in every for m in methods)), lambda x: x.isNotNull()))
     keep = [c for c in fields.columns if c not in ("expected", "actual")]
     made = fields.withColumn("wanted", wanted).select(*keep, F.explode(each).alias("s")).select(*keep, "s.*")
     return made.select(*keep, "scoring_type", "scoring_method", F.col("match_score").dropFields("sub_scores").alias("match_score"), F.col("match_score.sub_scores").alias("sub_scores"), *(F.col(f"match_score.{c}") for c in ("tp", "fp", "fn", "tn", "score")))
@@ -230,8 +285,8 @@ def score_fields(fields: DataFrame, types: Mapping[str, Sequence[str]], methods:
 
 def joined_values(side: str, names: Sequence[str]) -> Column:
     """The values of several fields of a map, in the order of the names; missing ones give nothing."""
-    none = F.array().cast("array<string>")
-    return F.concat(none, *(F.coalesce(F.try_element_at(F.col(side), F.lit(n)), none) for n in names))
+    every = F.flatten(F.array(*(F.coalesce(F.try_element_at(F.col(side), F.lit(n)), F.array()) for n in names)))
+    return every
 
 
 def _boxes(e: Column, a: Column, kind: str, settings: Mapping) -> Column:
@@ -245,12 +300,13 @@ def _boxes(e: Column, a: Column, kind: str, settings: Mapping) -> Column:
 
 def score_custom(pairs: DataFrame, keys: Sequence[str], custom: Sequence[Mapping]) -> DataFrame:
     """Rows as of score_fields() for custom fields (name, type, expected and actual field_names, config): shared boxes of several fields."""
-    made = []
+    unknown = {c["type"] for c in custom} - {"bounding_box_intersection", "bounding_box_intersection_area"}
+    if unknown:
+        raise KeyError(", ".join(sorted(unknown)))
+    made, typed = [], isinstance(pairs.schema["expected"].dataType.valueType.elementType, StructType)
     for c in custom:
         kind = c["type"]
-        if kind not in ("bounding_box_intersection", "bounding_box_intersection_area"):
-            raise KeyError(kind)
-        e, a = (joined_values(side, c[side]["field_names"]) for side in ("expected", "actual"))
+        e, a = (mapping.texts(x) if typed else x for x in (joined_values(side, c[side]["field_names"]) for side in ("expected", "actual")))
         made.append(F.struct(F.lit(c["name"]).alias("field_name"), F.lit(kind).alias("scoring_type"), F.lit(kind).alias("scoring_method"), _boxes(e, a, kind, c.get("config") or {}).alias("match_score")))
     each = pairs.select(*keys, F.explode(F.array(*made)).alias("s")).select(*keys, "s.*")
     return each.select(*keys, "field_name", "scoring_type", "scoring_method", F.col("match_score").dropFields("sub_scores").alias("match_score"), F.col("match_score.sub_scores").alias("sub_scores"), *(F.col(f"match_score.{c}") for c in ("tp", "fp", "fn", "tn", "score")))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import extraction as X
+from ..operators import mapping as M
+from ..operators import scoring
 from ..sources.tables import read, spread
 
 #: {name} stands for a column of `parts`.
@@ -148,8 +150,59 @@ def list_functions(spark, sf_dir):
     return p.select("p_partkey", F.array_join(rows, ";").alias("normalized"), F.array_join(said, ";").alias("pieces"))
 
 
+#: A mapping with calls, filter expressions, places, attributes and texts, as the INI file of an evaluation has them.
+MAPPING = {
+    "article": {
+        "first_surname": "jats-authors(.)[1]/name/surname",
+        "typed_surnames": "jats-authors(.)[@contrib-type=\"author\"]/name/surname",
+        "full_names": "jats-full-name(jats-authors(.))",
+        "last_full_name": "jats-full-name(jats-authors(.)[name or string-name][last()])",
+        "emails": "jats-author-email(jats-authors(.))",
+        "fields": "generic-as-items(back//ref, './/*')",
+        "names": "generic-as-items(back//ref, 'jats-full-name(jats-ref-authors(.))')",
+        "pages": "generic-join-children((back//ref)[1], './/lpage || .//fpage', '-')",
+        "first_pages": "jats-ref-fpage(back//ref)",
+        "link_types": "(back//ref)/ext-link/@ext-link-type",
+        "hosts": "back//ref[1]/ext-link/@xlink:href",
+        "labels": "front//aff[city]/label | front//aff[not(city)]/label",
+        "last_label": "front//aff[last()]/label",
+        "parts": "generic-join-children(front//aff[1], './/*[self::city or self::institution]', ', ')",
+        "notes": "front//author-notes/corresp/email/text()",
+        "caption": "generic-strip-brackets((body | back)//table-wrap/caption)",
+        "title": "front/article-meta/title-group/article-title",
+        "title.ignore": ".//italic",
+        "tables": "(body | back)//table-wrap/table",
+        "wraps": "body/table-wrap",
+    },
+    "namespaces": {"xlink": "http://www.w3.org/1999/xlink"},
+}
+
+
+def mapped_fields(spark, sf_dir):
+    """Fields by a mapping whose values call functions; each field's values side by side."""
+    made = M.with_fields(shredded(spark, sf_dir, JATS), MAPPING)
+    names = [f for f in MAPPING["article"] if ".ignore" not in f]
+    # every field once, in one array, so that the map isn't searched for each
+    said = F.transform(F.map_values("fields"), lambda vs: F.array_join(F.transform(vs, lambda v: F.when(v["kind"] == "items", F.array_join(v["items"], ",")).otherwise(M.texts(F.array(v))[0])), "|"))
+    return made.select("p_partkey", said.alias("said")).select("p_partkey", *(F.get("said", F.lit(i)).alias(f) for i, f in enumerate(names)))
+
+
+def mapped_scores(spark, sf_dir):
+    """Typed fields of articles against those of a copy in which every third has another cell and page: tables, items and texts under their types."""
+    third = F.col("p_partkey") % 3 == 0
+    changed = JATS.replace("{size}", "{other}")
+    p = parts(spark, sf_dir).withColumn("other", F.when(third, "none").otherwise(F.col("size")))
+    kinds = {"tables": "(body | back)//table-wrap/table", "fields": "generic-as-items(back//ref, './/*')", "pages": "jats-ref-lpage(back//ref)"}
+    sides = p.select("p_partkey", filled(JATS).alias("xml"), filled(changed).alias("other_xml"))
+    made = M.with_fields(X.shred(sides, "xml", ["p_partkey", "other_xml"]), {"article": kinds}).select("p_partkey", "other_xml", F.col("fields").alias("expected"))
+    made = M.with_fields(X.shred(made, "other_xml", ["p_partkey", "expected"]), {"article": kinds}).select("p_partkey", "expected", F.col("fields").alias("actual"))
+    types = {"tables": ["partial_table", "table"], "fields": ["partial_list"], "pages": ["partial_set", "list"]}
+    scored = scoring.score_documents(made, ["p_partkey"], None, types, ["exact"])
+    return scored.select("p_partkey", "field_name", "scoring_type", "tp", "fp", "fn", "tn", F.round("score", 9).alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (jats_people, jats_fields, tei_fields, list_functions)}
+    return {q.__name__: q for q in (jats_people, jats_fields, tei_fields, mapped_fields, mapped_scores, list_functions)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -162,5 +215,27 @@ def oracle_sql() -> dict[str, str]:
  k || ',' || size || ';' || brand AS body, a || ',' || b || ';' || k || ',' || size || ';' || brand AS all_rows, a || ',' || b || ',' || k || ',' || size || ',' || brand AS cells FROM p""",
         "tei_fields": f"""WITH {PARTS} SELECT p_partkey, ai || bi || '|' AS given_names, ai || bi || ' ' || b || '|' || a AS full_names, type || ', ' || a || ', ' || b || '|1 ' || brand || ', 1 in ' || type AS affiliations, '|1 ' || brand || ', 1 in ' || type AS affiliation_texts,
  '1 ' || brand || ' in ' || type AS by_label, k || '|' || page AS first_pages, page || '|' || page AS last_pages, CASE WHEN p_partkey % 2 = 0 THEN 'journal' ELSE 'book' END || '|' || page AS kinds, name || ' ' || brand AS abstract FROM p""",
+        "mapped_fields": f"""WITH {PARTS} SELECT p_partkey, b AS first_surname, b AS typed_surnames, ai || bi || ' ' || b || '|' || a || ' ' || k AS full_names, a || ' ' || k AS last_full_name, a || '@' || k || '.org|' || b || '@' || k || '.org' AS emails,
+ b || ',' || ai || ',' || a || CASE WHEN p_partkey % 2 = 0 THEN ',10.' || k || '/own' ELSE '' END || ',,' || page || ',' || size || '|,' || page AS fields, ai || ' ' || b || ',' || a || '|' AS names, size || '-' || page AS pages,
+ page || '|' || page AS first_pages, 'uri|other' AS link_types, 'https://doi.org/10.' || k || '/link' AS hosts, '1|' || k || '|2' AS labels, '2' AS last_label, type || ', ' || brand AS parts, b || '@' || k || '.org' AS notes,
+ name AS caption, name || ' of' AS title, a || ' ' || b || ' ' || k || ' ' || size || ' ' || brand AS tables, 'T' || k || ' [' || name || '] ' || a || ' ' || b || ' ' || k || ' ' || size || ' ' || brand AS wraps FROM p""",
+        "mapped_scores": f"""WITH {PARTS}, s AS (SELECT p_partkey, p_partkey % 3 <> 0 AS same,
+  b || ' ' || ai || ' ' || a || CASE WHEN p_partkey % 2 = 0 THEN ' 10.' || k || '/own' ELSE '' END || ' ' || page || ' ' AS lead, size, page,
+  [b, ai, a] || CASE WHEN p_partkey % 2 = 0 THEN ['10.' || k || '/own'] ELSE [] END || [page] AS items,
+  CASE WHEN length(page) > length(size) THEN substr(page, 1, length(page) - length(size)) || size ELSE size END AS last FROM p),
+ t AS (SELECT *, items || [CASE WHEN same THEN size ELSE 'none' END] AS h, items || [size] AS n, CASE WHEN length(page) > 4 AND NOT same THEN substr(page, 1, length(page) - 4) || 'none' WHEN NOT same THEN 'none' ELSE last END AS other FROM s),
+ found AS (SELECT p_partkey, instr(text, x) AS place, length(x) AS size FROM (SELECT p_partkey, array_to_string(h, ' ') AS text, unnest(n) AS x FROM t) WHERE contains(text, x)),
+ skipped AS (SELECT DISTINCT p_partkey, length(x) + 1 AS p FROM (SELECT p_partkey, unnest(h[1:len(h) - 1]) AS x FROM t)),
+ covered AS (SELECT p_partkey, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest(range(place, place + size)) AS p FROM found) ANTI JOIN skipped USING (p_partkey, p) GROUP BY p_partkey),
+ lost AS (SELECT p_partkey, count(*) AS n FROM skipped GROUP BY p_partkey),
+ share AS (SELECT p_partkey, covered.n / (length(array_to_string(h, ' ')) - lost.n) AS x FROM t JOIN covered USING (p_partkey) JOIN lost USING (p_partkey)),
+ r AS (SELECT p_partkey, 'tables' AS field_name, 'partial_table' AS scoring_type, same AS tp, NOT same AS fp, CAST(same AS DOUBLE) AS score FROM t
+ UNION ALL SELECT p_partkey, 'tables', 'table', same, NOT same, CAST(same AS DOUBLE) FROM t
+ UNION ALL SELECT p_partkey, 'pages', 'list', last = other, last <> other, CAST(last = other AS DOUBLE) FROM t),
+ q AS (SELECT p_partkey, 'fields' AS field_name, 'partial_list' AS scoring_type, CAST(x >= 1 AS BIGINT) + 1 AS tp, CAST(x < 1 AS BIGINT) AS fp, (x + 1) / 2 AS score FROM share
+ UNION ALL SELECT p_partkey, 'pages', 'partial_set', CASE WHEN last = other THEN len(list_distinct([last, page])) WHEN last = page OR other = page THEN 1 ELSE 1 END,
+  CASE WHEN last = other THEN 0 ELSE 1 END, CASE WHEN last = other THEN 1.0 ELSE 0.5 END FROM t)
+ SELECT p_partkey, field_name, scoring_type, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, CAST(0 AS BIGINT) AS tn, round(score, 9) AS score FROM r
+ UNION ALL SELECT p_partkey, field_name, scoring_type, CAST(tp AS BIGINT), CAST(fp AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), round(score, 9) FROM q""",
         "list_functions": f"""WITH {PARTS} SELECT p_partkey, lower(name) || ' ' || lower(brand) || ',' || lower(type) || ';' || lower(name) AS normalized, '0:' || name || ';' || (length(name) + 1) || ':' || brand || ';' || (length(name) + length(brand) + 3) || ':' || type AS pieces FROM p""",
     }

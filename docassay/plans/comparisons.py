@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import boxes, details, extraction, lists, matching, scoring, summary
+from ..operators import boxes, details, extraction, lists, mapping, matching, scoring, summary
 from ..sources import files
 from . import catalog as C
 
@@ -76,8 +76,8 @@ def natural_order(spark, sf_dir):
 def page_fields_json(spark, sf_dir):
     """The fields of each page as JSON."""
     nodes = extraction.shred(C.table(spark, sf_dir, "pages"), "html", ["page_id"], html=True)
-    made = extraction.with_mapped_fields(nodes, {"html": {"title": "/html/head/title", "headings": "//h1|//h2|//h3", "links": "//a[@href]"}})
-    return made.select("page_id", F.md5(extraction.fields_json(F.col("fields"))).alias("fields"), "error")
+    made = mapping.with_fields(nodes, {"html": {"title": "/html/head/title", "headings": "//h1|//h2|//h3", "links": "//a[@href]"}})
+    return made.select("page_id", F.md5(mapping.as_json(F.col("fields"))).alias("fields"), "error")
 
 
 def score_custom_boxes(spark, sf_dir):
@@ -104,7 +104,7 @@ def score_string_levenshtein(spark, sf_dir):
 
 
 def score_items_exact(spark, sf_dir):
-    return C.rounded(some_lines(spark, sf_dir).select("doc_id", matching.items_exact("e", "a").alias("score")), "score")
+    return C.rounded(some_lines(spark, sf_dir).select("doc_id", matching.items_exact(F.col("e"), F.col("a")).alias("score")), "score")
 
 
 def line_details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,6 +294,15 @@ def oracle_sql() -> dict[str, str]:
         "tool_pairs": f"""WITH {C.PAIRS}, h AS (SELECT {C.EXACT} AS x, {C.SOFTLY} AS s, CAST(length(expected) = length(actual) AS DOUBLE) AS n FROM pairs)
  SELECT 'exact' AS tool, 'soft' AS tool_other, count(*) AS n, count(*) FILTER (x = s) AS agreed FROM h UNION ALL SELECT 'exact', 'length', count(*), count(*) FILTER (x = n) FROM h UNION ALL SELECT 'length', 'soft', count(*), count(*) FILTER (n = s) FROM h""",
         "natural_order": "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment[1], c_custkey) AS place FROM customer",
+        # each covered place a row
+        "score_items_exact": f"""WITH {C.LINES}, v AS (SELECT doc_id, list_filter(e, lambda x: x <> '') AS e, list_filter(a, lambda x: x <> '') AS a FROM lists),
+ s AS (SELECT doc_id, CASE WHEN len(e) >= len(a) THEN a ELSE e END AS h, CASE WHEN len(e) >= len(a) THEN e ELSE a END AS n FROM v), t AS (SELECT doc_id, h, n, array_to_string(h, ' ') AS text FROM s),
+ found AS (SELECT doc_id, instr(text, x) AS place, length(x) AS size FROM (SELECT doc_id, text, unnest(n) AS x FROM t) WHERE contains(text, x)),
+ skipped AS (SELECT DISTINCT doc_id, length(x) + 1 AS p FROM (SELECT doc_id, unnest(h[1:len(h) - 1]) AS x FROM t)),
+ covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(place, place + size)) AS p FROM found) ANTI JOIN skipped USING (doc_id, p) GROUP BY doc_id),
+ lost AS (SELECT doc_id, count(*) AS n FROM skipped GROUP BY doc_id)
+ SELECT doc_id, round(CASE WHEN len(t.h) = 0 OR len(t.n) = 0 THEN CAST(len(t.h) = len(t.n) AS DOUBLE) ELSE coalesce(covered.n, 0) / (length(text) - coalesce(lost.n, 0)) END, 9) AS score
+ FROM t LEFT JOIN covered USING (doc_id) LEFT JOIN lost USING (doc_id)""",
         "score_ulist_exact": whole(""),
         "score_set_exact": whole("DISTINCT"),
         "flatten_details": f"WITH {C.ZIPPED}, s AS ({each}) SELECT CAST(doc_id AS VARCHAR) AS prediction_file, CAST(doc_id AS VARCHAR) AS target_file, field_name, 'exact' AS evaluation_method, 'partial_list' AS scoring_type, tp, fp, fn, tn, md5(expected) AS expected, md5(actual) AS actual FROM s",

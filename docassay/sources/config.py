@@ -62,26 +62,80 @@ def source_fields(fields: list[str] | None, custom: list[dict]) -> list[str] | N
     return list(dict.fromkeys([*fields, *more]))
 
 
-def _names(pattern: str, parts: str) -> list[str]:
-    return [pattern.format(x) for x in parts.split()]
-
-
-#: The fields that are evaluated where none are named, in order; REFERENCE holds those that are given of
-#: the first reference and of all.
-REFERENCE = "text author_surnames author_given_names author_full_names title year source publication_type volume fpage lpage doi pmid pmcid"
-DEFAULT_FIELDS = (
-    _names("{}", "title abstract keywords")
-    + _names("{}", "first_author_surname corresp_author_surnames author_surnames first_author_given_name corresp_author_given_names author_given_names")
-    + _names("{}", "first_author_full_name corresp_author_full_names author_full_names corresp_author_emails author_emails")
-    + _names("affiliation_{}", "text strings label institution country")
-    + _names("body_section_{}", "labels titles label_titles")
-    + _names("{}", "first_body_section_paragraph body_reference_citation_text body_asset_citation_text")
-    + _names("{}", "tables table_strings table_labels table_captions table_label_captions figure_labels figure_captions figure_label_captions")
-    + _names("{}", "acknowledgement back_section_labels back_section_titles back_section_label_titles back_section_paragraphs first_back_section_paragraph")
-    + _names("first_reference_{}", REFERENCE)
-    + _names("reference_{}", REFERENCE)
-    + _names("{}", "all_section_labels all_section_titles all_section_label_titles first_all_section_paragraph")
-)
+#: The fields that are evaluated where none are named, in order.
+DEFAULT_FIELDS = """
+title
+abstract
+keywords
+first_author_surname
+corresp_author_surnames
+author_surnames
+first_author_given_name
+corresp_author_given_names
+author_given_names
+first_author_full_name
+corresp_author_full_names
+author_full_names
+corresp_author_emails
+author_emails
+affiliation_text
+affiliation_strings
+affiliation_label
+affiliation_institution
+affiliation_country
+body_section_labels
+body_section_titles
+body_section_label_titles
+first_body_section_paragraph
+body_reference_citation_text
+body_asset_citation_text
+tables
+table_strings
+table_labels
+table_captions
+table_label_captions
+figure_labels
+figure_captions
+figure_label_captions
+acknowledgement
+back_section_labels
+back_section_titles
+back_section_label_titles
+back_section_paragraphs
+first_back_section_paragraph
+first_reference_text
+first_reference_author_surnames
+first_reference_author_given_names
+first_reference_author_full_names
+first_reference_title
+first_reference_year
+first_reference_source
+first_reference_publication_type
+first_reference_volume
+first_reference_fpage
+first_reference_lpage
+first_reference_doi
+first_reference_pmid
+first_reference_pmcid
+reference_text
+reference_author_surnames
+reference_author_given_names
+reference_author_full_names
+reference_title
+reference_year
+reference_source
+reference_publication_type
+reference_volume
+reference_fpage
+reference_lpage
+reference_doi
+reference_pmid
+reference_pmcid
+all_section_labels
+all_section_titles
+all_section_label_titles
+first_all_section_paragraph
+""".split()
 
 
 def settings(text: str) -> dict:

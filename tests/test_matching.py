@@ -92,7 +92,7 @@ def test_edit_distance(spark):
 
 def test_items(spark):
     df = spark.createDataFrame([(["abc", "de"], ["abc de"]), (["abc"], ["abd"]), ([], []), (["a"], [""]), (["xyz abc"], ["xyz", "abc"])], "e array<string>, a array<string>")
-    got = [r.s for r in df.select(matching.items_exact("e", "a").alias("s")).collect()]
+    got = [r.s for r in df.select(matching.items_exact(F.col("e"), F.col("a")).alias("s")).collect()]
     assert got == pytest.approx([5 / 6, 0.0, 1.0, 0.0, 6 / 7])
 
 

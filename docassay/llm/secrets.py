@@ -3,14 +3,15 @@
 A text is read, whatever language it is in, as a stream of tokens: strings (escaped, triple-quoted or in backticks),
 line and block comments, brackets, line ends, section heads, tags, and assignment operators (= := => : and their
 like). An operator pairs the name before it (dotted, quoted, or an index as in config["password"]) with the literal
-behind it: a string, or a bare value up to the end of the value. Names carry the names around them: keys of JSON and
+behind it: a string, strings that are put together, or a bare value up to the end of the value; so do #define and the
+call of a setter. A name is sensitive by its words (snake, dotted or camel case), not by what is in them. Names carry the names around them: keys of JSON and
 of indented YAML, tables in brackets, and elements and attributes of XML. A bare value that is itself a name stands
 for that name's literals, wherever in the text it is defined, so constants propagate to a fixed point. A literal's
 score is the weight of the most sensitive name that it reaches, times how random it looks; from THRESHOLD on it is a
 span of kind literal. Base spans always stay, and a literal within one is not added.
 
-Edge cases: a null text is an empty one, without spans; unclosed strings and comments end with their line, or with the
-text where they may span lines; every pattern and sweep takes time in proportion to the text (and sorting), however
+Edge cases: a null text is an empty one, without spans; unclosed strings end with their line, unclosed triple quotes are
+passed over; comments are read like other text; every pattern and sweep takes time in proportion to the text (and sorting), however
 long it or its names are; repeated rows give repeated results; an empty table gives an empty one. `spans` replaces a
 column of that name.
 """
@@ -42,6 +43,7 @@ TOKEN = re.compile(
     r"""(?P<triple>(?:\"{3}|'{3}))
     |(?<![\w])(?P<string>"(?:[^"\\\n]|\\[^\n])*+"|'(?:[^'\\\n]|\\[^\n])*+'|`(?:[^`\\\n]|\\[^\n])*+`)
     |(?P<block>/\*|<!--)
+    |(?P<define>(?<!\S)\#[ \t]*+define[ \t]++(?P<constant>\w++)(?=[ \t]))
     |(?P<comment>(?<!\S)(?:\#|//|--[ ]))
     |(?P<end>\n[ \t]*+)
     |(?P<tag></?+[A-Za-z_][\w.:-]*+)
@@ -56,9 +58,21 @@ BARE = re.compile(r"[ \t]*+([^\s\"'`,;{}()\[\]<>]++)")
 SECTION = re.compile(r"\[[ \t]*+([^\[\]\n\"']++)\][ \t]*+(?=\n|\Z)")
 
 
+#: Words of a name: in snake, dotted or camel case.
+PARTS = re.compile(r"[A-Z]++(?![a-z])|[A-Z]?[^\W\dA-Z_]++|[A-Z]")
+#: What those names begin with whose calls set what they name; signs between strings that make one.
+SETTERS, JOINS = ("set", "with"), ("+", ".", "..", "&", "\\", "")
+
+
 def weight(name: str) -> float:
-    low = name.lower().replace("_", "").replace("-", "").replace(".", "")
-    return max((w for s, w in SENSITIVE.items() if s in low), default=0.0)
+    """That of the most sensitive word, or of two words written as one: `api_key`, `dbPassword`, `authtoken`, but not `keyboard` or `author`."""
+    words = [w.lower() for w in PARTS.findall(name)]
+    words += [a + b for a, b in zip(words, words[1:])]
+    best = 0.0
+    for w in words:
+        w = w.removesuffix("s")
+        best = max(best, SENSITIVE.get(w, 0.0), *(x for s, x in SENSITIVE.items() if x >= 0.9 and w.endswith(s)), 0.0)
+    return best
 
 
 def randomness(literal: str) -> float:
@@ -84,16 +98,27 @@ class Lexer:
         self.keys: list[tuple[int, float]] = []  # indents and weights of keys above, by indent
         self.indent = 0
         self.pending: tuple[int, float] | None = None  # a key without value yet: its indent and weight
+        self.parts: dict[tuple[int, int], list[tuple[int, int]]] = {}  # strings that are put together, by the first
+        self.ahead: dict[str, int] = {}
 
     def around(self) -> float:
         return max(self.section, self.outer[-1][0] if self.outer else 0.0, self.keys[-1][1] if self.keys else 0.0)
 
+    def find(self, sign: str, at: int) -> int:
+        """Like str.find; places that come later in the text are looked up once."""
+        known = self.ahead.get(sign, -2)
+        if known == -1 or known >= at:
+            return known
+        self.ahead[sign] = self.text.find(sign, at)
+        return self.ahead[sign]
+
     def name_before(self, at: int) -> str:
         text, s = self.text, self.string
         if s:
             gap = text[s[1] : at].strip(" \t")
             if gap == "" or (gap == "]" and self.indexed):
                 return text[s[0] + 1 : s[1] - 1]
+            self.string = None  # no later operator is nearer
         end = at
         while end and text[end - 1] in " \t?!+":
             end -= 1
@@ -109,13 +134,14 @@ class Lexer:
     def read(self) -> Lexer:
         text, n = self.text, len(self.text)
         at, name, awaiting = 0, "", -1  # awaiting: where the value of `name` may begin
-        tag = ""
+        quoted = False  # only a string is such a value
+        last: tuple[str, int, int, int] | None = None  # the last string that was paired: name, the first of its parts, its end behind the quote
         if head := SECTION.match(text):
             self.section = weight(head.group(1))
         while m := TOKEN.search(text, at):
             kind, start, at = m.lastgroup, m.start(), m.end()
             if awaiting >= 0 and text[awaiting:start].strip(" \t\r\\"):  # something stands before this token: a bare value
-                b = BARE.match(text, awaiting)
+                b = None if quoted else BARE.match(text, awaiting)
                 if b:
                     self.paired(name, *b.span(1), True)
                 awaiting = -1
@@ -124,21 +150,27 @@ class Lexer:
                     continue
             if kind == "triple" or kind == "string":
                 if kind == "triple":
-                    close = text.find(m.group(), at)
-                    inner, at = (at, close if close >= 0 else n), (close + 3 if close >= 0 else n)
+                    close = self.find(m.group(), at)
+                    if close < 0:
+                        continue
+                    inner, at = (at, close), close + 3
                 else:
                     inner = (start + 1, at - 1)
                 if awaiting >= 0:
                     self.paired(name, *inner, False)
+                    last = (name, *inner, at)
                     awaiting = -1
+                elif last and text[last[3] : start].strip() in JOINS:
+                    self.paired(last[0], *inner, False)
+                    self.parts.setdefault(last[1:3], [last[1:3]]).append(inner)
+                    last = (*last[:3], at)
+                else:
+                    last = None
                 self.string = (inner[0] - 1, inner[1] + 1) if kind == "string" else None
                 self.indexed = text[max(start - 1, 0) : start] == "["
-            elif kind == "block":
-                awaiting = -1
-                close = text.find("*/" if m.group() == "/*" else "-->", at)
-                if close < 0:
-                    close = text.find("\n", at)
-            elif kind == "comment":
+            elif kind == "define":
+                name, awaiting, quoted = m.group("constant"), at, False
+            elif kind == "block" or kind == "comment":
                 awaiting = -1
             elif kind == "end":
                 if awaiting >= 0 and text[start - 1] == "\\":
@@ -155,21 +187,17 @@ class Lexer:
                     if not self.outer and (head := SECTION.match(text, at)):
                         self.section, at = weight(head.group(1)), head.end()
             elif kind == "tag":
-                tag = m.group()[1:] if m.group()[1] != "/" else ""
-                close = text.find(">", at)
-                line = text.find("\n", at)
-                if tag and close == at:
-                    end = text.find("<", at)
-                    if end > close + 1 and not text[close + 1 : end].isspace():
-                        inner = text[close + 1 : end]
-                        self.paired(tag, close + 1 + len(inner) - len(inner.lstrip()), close + 1 + len(inner.rstrip()), False)
+                if m.group()[1] != "/" and self.find(">", at) == at:
+                    end = self.find("<", at)
+                    if end > at + 1 and not text[at + 1 : end].isspace():
+                        inner = text[at + 1 : end]
+                        self.paired(m.group()[1:], at + 1 + len(inner) - len(inner.lstrip()), at + 1 + len(inner.rstrip()), False)
                         at = end
-                elif line >= 0 and line < close:
-                    tag = ""
             elif kind == "op":
-                name = self.name_before(start)
+                name, quoted = self.name_before(start), False
                 if m.group() == ":" and (t := TYPE.match(text, at)):
-                    if text[t.end() : t.end() + 1] == "=":  # a type before the value, as in name: str = "x"
+                    if text[t.end() : t.end() + 1] == "=":  # a type before the value, as in name: str = "x", or a second name
+                        name = max(name, t.group().strip(), key=weight)
                         at = awaiting = t.end() + 1
                         continue
                 awaiting = at if name else -1
@@ -178,18 +206,23 @@ class Lexer:
                 held = weight(name) if awaiting >= 0 else 0.0
                 self.outer.append((max(held, self.outer[-1][0] if self.outer else 0.0) if m.group() == "{" else 0.0, m.group()))
                 awaiting = -1
+                if m.group() == "(":
+                    called = self.name_before(start).rpartition(".")[2]
+                    if (words := PARTS.findall(called)) and words[0].lower() in SETTERS:
+                        name, awaiting, quoted = called, at, True
             elif kind == "close":
                 awaiting = -1
                 if self.outer:
                     self.outer.pop()
-        if awaiting >= 0 and (b := BARE.match(text, awaiting)):
+        if awaiting >= 0 and not quoted and (b := BARE.match(text, awaiting)):
             self.paired(name, *b.span(1), True)
         return self
 
 
 def literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach sensitive names."""
-    pairs = Lexer(text).read().pairs
+    read = Lexer(text).read()
+    pairs = read.pairs
     defined: dict[str, list[tuple[int, int]]] = {}
     best: dict[tuple[int, int], float] = {}
     for name, around, a, b, _ in pairs:
@@ -214,7 +247,13 @@ def literals(text: str) -> list[tuple[int, int]]:
                 for s in defined[x]:
                     best[s] = max(best[s], heaviest)
     constants = {(a, b) for name, _, a, b, bare in pairs if bare and text[a:b] in defined}
-    return [s for s, w in best.items() if w and s not in constants and w * randomness(text[s[0] : s[1]]) >= THRESHOLD]
+    later = {s for parts in read.parts.values() for s in parts[1:]}
+    found = []
+    for s, w in best.items():
+        parts = read.parts.get(s, [s])
+        if w and s not in constants and s not in later and w * randomness("".join(text[a:b] for a, b in parts)) >= THRESHOLD:
+            found += parts
+    return found
 
 
 def spans(text: str) -> list[tuple[int, int, int, bool]]:

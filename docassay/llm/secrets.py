@@ -160,7 +160,7 @@ class Lexer:
                     self.paired(name, *inner, False)
                     last = (name, *inner, at)
                     awaiting = -1
-                elif last and text[last[3] : start].strip() in JOINS:
+                elif last and (gap := text[last[3] : start]).strip() in JOINS and (gap.strip() or "\n" not in gap or self.outer[-1:] and self.outer[-1][1] == "("):
                     self.paired(last[0], *inner, False)
                     self.parts.setdefault(last[1:3], [last[1:3]]).append(inner)
                     last = (*last[:3], at)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from ..functions import scores, text
+from ..functions import edits, scores, text
 from . import boxes, mapping, matching
 
 Measure = Callable[[Column, Column], Column]
@@ -94,9 +94,14 @@ def _all_or_nothing(items: Column, same_size: Column, threshold: float) -> Colum
     return _let(items, lambda xs: F.when(~same_size | F.exists(xs, lambda x: x["score"] < threshold), 0.0).otherwise(_mean(xs)))
 
 
-def as_string(e: Column, a: Column, m: Method) -> Column:
-    one = lambda xs: m.prepare(text.normalize_whitespace(F.array_join(xs, "")))
-    return _let(F.struct(one(e).alias("e"), one(a).alias("a")), lambda v: _whole(_item(v["e"], v["a"], (m.whole or m.score)(v["e"], v["a"]), m.threshold)))
+def _joined(xs: Column) -> Column:
+    return text.normalize_whitespace(F.array_join(xs, ""))
+
+
+def as_string(e: Column, a: Column, m: Method, similarity: Column | None = None) -> Column:
+    """The values as one text; its edit similarity may be given."""
+    one = lambda xs: m.prepare(_joined(xs))
+    return _let(F.struct(one(e).alias("e"), one(a).alias("a")), lambda v: _whole(_item(v["e"], v["a"], (m.whole or m.score)(v["e"], v["a"]) if similarity is None else similarity, m.threshold)))
 
 
 def as_list(e: Column, a: Column, m: Method, partial: bool = False) -> Column:
@@ -190,7 +195,7 @@ def _table_of(x: Column) -> Column:
     return F.from_json(x, f"struct<{mapping.TABLE}>")
 
 
-def prepared(expected: Column, actual: Column, types: Sequence[str], typed: bool, lower: bool = False, json: bool = False) -> Column:
+def prepared(expected: Column, actual: Column, types: Sequence[str], typed: bool, lower: bool = False, json: bool = False, similarity: Column | None = None) -> Column:
     """What the scoring types need of both sides, normalised once: e and a, texts; te and ta, rows of tables; items, whether both are lists of items, then ie and ia.
 
     `typed` values are those of mapping.VALUE, others are texts or, for table types alone, struct<head, body>; or, with
@@ -206,10 +211,12 @@ def prepared(expected: Column, actual: Column, types: Sequence[str], typed: bool
         first_is = lambda x: F.coalesce(F.get(x, F.lit(0))["kind"] == "items", F.lit(False))
         items = lambda x: F.coalesce(F.transform(x, lambda v: F.array_join(values(F.when(v["kind"] == "items", v["items"]).otherwise(mapping.texts(F.array(v))), lower), MARK)), F.array().cast("array<string>"))
         made |= {"items": first_is(expected) | first_is(actual), "ie": items(expected), "ia": items(actual)}
+    if similarity is not None:
+        made["similarity"] = similarity
     return F.struct(*(c.alias(n) for n, c in made.items()))
 
 
-def _score(v: Column, scoring_type: str, method: str, typed: bool) -> Column:
+def _score(v: Column, scoring_type: str, method: str, typed: bool, measured: bool = False) -> Column:
     """The score of prepared values; null where items have no such method."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {sorted(METHODS)}: {method}")
@@ -217,7 +224,7 @@ def _score(v: Column, scoring_type: str, method: str, typed: bool) -> Column:
     if is_table_type(scoring_type):
         return TABLE_TYPES[scoring_type](v["te"], v["ta"], m)
     of = TYPES["string" if scoring_type == "str" else scoring_type]
-    said = of(v["e"], v["a"], m)
+    said = as_string(v["e"], v["a"], m, v["similarity"]) if measured and of is as_string and m.whole else of(v["e"], v["a"], m)
     if not typed or of is as_string:
         return said
     by_items = _let(of(v["ie"], v["ia"], ITEMS[method]), _unmarked) if method in ITEMS else F.lit(None).cast(MATCH)
@@ -272,14 +279,22 @@ def score_fields(fields: DataFrame, types: Mapping[str, Sequence[str]], methods:
     kind = fields.schema["expected"].dataType
     of_structs = isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType)
     typed = of_structs and "kind" in kind.elementType.names
+    keep = [c for c in fields.columns if c not in ("expected", "actual")]
+    # joined texts are measured ahead, as what follows is in lambdas: only those of fields that are scored so
+    strings = [t for t in every if t in ("string", "str")]
+    measured = bool(strings) and any(METHODS[m].whole for m in methods if m in METHODS)
+    fields = fields.withColumn("wanted", wanted)
+    if measured:
+        one = lambda c: F.when(F.arrays_overlap("wanted", F.array(*map(F.lit, strings))), _joined(values(mapping.texts(F.col(c)) if typed else F.col(c), lower)))
+        fields = fields.select(*keep, "expected", "actual", "wanted", one("expected").alias("one"), one("actual").alias("other"))
+        fields = fields.withColumn("similarity", edits.text_similarity(F.col("one"), F.col("other"))).drop("one", "other")
 
     def one(v: Column, t: str, m: str) -> Column:
-        made = _let(_score(v, t, m, typed), lambda s: F.when(s.isNotNull(), F.struct(F.lit(t).alias("scoring_type"), F.lit(m).alias("scoring_method"), s.alias("match_score"))))
+        made = _let(_score(v, t, m, typed, measured), lambda s: F.when(s.isNotNull(), F.struct(F.lit(t).alias("scoring_type"), F.lit(m).alias("scoring_method"), s.alias("match_score"))))
         return F.when(F.array_contains("wanted", t), made)
 
-    each = _let(prepared(F.col("expected"), F.col("actual"), every, typed, lower, not of_structs), lambda v: F.filter(F.array(*(one(v, t, m) for t in every for m in methods)), lambda x: x.isNotNull()))
-    keep = [c for c in fields.columns if c not in ("expected", "actual")]
-    made = fields.withColumn("wanted", wanted).select(*keep, F.explode(each).alias("s")).select(*keep, "s.*")
+    each = _let(prepared(F.col("expected"), F.col("actual"), every, typed, lower, not of_structs, F.col("similarity") if measured else None), lambda v: F.filter(F.array(*(one(v, t, m) for t in every for m in methods)), lambda x: x.isNotNull()))
+    made = fields.select(*keep, F.explode(each).alias("s")).select(*keep, "s.*")
     return made.select(*keep, "scoring_type", "scoring_method", F.col("match_score").dropFields("sub_scores").alias("match_score"), F.col("match_score.sub_scores").alias("sub_scores"), *(F.col(f"match_score.{c}") for c in ("tp", "fp", "fn", "tn", "score")))
 
 

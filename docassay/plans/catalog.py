@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores, text
+from ..functions import edits, scores, text
 from ..operators import boxes, lists, scoring, summary
 from ..sources.tables import read as table
 from ..sources.tables import spread
@@ -60,7 +60,7 @@ def zipped_lines(spark, sf_dir):
 
 
 def score_line_levenshtein(spark, sf_dir):
-    made = summary.scored(zipped_lines(spark, sf_dir), "levenshtein", scores.levenshtein_of_texts(F.col("expected"), F.col("actual")))
+    made = summary.scored(zipped_lines(spark, sf_dir), "levenshtein", edits.text_similarity(F.col("expected"), F.col("actual")))
     return made.groupBy("doc_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")), F.round(F.avg("score"), 6).alias("score"))
 
 
@@ -120,6 +120,14 @@ def tn_group_total(spark, sf_dir):
     return summary.by_field(both_methods(spark, sf_dir)).select("scoring_method", "field_name", "tp", "fp", "fn", "tn")
 
 
+def score_token_levenshtein(spark, sf_dir):
+    """Words of each part's name and type against those of the next part, each word one step."""
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ").alias("e")))
+    other = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("e").alias("a"))
+    both = p.join(other, "p_partkey").select("p_partkey", "e", "a", edits.token_distance(F.col("e"), F.col("a")).alias("d"))
+    return both.select("p_partkey", F.col("d").cast("long").alias("distance"), F.round(1 - F.col("d") / F.greatest(F.size("e"), F.size("a")), 9).alias("score"))
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 9) for n in names})
 
@@ -240,7 +248,7 @@ def adjacent_label_concat(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
-        score_string_exact, score_string_soft, score_line_levenshtein, normalize_text, strip_punctuation, person_name_normalize, doi_from_url,
+        score_string_exact, score_string_soft, score_line_levenshtein, score_token_levenshtein, normalize_text, strip_punctuation, person_name_normalize, doi_from_url,
         expand_last_page, confusion_counts, tn_group_total, summary_metrics, score_list_exact, score_partial_list_exact, score_partial_ulist_exact,
         score_partial_set_exact, length_bound, char_count_bound, score_table_exact, score_partial_table_exact, bbox_area_score, tool_pivot, tool_outcome_buckets, dedupe_first_wins, adjacent_label_concat,
     )
@@ -251,6 +259,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "score_string_exact": f"WITH {PAIRS} SELECT doc_id, score, {COUNTS.format(1)} FROM (SELECT *, {EXACT} AS score FROM pairs)",
         "score_string_soft": f"WITH {PAIRS} SELECT doc_id, score, {COUNTS.format(1)} FROM (SELECT *, {SOFTLY} AS score FROM pairs)",
+        # tokens as ASCII letters, numbered by their place among the different ones
+        "score_token_levenshtein": """WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ') AS e FROM part), b AS (SELECT x.p_partkey, x.e, y.e AS a, list_distinct(x.e || y.e) AS d FROM w x JOIN w y ON y.p_partkey = x.p_partkey + 1),
+ l AS (SELECT p_partkey, levenshtein(array_to_string(list_transform(e, lambda t: chr(CAST(64 + list_position(d, t) AS INTEGER))), ''), array_to_string(list_transform(a, lambda t: chr(CAST(64 + list_position(d, t) AS INTEGER))), '')) AS distance, greatest(len(e), len(a)) AS n FROM b)
+ SELECT p_partkey, distance, round(1 - distance / n, 9) AS score FROM l""",
         "normalize_text": "SELECT doc_id, md5(regexp_replace(text, '\\s+', ' ', 'g')) AS normalized FROM documents",
         "strip_punctuation": f"SELECT doc_id, md5({SOFT.format('text')}) AS stripped FROM documents",
         # Letter by letter: a blank goes between a capital and a capital that ends a word.

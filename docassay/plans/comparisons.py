@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import edits, scores
 from ..operators import boxes, details, extraction, lists, mapping, matching, scoring, summary
 from ..sources import files
 from . import catalog as C
@@ -99,7 +99,7 @@ def score_partial_ulist_levenshtein(spark, sf_dir):
 
 def score_string_levenshtein(spark, sf_dir):
     p = C.pairs(spark, sf_dir)
-    made = summary.scored(p, "levenshtein", scores.levenshtein_of_texts(F.col("expected"), F.col("actual")))
+    made = summary.scored(p, "levenshtein", edits.text_similarity(F.col("expected"), F.col("actual")))
     return C.rounded(made.select("doc_id", "score", "tp", "fp", "fn", "tn"), "score")
 
 

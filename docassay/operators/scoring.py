@@ -118,7 +118,7 @@ def as_unordered(e: Column, a: Column, m: Method, partial: bool = False) -> Colu
     items = F.transform(pairs, lambda p: _item(p["e"], p["a"], p["score"], m.threshold))
     if partial:
         return _partial(items, *said)
-    score = F.when(F.size(e) != F.size(a), 0.0).otherwise(_mean(items))  # the pairs are only made where sizes are equal
+    score = F.when(F.size(e) != F.size(a), 0.0).otherwise(_let(items, _mean))  # the pairs are only made where sizes are equal
     return _whole(_item(*said, score, m.threshold))
 
 
@@ -259,12 +259,13 @@ def by_field(pairs: DataFrame, keys: Sequence[str], names: Sequence[str] | None
     return each.select(*keys, "field_name", F.element_at("expected", F.col("field_name")).alias("expected"), F.try_element_at("actual", F.col("field_name")).alias("actual"), lacks.alias("error"))
 
 
-def score_fields(fields: DataFrame, types: Mapping[str, Sequence[str]], methods: Sequence[str] = ("exact", "levenshtein"), lower: bool = False, skip_errors: bool = True, counters: Observation | None = None) -> DataFrame:
+def score_fields(fields: DataFrame, types: Mapping[str, Sequence[str]], methods: Sequence[str] = ("exact", "levenshtein"), lower: bool = False, skip_errors: bool = True, counters: Observation | None = None, details: bool = True) -> DataFrame:
     """Adds scoring_type, scoring_method, match_score and sub_scores to fields: a row for each of a field's types and each method.
 
     types maps fields, and `default`, to their scoring types; string where there is neither. Values are texts, or typed
     (mapping.VALUE): tables are then scored by the table types, lists of items by the share of them that is found. Rows with an `error` are
-    left out, and counted by `counters` (fields, errors), or end the job if errors aren't to be skipped.
+    left out, and counted by `counters` (fields, errors), or end the job if errors aren't to be skipped. Without
+    `details` there are no values and sub-scores in the result, which then needn't be copied for each type and method.
     """
     if "error" in fields.columns:
         if counters is not None:
@@ -289,12 +290,18 @@ def score_fields(fields: DataFrame, types: Mapping[str, Sequence[str]], methods:
         fields = fields.select(*keep, "expected", "actual", "wanted", one("expected").alias("one"), one("actual").alias("other"))
         fields = fields.withColumn("similarity", edits.text_similarity(F.col("one"), F.col("other"))).drop("one", "other")
 
+    counts = ("tp", "fp", "fn", "tn", "score")
+
     def one(v: Column, t: str, m: str) -> Column:
-        made = _let(_score(v, t, m, typed, measured), lambda s: F.when(s.isNotNull(), F.struct(F.lit(t).alias("scoring_type"), F.lit(m).alias("scoring_method"), s.alias("match_score"))))
+        made = _let(_score(v, t, m, typed, measured), lambda s: F.when(s.isNotNull(), F.struct(F.lit(t).alias("scoring_type"), F.lit(m).alias("scoring_method"), (s if details else F.struct(*(s[c].alias(c) for c in counts))).alias("match_score"))))
         return F.when(F.array_contains("wanted", t), made)
 
-    each = _let(prepared(F.col("expected"), F.col("actual"), every, typed, lower, not of_structs, F.col("similarity") if measured else None), lambda v: F.filter(F.array(*(one(v, t, m) for t in every for m in methods)), lambda x: x.isNotNull()))
-    made = fields.select(*keep, F.explode(each).alias("s")).select(*keep, "s.*")
+    # what all types need is a column of its own, so that no type is within another's lambda
+    ready = fields.select(*keep, "wanted", prepared(F.col("expected"), F.col("actual"), every, typed, lower, not of_structs, F.col("similarity") if measured else None).alias("sides"))
+    each = F.filter(F.array(*(one(F.col("sides"), t, m) for t in every for m in methods)), lambda x: x.isNotNull())
+    made = ready.select(*keep, F.explode(each).alias("s")).select(*keep, "s.*")
+    if not details:
+        return made.select(*keep, "scoring_type", "scoring_method", *(F.col(f"match_score.{c}") for c in counts))
     return made.select(*keep, "scoring_type", "scoring_method", F.col("match_score").dropFields("sub_scores").alias("match_score"), F.col("match_score.sub_scores").alias("sub_scores"), *(F.col(f"match_score.{c}") for c in ("tp", "fp", "fn", "tn", "score")))
 
 
@@ -327,7 +334,8 @@ def score_custom(pairs: DataFrame, keys: Sequence[str], custom: Sequence[Mapping
     return each.select(*keys, "field_name", "scoring_type", "scoring_method", F.col("match_score").dropFields("sub_scores").alias("match_score"), F.col("match_score.sub_scores").alias("sub_scores"), *(F.col(f"match_score.{c}") for c in ("tp", "fp", "fn", "tn", "score")))
 
 
-def score_documents(pairs: DataFrame, keys: Sequence[str], names: Sequence[str] | None, types: Mapping[str, Sequence[str]], methods: Sequence[str] = ("exact", "levenshtein"), lower: bool = False, custom: Sequence[Mapping] = (), skip_errors: bool = True, counters: Observation | None = None) -> DataFrame:
+def score_documents(pairs: DataFrame, keys: Sequence[str], names: Sequence[str] | None, types: Mapping[str, Sequence[str]], methods: Sequence[str] = ("exact", "levenshtein"), lower: bool = False, custom: Sequence[Mapping] = (), skip_errors: bool = True, counters: Observation | None = None, details: bool = True) -> DataFrame:
     """Standard fields, then custom ones, which are scored whether they are selected or not."""
-    scored = score_fields(by_field(pairs, keys, names), types, methods, lower, skip_errors, counters)
-    return scored.unionByName(score_custom(pairs, keys, custom)) if custom else scored
+    scored = score_fields(by_field(pairs, keys, names), types, methods, lower, skip_errors, counters, details)
+    more = score_custom(pairs, keys, custom) if custom else None
+    return scored if more is None else scored.unionByName(more.select(*scored.columns))

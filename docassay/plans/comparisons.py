@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import edits, scores
-from ..operators import boxes, details, extraction, lists, mapping, matching, scoring, summary
+from ..operators import blocking, boxes, details, extraction, lists, mapping, matching, scoring, summary
 from ..sources import files
 from . import catalog as C
 
@@ -34,7 +34,7 @@ def field_scores(spark: SparkSession, sf_dir: str, types: dict, methods: tuple[s
     """The fan-out: each document's lines are the values of one field, named by its language."""
     as_map = lambda c: F.create_map("field_name", c).alias("expected" if c == "e" else "actual")
     pairs = some_lines(spark, sf_dir).select("doc_id", as_map("e"), as_map("a"))
-    return scoring.score_documents(pairs, ["doc_id"], None, types, methods)
+    return scoring.score_documents(pairs, ["doc_id"], None, types, methods, details=False)
 
 
 def score_types_exact(spark, sf_dir):
@@ -97,6 +97,12 @@ def score_partial_ulist_levenshtein(spark, sf_dir):
     return C.rounded(some_lines(spark, sf_dir).select("doc_id", pairs.alias("p")).select("doc_id", matching.partial_counts(F.col("p"), limit).alias("s")).select("doc_id", "s.*"), "score")
 
 
+def score_fuzzy_counts(spark, sf_dir):
+    """Lines matched out of order by edit similarity, by a join on their grams."""
+    made = blocking.counts(some_lines(spark, sf_dir).select(F.col("doc_id").alias("key"), "e", "a"))
+    return made.withColumnRenamed("key", "doc_id")
+
+
 def score_string_levenshtein(spark, sf_dir):
     p = C.pairs(spark, sf_dir)
     made = summary.scored(p, "levenshtein", edits.text_similarity(F.col("expected"), F.col("actual")))
@@ -237,7 +243,7 @@ def extract_fields_html(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
-        score_ulist_exact, score_set_exact, score_partial_ulist_levenshtein, score_string_levenshtein, score_items_exact, flatten_details, flatten_summary,
+        score_ulist_exact, score_set_exact, score_partial_ulist_levenshtein, score_fuzzy_counts, score_string_levenshtein, score_items_exact, flatten_details, flatten_summary,
         report_text, tool_full_outer_compare, tool_win_loss, tool_mean_row, mismatch_examples, distinct_names, first_title, classifier_counts, limit_pairs,
         positional_zip, bbox_area_counts, bbox_partial_ulist, extract_fields_html, score_types_exact, summary_by_type, score_joined_sides, tool_pairs,
         natural_order, page_fields_json, score_custom_boxes,

@@ -2,8 +2,8 @@
 
 A fingerprint is the least hash of K consecutive word K-grams, K + K - 1 = 13 words: two texts that share 13
 consecutive words share a fingerprint. Fingerprints of documents and items are joined; the hits are then extended:
-each 13-word window of the document around a hit is looked up among the items' windows and compared word by word. An
-item of fewer words is one window of its own length; all these lengths are looked up in one pass over the documents.
+each 13-word window of the document around a hit is cut out, looked up among the items' windows and compared word by
+word. An item of fewer words is one window of its own length; all lengths are looked up in one pass over the documents.
 
 Edge cases: a null or empty text has no words, so it is never hit and an item without words never occurs; rows
 that repeat doc_id and text are one document in the joins and each get its result; rows that repeat only doc_id
@@ -59,42 +59,53 @@ def windows(items: DataFrame) -> DataFrame:
     return at.select("n", "item_id", F.slice("words", F.col("i"), F.col("n")).alias("win")).withColumn("h", F.xxhash64("win")).distinct()
 
 
-def around(words: Column, met: Column) -> Column:
-    """Starts, from 0, of the windows that hold a gram with one of the hashes met."""
-    last = F.size(words) - WINDOW
+def at_documents(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, key, words, held) of the documents of places (doc_id, key, ...): their words once, beside a list of what places has of them."""
+    held = F.struct(*(c for c in places.columns if c not in ("doc_id", "key")))
+    rows = stored(places.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set(held).alias("held")))
+    some = docs.join(small(rows), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+    return some.dropDuplicates(["doc_id", "key"]).select("doc_id", "key", words(F.col("text")).alias("words"), "held")
 
-    def starts(hashes: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.array_contains(met, F.get(hashes, i)))
-        return F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(i - (WINDOW - K), F.lit(0)), F.least(i, last)))))
 
-    return let(grams(words, K), starts)
+def starts(met: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n, at): the windows of WINDOW words around the grams of documents that have one of the hashes of met (doc_id, key, h).
 
-
-def occurrences(at: DataFrame, of: DataFrame) -> DataFrame:
-    """(doc_id, key, at, n, item_id): where windows occur, from (doc_id, key, words, at, n, h)."""
-    same = at.join(small(stored(of)), ["n", "h"]).where(F.slice("words", F.col("at") + 1, F.col("n")) == F.col("win"))
-    return same.select("doc_id", "key", "at", "n", "item_id")
+    A document's grams are rows without its words, joined to its own hashes: time grows with the text, however much is hit.
+    """
+    held = at_documents(met, docs)
+    gram = F.explode(placed(F.col("words"), K)).alias("g")
+    each = held.select("doc_id", "key", (F.size("words") - WINDOW).alias("last"), gram).select("doc_id", "key", "last", "g.at", "g.h")
+    own = small(met.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("h").alias("m")))
+    hit = each.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("h") == F.col("m")))
+    at = F.explode(F.sequence(F.greatest(F.col("at") - (WINDOW - K), F.lit(0)), F.least("at", "last")))
+    return hit.select("doc_id", "key", F.lit(WINDOW).alias("n"), at.alias("at")).distinct()
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, key, n_hit, items): documents in which windows occur; key is text_key() of the text."""
+    """(doc_id, key, n_hit, items): documents in which windows occur; key is text_key() of the text.
+
+    One pass over the words of all documents gives their fingerprints and the hashes of the shorter items' lengths;
+    what follows reads only documents that have a hash of the benchmark.
+    """
     docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
     items = stored(benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0))
-    worded = docs.select("doc_id", "key", words(F.col("text")).alias("words"))
     long = F.size("words") >= WINDOW
-
-    marks = stored(items.where(long).select(F.explode(fingerprints(grams(F.col("words"), K))).alias("h")).distinct())
-    met = worded.select("doc_id", "key", F.explode(fingerprints(grams(F.col("words"), K))).alias("h")).join(small(marks), "h")
-    met = stored(met.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("h").alias("met")))
-    some = docs.join(small(met), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
-    some = some.dropDuplicates(["doc_id", "key"]).select("doc_id", "key", words(F.col("text")).alias("words"), "met")
-    at = some.select("doc_id", "key", "words", F.explode(around(F.col("words"), F.col("met"))).alias("at"), F.lit(WINDOW).alias("n"))
-    found = occurrences(at.withColumn("h", F.xxhash64(F.slice("words", F.col("at") + 1, WINDOW))), windows(items.where(long)))
-
-    lengths = [n for (n,) in items.where(~long).select(F.size("words")).distinct().collect()]  # below 13: twelve at most
-    if lengths:
-        each = F.flatten(F.array(*(placed(F.col("words"), n) for n in sorted(lengths))))
-        found = found.unionByName(occurrences(worded.select("doc_id", "key", "words", F.explode(each).alias("g")).select("doc_id", "key", "words", "g.*"), windows(items.where(~long))))
+    of = stored(windows(items))
+    prints = items.where(long).select(F.lit(WINDOW).alias("n"), F.explode(fingerprints(grams(F.col("words"), K))).alias("h"))
+    marks = stored(prints.unionByName(of.where(F.col("n") < WINDOW).select("n", "h")).distinct())
+
+    lengths = sorted(n for (n,) in marks.where(F.col("n") < WINDOW).select("n").distinct().collect())  # below 13: twelve at most
+    print_ = F.transform(fingerprints(grams(F.col("words"), K)), lambda h: F.struct(F.lit(WINDOW).alias("n"), F.lit(None).cast("int").alias("at"), h.alias("h")))
+    each = F.concat(print_, *(placed(F.col("words"), n) for n in lengths))
+    hashed = docs.select("doc_id", "key", words(F.col("text")).alias("words")).select("doc_id", "key", F.explode(each).alias("g")).select("doc_id", "key", "g.*")
+    met = stored(hashed.join(small(marks), ["n", "h"]).distinct())
+
+    short = met.where(F.col("n") < WINDOW).select("doc_id", "key", "n", "at")
+    places = starts(stored(met.where(F.col("n") == WINDOW).select("doc_id", "key", "h")), docs).unionByName(short)
+    # each place with its own n words, no more
+    cut = at_documents(places, docs).select("doc_id", "key", F.explode(F.transform("held", lambda p: F.struct(p["n"].alias("n"), p["at"].alias("at"), F.slice("words", p["at"] + 1, p["n"]).alias("own")))).alias("w"))
+    cut = cut.select("doc_id", "key", "w.*").withColumn("h", F.xxhash64("own"))
+    found = cut.join(small(of), ["n", "h"]).where(F.col("own") == F.col("win"))
 
     # at most one row per document, place and length, then their union
     spans = found.select("doc_id", "key", F.struct("at", (F.col("at") + F.col("n")).alias("end")).alias("span"), "item_id")

@@ -520,6 +520,21 @@ def test_winnowing(spark, docs, none):
     assert winnowing.decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0 == winnowing.decontaminate(none, bench).count()
 
 
+def test_winnowing_of_one_long_hit(spark):
+    """A text that is one long item: time in proportion to it."""
+
+    def took(n):
+        text = " ".join(f"w{i % 5000}x{i}" for i in range(n))
+        docs = spark.createDataFrame([(1, text), (2, text + " end"), (None, text)], "doc_id long, text string")
+        began = time.time()
+        rows = winnowing.decontaminate(docs, spark.createDataFrame([(7, text)], "item_id long, text string")).collect()
+        assert [(r.n_hit, r["items"], r.contaminated) for r in rows] == [(n, ["7"], True)] * 3
+        return time.time() - began
+
+    took(2000)
+    assert took(40_000) < 4 * took(10_000) + 5
+
+
 def test_winnowing_against_brute_force(spark):
     own = random.Random(6)
     word = lambda: own.choice("abc")

@@ -1,14 +1,18 @@
-"""Bounding boxes page,x,y,w,h;... as columns: areas of overlap."""
+"""Bounding boxes page,x,y,w,h;... as columns: areas of overlap; and as rows, joined where they overlap."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
 
 #: Fixed value: parts of a unit to which coordinates are rounded before areas are counted.
 RESOLUTION = 1000.0
+#: Sizes of boxes, as powers of two, that the grids of a join can tell apart.
+LEVELS = 40
 
 
 def parse(text: Column) -> Column:
@@ -59,3 +63,34 @@ def formatted(boxes: Column) -> Column:
     """The text page,x,y,w,h;... of boxes, without empty ones."""
     some = F.filter(boxes, lambda b: (b[3] > 0) & (b[4] > 0))
     return F.array_join(F.transform(some, lambda b: F.array_join(F.transform(b, lambda x, i: F.when(i == 0, x.cast("long").cast("string")).otherwise(x.cast("string"))), ",")), ";")
+
+
+def _dealt(rows: DataFrame, page: Sequence[str], unit: float, top: Column) -> DataFrame:
+    """rows (page, x, y, w, h, level) for each cell that a box touches, in its own level's grid and in each coarser one up to `top`: four cells a grid at most."""
+    grid = rows.withColumn("grid", F.explode(F.sequence("level", top))).withColumn("cell", F.lit(unit) * F.pow(F.lit(2.0), "grid"))
+    side = lambda at, size: F.sequence(F.floor(F.col(at) / F.col("cell")), F.floor((F.col(at) + F.col(size)) / F.col("cell")))
+    return grid.withColumn("cx", F.explode(side("x", "w"))).withColumn("cy", F.explode(side("y", "h")))
+
+
+def overlapping(left: DataFrame, right: DataFrame, page: Sequence[str], unit: float = 1.0) -> DataFrame:
+    """(page, the other columns of both, those of right with _other, area) of each two boxes (page, x, y, w, h) that share an area.
+
+    Boxes are dealt to grids whose cells are as large as they are (`unit` times a power of two), and to the coarser ones
+    up to the other side's largest; two boxes meet in the grid of the larger one, and count in the cell that has the upper
+    left corner of what they share. So no page is one task, and a box over a whole page isn't one for each of its
+    cells. Boxes without area, and with a null, overlap nothing.
+    """
+    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(F.greatest("w", "h") / unit)))).cast("int")
+    some = lambda df: df.where((F.col("w") > 0) & (F.col("h") > 0)).withColumn("level", level)
+    one, two = some(left), some(right)
+    own = [c for c in right.columns if c not in page]
+    tops = [F.lit(df.agg(F.max("level")).first()[0] or 0) for df in (two, one)]  # no box is dealt to grids in which there are none to meet
+    top = [F.greatest("level", t) for t in tops]
+    a = _dealt(one, page, unit, top[0]).drop("cell")
+    b = _dealt(two, page, unit, top[1]).withColumnsRenamed({c: f"{c}_other" for c in [*own, "level"]})
+    both = a.join(b, [*page, "grid", "cx", "cy"]).where(F.col("grid") == F.greatest("level", "level_other"))
+    corner = {c: F.greatest(c, f"{c}_other") for c in ("x", "y")}
+    sides = {c: F.least(F.col(c) + F.col(s), F.col(f"{c}_other") + F.col(f"{s}_other")) - corner[c] for c, s in (("x", "w"), ("y", "h"))}
+    here = (F.floor(corner["x"] / F.col("cell")) == F.col("cx")) & (F.floor(corner["y"] / F.col("cell")) == F.col("cy"))
+    met = both.where(here & (sides["x"] > 0) & (sides["y"] > 0)).withColumn("area", sides["x"] * sides["y"])
+    return met.select(*left.columns, *(f"{c}_other" for c in own), "area")

@@ -44,6 +44,13 @@ METHODS = {
 }
 
 
+def add_method(name: str, measure: Measure, threshold: float, prepare: Callable[[Column], Column] = lambda x: x) -> None:
+    """A method of one's own, by which all types can score; functions.sql.measure() makes its measure of one of Spark's functions."""
+    if name in METHODS:
+        raise ValueError(f"there is a method {name}")
+    METHODS[name] = Method(name, measure, threshold, prepare)
+
+
 def _let(x: Column, use: Callable[[Column], Column]) -> Column:
     """use(x) with x worked out once."""
     return F.get(F.transform(F.array(x), use), F.lit(0))
@@ -299,7 +306,7 @@ def score_fields(fields: DataFrame, types: Mapping[str, Sequence[str]], methods:
     # what all types need is a column of its own, so that no type is within another's lambda
     ready = fields.select(*keep, "wanted", prepared(F.col("expected"), F.col("actual"), every, typed, lower, not of_structs, F.col("similarity") if measured else None).alias("sides"))
     each = F.filter(F.array(*(one(F.col("sides"), t, m) for t in every for m in methods)), lambda x: x.isNotNull())
-    made = ready.select(*keep, F.explode(each).alias("s")).select(*keep, "s.*")
+    made = ready.select(*keep, each.alias("each")).select(*keep, F.explode("each").alias("s")).select(*keep, "s.*")
     if not details:
         return made.select(*keep, "scoring_type", "scoring_method", *(F.col(f"match_score.{c}") for c in counts))
     return made.select(*keep, "scoring_type", "scoring_method", F.col("match_score").dropFields("sub_scores").alias("match_score"), F.col("match_score.sub_scores").alias("sub_scores"), *(F.col(f"match_score.{c}") for c in ("tp", "fp", "fn", "tn", "score")))

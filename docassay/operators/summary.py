@@ -40,17 +40,25 @@ def summary(scored_pairs: DataFrame, field_names: Sequence[str] | None = None) -
     """Rows by field, and a micro (of summed counts) and a macro (mean of metrics) row of each scoring type and method.
 
     Only the fields of field_names count; a group without any of them still has its micro and macro rows, of zeros.
+    Counts are summed by field in one pass; grouping sets over that small table give both averages beside its rows.
     """
     keys = _keys(scored_pairs)
-    some = scored_pairs if field_names is None else scored_pairs.where(F.col("field_name").isin(*field_names))
-    fields = with_metrics(by_field(some)).withColumn("stats_name", F.lit("by-field"))
-    groups = scored_pairs.select(*keys).distinct()
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    summed = fields.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in (*COUNTS, "tn")))
-    micro = with_metrics(groups.join(summed, keys, "left").select(*keys, *map(zero, (*COUNTS, "tn")))).withColumns({"stats_name": F.lit("micro"), "field_name": F.lit(None).cast("string")})
-    mean = fields.groupBy(*keys).agg(*(F.avg(m).alias(m) for m in METRICS))
-    macro = groups.join(mean, keys, "left").select(*keys, *map(zero, METRICS)).withColumns({"stats_name": F.lit("macro")})
-    return fields.unionByName(micro).unionByName(macro, allowMissingColumns=True)
+    is_wanted = F.lit(True) if field_names is None else F.col("field_name").isin(*field_names)
+    summed = scored_pairs.groupBy(*keys, "field_name").agg(*(F.sum(c).alias(c) for c in COUNTS)).withColumn("wanted", is_wanted)
+    total = F.sum(F.when(F.col("wanted"), F.col("tp") + F.col("fn") + 2 * F.col("fp"))).over(Window.partitionBy(*keys))
+    fields = with_metrics(summed.withColumn("tn", total - F.col("tp") - F.col("fp") - F.col("fn")))
+    of = lambda f, c: F.coalesce(f(F.when(F.col("wanted"), F.col(c))), F.lit(0)).alias(c)
+    both = [of(F.sum, c) for c in (*COUNTS, "tn")], [of(F.avg, m) for m in METRICS]
+    sets = fields.groupingSets([[*keys, "field_name"], keys], *keys, "field_name").agg(F.grouping("field_name").alias("over_all"), F.coalesce(F.max("wanted"), F.lit(False)).alias("wanted"), *both[0], *both[1])
+    counts, means = F.struct(*(F.col(c) for c in (*COUNTS, "tn"))), F.struct(*(F.col(m) for m in METRICS))
+    micro = F.struct(*(F.col(c) for c in (*COUNTS, "tn")), *(c.alias(m) for m, c in scores.metrics(*(F.col(c) for c in (*COUNTS, "tn"))).items()))
+
+    def row(name: str, has_counts: bool, metrics: Column) -> Column:
+        held = [(counts[c] if has_counts else F.lit(None).cast("long")).alias(c) for c in (*COUNTS, "tn")]
+        return F.struct(F.lit(name).alias("stats_name"), *held, *(metrics[m].alias(m) for m in METRICS))
+
+    each = F.when(F.col("over_all") == 0, F.array(row("by-field", True, means))).otherwise(F.array(row("micro", True, micro), row("macro", False, means)))
+    return sets.where((F.col("over_all") == 1) | F.col("wanted")).select(*keys, "field_name", F.explode(each).alias("s")).select(*keys, "field_name", "s.*")
 
 
 def in_order(summary_rows: DataFrame, field_names: Sequence[str]) -> DataFrame:

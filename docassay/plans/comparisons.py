@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import edits, scores
+from ..functions import sql as sql_functions
 from ..operators import blocking, boxes, details, extraction, lists, mapping, matching, scoring, summary
 from ..sources import files
 from . import catalog as C
@@ -232,6 +233,29 @@ def bbox_partial_ulist(spark, sf_dir):
     return C.rounded(sides.select("l_orderkey", pairs.alias("p")).select("l_orderkey", matching.partial_counts(F.col("p"), 0.8).alias("s")).select("l_orderkey", "s.*"), "score")
 
 
+def sql_summary(spark, sf_dir):
+    """A summary by field written in SQL, with the library's functions in it."""
+    sql_functions.register(spark)
+    rows = spark.sql(
+        """WITH k AS (SELECT field_name, match_kind(expected, actual, score_soft(expected, actual), 1D) AS kind, char_length(normalize_whitespace(expected)) AS size FROM {pairs}),
+ c AS (SELECT field_name, count_if(kind = 'tp') AS tp, count_if(kind = 'fp') AS fp, count_if(kind = 'fn') AS fn, sum(size) AS size FROM k GROUP BY field_name)
+ SELECT field_name, tp, fp, fn, size, precision_of(tp, fp) AS precision, recall_of(tp, fp, fn) AS recall FROM c""",
+        pairs=C.pairs(spark, sf_dir),
+    )
+    return C.rounded(rows, "precision", "recall")
+
+
+def page_boxes(spark, sf_dir):
+    """Returned lines as boxes on a few pages: how many boxes of the other lines each overlaps, and the area."""
+    b = C.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_suppkey") % 3).alias("page"), (F.col("l_partkey") % 997).cast("double").alias("x"), (F.col("l_orderkey") % 1009).cast("double").alias("y"),
+        F.when(F.col("l_orderkey") % 500 == 0, 900.0).otherwise((F.col("l_linenumber") * 2).cast("double")).alias("w"), F.col("l_quantity").cast("double").alias("h"), (F.col("l_returnflag") == "R").alias("back"),
+    )
+    sides = [b.where("back").drop("back"), b.where("NOT back").drop("back")]
+    met = boxes.overlapping(*sides, ["page"], 4.0)
+    return met.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.sum("area").alias("area"))
+
+
 def extract_fields_html(spark, sf_dir):
     nodes = extraction.shred(C.table(spark, sf_dir, "pages"), "html", ["page_id"], html=True)
     # The parse is kept apart from what is taken of it: each field reads the same parsed row.
@@ -246,7 +270,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         score_ulist_exact, score_set_exact, score_partial_ulist_levenshtein, score_fuzzy_counts, score_string_levenshtein, score_items_exact, flatten_details, flatten_summary,
         report_text, tool_full_outer_compare, tool_win_loss, tool_mean_row, mismatch_examples, distinct_names, first_title, classifier_counts, limit_pairs,
         positional_zip, bbox_area_counts, bbox_partial_ulist, extract_fields_html, score_types_exact, summary_by_type, score_joined_sides, tool_pairs,
-        natural_order, page_fields_json, score_custom_boxes,
+        natural_order, page_fields_json, score_custom_boxes, page_boxes, sql_summary,
     )
     return {q.__name__: q for q in made}
 
@@ -309,6 +333,12 @@ def oracle_sql() -> dict[str, str]:
  lost AS (SELECT doc_id, count(*) AS n FROM skipped GROUP BY doc_id)
  SELECT doc_id, round(CASE WHEN len(t.h) = 0 OR len(t.n) = 0 THEN CAST(len(t.h) = len(t.n) AS DOUBLE) ELSE coalesce(covered.n, 0) / (length(text) - coalesce(lost.n, 0)) END, 9) AS score
  FROM t LEFT JOIN covered USING (doc_id) LEFT JOIN lost USING (doc_id)""",
+        "sql_summary": f"""WITH {C.PAIRS}, s AS (SELECT field_name, {C.COUNTS.format(1)}, length(regexp_replace(expected, '\\s+', ' ', 'g')) AS size FROM (SELECT *, {C.SOFTLY} AS score FROM pairs)),
+ c AS (SELECT field_name, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(0 AS BIGINT) AS tn, CAST(sum(size) AS BIGINT) AS size FROM s GROUP BY field_name)
+ SELECT field_name, tp, fp, fn, size, round(precision, 9) AS precision, round(recall, 9) AS recall FROM (SELECT *, {C.METRICS} FROM c)""",
+        "page_boxes": """WITH b AS (SELECT l_orderkey, l_linenumber, l_suppkey % 3 AS page, l_partkey % 997 AS x, l_orderkey % 1009 AS y, CASE WHEN l_orderkey % 500 = 0 THEN 900 ELSE l_linenumber * 2 END AS w, l_quantity AS h, l_returnflag = 'R' AS back FROM lineitem)
+ SELECT a.l_orderkey, a.l_linenumber, count(*) AS n, CAST(sum((least(a.x + a.w, o.x + o.w) - greatest(a.x, o.x)) * (least(a.y + a.h, o.y + o.h) - greatest(a.y, o.y))) AS DOUBLE) AS area
+ FROM b a JOIN b o ON a.page = o.page AND a.x < o.x + o.w AND o.x < a.x + a.w AND a.y < o.y + o.h AND o.y < a.y + a.h WHERE a.back AND NOT o.back GROUP BY ALL""",
         "score_ulist_exact": whole(""),
         "score_set_exact": whole("DISTINCT"),
         "flatten_details": f"WITH {C.ZIPPED}, s AS ({each}) SELECT CAST(doc_id AS VARCHAR) AS prediction_file, CAST(doc_id AS VARCHAR) AS target_file, field_name, 'exact' AS evaluation_method, 'partial_list' AS scoring_type, tp, fp, fn, tn, md5(expected) AS expected, md5(actual) AS actual FROM s",

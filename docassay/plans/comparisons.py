@@ -336,6 +336,17 @@ def oracle_sql() -> dict[str, str]:
         "sql_summary": f"""WITH {C.PAIRS}, s AS (SELECT field_name, {C.COUNTS.format(1)}, length(regexp_replace(expected, '\\s+', ' ', 'g')) AS size FROM (SELECT *, {C.SOFTLY} AS score FROM pairs)),
  c AS (SELECT field_name, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(0 AS BIGINT) AS tn, CAST(sum(size) AS BIGINT) AS size FROM s GROUP BY field_name)
  SELECT field_name, tp, fp, fn, size, round(precision, 9) AS precision, round(recall, 9) AS recall FROM (SELECT *, {C.METRICS} FROM c)""",
+        # as the pages are written: no element within a title, heading or link
+        "page_fields_json": r"""WITH f AS (SELECT page_id, regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1) AS t, regexp_extract_all(html, '(?s)<h[123]>(.*?)</h[123]>', 1) AS h, regexp_extract_all(html, '(?s)<a href="[^"]*">(.*?)</a>', 1) AS l FROM pages),
+ j AS (SELECT page_id, list_transform([t, h, l], lambda xs: '[' || array_to_string(list_transform(xs, lambda x: CAST(to_json(trim(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))) AS VARCHAR)), ', ') || ']') AS p FROM f)
+ SELECT page_id, md5('{' || chr(10) || '  "title": ' || p[1] || ',' || chr(10) || '  "headings": ' || p[2] || ',' || chr(10) || '  "links": ' || p[3] || chr(10) || '}') AS fields, CAST(NULL AS VARCHAR) AS error FROM j""",
+        "report_text": f"""WITH {C.BOTH}, r AS (SELECT scoring_method, 0 AS rank, field_name AS label, '' AS note, accuracy, precision, recall, f1 FROM measured UNION ALL SELECT scoring_method, 1, 'all fields', '(micro average)', accuracy, precision, recall, f1 FROM micro
+ UNION ALL SELECT scoring_method, 2, NULL, '(macro average)', avg(accuracy), avg(precision), avg(recall), avg(f1) FROM measured GROUP BY scoring_method),
+ c AS (SELECT scoring_method, rank, label, list_filter([label, {", ".join(f"printf('%.2f', {m} * 100)" for m in summary.METRICS)}, nullif(note, '')], lambda x: x IS NOT NULL) AS cells FROM r
+ UNION ALL SELECT DISTINCT scoring_method, -1, NULL, ['label', {", ".join(f"'{m}'" for m in summary.METRICS)}] FROM r),
+ l AS (SELECT scoring_method, rank, label, array_to_string(list_transform(cells, lambda x, i: CASE WHEN length(x) >= {list(files.WIDTHS)}[i] THEN x ELSE lpad(x, {list(files.WIDTHS)}[i], ' ') END), ' ') AS line FROM c),
+ b AS (SELECT scoring_method, string_agg(line || CASE WHEN rank = -1 OR rank = 0 AND label = last THEN chr(10) ELSE '' END, chr(10) ORDER BY rank, label) AS body FROM (SELECT *, max(label) FILTER (rank = 0) OVER (PARTITION BY scoring_method) AS last FROM l) GROUP BY scoring_method)
+ SELECT scoring_method, chr(10) || '  ' || CASE scoring_method {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in files.HEADINGS.items())} END || chr(10) || chr(10) || '  {files.RESULTS}' || chr(10) || chr(10) || '  ' || body AS report FROM b""",
         "page_boxes": """WITH b AS (SELECT l_orderkey, l_linenumber, l_suppkey % 3 AS page, l_partkey % 997 AS x, l_orderkey % 1009 AS y, CASE WHEN l_orderkey % 500 = 0 THEN 900 ELSE l_linenumber * 2 END AS w, l_quantity AS h, l_returnflag = 'R' AS back FROM lineitem)
  SELECT a.l_orderkey, a.l_linenumber, count(*) AS n, CAST(sum((least(a.x + a.w, o.x + o.w) - greatest(a.x, o.x)) * (least(a.y + a.h, o.y + o.h) - greatest(a.y, o.y))) AS DOUBLE) AS area
  FROM b a JOIN b o ON a.page = o.page AND a.x < o.x + o.w AND o.x < a.x + a.w AND a.y < o.y + o.h AND o.y < a.y + a.h WHERE a.back AND NOT o.back GROUP BY ALL""",

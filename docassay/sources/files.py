@@ -126,7 +126,7 @@ def report(summary: DataFrame, field_names: Sequence[str] | None = None) -> Data
     place = F.lit(0) if field_names is None else F.array_position(F.array(*map(F.lit, field_names)), F.col("field_name"))
     if field_names is not None:
         rows = rows.where(F.col("field_name").isNull() | F.col("field_name").isin(*field_names))
-    numbers = [F.format_string("%.2f", F.col(m) * 100) for m in METRICS]
+    numbers = [F.format_string("%.2f", F.bround(F.col(m) * 100, 2)) for m in METRICS]
     line = F.when(F.col("stats_name") == "micro", row(F.lit("all fields"), *numbers, F.lit("(micro average)"))).when(F.col("stats_name") == "macro", row(*numbers, F.lit("(macro average)"))).otherwise(row(F.col("field_name"), *numbers))
     rank = F.when(F.col("stats_name") == "micro", 1).when(F.col("stats_name") == "macro", 2).otherwise(0)
     lines = rows.groupBy("scoring_method").agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), place.alias("place"), "field_name", line.alias("line")))).alias("rows"))

@@ -68,7 +68,8 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> dict[str, int]:
     by_field = {f: config.scoring_types(types, over, f) for f in names} | {"default": config.names(types.get("default", "string"))}
     read, taken, scored_fields = Observation("files"), Observation("documents"), Observation("fields")
     lists = [files.file_list(spark, p, c, a.limit) for p, c in ((a.target_file_list, a.target_file_column), (a.prediction_file_list, a.prediction_file_column))]
-    pairs = files.with_content(files.file_pairs(*lists), files.contents(spark, a.folder), read)
+    asked = lists[0].select("path").unionByName(lists[1].select("path"))
+    pairs = files.with_content(files.file_pairs(*lists), files.listed(spark, a.folder, asked), read)
     fields = files.stored(field_maps(pairs, maps, config.source_fields(names, custom), a.skip_errors, taken))
     keys = ["target_file", "prediction_file"]
     scored = files.stored(scoring.score_documents(fields, keys, names, by_field, config.names(a.measures), a.convert_to_lower, custom, a.skip_errors, scored_fields))

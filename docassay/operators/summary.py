@@ -61,6 +61,19 @@ def summary(scored_pairs: DataFrame, field_names: Sequence[str] | None = None) -
     return sets.where((F.col("over_all") == 1) | F.col("wanted")).select(*keys, "field_name", F.explode(each).alias("s")).select(*keys, "field_name", "s.*")
 
 
+def state(scored_pairs: DataFrame) -> DataFrame:
+    """The counts of a batch of scored pairs by type, method and field: what a summary needs of it, to be stored beside other batches'."""
+    return scored_pairs.groupBy(*_keys(scored_pairs), "field_name").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def merged(*states: DataFrame) -> DataFrame:
+    """One state of several; summary() of it is that of all their pairs, none of which is scored again."""
+    whole = states[0]
+    for s in states[1:]:
+        whole = whole.unionByName(s)
+    return state(whole)
+
+
 def in_order(summary_rows: DataFrame, field_names: Sequence[str]) -> DataFrame:
     """The rows of a summary by group, in it by the order of field_names, then micro, then macro."""
     place = F.array_position(F.array(*map(F.lit, field_names)), F.col("field_name"))

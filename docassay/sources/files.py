@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -67,6 +68,35 @@ def contents(spark: SparkSession, folders: Sequence[str] | str, glob: str = "*")
     return files.select("path", "content").mapInArrow(_opened, "path string, content binary, error string")
 
 
+#: Paths that one read of listed files takes at most.
+AT_ONCE = 20_000
+
+
+def listed(spark: SparkSession, folders: Sequence[str] | str, paths: DataFrame, glob: str = "*") -> DataFrame:
+    """(path, content, error) like contents(), of the files under folders that paths (path) lists.
+
+    The folders are listed without reading a file; then only the files that are there and asked for are read, AT_ONCE to
+    a read. Their names pass through the driver, as those of any files that Spark reads do.
+    """
+    there = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folders).select("path")
+    wanted = paths.select(local(F.col("path")).alias("__wanted")).distinct()
+    found = there.join(wanted, local(F.col("path")) == F.col("__wanted"), "left_semi").distinct().orderBy("path").toLocalIterator()
+    made, some = None, []
+
+    def more(part: list[str]) -> DataFrame:
+        plain = [re.sub(r"([{}\[\]*?\\])", r"\\\1", p) for p in part]  # names, not patterns
+        return spark.read.format("binaryFile").load(plain).select("path", "content")
+
+    for row in found:
+        some.append(row.path)
+        if len(some) == AT_ONCE:
+            made, some = more(some) if made is None else made.unionByName(more(some)), []
+    if some:
+        made = more(some) if made is None else made.unionByName(more(some))
+    kind = "path string, content binary, error string"
+    return spark.createDataFrame([], kind) if made is None else made.mapInArrow(_opened, kind)
+
+
 def local(path: Column) -> Column:
     """A path without its file scheme, to join listed paths with those read."""
     return F.regexp_replace(path, r"^file:/*", "/")

@@ -208,3 +208,13 @@ def test_tools(spark):
     df = spark.createDataFrame([("a", 1, 1), ("b", 1, 0), ("c", 1, 1), ("a", 2, 0)], "tool string, id int, tp int")
     assert sorted((r.tool, r.tool_other, r.tp, r.tp_other) for r in details.tool_pairs(df, ["id"]).collect()) == [("a", "b", 1, 0), ("a", "c", 1, 1), ("b", "c", 0, 1)]
     assert {(r.id, r.tool) for r in details.first_per_group(df, "id", "tool", "tp").collect()} == {(1, "b"), (2, "a")}
+
+
+def test_summaries_of_batches(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["string", "list"]), "exact", rng.choice("abc"), rng.randint(0, 3), rng.randint(0, 3), rng.randint(0, 3)) for _ in range(200)]
+    whole = spark.createDataFrame(rows, "scoring_type string, scoring_method string, field_name string, tp long, fp long, fn long").withColumn("batch", F.pmod(F.xxhash64("field_name", "tp"), F.lit(3)))
+    states = [summary.state(whole.where(F.col("batch") == k)) for k in range(3)]
+    order = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    for names in (None, ["a", "c"]):
+        assert order(summary.summary(summary.merged(*states), names)) == order(summary.summary(whole, names))

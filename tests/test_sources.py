@@ -113,6 +113,18 @@ def test_files(spark, tmp_path):
         files.file_pairs(one, two.where("pos = 0"))
 
 
+def test_only_listed_files_are_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "AT_ONCE", 2)
+    for n in range(6):
+        (tmp_path / f"{n}.xml").write_text(f"<a>{n}</a>")
+    (tmp_path / "broken.gz").write_bytes(b"\x1f\x8bno")
+    asked = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in ("1.xml", "3.xml", "3.xml", "5.xml", "none.xml", "broken.gz")], "path string")
+    rows = files.listed(spark, str(tmp_path), asked).collect()
+    assert sorted((r.path.rpartition("/")[2], bytes(r.content or b"")) for r in rows) == [("1.xml", b"<a>1</a>"), ("3.xml", b"<a>3</a>"), ("5.xml", b"<a>5</a>"), ("broken.gz", b"")]
+    assert [bool(r.error) for r in rows if r.path.endswith("gz")] == [True]
+    assert files.listed(spark, str(tmp_path), asked.where("path LIKE '%none%'")).count() == 0
+
+
 def test_positions(spark):
     rows = files.positions(spark.range(1000).repartitionByRange(7, "id").sortWithinPartitions("id")).where("id <> pos").count()
     assert rows == 0

@@ -10,11 +10,9 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if it is a small table in fewer files than there are cores.
+    """df over all cores if it has no more splits than there are cores: a small table.
 
-    A file of one row group is one task, however it is split. Larger tables, those of more splits than cores, are
-    left as they are, without a shuffle.
+    A file of one row group is one task, however it is split. Larger tables are left as they are, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    few = len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= cores
-    return df.repartition(cores) if few else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df

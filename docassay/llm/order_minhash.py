@@ -40,6 +40,8 @@ NEIGHBOURS = 4
 #: Texts of a bucket up to which pairs are made one by one; texts, and grams, of a block in larger ones.
 PAIRED, BLOCK, BLOCK_GRAMS = 64, 512, 1 << 20
 BINS = 256
+#: Words whose hashes a Python worker keeps.
+KNOWN = 1 << 17
 WORD = re.compile(r"\w+")
 _MIX = np.random.default_rng(7).integers(1, 2**63, (SKETCHES, 2), dtype=np.uint64) | np.uint64(1)
 
@@ -49,7 +51,7 @@ def word_hashes(found: list[str], known: dict[str, int]) -> np.ndarray:
     try:
         return np.array([known[w] for w in found], "<u4")
     except KeyError:
-        if len(known) > 1_000_000:
+        if len(known) > KNOWN:
             known.clear()
         for w in found:
             if w not in known:
@@ -180,20 +182,24 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return m / (total - m) if total - 2 * m <= widest else 0.0
 
 
-def _texts(batch: pa.RecordBatch, known: dict[str, int]) -> pa.RecordBatch:
-    """Of each text its words' hashes, and the digest of the words themselves, by which copies are known."""
-    packed, keys = [], []
+def _sketched(batch: pa.RecordBatch, known: dict[str, int]) -> pa.RecordBatch:
+    """Of each text the digest of its words, by which copies are known, their hashes, how many grams they have, and their buckets."""
+    made: dict[bytes, tuple[bytes, int, np.ndarray]] = {}
+    keys = []
     for t in batch.column("text"):
         found = WORD.findall((t.as_py() or "").lower())
         keys.append(hashlib.md5("\0".join(found).encode("utf-8", "surrogatepass")).digest())
-        packed.append(word_hashes(found, known).tobytes())
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "text_key", "key", "words"])
+        if keys[-1] not in made:
+            words = word_hashes(found, known)
+            made[keys[-1]] = words.tobytes(), max(1, len(words) - GRAM + 1), sketches(words)
+    columns = [pa.array([made[k][c] for k in keys], t) for c, t in enumerate((pa.binary(), pa.int64(), pa.list_(pa.int64())))]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), *columns], names=["doc_id", "text_key", "key", "words", "grams", "buckets"])
 
 
-def _sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
-    packed = [np.frombuffer(w.as_py(), "<u4") for w in batch.column("words")]
-    grams = [max(1, len(w) - GRAM + 1) for w in packed]
-    return pa.RecordBatch.from_arrays([pa.array([sketches(w) for w in packed], pa.list_(pa.int64())), pa.array(grams, pa.int64()), batch.column("key")], names=["buckets", "grams", "key"])
+def of_keys(texts: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """(key, columns) of the texts with these keys, once each: copies meet here, so that no other text is ever shuffled."""
+    some = texts.select("key", *columns).join(small(stored(keys.distinct())), "key", "leftsemi")
+    return some.groupBy("key").agg(*(F.first(c).alias(c) for c in columns))
 
 
 def candidates(rows: DataFrame, total: int) -> DataFrame:
@@ -231,11 +237,10 @@ def between(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (key, words) are similar, with `similarity`."""
+    """The pairs (a, b) whose texts (key, words), in any number of copies, are similar, with `similarity`."""
 
     def side(x: str) -> DataFrame:
-        some = texts.join(small(stored(pairs.select(F.col(x).alias("key")).distinct())), "key", "leftsemi")
-        return some.select(F.col("key").alias(x), F.col("words").alias(f"words_{x}"))
+        return of_keys(texts, pairs.select(F.col(x).alias("key")), "words").select(F.col("key").alias(x), F.col("words").alias(f"words_{x}"))
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
@@ -303,16 +308,18 @@ def _across(table: pa.Table) -> pa.Table:
 
 
 def finished(rows: DataFrame, texts: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
-    """Links (a, b, similarity) between classes (key, root) that share buckets: no two similar texts of a bucket stay apart."""
+    """Links (a, b, similarity) between classes (key, root) that share buckets (bucket, grams, key): no two similar texts of a bucket stay apart."""
     named = stored(rows.join(small(roots), "key", "left").withColumn("root", F.coalesce("root", "key")))
     by_root = named.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("grams").alias("g"))
     facts = by_root.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("g").alias("g"), F.max(F.struct("n", "g", "root")).alias("most")).where("k > 1")
     facts = stored(facts.drop("k"))
-    few = stored(named.join(facts.where(F.col("n") <= PAIRED).select("bucket"), "bucket", "leftsemi").drop("buckets"))
+    few = stored(named.join(facts.where(F.col("n") <= PAIRED).select("bucket"), "bucket", "leftsemi"))
     others = few.withColumnsRenamed({"key": "b", "root": "other", "grams": "m"})
     near = F.least("m", "grams") >= SIMILAR * F.greatest("m", "grams")
     pairs = few.join(others, "bucket").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("other")) & near).select(F.col("key").alias("a"), "b").distinct()
-    links = verified(stored(pairs.join(tried, ["a", "b"], "leftanti")), texts)
+    pairs = stored(pairs.join(tried, ["a", "b"], "leftanti"))
+    links = stored(verified(pairs, texts))
+    discard(few, pairs)
 
     # Larger buckets: the texts of the most common root form blocks, which meet the blocks of the others, and those each other.
     blocks = lambda n, g: F.ceil(F.greatest(n / BLOCK, g / BLOCK_GRAMS)).cast("int")
@@ -325,10 +332,12 @@ def finished(rows: DataFrame, texts: DataFrame, roots: DataFrame, tried: DataFra
     at = F.col("at")
     from_big = F.transform(upto("n_rest"), lambda i: to(True, i, at, F.lit(1)))
     from_rest = F.concat(F.transform(upto("n_rest"), lambda j: to(False, F.least(at, j), F.greatest(at, j), at > j)), F.transform(upto("n_big"), lambda j: to(True, at, j, F.lit(0))))
-    words = texts.join(small(stored(held.select("key").distinct())), "key", "leftsemi")
+    words = of_keys(texts, held.select("key"), "words", "buckets")
     dealt = held.join(words, "key").select("bucket", "key", "root", "words", "buckets", F.explode(F.when(F.col("big"), from_big).otherwise(from_rest)).alias("to"))
     met = dealt.select("bucket", "to.*", "key", "root", "words", "buckets").groupBy("bucket", "big", "i", "j").applyInArrow(_across, "a binary, b binary, similarity double")
-    return links.unionByName(met.join(tried, ["a", "b"], "leftanti"))
+    met = stored(met.join(tried, ["a", "b"], "leftanti"))
+    discard(named, facts, held)
+    return links.unionByName(met)
 
 
 def _with_least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -362,24 +371,22 @@ def members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of each document (doc_id, text_key, key of its words); of each key (key, first, n, root, n_links)."""
     known: dict[str, int] = {}
     read = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
-    worded = stored(mapped(read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, key binary, words binary", lambda b: _texts(b, known)))
-    texts = stored(worded.groupBy("key").agg(F.first("words").alias("words")))
-    all_ = stored(worded.drop("words"))
-    discard(worded)
-    sketched = stored(mapped(texts, "buckets array<long>, grams long, key binary", _sketched))
-    rows = sketched.select(F.explode("buckets").alias("bucket"), "grams", "key")
-    several = rows.groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y").select("bucket")
-    shared = stored(sketched.select(F.explode("buckets").alias("bucket"), "grams", "key", "buckets").join(several, "bucket", "leftsemi"))
-    discard(sketched)
-    rows = shared.drop("buckets")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, key binary, words binary, grams long, buckets array<long>"
+    texts = stored(mapped(read, schema, lambda b: _sketched(b, known)))  # words are shuffled only of texts that are to be verified
+    all_ = stored(texts.select("doc_id", "text_key", "key"))
+    once = stored(texts.groupBy("key").agg(F.first("grams").alias("grams"), F.first("buckets").alias("buckets")))
+    rows = once.select(F.explode("buckets").alias("bucket"), "grams", "key")
+    several = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    rows = stored(rows.join(several, "bucket", "leftsemi"))
+    discard(once)
     tried = stored(candidates(rows, rows.count()))
     links = stored(verified(tried, texts))
     leaders = links.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("root"))
     second = stored(between(rows, leaders).join(tried, ["a", "b"], "leftanti"))
     links = stored(links.unionByName(verified(second, texts)))
-    more = finished(shared, texts, stored(components(links)), stored(tried.unionByName(second)))
+    more = finished(rows, texts, stored(components(links)), stored(tried.unionByName(second)))
     links = stored(links.unionByName(more.dropDuplicates(["a", "b"])))
-    discard(texts, shared, tried, second)
+    discard(texts, rows, tried, second)
     roots = components(links)
     degree = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
     copies = all_.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
@@ -400,8 +407,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     all_, member = members(docs)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     first = all_.groupBy("key").agg(F.min(place).alias("p"))  # copies meet before the classes do
-    d, k, t = unused(docs, "kept_id", "kept_key", "own_key")
-    stay = first.join(member.select("key", "root"), "key").groupBy("root").agg(F.min("p").alias("p")).select(F.col("p.doc_id").alias(d), F.col("p.text_key").alias(k))
-    own = docs.withColumn(t, text_key(docs["text"]))
-    kept = own.join(stay, own["doc_id"].eqNullSafe(F.col(d)) & (F.col(t) == F.col(k)), "leftsemi")
-    return kept.dropDuplicates(["doc_id", t]).drop(t)
+    stay = first.join(member.select("key", "root"), "key").groupBy("root").agg(F.min("p").alias("p"))
+    at = unused(docs, "own_id", "own_none", "own_key")
+    named = lambda i, k: [c.alias(n) for c, n in zip((F.coalesce(i.cast("string"), F.lit("")), i.isNull(), k), at, strict=True)]
+    own = docs.select("*", *named(docs["doc_id"], text_key(docs["text"])))
+    stay = stored(stay.select(*named(F.col("p.doc_id"), F.col("p.text_key"))))
+    return own.join(small(stay), at, "leftsemi").dropDuplicates(at).drop(*at)  # by the same columns, so texts are shuffled once

@@ -509,6 +509,37 @@ def test_near_duplicates_of_large_groups_against_brute_force(spark):
                 assert order_minhash.similarity(grams[i], grams[j]) < 0.8
 
 
+def shuffled(spark):
+    """Bytes shuffled so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    time.sleep(0.5)
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_near_duplicates_shuffle_no_texts_that_stand_alone(spark, monkeypatch):
+    own = random.Random(12)
+    texts = [" ".join(f"u{own.randrange(10**6)}" for _ in range(300)) for _ in range(600)]
+    rows = list(enumerate([*texts, *texts[:3]]))
+    df = common.stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    before = shuffled(spark)
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(df).collect()}
+    assert got == {i: i % 600 for i, _ in rows}
+    assert shuffled(spark) - before < 1500 * len(rows)  # hashes of their words alone are 1,200 bytes, their buckets on each of 20 rows 3,200
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    before = shuffled(spark)
+    assert {r.doc_id for r in order_minhash.one_of_each(df).collect()} == set(range(600))
+    assert shuffled(spark) - before < 1500 * len(rows) + 1.5 * sum(len(t) for _, t in rows)  # the texts once
+
+
+def test_one_of_each_of_repeated_rows_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    one, other = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(None, one, 1), (None, one, 1), ("", other, 2), ("", other, 2), ("7", f"{other} end", 3)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, own_key int")
+    assert sorted(order_minhash.one_of_each(df).collect(), key=str) == sorted({rows[0], rows[2]}, key=str)
+
+
 def test_winnowing(spark, docs, none):
     bench = spark.createDataFrame([(7, BENCH), (8, "no id"), (9, None), (10, "")], "item_id long, text string")
     rows = winnowing.decontaminate(docs, bench).collect()

@@ -57,10 +57,11 @@ def generalised(rows: DataFrame, different: DataFrame) -> DataFrame:
     mixed = stored(different.where(F.col("tokens") > LEAD).groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf"))
     texts = rows.where(F.col("tokens") > LEAD).select("leaf", "line").join(small(mixed), "leaf", "leftsemi").distinct()
     split = texts.select("leaf", digest(F.col("line")).alias("template"), F.substring_index("line", " ", LEAD).alias("lead"), F.posexplode(F.split("line", " ")).alias("at", "token")).where(F.col("at") >= LEAD)
-    places = stored(split.withColumn("place", F.xxhash64("leaf", "at", "token")))
+    # The leading tokens travel once a line, with its first place.
+    places = stored(split.select("template", F.when(F.col("at") == LEAD, F.col("lead")).alias("lead"), "at", "token", F.xxhash64("leaf", "at", "token").alias("place")))
     facts = stored(places.groupBy("place").agg(F.count("*").alias("c")).withColumn("n", F.col("c")))
     counted = by_heat(places, facts, "place", "n", places.count())
-    each = counted.groupBy("template").agg(F.first("lead").alias("lead"), F.sort_array(F.collect_list(F.struct("at", "token", "c"))).alias("ts"))
+    each = counted.groupBy("template").agg(F.max("lead").alias("lead"), F.sort_array(F.collect_list(F.struct("at", "token", "c"))).alias("ts"))
     ranked = F.sort_array(F.transform("ts", lambda t: t["c"]), asc=False)
     m = F.get(ranked, F.ceil(F.size("ts") * AGREE).cast("int") - 1)
     said = let(m, lambda m: F.transform("ts", lambda t: F.when(t["c"] * 2 <= m, FIELD).otherwise(t["token"])))

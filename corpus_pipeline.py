@@ -15,9 +15,9 @@ from docassay.llm.common import discard, read, stored
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; it learns from the labelled rows of the table that it filters."""
     machine = quality_fm.train(docs, read(spark, sf_dir, "labels"))
-    key = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    scored = quality_fm.score(docs.select(F.col("text"), key.alias("row")), machine)
-    return scored.where("predicted = 1").select("row.*")
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))  # the text goes to Python and back once
+    scored = quality_fm.score(docs.select("text", rest.alias("row")), machine)
+    return scored.where("predicted = 1").select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of them and of what they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    tokens = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    texts = docs.select("doc_id", F.col("text").alias("decoded"))  # replaced, so texts don't come back
+    tokens = bpe.round_trip(texts, path, public_tokenizers.PATTERN, "decoded")
     return tokens.select("doc_id", (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"), "tokens", F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -18,6 +18,7 @@ from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import islice
 from struct import pack
+from weakref import WeakSet
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql.types import BinaryType, StructField
 
 from .common import append
 
-#: Pre-tokens of up to so many characters are remembered, this many at once, by each Python worker.
+#: Pre-tokens of up to so many characters are remembered, this many at once, by each task.
 REMEMBERED_CHARS, REMEMBERED = 40, 600_000
 WIDE = re.compile("[^\x00-\xff]")
 
@@ -145,10 +146,21 @@ class Vocabulary:
         return b"".join([tokens[i] for i in np.frombuffer(packed, "<u4").tolist()])
 
 
+#: The vocabularies of this Python worker.
+loaded: WeakSet[Vocabulary] = WeakSet()
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     """Loaded once by each Python worker."""
-    return Vocabulary(path, pattern)
+    loaded.add(made := Vocabulary(path, pattern))
+    return made
+
+
+def forget() -> None:
+    """Empties the memory of pre-tokens: Python workers live on, and later steps have other uses for it."""
+    for v in loaded:
+        v.known.clear()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -158,7 +170,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
         v = vocabulary(path, pattern)
         return [pa.array([v.encode(x.as_py() or "") for x in batch.column(text)], pa.binary())]
 
-    return append(docs, [StructField("tokens", BinaryType())], run)
+    return append(docs, [StructField("tokens", BinaryType())], run, forget)
 
 
 def decode(docs: DataFrame, path: str, pattern: str, tokens: str = "tokens") -> DataFrame:
@@ -171,6 +183,17 @@ def decode(docs: DataFrame, path: str, pattern: str, tokens: str = "tokens") ->
     return append(docs, [StructField("decoded", BinaryType())], run)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """encode() and decode() in one pass, so that a task holds one Python worker and one vocabulary."""
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        v = vocabulary(path, pattern)
+        tokens = [v.encode(x.as_py() or "") for x in batch.column(text)]
+        return [pa.array(tokens, pa.binary()), pa.array([v.decode(t) for t in tokens], pa.binary())]
+
+    return append(docs, [StructField("tokens", BinaryType()), StructField("decoded", BinaryType())], run, forget)
+
+
 def ids(packed: bytes) -> Iterator[int]:
     """The ids of a `tokens` value."""
     return iter(np.frombuffer(packed, "<u4").tolist())

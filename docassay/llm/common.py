@@ -53,18 +53,22 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.lit("a"))
 
 
-def append(df: DataFrame, fields: list[StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+def append(df: DataFrame, fields: list[StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]], end: Callable[[], None] | None = None) -> DataFrame:
     """df with columns that fn makes of each Arrow batch; they replace columns of the same name.
 
-    fn gets batches of the columns of df and gives one array per field.
+    fn gets batches of the columns of df and gives one array per field; end is called when a task is over.
     """
     names = {f.name.lower() for f in fields}
     kept = [c for c in df.columns if c.lower() not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = fn(b)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *made], names=[*kept, *(f.name for f in fields)])
+        try:
+            for b in batches:
+                made = fn(b)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *made], names=[*kept, *(f.name for f in fields)])
+        finally:
+            if end:
+                end()
 
     return df.mapInArrow(run, StructType([f for f in df.schema.fields if f.name in kept] + fields))
 

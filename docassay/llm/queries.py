@@ -19,8 +19,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    docs = documents(spark, sf_dir)
-    tokens = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text"), path, public_tokenizers.PATTERN)
+    docs = documents(spark, sf_dir).withColumnRenamed("text", "decoded")  # replaced, so texts don't come back
+    tokens = bpe.round_trip(docs, path, public_tokenizers.PATTERN, "decoded")
     return tokens.select("doc_id", (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -192,5 +192,14 @@ def test_pipeline_stage_by_stage(spark, texts, encoding, tmp_path):
     assert {r.doc_id: r.ids_sha256 for r in whole.collect()} == {i: r.ids_sha256 for i, r in kept[4].items()}
 
 
+def test_pipeline_sends_each_text_to_python_once(spark, monkeypatch):
+    docs, sent = corpus_pipeline.read(spark, SF, "documents"), []
+    monkeypatch.setattr(quality_fm, "score", lambda df, machine, score=quality_fm.score: sent.append(df) or score(df, machine))
+    assert corpus_pipeline.quality(spark, docs, SF).schema.fields == docs.schema.fields
+    assert [f.name for f in sent[0].schema["row"].dataType.fields] == [c for c in docs.columns if c != "text"]
+    for made in (corpus_pipeline.tokenize(spark, docs, SF), queries.queries()["op1_bpe"](spark, SF)):  # two Python workers a task took memory twice
+        assert len(re.findall("MapInArrow", made._jdf.queryExecution().executedPlan().toString())) == 1
+
+
 def winnowing_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))

@@ -51,6 +51,16 @@ def test_bpe_is_tiktoken(spark, docs, none):
     assert bpe.encode(none, PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_in_one_pass_leaves_no_pre_tokens_in_workers(spark, docs, none):
+    two = bpe.decode(bpe.encode(docs, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN)
+    one = bpe.round_trip(docs.withColumn("tokens", F.lit("old")), PATH, public_tokenizers.PATTERN)
+    key = lambda r: (str(r.doc_id), str(r.text), r.tokens, r.decoded)
+    assert sorted(map(key, one.collect())) == sorted(map(key, two.collect()))
+    assert bpe.round_trip(none, PATH, public_tokenizers.PATTERN).count() == 0
+    left = lambda batches: (b.from_pydict({"n": [len(bpe.vocabulary(PATH, public_tokenizers.PATTERN).known)]}) for b in batches)
+    assert {r.n for r in spark.range(64).repartition(16).mapInArrow(left, "n long").collect()} == {0}
+
+
 def test_pii(spark, docs, none):
     trees = pii.train(docs)
     rows = {r.doc_id: r.spans for r in pii.find(docs.withColumn("spans", F.lit(1)), trees).collect()}

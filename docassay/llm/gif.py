@@ -28,37 +28,45 @@ CLEAR, END, FULL = 256, 257, 4096
 FRAMES = "array<struct<number:int,left:int,top:int,width:int,height:int,delay_cs:int,disposal:int,transparent:int,histogram:array<bigint>>>"
 #: Bits of the i-th code after a clear code.
 CODE_BITS = np.minimum(12, np.maximum(9, np.array([int(258 + max(0, i - 1)).bit_length() for i in range(8192)])))
+#: The bit at which it starts.
+CODE_STARTS = np.concatenate([[0], np.cumsum(CODE_BITS)])
 
 
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits for 8-bit samples; the table is cleared when it is full."""
-    segments, codes, table, new = [], [], {}, 258  # codes and table hold codes shifted by a byte
+    segments, codes, new, last = [], [], 258 << 8, (FULL - 1) << 8  # codes and table hold codes shifted by a byte
     rest = iter(data)
     current = next(rest) << 8
-    get, emit = table.get, codes.append
+    known, emit = {}.setdefault, codes.append
     for b in rest:
-        code = get(current | b)
-        if code is None:
+        code = known(current | b, new)  # one look finds a string or learns it
+        if code == new:
             emit(current)
-            if new < FULL - 1:
-                table[current | b] = new << 8
-                new += 1
-            else:
-                segments.append(codes)
-                codes, table, new = [], {}, 258
-                get, emit = table.get, codes.append
             current = b << 8
+            if new == last:
+                segments.append(codes)
+                codes, new = [], 258 << 8
+                known, emit = {}.setdefault, codes.append
+            else:
+                new += 256
         else:
             current = code
     codes.append(current)
     segments.append(codes)
-    values, widths = [np.array([CLEAR])], [np.array([9])]
+    values, starts, bit = [CLEAR << 8], [np.zeros(1, np.int64)], 9
     for i, s in enumerate(segments):
-        values += (np.array(s) >> 8, np.array([END if i == len(segments) - 1 else CLEAR]))
-        widths.append(CODE_BITS[: len(s) + 1])
-    value, width = np.concatenate(values).astype(np.uint16), np.concatenate(widths)
-    place = np.arange(12)
-    return np.packbits((value[:, None] >> place & 1).astype(np.uint8)[place < width[:, None]], bitorder="little").tobytes()
+        values += s
+        values.append((END if i == len(segments) - 1 else CLEAR) << 8)
+        starts.append(CODE_STARTS[: len(s) + 1] + bit)
+        bit += int(CODE_STARTS[len(s) + 1])
+    at = np.concatenate(starts)
+    # a code reaches into three bytes at most; codes share bytes but no bits, so sums join them
+    value, byte = (np.array(values, np.int64) >> 8) << (at & 7), at >> 3
+    size = (bit + 7) >> 3
+    out = np.bincount(byte, value & 255, size + 2)
+    out[1:] += np.bincount(byte, value >> 8 & 255, size + 1)
+    out[2:] += np.bincount(byte, value >> 16, size)
+    return out[:size].astype(np.uint8).tobytes()
 
 
 def lzw_codes(data: bytes, size: int) -> Iterator[np.ndarray]:
@@ -68,7 +76,8 @@ def lzw_codes(data: bytes, size: int) -> Iterator[np.ndarray]:
     run: list[np.ndarray] = []
     done = 0
     while True:
-        widths = every[done : done + 4096] if done + 4096 <= len(every) else np.full(4096, 12)
+        some = min(4096, (8 * len(data) - bit) // (size + 1) + 1) if bit else 1  # a clear code comes first, as a rule
+        widths = every[done : done + some] if done + some <= len(every) else np.full(some, 12)
         at = bit + np.concatenate(([0], np.cumsum(widths)[:-1]))
         keep = at + widths <= 8 * len(data)
         at, widths = at[keep], widths[keep]
@@ -93,13 +102,12 @@ def lzw_decode(data: bytes, size: int, most: int | None = None) -> bytes:
     start = [bytes([i]) for i in range(1 << size)] + [b"", b""]
     parts, total = [], 0
     for codes in lzw_codes(data, size):
-        table, (first, *rest) = list(start), codes.tolist() or [1 << size]
-        if first >= len(table):
+        table, run = list(start), codes.tolist() or [1 << size]
+        if run[0] >= len(table):
             raise ValueError("code out of order")
-        before = table[first]
-        out = [before]
-        learn, emit, room = table.append, out.append, FULL - len(table)
-        for c in rest[:room]:
+        before = table[run[0]]
+        learn = table.append
+        for c in run[1 : 1 + FULL - len(table)]:  # then the table is full
             try:
                 s = table[c]
             except IndexError:
@@ -107,10 +115,8 @@ def lzw_decode(data: bytes, size: int, most: int | None = None) -> bytes:
                     raise ValueError("code out of order") from None
                 s = before + before[:1]
             learn(before + s[:1])
-            emit(s)
             before = s
-        out += [table[c] for c in rest[room:]]  # the table is full
-        parts.append(b"".join(out))
+        parts.append(b"".join(map(table.__getitem__, run)))
         total += len(parts[-1])
         if most is not None and total > most:
             raise ValueError("more samples than the frame holds")

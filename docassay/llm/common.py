@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -15,6 +17,8 @@ from ..sources.stored import discard, scratch, stored  # noqa: F401
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: A key is hot beyond one in HOT of all rows, or beyond HOT_ROWS; never more than HOT_KEYS keys are.
 HOT, HOT_ROWS, HOT_KEYS = 1000, 1_000_000, 100_000
+#: Bytes of a column, and what a row counts on top of them, of which pieces() makes a piece.
+PIECE, PIECE_ROW = 2 << 20, 1 << 10
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,17 +57,29 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.lit("a"))
 
 
-def append(df: DataFrame, fields: list[StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]], end: Callable[[], None] | None = None) -> DataFrame:
+def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """All rows of a batch in order, in slices of at most `most` bytes of a column, or of one row that alone has more."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes.astype(np.int64) + PIECE_ROW)
+    start, before = 0, 0
+    while start < len(ends):
+        to = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(start, to - start)
+        start, before = to, int(ends[to - 1])
+
+
+def append(df: DataFrame, fields: list[StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]], end: Callable[[], None] | None = None, by: str | None = None) -> DataFrame:
     """df with columns that fn makes of each Arrow batch; they replace columns of the same name.
 
-    fn gets batches of the columns of df and gives one array per field; end is called when a task is over.
+    fn gets batches of the columns of df and gives one array per field; end is called when a task is over. With `by`,
+    fn gets pieces() of the batches by that column, so that what it makes of a batch is never held whole.
     """
     names = {f.name.lower() for f in fields}
     kept = [c for c in df.columns if c.lower() not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            for b in batches:
+            for b in batches if by is None else (piece for whole in batches for piece in pieces(whole, by)):
                 made = fn(b)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *made], names=[*kept, *(f.name for f in fields)])
         finally:

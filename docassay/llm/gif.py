@@ -19,13 +19,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BinaryType, StringType, StructField, _parse_datatype_string
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import append
 
 WIDTH, ROWS, DELAY = 64, 16384, 10
 CLEAR, END, FULL = 256, 257, 4096
-FRAMES = "array<struct<number:int,left:int,top:int,width:int,height:int,delay_cs:int,disposal:int,transparent:int,histogram:array<bigint>>>"
+NUMBERS = ("number", "left", "top", "width", "height", "delay_cs", "disposal", "transparent")
+FRAMES = ArrayType(StructType([*(StructField(n, IntegerType()) for n in NUMBERS), StructField("histogram", ArrayType(LongType()))]))
+#: Columns that encode() and decode() add.
+MEDIA = [StructField("media", BinaryType())]
+LOADED = [StructField("payload", BinaryType()), StructField("frames", FRAMES), StructField("error", StringType())]
 #: Bits of the i-th code after a clear code.
 CODE_BITS = np.minimum(12, np.maximum(9, np.array([int(258 + max(0, i - 1)).bit_length() for i in range(8192)])))
 #: The bit at which it starts.
@@ -246,9 +250,13 @@ def store(payload: bytes) -> bytes:
     return write([Frame(0, 0, rows[i : i + ROWS], grey, DELAY, 1, -1) for i in range(0, len(rows), ROWS)])
 
 
+def stored(texts: pa.Array) -> pa.Array:
+    return pa.array([store(padded((t.as_py() or "").encode())) for t in texts], pa.binary())
+
+
 def encode(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds `media`: the UTF-8 bytes of each whole text, padded to a multiple of 64, as a GIF."""
-    return append(docs, [StructField("media", BinaryType())], lambda b: [pa.array([store(padded((t.as_py() or "").encode())) for t in b.column(text)], pa.binary())])
+    return append(docs, MEDIA, lambda b: [stored(b.column(text))], by=text)
 
 
 def opened(media: bytes) -> tuple[bytes, list[dict]]:
@@ -263,21 +271,31 @@ def opened(media: bytes) -> tuple[bytes, list[dict]]:
     ]
 
 
+def loaded(media: pa.Array) -> list[pa.Array]:
+    payloads, tables, errors = [], [], []
+    for m in media:
+        payload = frames = error = None
+        try:
+            payload, frames = opened(m.as_py()) if m.is_valid else (None, None)
+        except ValueError as e:
+            error = str(e)
+        payloads.append(payload)
+        tables.append(frames)
+        errors.append(error)
+    ints = [(n, pa.int32()) for n in NUMBERS]
+    return [pa.array(payloads, pa.binary()), pa.array(tables, pa.list_(pa.struct([*ints, ("histogram", pa.list_(pa.int64()))]))), pa.array(errors, pa.string())]
+
+
 def decode(docs: DataFrame, media: str = "media") -> DataFrame:
     """Adds `payload`, `frames` with times and histograms, and `error`."""
+    return append(docs, LOADED, lambda b: loaded(b.column(media)), by=media)
+
+
+def round_trip(docs: DataFrame, text: str = "text") -> DataFrame:
+    """encode(), and decode() of the files it made, in one pass, so that a task holds one Python worker and files go to Spark once."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        payloads, tables, errors = [], [], []
-        for m in batch.column(media):
-            payload = frames = error = None
-            try:
-                payload, frames = opened(m.as_py()) if m.is_valid else (None, None)
-            except ValueError as e:
-                error = str(e)
-            payloads.append(payload)
-            tables.append(frames)
-            errors.append(error)
-        ints = [(n, pa.int32()) for n in ("number", "left", "top", "width", "height", "delay_cs", "disposal", "transparent")]
-        return [pa.array(payloads, pa.binary()), pa.array(tables, pa.list_(pa.struct([*ints, ("histogram", pa.list_(pa.int64()))]))), pa.array(errors, pa.string())]
-
-    return append(docs, [StructField("payload", BinaryType()), StructField("frames", _parse_datatype_string(FRAMES)), StructField("error", StringType())], run)
+        media = stored(batch.column(text))
+        return [media, *loaded(media)]
+
+    return append(docs, [*MEDIA, *LOADED], run, by=text)

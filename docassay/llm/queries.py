@@ -66,8 +66,8 @@ def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    stored = gif.decode(gif.encode(docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))).drop("text"))
+    docs = documents(spark, sf_dir).withColumnRenamed("text", "payload")  # replaced, so texts don't come back
+    stored = gif.round_trip(docs.withColumn("n_bytes", F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long")), "payload")
     total = F.aggregate(F.transform("frames", lambda f: f["histogram"]), F.array_repeat(F.lit(0).cast("long"), 65), lambda a, h: F.zip_with(a, h, lambda x, y: x + y))
     return stored.select(
         "doc_id",

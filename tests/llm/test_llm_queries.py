@@ -101,6 +101,12 @@ def test_op5(spark, texts):
         assert same.setdefault(t, (r.media_bytes, r.media_sha256, r.feature)) == (r.media_bytes, r.media_sha256, r.feature)
 
 
+def test_op5_stores_and_loads_in_one_python_worker_a_task(spark):
+    """Two of them, each with whole batches, took an executor's memory twice."""
+    made = queries.queries()["op5_gif"](spark, SF)
+    assert len(re.findall("MapInArrow", made._jdf.queryExecution().executedPlan().toString())) == 1
+
+
 def test_op6(spark):
     got = by_id(spark, "op6_chat", "conv_id")
     rows = duckdb.sql(f"select conv_id, turn, role, text from read_parquet('{SF}/conversations.parquet') order by conv_id, turn").fetchall()

@@ -261,6 +261,30 @@ def test_gif(spark, docs, none):
         gif.read(gif.store(gif.padded(b"abc"))[:-20])
 
 
+def test_gif_in_one_pass(spark, docs, none):
+    """The same columns as in two passes, with one Python worker a task, and texts needn't come back."""
+    two = gif.decode(gif.encode(docs))
+    one = gif.round_trip(docs.withColumn("media", F.lit("old")))
+    key = lambda r: (str(r.doc_id), str(r.text), r.media, r.payload, r.frames, r.error)
+    assert sorted(map(key, one.collect())) == sorted(map(key, two.collect()))
+    assert gif.round_trip(docs.withColumnRenamed("text", "payload"), "payload").columns == ["doc_id", "lang", "media", "payload", "frames", "error"]
+    assert gif.round_trip(none).count() == 0
+
+
+def test_pieces_hold_all_rows_and_few_bytes(spark):
+    import pyarrow as pa
+
+    texts = [None, "", "é" * 400, *(["x" * 900] * 9), "y" * 9000, None, "z"]
+    batch = pa.RecordBatch.from_pydict({"i": list(range(len(texts))), "text": texts})
+    most = 3 * (900 + common.PIECE_ROW)
+    found = list(common.pieces(batch, "text", most))
+    assert [r for p in found for r in p.to_pylist()] == batch.to_pylist()
+    assert all(p.num_rows and (p.num_rows == 1 or sum(len((t.as_py() or "").encode()) + common.PIECE_ROW for t in p["text"]) <= most) for p in found)
+    assert max(p.num_rows for p in found) > 1 and not list(common.pieces(batch.slice(0, 0), "text"))
+    seen = common.append(spark.range(1).selectExpr("explode(sequence(1, 6)) i", "repeat('a', 1000000) t").coalesce(1), gif.MEDIA, lambda b: [pa.array([str(b.num_rows).encode()] * b.num_rows, pa.binary())], by="t")
+    assert {int(r.media) for r in seen.select("media").collect()} == {2}
+
+
 def test_lzw_of_full_tables_in_fewer_steps():
     """Round trips at every length around a full table, and the bytecode lines that both ways run, which time follows."""
     for n in range(3830, 3850):

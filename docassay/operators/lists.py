@@ -48,6 +48,6 @@ def unordered_counts(items: DataFrame) -> DataFrame:
     return _sums(items).select("key", "tp", (F.col("a") - F.col("tp")).alias("fp"), F.greatest(F.col("e") - F.col("a"), F.lit(0).cast("long")).alias("fn"), F.when(longer == 0, 1.0).otherwise(F.col("tp") / F.nullif(longer, F.lit(0).cast("long"))).alias("score"))
 
 
-def unordered_whole(items: DataFrame) -> DataFrame:
-    """(key, score) from (key, side, item): share of matches of equal items if both sides have as many, else 0; 1 without items."""
-    return _sums(items).select("key", F.when(F.col("e") != F.col("a"), 0.0).when(F.col("e") == 0, 1.0).otherwise(F.col("tp") / F.nullif("e", F.lit(0).cast("long"))).alias("score"))
+def unordered_whole(items: DataFrame, none: Column | None = None) -> DataFrame:
+    """(key, score) from (key, side, item): share of matches of equal items if both sides have as many, else 0; without items `none`, or 1."""
+    return _sums(items).select("key", F.when(F.col("e") != F.col("a"), 0.0).when(F.col("e") == 0, F.lit(1.0) if none is None else none).otherwise(F.col("tp") / F.nullif("e", F.lit(0).cast("long"))).alias("score"))

@@ -63,3 +63,20 @@ def test_metrics(spark):
     df = spark.createDataFrame([("exact", "title", 6, 4, 0)], "scoring_method string, field_name string, tp long, fp long, fn long")
     row = summary.summary(df).where("stats_name = 'by-field'").first()
     assert (row.precision, row.recall, row.tn) == (0.6, 0.6, 4) and row.f1 == pytest.approx(0.6)
+
+
+@pytest.mark.parametrize("name", ["score_set_exact"])
+def test_documents_without_lines(spark, tmp_path, name):
+    got, want = odd_texts(spark, tmp_path, name)
+    assert got.score.isna().sum() == 15
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def odd_texts(spark, tmp_path, name: str) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """A query and its SQL over texts that are missing, empty or blank, each by all five ways."""
+    texts = [None, "", "\n\n", " ", "A\nb\nA\n", "a"]
+    rows = [(5 * i + way, t, "en", "web") for i, t in enumerate(texts) for way in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    return tidy(registry.queries()[name](spark, str(tmp_path)).toPandas()), tidy(duck.sql(registry.oracle_sql()[name]).df())

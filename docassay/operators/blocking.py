@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..sources.stored import stored
+from .fuzzy import scored
 from .matching import _numbered
 from .paths import let
 
+#: Pairs of a list's values up to which it is matched in its row.
+PAIRS = 4_000_000
+
 #: Characters of a gram, and what stands before and behind a value, so that each character is in as many grams.
 Q, EDGE = 3, "\x02"
 
@@ -101,8 +105,16 @@ def assigned(lists: DataFrame, threshold: float = scores.THRESHOLDS["levenshtein
 
 
 def counts(lists: DataFrame, threshold: float = scores.THRESHOLDS["levenshtein"]) -> DataFrame:
-    """(key, tp, fp, fn) of lists (key, e, a) without blank values: what is matched; what else the actual side has; what the expected side has more."""
-    hits = assigned(lists, threshold).groupBy("key").agg(F.count("*").alias("tp"))
-    sized = lists.select("key", F.size("e").cast("long").alias("e"), F.size("a").cast("long").alias("a")).join(hits, "key", "left")
+    """(key, tp, fp, fn) of lists (key, e, a) without blank values: what is matched; what else the actual side has; what the expected side has more.
+
+    Lists of many pairs are matched by blocks over rows, all others in their row.
+    """
+    many = F.size("e").cast("long") * F.size("a") > PAIRS
+    sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in "ea"]
+    sized = scored(lists.where(~F.coalesce(many, F.lit(False))).select("key", *sizes, "e", "a"), threshold, rest=False)
+    long = lists.where(many)
+    if not long.isEmpty():
+        hits = assigned(long, threshold).groupBy("key").agg(F.count("*").alias("tp"))
+        sized = sized.unionByName(long.select("key", *sizes).join(hits, "key", "left"))
     tp = F.coalesce("tp", F.lit(0).cast("long"))
-    return sized.select("key", tp.alias("tp"), (F.col("a") - tp).alias("fp"), F.greatest(F.col("e") - F.col("a"), F.lit(0).cast("long")).alias("fn"))
+    return sized.select("key", tp.alias("tp"), (F.col("n_a") - tp).alias("fp"), F.greatest(F.col("n_e") - F.col("n_a"), F.lit(0).cast("long")).alias("fn"))

@@ -1,13 +1,14 @@
 """Matching, edit distance, items and boxes against plain models."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from docassay.functions import scores
-from docassay.operators import boxes, matching
+from docassay.operators import blocking, boxes, fuzzy, matching
 
 
 def distance(a, b):
@@ -103,3 +104,35 @@ def test_box_areas(spark):
     assert [(r.s.tp, r.s.fp, r.s.fn) for r in got] == [(50, 50, 50), (0, 100, 100), (4, 0, 0)]
     assert [r.m for r in got] == [0.5, 0.0, 1.0] and got[2].f == "1,0.0,0.0,2.0,2.0"
     assert got[2].s.score == 1.0
+
+
+def test_fuzzy_lists_as_the_model(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcAB ,") for _ in range(rng.randint(2, 16))) for _ in range(9)]
+    ways = (str, str.lower, lambda x: x.replace(",", "") or "x", lambda x: x[: len(x) // 2 + 1], lambda x: x[::-1], lambda x: x[1:] + x[0])
+    some = lambda: [rng.choice(ways)(rng.choice(base)) for _ in range(rng.randint(0, 9))]
+    rows = [(some(), some()) for _ in range(400)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)] + [(-1, None, ["a"])], "key int, e array<string>, a array<string>")
+    got = {r.key: r for r in fuzzy.scored(df).collect()}
+    assert tuple(got.pop(-1)) == (-1, None, None, None, None, None)
+    for k, (e, a) in enumerate(rows):
+        pairs = model(e, a, 0.8)
+        tp = sum(s >= 0.8 for _, _, s in pairs)
+        want = (tp, len(a) - tp, max(len(e) - len(a), 0), 0)
+        assert (got[k].tp, got[k].fp, got[k].fn, got[k].tn) == want
+        assert got[k].score == pytest.approx(sum(s for *_, s in pairs) / len(pairs) if pairs else 1.0, abs=1e-12)
+    tps = {r.key: r.tp for r in fuzzy.scored(df, rest=False).collect()}
+    assert all(tps[k] == got[k].tp for k in got)
+
+
+def test_many_lists_of_long_lines(spark):
+    """3,000 documents of eight lines of some 700 characters, in lower case on the other side."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)).title() for _ in range(300)]
+    rows = [(k, [" ".join(rng.choices(words, k=100)) for _ in range(8)]) for k in range(3_000)]
+    df = spark.createDataFrame(rows, "key int, e array<string>").repartition(8).withColumn("a", F.reverse(F.transform("e", F.lower))).cache()
+    df.count()
+    began = time.time()
+    for made in (blocking.counts(df), fuzzy.scored(df)):
+        assert made.agg(F.sum("tp")).first()[0] == 24_000
+    assert time.time() - began < 60

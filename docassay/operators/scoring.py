@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import edits, scores, text
-from . import boxes, mapping, matching
+from . import boxes, equality, mapping, matching
 
 Measure = Callable[[Column, Column], Column]
 ITEM = "struct<tp:bigint,fp:bigint,fn:bigint,tn:bigint,score:double,expected:string,actual:string>"
@@ -24,7 +24,10 @@ MATCH = ITEM[:-1] + f",sub_scores:array<{ITEM}>>"
 
 @dataclass(frozen=True)
 class Method:
-    """score is the measure of values, `whole` of joined texts; both go through `prepare` where values are joined or matched out of order."""
+    """score is the measure of values, `whole` of joined texts; both go through `prepare` where values are joined or matched out of order.
+
+    `plain` is prepare() for Python's texts, of methods that only ask whether values are equal.
+    """
 
     name: str
     score: Measure
@@ -32,14 +35,16 @@ class Method:
     prepare: Callable[[Column], Column] = lambda x: x
     bounded: bool = False
     whole: Measure | None = None
+    plain: equality.Plain | None = None
 
     def measure(self, a: Column, b: Column) -> Column:
         return self.score(self.prepare(a), self.prepare(b))
 
 
+IGNORED = dict.fromkeys(map(ord, text.IGNORED))
 METHODS = {
-    "exact": Method("exact", scores.exact, scores.THRESHOLDS["exact"]),
-    "soft": Method("soft", scores.exact, scores.THRESHOLDS["soft"], text.strip_punctuation),
+    "exact": Method("exact", scores.exact, scores.THRESHOLDS["exact"], plain=str),
+    "soft": Method("soft", scores.exact, scores.THRESHOLDS["soft"], text.strip_punctuation, plain=lambda s: s.translate(IGNORED)),
     "levenshtein": Method("levenshtein", scores.levenshtein, scores.THRESHOLDS["levenshtein"], bounded=True, whole=scores.levenshtein_of_texts),
 }
 
@@ -272,7 +277,8 @@ def score_fields(fields: DataFrame, types: Mapping[str, Sequence[str]], methods:
     types maps fields, and `default`, to their scoring types; string where there is neither. Values are texts, or typed
     (mapping.VALUE): tables are then scored by the table types, lists of items by the share of them that is found. Rows with an `error` are
     left out, and counted by `counters` (fields, errors), or end the job if errors aren't to be skipped. Without
-    `details` there are no values and sub-scores in the result, which then needn't be copied for each type and method.
+    `details` there are no values and sub-scores in the result, which then needn't be copied for each type and method; texts that
+    are compared for equality alone are then counted in their row by operators.equality.
     """
     if "error" in fields.columns:
         if counters is not None:
@@ -288,6 +294,9 @@ def score_fields(fields: DataFrame, types: Mapping[str, Sequence[str]], methods:
     of_structs = isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType)
     typed = of_structs and "kind" in kind.elementType.names
     keep = [c for c in fields.columns if c not in ("expected", "actual")]
+    if not details and not of_structs and set(every) <= set(equality.TYPES) and all(m in METHODS and METHODS[m].plain for m in methods):
+        sides = (values(F.col(c), lower).alias(c[0]) for c in ("expected", "actual"))
+        return equality.counted(fields.select(*keep, wanted.alias("wanted"), *sides), every, {m: METHODS[m].plain for m in methods})
     # joined texts are measured ahead, as what follows is in lambdas: only those of fields that are scored so
     strings = [t for t in every if t in ("string", "str")]
     measured = bool(strings) and any(METHODS[m].whole for m in methods if m in METHODS)

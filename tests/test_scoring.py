@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -243,3 +244,29 @@ def test_overlaps_of_crowded_pages(spark):
     side = spark.range(50_000).select(F.lit(0).alias("page"), (F.col("id") % 97).cast("double").alias("x"), (F.col("id") % 89).cast("double").alias("y"), F.lit(100.0).alias("w"), F.lit(100.0).alias("h"), "id")
     row = boxes.overlap_sums(side, side.drop("id"), ["page"], ["id"]).agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     assert (row.rows, row.n) == (50_000, 50_000**2)
+
+
+def test_counts_without_details(spark):
+    """Those of the columns, for all types of texts and both equality methods."""
+    rng = random.Random(13)
+    values = ["", "a", "A", "a.", ".", "b  c", "b c", " ", " ", "d e", "-", None]
+    some = lambda: None if rng.random() < 0.05 else [rng.choice(values) for _ in range(rng.choice([0, 1, 2, 3, 5, 8]))]
+    rows = [(k, rng.choice("fg"), some(), some()) for k in range(300)]
+    df = spark.createDataFrame(rows, "k int, field_name string, expected array<string>, actual array<string>")
+    types = {"default": ["string", "str", "list", "partial_list", "ulist"], "g": ["partial_ulist", "set", "partial_set", "list"]}
+    columns = ["k", "field_name", "scoring_type", "scoring_method", "tp", "fp", "fn", "tn", "score"]
+    for lower in (False, True):
+        one, other = (scoring.score_fields(df, types, ("exact", "soft"), lower, details=d).select(*columns) for d in (False, True))
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect())) and one.count() > 2000
+    assert one.schema.simpleString() == other.schema.simpleString()
+
+
+def test_fan_out_of_many_documents(spark):
+    """20,000 documents of ten lines by all seven types."""
+    line = F.concat_ws(" ", *(F.md5(F.concat(F.col("id"), F.lit(f" {k}"))) for k in range(6)))
+    e = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.concat(line, F.lit(" "), k.cast("string")))
+    df = spark.range(0, 20_000, 1, 8).select("id", F.lit("f").alias("field_name"), e.alias("expected"), F.reverse(e).alias("actual"))
+    began = time.time()
+    kinds = ["string", "list", "partial_list", "ulist", "partial_ulist", "set", "partial_set"]
+    assert scoring.score_fields(df, {"default": kinds}, ("exact", "soft"), details=False).agg(F.sum("tp")).first()[0] == 20_000 * 2 * 22
+    assert time.time() - began < 20

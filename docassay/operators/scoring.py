@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import edits, scores, text
-from . import boxes, equality, mapping, matching
+from . import box_lists, boxes, equality, mapping, matching
 
 Measure = Callable[[Column, Column], Column]
 ITEM = "struct<tp:bigint,fp:bigint,fn:bigint,tn:bigint,score:double,expected:string,actual:string>"
@@ -336,12 +336,23 @@ def _boxes(e: Column, a: Column, kind: str, settings: Mapping) -> Column:
     return TYPES[settings.get("scoring_type", "partial_ulist")](e, a, m)
 
 
-def score_custom(pairs: DataFrame, keys: Sequence[str], custom: Sequence[Mapping]) -> DataFrame:
+def _box_counts(pairs: DataFrame, keys: Sequence[str], custom: Sequence[Mapping], typed: bool) -> DataFrame:
+    """score_custom() without details: values are parsed once, for custom fields of the same names too."""
+    names = list(dict.fromkeys((tuple(c["expected"]["field_names"]), tuple(c["actual"]["field_names"])) for c in custom))
+    sides = {f"s{k}{side[0]}": (mapping.texts(x) if typed else x).alias(f"s{k}{side[0]}") for k, of in enumerate(names) for side, x in (("expected", joined_values("expected", of[0])), ("actual", joined_values("actual", of[1])))}
+    parsed = [c for n in sides for c in (F.transform(n, boxes.parse).alias(n), F.transform(n, lambda x: _blank(x) != "").alias(f"{n}_some"))]
+    wanted = [(c["name"], c["type"], f"s{names.index((tuple(c['expected']['field_names']), tuple(c['actual']['field_names'])))}", float((c.get("config") or {}).get("resolution", boxes.RESOLUTION)) if c["type"] == "bounding_box_intersection_area" else 0.8) for c in custom]
+    return box_lists.counted(pairs.select(*keys, *sides.values()).select(*keys, *parsed), keys, wanted)
+
+
+def score_custom(pairs: DataFrame, keys: Sequence[str], custom: Sequence[Mapping], details: bool = True) -> DataFrame:
     """Rows as of score_fields() for custom fields (name, type, expected and actual field_names, config): shared boxes of several fields."""
     unknown = {c["type"] for c in custom} - {"bounding_box_intersection", "bounding_box_intersection_area"}
     if unknown:
         raise KeyError(", ".join(sorted(unknown)))
     made, typed = [], isinstance(pairs.schema["expected"].dataType.valueType.elementType, StructType)
+    if not details and all((c.get("config") or {}).get("scoring_type", "partial_ulist") == "partial_ulist" for c in custom):
+        return _box_counts(pairs, keys, custom, typed)
     for c in custom:
         kind = c["type"]
         e, a = (mapping.texts(x) if typed else x for x in (joined_values(side, c[side]["field_names"]) for side in ("expected", "actual")))
@@ -353,5 +364,5 @@ def score_custom(pairs: DataFrame, keys: Sequence[str], custom: Sequence[Mapping
 def score_documents(pairs: DataFrame, keys: Sequence[str], names: Sequence[str] | None, types: Mapping[str, Sequence[str]], methods: Sequence[str] = ("exact", "levenshtein"), lower: bool = False, custom: Sequence[Mapping] = (), skip_errors: bool = True, counters: Observation | None = None, details: bool = True) -> DataFrame:
     """Standard fields, then custom ones, which are scored whether they are selected or not."""
     scored = score_fields(by_field(pairs, keys, names), types, methods, lower, skip_errors, counters, details)
-    more = score_custom(pairs, keys, custom) if custom else None
+    more = score_custom(pairs, keys, custom, details) if custom else None
     return scored if more is None else scored.unionByName(more.select(*scored.columns))

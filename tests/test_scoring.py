@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_matching import model, ratio
 
 from docassay.functions import scores, text
-from docassay.operators import boxes, details, lists, scoring, summary
+from docassay.operators import box_lists, boxes, details, lists, scoring, summary
 
 LIMITS = {"exact": 1.0, "soft": 1.0, "levenshtein": 0.8}
 
@@ -270,3 +270,25 @@ def test_fan_out_of_many_documents(spark):
     kinds = ["string", "list", "partial_list", "ulist", "partial_ulist", "set", "partial_set"]
     assert scoring.score_fields(df, {"default": kinds}, ("exact", "soft"), details=False).agg(F.sum("tp")).first()[0] == 20_000 * 2 * 22
     assert time.time() - began < 20
+
+
+def test_custom_boxes_without_details(spark, monkeypatch):
+    """Those of the columns, also where rows have more pairs than are worked out at once."""
+    rng = random.Random(14)
+    box = lambda: ",".join(map(str, (rng.randint(1, 2), rng.randint(0, 3) / 8, rng.randint(0, 3) / 8, *rng.choices([0, 0.25, 0.375, 0.5], k=2))))
+    value = lambda: rng.choice([None, "", ";", *(";".join(box() for _ in range(n)) for n in (1, 1, 1, 1, 1, 2, 3))])
+    side = lambda: {f: [value() for _ in range(rng.choice([0, 1, 2, 4, 7]))] for f in rng.sample("fgh", rng.randint(0, 3))}
+    df = spark.createDataFrame([(k, side(), side()) for k in range(300)], "k int, expected map<string,array<string>>, actual map<string,array<string>>")
+    names = {"field_names": ["f", "g"]}
+    custom = [{"name": f"x_{kind}", "type": kind, "expected": names, "actual": names} for kind in ("bounding_box_intersection", "bounding_box_intersection_area")]
+    custom += [{**custom[1], "name": "y", "config": {"resolution": 3}, "expected": {"field_names": ["h"]}}, {**custom[0], "name": "z", "actual": {"field_names": ["h"]}}]
+    columns = ["k", "field_name", "scoring_type", "scoring_method", "tp", "fp", "fn", "tn", "score"]
+    want = sorted(map(tuple, scoring.score_custom(df, ["k"], custom).select(*columns).collect()))
+    made = scoring.score_custom(df, ["k"], custom, details=False)
+    assert sorted(map(tuple, made.select(*columns).collect())) == want and len(want) == 1200
+    shared = df.select("k", *(F.coalesce(F.try_element_at(c, F.lit("f")), F.array()).alias(c[0]) for c in ("expected", "actual"))).orderBy("k").select("k", *(c for n in "ea" for c in (F.transform(n, boxes.parse).alias(n), F.transform(n, lambda x: F.coalesce(x, F.lit("")) != "").alias(f"{n}_some")))).toArrow().combine_chunks().to_batches()[0]
+    e, a = (box_lists._Side(shared.column(n), shared.column(f"{n}_some")) for n in "ea")
+    whole = box_lists._matched(e, a, 0.8), box_lists._areas(e, a, 1000.0)
+    for pairs in (1, 7, 40):
+        monkeypatch.setattr(box_lists, "PAIRS", pairs)
+        assert (box_lists._matched(e, a, 0.8), box_lists._areas(e, a, 1000.0)) == whole
